@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 
 def clip(x: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(x, F.lit(float(low))), F.lit(float(high)))
+    """Bounded x; greatest/least alone would turn a missing value into a bound."""
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(float(low))), F.lit(float(high))))
 
 
 def sigmoid(x: Column) -> Column:
@@ -15,7 +16,7 @@ def sigmoid(x: Column) -> Column:
 
 def softplus(x: Column) -> Column:
     """log(1+e^x) without overflow for large x."""
-    return F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
+    return (F.abs(x) + x) / 2 + F.log1p(F.exp(-F.abs(x)))
 
 
 def positive_link(x: Column, link: str = "softplus") -> Column:
@@ -32,5 +33,5 @@ def power(x: Column, exponent: float, negatives: str = "missing") -> Column:
     if not 0 < exponent <= 1:
         raise ValueError("exponent must be in (0, 1]")
     if negatives == "clip":
-        return F.pow(F.greatest(x, F.lit(0.0)), F.lit(exponent))
+        return F.when(x < 0, F.lit(0.0)).otherwise(F.pow(x, F.lit(exponent)))
     return F.when(x >= 0, F.pow(x, F.lit(exponent)))

@@ -109,23 +109,18 @@ def exact_quantiles(
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_n"))
     cum = running_total(counts, [value], F.col("_n"), "_cum", group=group, ranges=ranges)
-    totals = counts.groupBy(*group).agg(F.sum("_n").alias("_N"))
-    if group:
-        cum = cum.join(totals, list(group))
-        size = F.col("_N")
-    else:
-        size = totals.select("_N").scalar()
-        cum = cum.withColumn("_N", size)
-        size = F.col("_N")
+    totals = counts.groupBy(*group).agg(F.sum("_n").alias("_size"))
+    size = F.col("_size")
+    cum = cum.join(totals, list(group)) if group else cum.withColumn("_size", totals.scalar())
     aggs = []
     for i, p in enumerate(probs):
         pos = (size - 1) * F.lit(float(p))
         aggs.append(F.min(F.when(F.col("_cum") > F.floor(pos), F.col(value))).alias(f"_lo{i}"))
         aggs.append(F.min(F.when(F.col("_cum") > F.ceil(pos), F.col(value))).alias(f"_hi{i}"))
-    found = cum.groupBy(*group).agg(F.max("_N").alias("_N"), *aggs)
+    found = cum.groupBy(*group).agg(F.max("_size").alias("_size"), *aggs)
     out = list(group)
     for i, (p, name) in enumerate(zip(probs, names)):
-        pos = (F.col("_N") - 1) * F.lit(float(p))
+        pos = (F.col("_size") - 1) * F.lit(float(p))
         frac = pos - F.floor(pos)
         lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
         out.append((lo + (hi - lo) * frac).alias(name))

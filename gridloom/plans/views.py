@@ -249,9 +249,9 @@ SQL = {
             CAST(year(l_shipdate) AS INTEGER) AS year, avg(l_quantity) AS q,
             avg(CAST(round(l_discount * 100) AS INTEGER)) AS d, avg(CAST(round(l_tax * 100) AS INTEGER)) AS t
             FROM lineitem GROUP BY 1, 2, 3)""",
-    "v_q": "SELECT row, col, year, kernel, 0.25::DOUBLE + ((row + col * k + year) % 8) / 16.0::DOUBLE AS Q FROM v_rates, (VALUES "
+    "v_q": "SELECT row, col, year, kernel, 0.25::DOUBLE + ((row + col * ki + year) % 8) / 16.0::DOUBLE AS Q FROM v_rates, (VALUES "
     + ", ".join(f"({i}, '{k}')" for i, k in enumerate(KERNEL_LABELS))
-    + ") AS kk(k, kernel)",
+    + ") AS kk(ki, kernel)",
     "v_density": """SELECT row, col, year,
         sum(CASE WHEN month <= 4 THEN coalesce(value, 0.0::DOUBLE) ELSE 0.0::DOUBLE END) AS juv,
         sum(CASE WHEN month > 4 THEN coalesce(value, 0.0::DOUBLE) ELSE 0.0::DOUBLE END) AS adult
