@@ -49,49 +49,41 @@ def range_index(df: DataFrame, order: Sequence[str], bounds: list) -> Column:
     return search(0, len(cuts))
 
 
-def running_total(
+def running_totals(
     df: DataFrame,
     order: Sequence[str],
-    weight: Column,
-    name: str,
+    weights: dict[str, Column],
     group: Sequence[str] = (),
     ranges: int = RANGES,
 ) -> DataFrame:
-    """Inclusive running sum of ``weight`` in ``order`` (unique inside ``group``)."""
+    """Inclusive running sums in ``order`` (unique inside ``group``), one column per weight."""
     full = [*group, *order]
     bounds = range_bounds(df, full, ranges)
-    part = df.withColumn("_w", weight).withColumn("_rng", range_index(df, full, bounds))
+    part = df.withColumns({f"_w_{n}": w for n, w in weights.items()}).withColumn("_rng", range_index(df, full, bounds))
     inside = Window.partitionBy(*group, "_rng").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*group).orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        part.groupBy(*group, "_rng")
-        .agg(F.sum("_w").alias("_t"))
-        .withColumn("_off", F.coalesce(F.sum("_t").over(before), F.lit(0)))
-        .drop("_t")
-    )
-    return (
-        part.withColumn("_in", F.sum("_w").over(inside))
-        .join(offsets, [*group, "_rng"])
-        .withColumn(name, F.col("_in") + F.col("_off"))
-        .drop("_w", "_rng", "_in", "_off")
-    )
+    offsets = part.groupBy(*group, "_rng").agg(*[F.sum(f"_w_{n}").alias(f"_t_{n}") for n in weights])
+    offsets = offsets.select(*group, "_rng", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in weights])
+    shifted = part.withColumns({f"_i_{n}": F.sum(f"_w_{n}").over(inside) for n in weights}).join(offsets, [*group, "_rng"])
+    return shifted.select(*df.columns, *[(F.col(f"_i_{n}") + F.col(f"_o_{n}")).alias(n) for n in weights])
 
 
 def row_numbers(df: DataFrame, order: Sequence[str], name: str, ranges: int = RANGES) -> DataFrame:
     """1-based position in a total order over the whole table; ``order`` must be unique."""
-    return running_total(df, order, F.lit(1).cast("bigint"), name, ranges=ranges)
+    return running_totals(df, order, {name: F.lit(1).cast("bigint")}, ranges=ranges)
 
 
-def average_ranks(df: DataFrame, value: str, name: str, ranges: int = RANGES) -> DataFrame:
+def average_ranks(df: DataFrame, value: str, name: str, group: Sequence[str] = (), ranges: int = RANGES) -> DataFrame:
     """Ascending ranks with ties averaged; missing values keep a missing rank.
 
     Equal values are counted before any ordering, so a value shared by a third of the
     rows is one row of the ordered table.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
-    ranked = running_total(counts, [value], F.col("_n"), "_cum", ranges=ranges)
-    ranks = ranked.select(value, (F.col("_cum") - (F.col("_n") - 1) / 2.0).alias(name))
-    return df.join(ranks, value, "left")
+    keys = [*group, value]
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("_n"))
+    ranked = running_totals(counts, [value], {"_cum": F.col("_n")}, group=group, ranges=ranges)
+    ranks = ranked.select(*keys, (F.col("_cum") - (F.col("_n") - 1) / 2.0).alias(name))
+    return df.join(ranks, keys, "left")
 
 
 def exact_quantiles(
@@ -108,7 +100,7 @@ def exact_quantiles(
     totals, so neither a hot group nor the whole table lands in one task.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_n"))
-    cum = running_total(counts, [value], F.col("_n"), "_cum", group=group, ranges=ranges)
+    cum = running_totals(counts, [value], {"_cum": F.col("_n")}, group=group, ranges=ranges)
     totals = counts.groupBy(*group).agg(F.sum("_n").alias("_size"))
     size = F.col("_size")
     cum = cum.join(totals, list(group)) if group else cum.withColumn("_size", totals.scalar())

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import text
 from gridloom.plans.registry import query
+from gridloom.plans.views import r6
 from gridloom.sources import audit, scans, sinks
 
 LAYERS = """v_layers AS (SELECT l_returnflag || l_linestatus AS var, CAST(date_trunc('month', l_shipdate) AS DATE) AS month,
@@ -120,14 +121,14 @@ def _(v):
     return audit.metadata_consistency(meta, ["res", "crs", "bounds"])
 
 
-@query("S11_resume_write", "SELECT year, count(*) AS n, sum(v) AS total FROM v_annual WHERE v IS NULL OR v = floor(v) GROUP BY year")
+@query("S11_resume_write", "SELECT year, count(*) AS n, R6(sum(v)) AS total FROM v_annual GROUP BY year")
 def _(v):
-    whole = v.annual().where("v IS NULL OR v = floor(v)")
+    whole = v.annual()
     out = sinks.staging(v.spark, "s11")
     sinks.write_missing_years(whole.where("year <= 1997"), out)
     sinks.write_missing_years(whole, out)
     stored = sinks.write_missing_years(whole, out)
-    return stored.groupBy("year").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+    return stored.groupBy("year").agg(F.count("*").alias("n"), r6(F.sum("v")).alias("total"))
 
 
 @query("S12_csv_sink", "SELECT row, col, year, v FROM v_annual")
