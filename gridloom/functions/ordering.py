@@ -4,10 +4,11 @@ A window ordered over a whole table would run in a single task, and a window ove
 group that holds a third of all rows is hardly better. Here a sort key is cut into
 ranges with boundaries found by Spark's own range partitioner; running totals are
 taken inside each range and shifted by the totals of the ranges before it. Only the
-boundaries (at most ``RANGES`` of them) ever reach the driver.
+boundaries (at most ``MAX_RANGES`` of them) ever reach the driver.
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -15,11 +16,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-RANGES = 64
+MAX_RANGES = 1024
+#: Up to here a range is found by one balanced CASE tree, beyond it by two short array searches.
+TREE_LIMIT = 128
 
 
-def range_bounds(df: DataFrame, order: Sequence[str], ranges: int = RANGES) -> list:
+def default_ranges(df: DataFrame) -> int:
+    """As many ranges as the session has shuffle partitions, within bounds."""
+    return max(4, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MAX_RANGES))
+
+
+def range_bounds(df: DataFrame, order: Sequence[str], ranges: int | None = None) -> list:
     """Smallest key of each range, as rows in key order."""
+    ranges = ranges or default_ranges(df)
     keys = df.select(*order)
     mins = (
         keys.repartitionByRange(ranges, *[F.col(c) for c in order])
@@ -46,7 +55,14 @@ def range_index(df: DataFrame, order: Sequence[str], bounds: list) -> Column:
         mid = (lo + hi) // 2
         return F.when(key < cuts[mid], search(lo, mid)).otherwise(search(mid + 1, hi))
 
-    return search(0, len(cuts))
+    if len(cuts) <= TREE_LIMIT:
+        return search(0, len(cuts))
+    step = math.isqrt(len(cuts) - 1) + 1
+    blocks = F.array(*[F.array(*cuts[i:i + step]) for i in range(0, len(cuts), step)])
+    # last block whose first cut is not above the key, then the position inside it
+    block = F.size(F.filter(F.array(*cuts[::step]), lambda c: c <= key)) - 1
+    inside = F.size(F.filter(F.get(blocks, F.greatest(block, F.lit(0))), lambda c: c <= key))
+    return F.greatest(block, F.lit(0)) * step + inside
 
 
 def running_totals(
@@ -54,7 +70,7 @@ def running_totals(
     order: Sequence[str],
     weights: dict[str, Column],
     group: Sequence[str] = (),
-    ranges: int = RANGES,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Inclusive running sums in ``order`` (unique inside ``group``), one column per weight."""
     full = [*group, *order]
@@ -68,12 +84,24 @@ def running_totals(
     return shifted.select(*df.columns, *[(F.col(f"_i_{n}") + F.col(f"_o_{n}")).alias(n) for n in weights])
 
 
-def row_numbers(df: DataFrame, order: Sequence[str], name: str, ranges: int = RANGES) -> DataFrame:
+def running_min_before(df: DataFrame, order: Sequence[str], value: str, name: str, ranges: int | None = None) -> DataFrame:
+    """Smallest ``value`` over the rows strictly before this one in a unique ``order``."""
+    bounds = range_bounds(df, order, ranges)
+    part = df.withColumn("_rng", range_index(df, order, bounds))
+    inside = Window.partitionBy("_rng").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per range (at most ``ranges``), so this window is small by construction
+    offsets = part.groupBy("_rng").agg(F.min(value).alias("_m")).select("_rng", F.min("_m").over(before).alias("_o"))
+    shifted = part.withColumn("_i", F.min(value).over(inside)).join(offsets, "_rng")
+    return shifted.select(*df.columns, F.least("_i", "_o").alias(name))
+
+
+def row_numbers(df: DataFrame, order: Sequence[str], name: str, ranges: int | None = None) -> DataFrame:
     """1-based position in a total order over the whole table; ``order`` must be unique."""
     return running_totals(df, order, {name: F.lit(1).cast("bigint")}, ranges=ranges)
 
 
-def average_ranks(df: DataFrame, value: str, name: str, group: Sequence[str] = (), ranges: int = RANGES) -> DataFrame:
+def average_ranks(df: DataFrame, value: str, name: str, group: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
     """Ascending ranks with ties averaged; missing values keep a missing rank.
 
     Equal values are counted before any ordering, so a value shared by a third of the
@@ -92,7 +120,7 @@ def exact_quantiles(
     probs: Sequence[float],
     names: Sequence[str],
     group: Sequence[str] = (),
-    ranges: int = RANGES,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Exact linearly interpolated quantiles, per group or global (one row).
 

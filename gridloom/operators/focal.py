@@ -120,9 +120,12 @@ def cluster(df: DataFrame, layers: Sequence[str] = (), tile: int = TILE) -> Data
     return df.repartition(*layers, F.floor(F.col("row") / tile), F.floor(F.col("col") / tile))
 
 
-def _offset_array(offsets: Offsets, mirrored: bool) -> Column:
+def _offset_sql(offsets: Offsets, mirrored: bool, kernel: str | None = None) -> str:
+    """Offset table as one constant array expression (folded once by the optimizer)."""
     sign = -1 if mirrored else 1
-    return F.array(*[F.struct(F.lit(sign * dr).alias("dr"), F.lit(sign * dc).alias("dc"), F.lit(float(w)).alias("w")) for dr, dc, w in offsets if w != 0.0])
+    tag = f"'k', '{kernel}', " if kernel is not None else ""
+    items = [f"named_struct({tag}'dr', {sign * dr}, 'dc', {sign * dc}, 'w', {float(w)!r}D)" for dr, dc, w in offsets if w != 0.0]
+    return f"array({', '.join(items)})"
 
 
 def scatter(df: DataFrame, stack: dict[str, Offsets], values: Sequence[str], layers: Sequence[str] = (), mirrored: bool = False, by_kernel: bool = False) -> DataFrame:
@@ -131,11 +134,11 @@ def scatter(df: DataFrame, stack: dict[str, Offsets], values: Sequence[str], lay
     ``by_kernel``: rows already name the kernel they use; else every kernel is applied.
     """
     if by_kernel:
-        table = F.create_map(*[x for k, o in stack.items() for x in (F.lit(k), _offset_array(o, mirrored))])
+        table = F.expr(f"map({', '.join(f'{k!r}, {_offset_sql(o, mirrored)}' for k, o in stack.items())})")
         sent = cluster(df, [*layers, "kernel"]).withColumn("_o", F.explode(F.element_at(table, F.col("kernel"))))
         kernel = F.col("kernel")
     else:
-        offsets = F.flatten(F.array(*[F.transform(_offset_array(o, mirrored), _tag(k)) for k, o in stack.items()]))
+        offsets = F.expr(f"concat({', '.join(_offset_sql(o, mirrored, k) for k, o in stack.items())})")
         sent = cluster(df, layers).withColumn("_o", F.explode(offsets))
         kernel = F.col("_o.k")
     return (
@@ -148,10 +151,6 @@ def scatter(df: DataFrame, stack: dict[str, Offsets], values: Sequence[str], lay
     )
 
 
-def _tag(kernel: str):
-    return lambda o: F.struct(F.lit(kernel).alias("k"), o["dr"].alias("dr"), o["dc"].alias("dc"), o["w"].alias("w"))
-
-
 def overlap_add(df: DataFrame, stack: dict[str, Offsets], values: Sequence[str], layers: Sequence[str] = (), mirrored: bool = False, tile: int = TILE) -> DataFrame:
     """The same result as :func:`scatter` for large kernels: one FFT per tile, halos added."""
     radius = max(max(abs(dr), abs(dc)) for o in stack.values() for dr, dc, _ in o)

@@ -30,7 +30,7 @@ def block_quantiles(df: DataFrame, factor: int, probs: Sequence[float], keys: Se
     """
     block = [*keys, coarse(F.col("row"), factor).alias("row"), coarse(F.col("col"), factor).alias("col")]
     counted = df.groupBy(*block, F.col(column).alias("_v")).agg(F.count("*").alias("_n"))
-    quantiles = F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs]), "_n")
+    quantiles = F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs]), F.col("_n"))
     arrays = counted.groupBy(*keys, "row", "col").agg(F.coalesce(quantiles, F.array_repeat(F.lit(None).cast("double"), len(probs))).alias("_q"))
     return arrays.select(*keys, "row", "col", F.posexplode("_q").alias("band", column)).withColumn("band", F.col("band") + 1)
 
