@@ -217,7 +217,7 @@ def _(v):
     return out.select("row", "col", "year", "month", r6(F.col("z_sample")).alias("z_sample"), r6(F.col("z_pop")).alias("z_pop"))
 
 
-@query("P26_names", """SELECT c_custkey, replace(lower(trim('  ' || replace(c_name, '#', '_ ') || ' ')), '_', ' ') AS norm,
+@query("P26_P27_names", """SELECT c_custkey, replace(lower(trim('  ' || replace(c_name, '#', '_ ') || ' ')), '_', ' ') AS norm,
     replace(c_mktsegment || ' bird', ' ', '_') AS label FROM customer""")
 def _(v):
     raw = F.concat(F.lit("  "), F.replace("c_name", F.lit("#"), F.lit("_ ")), F.lit(" "))

@@ -45,6 +45,11 @@ def _(v):
     return cells.groupBy("row", "col", "year").agg(F.count("*").alias("visits"), F.avg("n").alias("mean_n"))
 
 
+@query("P19_coarsen_index", "SELECT visit, CAST(route // 32 // 4 AS INTEGER) AS row, CAST(route % 32 // 4 AS INTEGER) AS col, year FROM v_effort")
+def _(v):
+    return survey.coarsen(fine_cell(v.effort()), 4).select("visit", "row", "col", "year")
+
+
 @query("J2_route_location", VISITS + """ SELECT visit, route, year, -124.0::DOUBLE + (c_custkey % 997) * 0.055::DOUBLE AS lon, 26.0::DOUBLE + (c_custkey % 613) * 0.035::DOUBLE AS lat FROM vis JOIN customer ON c_custkey = route""")
 def _(v):
     key = F.col("c_custkey")
