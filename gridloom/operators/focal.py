@@ -1,9 +1,9 @@
 """Neighbourhood operators: kernels as offset tables, applied as scatters or tiled FFTs.
 
 A cell sends w(d) * value to the cell at offset d; a groupBy adds what arrives. Cells are
-clustered by tile first, so most additions happen before the shuffle. Supports beyond a few
-hundred cells use overlap-add: each tile is convolved on its own with numpy and only its
-halo overlaps its neighbours, so no task ever holds a whole grid.
+clustered by tile first, so most additions happen before the shuffle. Larger kernel stacks
+use overlap-add: each tile is convolved on its own with numpy (shifts for small kernels, FFT
+for wide ones) and only its halo overlaps its neighbours, so no task ever holds a whole grid.
 """
 from __future__ import annotations
 
@@ -18,8 +18,10 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 TILE = 64
-#: Offsets per kernel stack above which tiles are convolved by FFT.
-DIRECT_LIMIT = 500
+#: Offsets per kernel stack above which tiles are convolved in numpy instead of exploded.
+DIRECT_LIMIT = 64
+#: Offsets per kernel above which a tile uses FFT instead of shifted additions.
+SHIFT_LIMIT = 128
 
 Offsets = list[tuple[int, int, float]]
 
@@ -120,84 +122,101 @@ def cluster(df: DataFrame, layers: Sequence[str] = (), tile: int = TILE) -> Data
     return df.repartition(*layers, F.floor(F.col("row") / tile), F.floor(F.col("col") / tile))
 
 
-def _offset_sql(offsets: Offsets, mirrored: bool, kernel: str | None = None) -> str:
+def _offset_sql(offsets: Offsets, mirrored: bool, kernel: int | None = None) -> str:
     """Offset table as one constant array expression (folded once by the optimizer)."""
     sign = -1 if mirrored else 1
-    tag = f"'k', '{kernel}', " if kernel is not None else ""
+    tag = f"'k', {kernel}, " if kernel is not None else ""
     items = [f"named_struct({tag}'dr', {sign * dr}, 'dc', {sign * dc}, 'w', {float(w)!r}D)" for dr, dc, w in offsets if w != 0.0]
     return f"array({', '.join(items)})"
 
 
-def scatter(df: DataFrame, stack: dict[str, Offsets], values: Sequence[str], layers: Sequence[str] = (), mirrored: bool = False, by_kernel: bool = False) -> DataFrame:
-    """(layers, kernel, row, col, values): offset form.
+def scatter(df: DataFrame, stack: dict[str, Offsets], values: Sequence[str], layers: Sequence[str] = (), mirrored: bool = False) -> DataFrame:
+    """(layers, kernel, row, col, values): offset form, every kernel applied to every row.
 
-    ``by_kernel``: rows already name the kernel they use; else every kernel is applied.
+    Kernels travel as small integers and get their names back after the sums.
     """
-    if by_kernel:
-        table = F.expr(f"map({', '.join(f'{k!r}, {_offset_sql(o, mirrored)}' for k, o in stack.items())})")
-        sent = cluster(df, [*layers, "kernel"]).withColumn("_o", F.explode(F.element_at(table, F.col("kernel"))))
-        kernel = F.col("kernel")
-    else:
-        offsets = F.expr(f"concat({', '.join(_offset_sql(o, mirrored, k) for k, o in stack.items())})")
-        sent = cluster(df, layers).withColumn("_o", F.explode(offsets))
-        kernel = F.col("_o.k")
-    return (
-        sent.select(
-            *layers, kernel.alias("kernel"), (F.col("row") + F.col("_o.dr")).alias("row"), (F.col("col") + F.col("_o.dc")).alias("col"),
-            *[(F.col("_o.w") * F.col(v)).alias(v) for v in values],
-        )
-        .groupBy(*layers, "kernel", "row", "col")
-        .agg(*[F.sum(v).alias(v) for v in values])
+    names = list(stack)
+    offsets = F.expr(f"concat({', '.join(_offset_sql(stack[k], mirrored, i) for i, k in enumerate(names))})")
+    sent = cluster(df, layers).withColumn("_o", F.explode(offsets)).select(
+        *layers, F.col("_o.k").alias("_k"), (F.col("row") + F.col("_o.dr")).alias("row"), (F.col("col") + F.col("_o.dc")).alias("col"),
+        *[(F.col("_o.w") * F.col(v)).alias(v) for v in values],
     )
+    sums = sent.groupBy(*layers, "_k", "row", "col").agg(*[F.sum(v).alias(v) for v in values])
+    label = F.element_at(F.array(*[F.lit(k) for k in names]), F.col("_k") + 1)
+    return sums.select(*layers, label.alias("kernel"), "row", "col", *values)
 
 
-def overlap_add(df: DataFrame, stack: dict[str, Offsets], values: Sequence[str], layers: Sequence[str] = (), mirrored: bool = False, tile: int = TILE) -> DataFrame:
-    """The same result as :func:`scatter` for large kernels: one FFT per tile, halos added."""
+def _kernel_grid(offsets: Offsets, radius: int, mirrored: bool) -> np.ndarray:
+    g = np.zeros((2 * radius + 1, 2 * radius + 1))
+    sign = -1 if mirrored else 1
+    for dr, dc, w in offsets:
+        g[sign * dr + radius, sign * dc + radius] += w
+    return g
+
+
+def _convolve(a: np.ndarray, present: np.ndarray, g: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Full convolution of a (values, rows, cols) block and the cells it reaches."""
+    n, h, w = a.shape
+    shape = (h + 2 * radius, w + 2 * radius)
+    taps = np.argwhere(g != 0.0)
+    if len(taps) <= SHIFT_LIMIT:
+        out, reach = np.zeros((n, *shape)), np.zeros(shape, bool)
+        for i, j in taps:
+            out[:, i:i + h, j:j + w] += g[i, j] * a
+            reach[i:i + h, j:j + w] |= present
+        return out, reach
+    spectrum = np.fft.rfft2(g, shape)
+    out = np.fft.irfft2(np.fft.rfft2(a, shape) * spectrum, shape)
+    hits = np.fft.irfft2(np.fft.rfft2(present.astype(float), shape) * np.fft.rfft2((g != 0.0).astype(float), shape), shape)
+    return out, hits > 0.5
+
+
+def overlap_add(df: DataFrame, stack: dict[str, Offsets], values: Sequence[str], layers: Sequence[str] = (), mirrored: bool = False, by_kernel: bool = False, tile: int = TILE) -> DataFrame:
+    """The same rows as :func:`scatter`, one dense convolution per tile and halos added.
+
+    ``by_kernel``: rows already name the kernel they use; else every kernel is applied.
+    """
     radius = max(max(abs(dr), abs(dc)) for o in stack.values() for dr, dc, _ in o)
-    side = 2 * radius + 1
-    grids = {}
-    for name, offsets in stack.items():
-        g = np.zeros((side, side))
-        for dr, dc, w in offsets:
-            sign = -1 if mirrored else 1
-            g[sign * dr + radius, sign * dc + radius] += w
-        grids[name] = g
+    names = list(stack)
+    grids = [_kernel_grid(stack[k], radius, mirrored) for k in names]
     layers, values = list(layers), list(values)
-    keep = {f.name: f.dataType for f in df.schema}
+    code = F.array_position(F.array(*[F.lit(k) for k in names]), F.col("kernel")).cast("int") - 1 if by_kernel else F.lit(-1)
+    cells = df.withColumn("_k", code).groupBy(*layers, "_k", "row", "col").agg(*[F.sum(v).alias(v) for v in values])
+    types = {f.name: f.dataType for f in df.schema}
     schema = T.StructType(
-        [T.StructField(c, keep[c]) for c in layers]
-        + [T.StructField("kernel", T.StringType()), T.StructField("row", T.IntegerType()), T.StructField("col", T.IntegerType())]
+        [T.StructField(c, types[c]) for c in layers]
+        + [T.StructField(c, T.IntegerType()) for c in ("_k", "row", "col")]
         + [T.StructField(v, T.DoubleType()) for v in values]
     )
 
-    def convolve(pdf: pd.DataFrame) -> pd.DataFrame:
+    def one_tile(pdf: pd.DataFrame) -> pd.DataFrame:
         rows, cols = pdf["row"].to_numpy(), pdf["col"].to_numpy()
-        r0, c0 = rows.min(), cols.min()
-        shape = (rows.max() - r0 + side, cols.max() - c0 + side)
-        spectra = {}
-        for v in values:
-            a = np.zeros(shape)
-            a[rows - r0, cols - c0] = pdf[v].fillna(0.0).to_numpy()
-            spectra[v] = np.fft.rfft2(a)
-        rr, cc = np.indices(shape)
+        r0, c0, code = rows.min(), cols.min(), int(pdf["_k"].iloc[0])
+        block = np.zeros((len(values), rows.max() - r0 + 1, cols.max() - c0 + 1))
+        present = np.zeros(block.shape[1:], bool)
+        present[rows - r0, cols - c0] = True
+        for i, v in enumerate(values):
+            block[i, rows - r0, cols - c0] = pdf[v].fillna(0.0).to_numpy()
         parts = []
-        for name, g in grids.items():
-            kf = np.fft.rfft2(g, shape)
-            out = {c: pdf[c].iloc[0] for c in layers}
-            out.update(kernel=name, row=(rr + r0 - radius).ravel(), col=(cc + c0 - radius).ravel())
-            out.update({v: np.fft.irfft2(spectra[v] * kf, shape).ravel() for v in values})
-            parts.append(pd.DataFrame(out))
+        for k in [code] if code >= 0 else range(len(grids)):
+            out, reach = _convolve(block, present, grids[k], radius)
+            rr, cc = np.nonzero(reach)
+            part = {c: pdf[c].iloc[0] for c in layers}
+            part.update(_k=np.full(len(rr), k, "int32"), row=(rr + r0 - radius).astype("int32"), col=(cc + c0 - radius).astype("int32"))
+            part.update({v: out[i, rr, cc] for i, v in enumerate(values)})
+            parts.append(pd.DataFrame(part))
         return pd.concat(parts)[[f.name for f in schema]]
 
-    cells = df.groupBy(*layers, "row", "col").agg(*[F.sum(v).alias(v) for v in values])
-    tiles = cells.groupBy(*layers, F.floor(F.col("row") / tile).alias("_tr"), F.floor(F.col("col") / tile).alias("_tc"))
-    return tiles.applyInPandas(convolve, schema).groupBy(*layers, "kernel", "row", "col").agg(*[F.sum(v).alias(v) for v in values])
+    tiles = cells.groupBy(*layers, "_k", F.floor(F.col("row") / tile).alias("_tr"), F.floor(F.col("col") / tile).alias("_tc"))
+    sums = tiles.applyInPandas(one_tile, schema).groupBy(*layers, "_k", "row", "col").agg(*[F.sum(v).alias(v) for v in values])
+    label = F.element_at(F.array(*[F.lit(k) for k in names]), F.col("_k") + 1)
+    return sums.select(*layers, label.alias("kernel"), "row", "col", *values)
 
 
 def apply_kernels(df: DataFrame, stack: dict[str, Offsets], values: Sequence[str] = ("value",), layers: Sequence[str] = (), mirrored: bool = False, method: str = "auto") -> DataFrame:
     """Linear convolution (or correlation when ``mirrored``) with each kernel; zero outside the grid."""
     if method == "auto":
-        method = "direct" if sum(len(o) for o in stack.values()) <= DIRECT_LIMIT else "fft"
+        method = "direct" if sum(len(o) for o in stack.values()) <= DIRECT_LIMIT else "tiles"
     run = scatter if method == "direct" else overlap_add
     return run(df, stack, values, layers, mirrored)
 
@@ -213,7 +232,7 @@ def redistribute(pop: DataFrame, land: DataFrame, stack: dict[str, Offsets], q:
     """sum_k Q_k * conv(pop / (f_k + 1e-6), k) on land."""
     frac = land_fraction(land, stack)
     boosted = pop.join(frac, ["row", "col"]).withColumn("value", F.col("value") / (F.col("frac") + 1e-6)).drop("frac")
-    arrived = scatter(boosted, stack, ["value"], layers, by_kernel=True)
+    arrived = overlap_add(boosted, stack, ["value"], layers, by_kernel=True)
     return (
         arrived.join(q, [*layers, "row", "col", "kernel"])
         .groupBy(*layers, "row", "col").agg(F.sum(F.col("value") * F.col("Q")).alias("value"))
@@ -236,7 +255,7 @@ def path_integral(field: DataFrame, land: DataFrame, stack: dict[str, Offsets],
 def outgoing_risk(q: DataFrame, land: DataFrame, stack: dict[str, Offsets]) -> DataFrame:
     """1 - mean over kernels of corr(Q_k * land, k) / (f_k + 1e-6), on land."""
     on_land = q.join(land, ["row", "col"], "left_semi").withColumnRenamed("Q", "value")
-    pulled = scatter(on_land, stack, ["value"], mirrored=True, by_kernel=True)
+    pulled = overlap_add(on_land, stack, ["value"], mirrored=True, by_kernel=True)
     joined = land_fraction(land, stack).join(pulled, ["kernel", "row", "col"], "left")
     survival = F.coalesce("value", F.lit(0.0)) / (F.col("frac") + 1e-6)
     return joined.groupBy("row", "col").agg((F.lit(1.0) - F.avg(survival)).alias("risk"))

@@ -94,11 +94,14 @@ def cosine_projection(df: DataFrame, t: Column, y: Column, x: Column, n_time: in
         F.struct(F.lit(k).alias("k"), F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(float(w)).alias("w"))
         for (k, i, j), w in zip(cosine_terms(n_time, n_space), weights, strict=True)
     ])
-    waves = df.withColumns({
-        "_tw": F.array(*cosine_waves(n_time, t)),
-        "_yw": F.array(*cosine_waves(n_space, y)),
-        "_xw": F.array(*cosine_waves(n_space, x)),
-    })
-    tw, yw, xw = F.col("_tw"), F.col("_yw"), F.col("_xw")
-    total = F.aggregate(terms, F.lit(0.0), lambda acc, b: acc + tw[b["k"]] * (yw[b["i"]] * xw[b["j"]]) * b["w"])
-    return waves.withColumn(name, total).drop("_tw", "_yw", "_xw")
+    at = df.withColumns({"_t": t, "_y": y, "_x": x})
+    waves = F.struct(
+        F.array(*cosine_waves(n_time, F.col("_t"))).alias("t"),
+        F.array(*cosine_waves(n_space, F.col("_y"))).alias("y"),
+        F.array(*cosine_waves(n_space, F.col("_x"))).alias("x"),
+    )
+    # the one-element array makes the waves a value that is computed once per row
+    total = F.transform(F.array(waves), lambda v: F.aggregate(
+        terms, F.lit(0.0), lambda acc, b: acc + v["t"][b["k"]] * (v["y"][b["i"]] * v["x"][b["j"]]) * b["w"]
+    ))[0]
+    return at.withColumn(name, total).drop("_t", "_y", "_x")

@@ -41,13 +41,14 @@ def _hull_of_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"ord": np.arange(len(hull), dtype="int32"), "x": hull[:, 0] if len(hull) else [], "y": hull[:, 1] if len(hull) else []})
 
 
-def convex_hull(points: DataFrame, x: str, y: str, fan_in: int = 64) -> DataFrame:
+def convex_hull(points: DataFrame, x: str, y: str, fan_in: int | None = None) -> DataFrame:
     """(ord, x, y) of the hull, counter-clockwise.
 
     Only the extremes of each y can be vertices, so they are cut out before Python sees the
     points. Hulls are merged per task, then over ``fan_in`` tasks, then once more: each
     stage passes on vertices only.
     """
+    fan_in = fan_in or min(64, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     pts = points.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
     extremes = pts.groupBy("y").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).select(F.explode(F.array("lo", "hi")).alias("x"), "y")
     schema = "ord INT, x DOUBLE, y DOUBLE"

@@ -263,13 +263,13 @@ def _(v):
 
 @query("W20_kernel_apply", DIRK + ", " + POP + " SELECT kernel, row + dr AS row, col + dc AS col, R6(sum(juv * w)) AS value FROM pop, ker GROUP BY ALL")
 def _(v):
-    return focal.apply_kernels(population(v), stack(), method="direct").select("kernel", "row", "col", r6(F.col("value")).alias("value"))
+    return focal.apply_kernels(population(v), stack()).select("kernel", "row", "col", r6(F.col("value")).alias("value"))
 
 
-@query("W20b_kernel_apply_tiled_fft", KER.replace("range(-2, 3)", "range(-9, 10)") + ", " + POP + " SELECT row, col, R6(s) AS value FROM (SELECT row + dr AS row, col + dc AS col, sum(juv * w) AS s FROM pop, base GROUP BY ALL) WHERE s > 1e-3")
+@query("W20b_kernel_apply_tiles", KER.replace("range(-2, 3)", "range(-9, 10)") + ", " + POP + " SELECT row, col, R6(s) AS value FROM (SELECT row + dr AS row, col + dc AS col, sum(juv * w) AS s FROM pop, base GROUP BY ALL) WHERE s > 1e-3")
 def _(v):
     big = {"iso": focal.isotropic(9, CELL, MEAN, SHAPE)}
-    out = focal.apply_kernels(population(v), big, method="fft")
+    out = focal.apply_kernels(population(v), big, method="tiles")
     return out.where("value > 1e-3").select("row", "col", r6(F.col("value")).alias("value"))
 
 
