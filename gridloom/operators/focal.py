@@ -337,8 +337,9 @@ def volatility(zlong: DataFrame, nrows: Column, ncols: Column, n_dims: Column) -
 def radial_profile(table: DataFrame) -> DataFrame:
     """(kernel, ring, mean_w, rel_w): mean weight per integer distance, relative to its maximum."""
     rings = table.groupBy("kernel", F.floor(F.sqrt(F.col("dr") ** 2 + F.col("dc") ** 2)).cast("int").alias("ring")).agg(F.avg("w").alias("mean_w"))
-    peak = rings.groupBy("kernel").agg(F.max("mean_w").alias("_m"))
-    return rings.join(peak, "kernel").select("kernel", "ring", "mean_w", (F.col("mean_w") / F.col("_m")).alias("rel_w"))
+    # a kernel has few rings, so this window is small
+    peak = F.max("mean_w").over(Window.partitionBy("kernel"))
+    return rings.select("kernel", "ring", "mean_w", (F.col("mean_w") / peak).alias("rel_w"))
 
 
 def mass_by_distance(pop: DataFrame, stack: dict[str, Offsets]) -> DataFrame:

@@ -198,19 +198,27 @@ def profile_correlation(df: DataFrame, item: str, dim: str, value: str) -> DataF
     return left.join(right, dim).where("a <= b").groupBy("a", "b").agg(F.coalesce(correlation("x", "y"), F.lit(0.0)).alias("r"))
 
 
+def loading_summaries(load: DataFrame) -> DataFrame:
+    """(axis, dim, item, abs_mean, mean) for species and weeks in one pass over the loadings."""
+    items = F.explode(F.array(
+        F.struct(F.lit("week").alias("axis"), F.col("week").cast("string").alias("item")),
+        F.struct(F.lit("species").alias("axis"), F.col("species").alias("item")),
+    ))
+    long = load.select("dim", "loading", items.alias("i"))
+    return long.groupBy("i.axis", "dim", "i.item").agg(F.avg(F.abs("loading")).alias("abs_mean"), F.avg("loading").alias("mean"))
+
+
 def latent_report(load: DataFrame, k_species: int = 3, k_weeks: int = 5) -> DataFrame:
     """(dim, drivers, avoiders, top_weeks): labels joined in rank order."""
-    by_species = load.groupBy("dim", "species").agg(F.avg("loading").alias("m"))
-    by_week = load.groupBy("dim", "week").agg(F.avg(F.abs("loading")).alias("m"))
 
-    def first(df: DataFrame, item: str, sign: int, k: int, name: str) -> DataFrame:
-        ordered = F.slice(F.array_sort(F.collect_list(F.struct((F.col("m") * -sign).alias("o"), F.col(item).alias("i")))), 1, k)
-        return df.groupBy("dim").agg(F.array_join(F.transform(ordered, lambda p: p["i"].cast("string")), ", ").alias(name))
+    def first(axis: str, score: Column, k: int) -> Column:
+        pairs = F.collect_list(F.when(F.col("axis") == axis, F.struct((-score).alias("o"), F.col("item").alias("i"))))
+        return F.array_join(F.transform(F.slice(F.array_sort(pairs), 1, k), lambda p: p["i"]), ", ")
 
-    return (
-        first(by_species, "species", 1, k_species, "drivers")
-        .join(first(by_species, "species", -1, k_species, "avoiders"), "dim")
-        .join(first(by_week, "week", 1, k_weeks, "top_weeks"), "dim")
+    return loading_summaries(load).groupBy("dim").agg(
+        first("species", F.col("mean"), k_species).alias("drivers"),
+        first("species", -F.col("mean"), k_species).alias("avoiders"),
+        first("week", F.col("abs_mean"), k_weeks).alias("top_weeks"),
     )
 
 

@@ -275,9 +275,8 @@ def _(v):
 @query("A34_loading_summaries", LOAD + """ SELECT 'week' AS axis, dim, CAST(week AS VARCHAR) AS item, R6(avg(abs(loading))) AS abs_mean, R6(avg(loading)) AS mean FROM lo GROUP BY dim, week
     UNION ALL SELECT 'species', dim, species, R6(avg(abs(loading))), R6(avg(loading)) FROM lo GROUP BY dim, species""")
 def _(v):
-    items = F.explode(F.array(F.struct(F.lit("week").alias("axis"), F.col("week").cast("string").alias("item")), F.struct(F.lit("species").alias("axis"), F.col("species").alias("item"))))
-    long = load(v).select("dim", "loading", items.alias("i"))
-    return long.groupBy("i.axis", "dim", "i.item").agg(r6(F.avg(F.abs("loading"))).alias("abs_mean"), r6(F.avg("loading")).alias("mean"))
+    out = stats.loading_summaries(load(v))
+    return out.select("axis", "dim", "item", r6(F.col("abs_mean")).alias("abs_mean"), r6(F.col("mean")).alias("mean"))
 
 
 @query("A35_profile_correlation", LOAD + """, sp AS (SELECT dim, species, avg(loading) AS x FROM lo GROUP BY ALL) SELECT a.species AS a, b.species AS b, R6(coalesce(corr(a.x, b.x), 0)) AS r FROM sp a JOIN sp b USING (dim) WHERE a.species <= b.species GROUP BY ALL""")

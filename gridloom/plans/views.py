@@ -65,18 +65,22 @@ class Views:
 
     # -- community -------------------------------------------------------------
     def abund(self) -> DataFrame:
-        """(cell, species, week, x): weekly abundance."""
+        """(cell, species, week, x): weekly abundance.
+
+        Sums are taken per part before the join, so a part that holds a third of all lines
+        reaches the join as one row per cell and week.
+        """
         part = self.table("part").select("p_partkey", F.col("p_brand").alias("species"))
         line = self.table("lineitem").select(
             F.col("l_suppkey").cast("int").alias("cell"),
             "l_partkey",
             F.least(F.lit(51), F.floor((F.dayofyear("l_shipdate") - 1) / 7)).cast("int").alias("week"),
             "l_quantity",
-        )
+        ).groupBy("cell", "week", "l_partkey").agg(F.sum("l_quantity").alias("q"))
         return (
             line.join(part, line.l_partkey == part.p_partkey)
             .groupBy("cell", "species", "week")
-            .agg(F.sum("l_quantity").alias("x"))
+            .agg(F.sum("q").alias("x"))
         )
 
     def z(self) -> DataFrame:
@@ -104,11 +108,11 @@ class Views:
     def counts(self) -> DataFrame:
         """(visit, species, n): detections per visit and species."""
         part = self.table("part").select("p_partkey", F.col("p_type").alias("species"))
-        line = self.table("lineitem").select(F.col("l_orderkey").alias("visit"), "l_partkey", "l_quantity")
+        line = self.table("lineitem").groupBy(F.col("l_orderkey").alias("visit"), "l_partkey").agg(F.sum("l_quantity").alias("q"))
         return (
             line.join(part, line.l_partkey == part.p_partkey)
             .groupBy("visit", "species")
-            .agg(F.sum("l_quantity").cast("bigint").alias("n"))
+            .agg(F.sum("q").cast("bigint").alias("n"))
         )
 
     # -- series, traits, rates -------------------------------------------------

@@ -59,5 +59,6 @@ def lockstep(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def deduplicate(stream: DataFrame, time: str, delay: str, keys: Sequence[str]) -> DataFrame:
-    """First arrival per key inside the watermark; rows later than the watermark are dropped."""
+    """First arrival per key inside the watermark. Rows behind the watermark of the previous
+    micro-batch are dropped and counted in the progress of the state operator."""
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))
