@@ -171,17 +171,21 @@ def _convolve(a: np.ndarray, present: np.ndarray, g: np.ndarray, radius: int) ->
     return out, hits > 0.5
 
 
-def overlap_add(df: DataFrame, stack: dict[str, Offsets], values: Sequence[str], layers: Sequence[str] = (), mirrored: bool = False, by_kernel: bool = False, tile: int = TILE) -> DataFrame:
+def overlap_add(df: DataFrame, stack: dict[str, Offsets], values: Sequence[str], layers: Sequence[str] = (), mirrored: bool = False, by_kernel: bool = False, unique: bool = False, tile: int = TILE) -> DataFrame:
     """The same rows as :func:`scatter`, one dense convolution per tile and halos added.
 
     ``by_kernel``: rows already name the kernel they use; else every kernel is applied.
+    ``unique``: at most one row per layer, kernel and cell, so the sums that keep a tile small
+    (and their shuffle) are not needed.
     """
     radius = max(max(abs(dr), abs(dc)) for o in stack.values() for dr, dc, _ in o)
     names = list(stack)
     grids = [_kernel_grid(stack[k], radius, mirrored) for k in names]
     layers, values = list(layers), list(values)
     code = F.array_position(F.array(*[F.lit(k) for k in names]), F.col("kernel")).cast("int") - 1 if by_kernel else F.lit(-1)
-    cells = df.withColumn("_k", code).groupBy(*layers, "_k", "row", "col").agg(*[F.sum(v).alias(v) for v in values])
+    cells = df.withColumn("_k", code).select(*layers, "_k", "row", "col", *values)
+    if not unique:
+        cells = cells.groupBy(*layers, "_k", "row", "col").agg(*[F.sum(v).alias(v) for v in values])
     types = {f.name: f.dataType for f in df.schema}
     schema = T.StructType(
         [T.StructField(c, types[c]) for c in layers]
@@ -196,7 +200,7 @@ def overlap_add(df: DataFrame, stack: dict[str, Offsets], values: Sequence[str],
         present = np.zeros(block.shape[1:], bool)
         present[rows - r0, cols - c0] = True
         for i, v in enumerate(values):
-            block[i, rows - r0, cols - c0] = pdf[v].fillna(0.0).to_numpy()
+            np.add.at(block[i], (rows - r0, cols - c0), pdf[v].fillna(0.0).to_numpy())
         parts = []
         for k in [code] if code >= 0 else range(len(grids)):
             out, reach = _convolve(block, present, grids[k], radius)
@@ -213,18 +217,22 @@ def overlap_add(df: DataFrame, stack: dict[str, Offsets], values: Sequence[str],
     return sums.select(*layers, label.alias("kernel"), "row", "col", *values)
 
 
-def apply_kernels(df: DataFrame, stack: dict[str, Offsets], values: Sequence[str] = ("value",), layers: Sequence[str] = (), mirrored: bool = False, method: str = "auto") -> DataFrame:
+def apply_kernels(df: DataFrame, stack: dict[str, Offsets], values: Sequence[str] = ("value",), layers: Sequence[str] = (), mirrored: bool = False, method: str = "auto", unique: bool = False) -> DataFrame:
     """Linear convolution (or correlation when ``mirrored``) with each kernel; zero outside the grid."""
     if method == "auto":
         method = "direct" if sum(len(o) for o in stack.values()) <= DIRECT_LIMIT else "tiles"
-    run = scatter if method == "direct" else overlap_add
-    return run(df, stack, values, layers, mirrored)
+    if method == "direct":
+        return scatter(df, stack, values, layers, mirrored)
+    return overlap_add(df, stack, values, layers, mirrored, unique=unique)
 
 
 def land_fraction(land: DataFrame, stack: dict[str, Offsets], method: str = "auto") -> DataFrame:
-    """(kernel, row, col, frac): share of each normalised kernel that lands on land."""
+    """(kernel, row, col, frac): share of each normalised kernel that lands on land.
+
+    ``land`` lists each cell once, here and below.
+    """
     shapes = {k: normalized(o) for k, o in stack.items()}
-    hit = apply_kernels(land.withColumn("frac", F.lit(1.0)), shapes, ["frac"], mirrored=True, method=method)
+    hit = apply_kernels(land.withColumn("frac", F.lit(1.0)), shapes, ["frac"], mirrored=True, method=method, unique=True)
     return hit.join(land, ["row", "col"], "left_semi").withColumn("frac", F.greatest("frac", F.lit(1e-12)))
 
 
@@ -245,7 +253,7 @@ def path_integral(field: DataFrame, land: DataFrame, stack: dict[str, Offsets],
     steps_of = {f"{k}|{n}": shrunk(o, n / steps) for k, o in stack.items() for n in range(1, steps + 1)}
     masked = field.join(land, ["row", "col"], "left_semi").fillna(0.0, subset=list(values))
     num = apply_kernels(masked, steps_of, values, layers)
-    den = apply_kernels(land.withColumn("_land", F.lit(1.0)), steps_of, ["_land"])
+    den = apply_kernels(land.withColumn("_land", F.lit(1.0)), steps_of, ["_land"], unique=True)
     joined = num.join(den, ["kernel", "row", "col"]).join(land, ["row", "col"], "left_semi")
     share = [(F.col(v) / F.greatest("_land", F.lit(1e-6))).alias(v) for v in values]
     per_step = joined.select(*layers, F.split_part("kernel", F.lit("|"), F.lit(1)).alias("kernel"), "row", "col", *share)

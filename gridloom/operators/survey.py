@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.geo import coarse
@@ -22,8 +22,9 @@ def native_range(df: DataFrame, last_year: int, ncols: int, share: float = 0.66)
     return df.where((F.col("year") <= last_year) & (F.col("n") > 0) & (F.col("col") < int(ncols * share)))
 
 
-def in_bounds(df: DataFrame, nrows: int, ncols: int, land: DataFrame) -> DataFrame:
-    inside = F.col("row").between(0, nrows - 1) & F.col("col").between(0, ncols - 1)
+def in_bounds(df: DataFrame, nrows: Column, ncols: Column, land: DataFrame) -> DataFrame:
+    """Index inside the grid and on land."""
+    inside = F.col("row").between(F.lit(0), nrows - 1) & F.col("col").between(F.lit(0), ncols - 1)
     return df.where(inside).join(land, ["row", "col"], "left_semi")
 
 

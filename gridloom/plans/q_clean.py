@@ -89,11 +89,11 @@ def _(v):
     return native_range(cells, last_year=1997, ncols=32)
 
 
-@query("P12_bounds_check", """SELECT row, col, year, month, value FROM v_cells SEMI JOIN v_land USING (row, col) WHERE row < 80 AND col < 30""")
+@query("P12_bounds_check", """SELECT row, col, year, month, value FROM v_cells SEMI JOIN v_land USING (row, col) WHERE row < (SELECT max(row) FROM v_grid) AND col < 30""")
 def _(v):
     from gridloom.operators.survey import in_bounds
 
-    return in_bounds(v.cells(), 80, 30, v.land())
+    return in_bounds(v.cells(), v.grid().agg(F.max("row")).scalar(), F.lit(30), v.land())
 
 
 @query("P13_time_index", "SELECT row, col, year - 1996 AS t, v FROM v_annual WHERE year BETWEEN 1996 AND 2000")
@@ -157,10 +157,11 @@ def _(v):
     k AS (SELECT f.row, f.col, floor(y) + dr AS sr, floor(x) + dc AS sc, (CASE dr WHEN 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) * (CASE dc WHEN 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) AS w
         FROM f, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS d(dr, dc)),
     j AS (SELECT k.row, k.col, w, v FROM k LEFT JOIN v_land_field s ON s.row = sr AND s.col = sc WHERE w > 0)
-    SELECT row, col, R6(sum(w * v) / sum(CASE WHEN v IS NOT NULL THEN w END)) AS value FROM j GROUP BY row, col""")
+    SELECT row, col, round(sum(w * v) / sum(CASE WHEN v IS NOT NULL THEN w END), 10) AS value FROM j GROUP BY row, col""")
 def _(v):
     src = clean.apply_mask(v.field(), v.grid(), "v").withColumnRenamed("v", "value")
-    return grid.bilinear_regrid(target(v), src, 1.5).select("row", "col", r6(F.col("value")).alias("value"))
+    # weights are quarters, so six digits would meet exact ties
+    return grid.bilinear_regrid(target(v), src, 1.5).select("row", "col", F.round("value", 10).alias("value"))
 
 
 @query("P20_colmajor_index", """h AS (SELECT max(row) + 1 AS h FROM v_grid), f AS (SELECT row, col, CAST(col AS BIGINT) * h + row + 1 AS flat, h FROM v_grid, h)
