@@ -136,6 +136,7 @@ def nystrom(
 
     Landmarks are a hash sample of parameter size; their m x m kernel is solved on the driver
     and every cell is projected where it lives. A leading slice of z is the smaller embedding.
+    ``df`` is read twice (landmarks, projection): pass a stored or durable table when it is costly.
     """
     p = dict(params or {})
     if n_landmarks > MAX_LANDMARKS:
@@ -161,12 +162,13 @@ def nystrom(
     return df.select(key, *cols).mapInPandas(embed, f"{key} {df.schema[key].dataType.simpleString()}, z ARRAY<DOUBLE>")
 
 
-def sparse_vectors(abund: DataFrame, cell: str, n_weeks: int = 52, value: str = "x", name: str = "vec") -> tuple[DataFrame, int, int]:
+def sparse_vectors(abund: DataFrame, cell: str, n_weeks: int = 52, value: str = "x", name: str = "vec", species: DataFrame | None = None) -> tuple[DataFrame, int, int]:
     """((cell, vec_idx, vec_val), width, n_species) over a species-major (species, week) axis.
 
     The species list is a model dimension; it numbers the axis and is joined as a small table.
+    It is taken from ``species`` when given, else from the abundance rows.
     """
-    names = sorted(r[0] for r in abund.select("species").distinct().collect())
+    names = sorted(r[0] for r in (abund if species is None else species).select("species").distinct().collect())
     axis = abund.sparkSession.createDataFrame([(n, i * n_weeks) for i, n in enumerate(names)], "species STRING, _at INT")
     placed = abund.join(axis, "species").groupBy(cell).agg(F.array_sort(F.collect_list(F.struct((F.col("_at") + F.col("week")).alias("i"), F.col(value).alias("v")))).alias("_f"))
     rows = placed.select(cell, F.transform("_f", lambda e: e["i"]).alias(f"{name}_idx"), F.transform("_f", lambda e: e["v"]).alias(f"{name}_val"))

@@ -1,6 +1,7 @@
 """Hulls, distances, nearest neighbours, gap filling."""
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -102,12 +103,13 @@ def core_margin(cells: DataFrame, margin: DataFrame, core: DataFrame, x: str, y:
 # -- nearest neighbours ------------------------------------------------------------
 
 
-def nearest(targets: DataFrame, sources: DataFrame, k: int, payload: Sequence[str] = (), bucket: int = 8) -> DataFrame:
+def nearest(targets: DataFrame, sources: DataFrame, k: int, payload: Sequence[str] = (), bucket: int | None = None) -> DataFrame:
     """Exact k nearest source cells of each target cell, ties by (row, col).
 
     Sources and targets meet in square buckets: a target looks at its 3 x 3 block. It is
     settled when its k-th neighbour is closer than anything outside the block can be; the
-    others go on with buckets twice as wide. Candidates per target are bounded by the block.
+    others go on with buckets twice as wide. Candidates per target are bounded by the block,
+    whose first size follows k.
     Output: (row, col, n_row, n_col, d, rank, payload).
     """
     src = sources.groupBy("row", "col").agg(*[F.first(c).alias(c) for c in payload]) if payload else sources.select("row", "col").distinct()
@@ -115,7 +117,7 @@ def nearest(targets: DataFrame, sources: DataFrame, k: int, payload: Sequence[st
     span = both.agg(F.greatest(F.max("row") - F.min("row"), F.max("col") - F.min("col")).alias("s")).first()["s"]
     pending = targets.select("row", "col").distinct()
     done: DataFrame | None = None
-    size = bucket
+    size = bucket or max(2, math.isqrt(k) + 2)
     while True:
         last = span is None or size > span
         found = durable(_block_candidates(pending, src, k, payload, size))
@@ -151,11 +153,12 @@ def _block_candidates(targets: DataFrame, sources: DataFrame, k: int, payload: S
     t = targets.withColumn("_o", near).select("row", "col", (at("row") + F.col("_o.i")).alias("_br"), (at("col") + F.col("_o.j")).alias("_bc"))
     s = sources.select(F.col("row").alias("n_row"), F.col("col").alias("n_col"), at("row").alias("_br"), at("col").alias("_bc"), *payload)
     d2 = (F.col("row") - F.col("n_row")).cast("double") ** 2 + (F.col("col") - F.col("n_col")).cast("double") ** 2
+    pairs = t.join(s, ["_br", "_bc"]).withColumn("_d2", d2).drop("_br", "_bc")
+    if k == 1:  # a minimum needs no sort and shrinks before the shuffle
+        best = F.min_by(F.struct("n_row", "n_col", *payload, "_d2"), F.struct("_d2", "n_row", "n_col"))
+        return pairs.groupBy("row", "col").agg(best.alias("_b")).select("row", "col", "_b.*", F.lit(1).alias("rank"))
     order = Window.partitionBy("row", "col").orderBy("_d2", "n_row", "n_col")
-    return (
-        t.join(s, ["_br", "_bc"]).withColumn("_d2", d2).drop("_br", "_bc")
-        .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    )
+    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def neighbour_weights(neighbours: DataFrame) -> DataFrame:

@@ -119,18 +119,21 @@ def ema(df: DataFrame, keys: Sequence[str], time: str, value: str, alpha: float
 
 
 def circular_smooth(df: DataFrame, keys: Sequence[str], period: str, value: str, sigma: float, n_periods: int = 52, clip: bool = True) -> DataFrame:
-    """Gaussian smoothing round the year; absent periods count 0.
+    """Gaussian smoothing round the year; absent periods count 0 and stay absent in the result.
 
-    Each value is sent to the periods its weight reaches, and sums start before the shuffle.
+    One aggregate per target period: a row adds to ``n_periods`` sums of its key in place,
+    nothing is exploded before the shuffle.
     """
     weights = gaussian_weights(sigma)
     r = len(weights) // 2
-    shifts = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(w).alias("w")) for d, w in zip(range(-r, r + 1), weights)])
-    sent = df.withColumn("_s", F.explode(shifts)).select(
-        *keys, F.pmod(F.col(period) + F.col("_s.d"), F.lit(n_periods)).alias(period), (F.col("_s.w") * F.col(value)).alias(value)
-    )
-    total = F.sum(value)
-    return sent.groupBy(*keys, period).agg((F.greatest(total, F.lit(0.0)) if clip else total).alias(value))
+    ring = [0.0] * n_periods
+    for d, w in zip(range(-r, r + 1), weights):
+        ring[d % n_periods] += w
+    table = F.array(*[F.lit(w) for w in ring])
+    lag = [F.get(table, F.pmod(F.lit(t) - F.col(period), F.lit(n_periods)).cast("int")) for t in range(n_periods)]
+    wide = df.groupBy(*keys).agg(F.array(*[F.sum(w * F.col(value)) for w in lag]).alias("_v"))
+    out = wide.select(*keys, F.posexplode("_v").alias(period, value)).where(F.col(value) != 0.0)
+    return out.withColumn(value, F.greatest(value, F.lit(0.0))) if clip else out
 
 
 def hellinger(df: DataFrame, cell: str, value: str, floor: float = 1e-9) -> DataFrame:

@@ -10,6 +10,7 @@ from gridloom.plans.q_rates import BETA_S, B_SQL
 from gridloom.plans.q_temporal import SMOOTH, smoothed
 from gridloom.plans.registry import query
 from gridloom.plans.views import r6
+from gridloom.session import durable
 
 
 def marks(v, n=16):
@@ -80,17 +81,21 @@ def _(v):
     return to_marks(v).select("vec_id", "lm", r6(vectors.dot(F.col("z"), F.col("lm_vec"))).alias("k"))
 
 
+def brands(v):
+    return v.table("part").select(F.col("p_brand").alias("species"))
+
+
 @query("K7_nystrom_ruzicka")
 def _(v):
-    vec, width, _ = similarity.sparse_vectors(v.abund(), "cell")
-    z = similarity.nystrom(vec, "cell", "vec", 8, 64, "ruzicka", seed=9, width=width)
+    vec, width, _ = similarity.sparse_vectors(v.abund(), "cell", species=brands(v))
+    z = similarity.nystrom(durable(vec), "cell", "vec", 8, 64, "ruzicka", seed=9, width=width)
     return z.select("cell", F.transform("z", lambda x: F.round(x, 6)).alias("z"))
 
 
 @query("K7b_nystrom_additive")
 def _(v):
-    vec, width, n = similarity.sparse_vectors(v.abund(), "cell")
-    z = similarity.nystrom(vec, "cell", "vec", 8, 64, "ruzicka_by_species", {"n_species": n}, seed=9, width=width)
+    vec, width, n = similarity.sparse_vectors(v.abund(), "cell", species=brands(v))
+    z = similarity.nystrom(durable(vec), "cell", "vec", 8, 64, "ruzicka_by_species", {"n_species": n}, seed=9, width=width)
     return z.select("cell", F.transform("z", lambda x: F.round(x, 6)).alias("z"))
 
 
