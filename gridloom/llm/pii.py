@@ -116,9 +116,12 @@ def digests(docs: DataFrame) -> DataFrame:
     def listed(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
+    def number(kind):
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
     spans = F.col("findings")
     return found.select(
-        "doc_id", *[F.size(F.filter(spans, lambda s, b=b: s["kind"] == b)).cast("long").alias(f"n_{b}") for b in base],
+        "doc_id", *[number(b).alias(f"n_{b}") for b in base],
         F.sha2(listed(F.filter(spans, lambda s: s["kind"].isin(base))), 256).alias("base_sha256"), listed(spans).alias("spans"))
 
 
