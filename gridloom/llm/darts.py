@@ -7,11 +7,14 @@ shingles keeps the darts below a rank of (k ln k + 2k) / W, about that many howe
 the earliest per coordinate; texts with an empty coordinate go on with twice the rank. Two texts agree in a
 coordinate with the chance of their weighted Jaccard similarity.
 
-Bands of coordinates are joined: at a similarity of 0.8 a pair shares no band with a chance of 5e-5. Every
-pair that is not yet connected is verified with the weighted Jaccard similarity of 32-bit shingle codes. In a
-band's bucket members first meet the smallest one only; buckets whose members are not connected by then
-go on with four times as many members to meet, until all pairs of different components have met. So a group
-of thousands of near copies costs its size, and no link that connects texts is lost.
+Bands of coordinates are joined: at a similarity of 0.8 a pair shares no band with a chance of 5e-5. The
+members of a band's bucket are verified against its lead, the member with the most company over all its
+bands, by the weighted Jaccard similarity of 32-bit shingle codes. Two members x and y that are not yet connected
+need no such check unless their differences from the lead B overlap: with D = x without B and B without x, and
+x not linked to B, |x - y| = |Dx| + |Dy| - 2 |Dx & Dy|, which exceeds the ninth of |x| + |y| that a similarity of
+0.8 allows (in general (1 - s) / (1 + s)) unless Dx and Dy share enough elements. They share one among the first
+of each, rarest first (a prefix filter), so a join on those elements finds every remaining link. A group of
+thousands of near copies costs about its size; no pair of it is emitted without such a common edit.
 
 Rows are documents by doc_id: rows with one id are one document, its class joins all their texts. Texts with
 the same shingles are copies before anything is joined. A text of 1 to 4 words is one shingle; texts
@@ -32,8 +35,6 @@ from gridloom.llm.links import Kept, components
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
-#: Members of a bucket that all others meet: once, then this many times more each round.
-WIDER = 4
 
 
 def weighted(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -124,15 +125,65 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(both) - common)
 
 
+def _pairs(batch):
+    """Code arrays of both sides of each row."""
+    return zip(*([np.frombuffer(v.as_buffer(), np.uint32) for v in batch.column(c)] for c in ("codes_a", "codes_b")))
+
+
 def _verify(batches, least):
     for batch in batches:
-        keep = []
-        for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-            x, y = (np.frombuffer(v.as_buffer(), np.uint32) for v in (x, y))
-            small, large = sorted((len(x), len(y)))
-            if small >= least * large and jaccard(x, y) >= least:
-                keep.append(i)
-        yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+        linked = [min(len(x), len(y)) >= least * max(len(x), len(y)) and jaccard(x, y) >= least for x, y in _pairs(batch)]
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
+
+
+def _differences(batches):
+    """What each member b and its lead a don't share, with the sizes."""
+    for batch in batches:
+        sizes, own = [], []
+        for x, y in _pairs(batch):
+            own.append(np.setxor1d(x, y))
+            sizes.append((len(x), len(y), len(own[-1])))
+        if not sizes:
+            continue
+        sizes = np.array(sizes, np.int32)
+        row = np.repeat(np.arange(len(sizes)), sizes[:, 2])
+        kept = batch.select(["a", "b", "label", "probe"]).take(pa.array(row))
+        yield pa.RecordBatch.from_arrays([*kept.columns, *[pa.array(sizes[row, k]) for k in range(3)], pa.array(np.concatenate(own).astype(np.int64))], ["a", "b", "label", "probe", "lead", "size", "apart", "e"])
+
+
+def _with_codes(pairs: DataFrame, codes: DataFrame) -> DataFrame:
+    for c in ("a", "b"):
+        pairs = pairs.join(codes.select(F.col("node").alias(c), F.col("codes").alias(f"codes_{c}")), c)
+    return pairs
+
+
+def _remaining(pairs: DataFrame, labels: DataFrame, codes: DataFrame, similarity: float, kept: Kept) -> DataFrame:
+    """Pairs (a, b) of members of one lead, in different components, whose differences from it overlap enough."""
+    named = pairs.join(labels.select(F.col("node").alias("a"), F.col("label").alias("its")), "a", "left").join(labels.select(F.col("node").alias("b"), "label"), "b", "left")
+    named = named.select("a", "b", F.coalesce("its", "a").alias("its"), F.coalesce("label", "b").alias("label")).withColumn("probe", F.col("label") != F.col("its"))
+    open_ = named.groupBy("a").agg(F.count("*").alias("n"), F.bool_or("probe").alias("some")).where("n > 1 and some").select("a")
+    members = named.join(open_, "a", "left_semi").select("a", "b", "label", "probe")
+    elements = kept.keep(_with_codes(members, codes).select("a", "b", "label", "probe", "codes_a", "codes_b").mapInArrow(_differences, "a long, b long, label long, probe boolean, lead int, size int, apart int, e long"))
+    # an element that one member alone has can't be shared
+    often = elements.groupBy("a", "e").agg(F.count("*").alias("often"), F.bool_or("probe").alias("some")).where("often > 1 and some").drop("some")
+    rank = F.row_number().over(Window.partitionBy("a", "b").orderBy("often", "e"))
+    s = (1 - similarity) / (1 + similarity)
+    # position among all of D, the unshared ones first
+    shared = elements.join(often, ["a", "e"]).withColumn("rank", rank)
+    count = F.count("*").over(Window.partitionBy("a", "b"))
+    shared = shared.withColumn("place", F.col("apart") - count + F.col("rank"))
+    least_any = F.floor((F.col("apart") + s * (F.col("lead") - F.col("size"))) / 2 - 1e-6) + 1
+    least_probe = F.floor((F.col("apart") - s * (F.col("lead") + F.col("size"))) / 2 - 1e-6) + 1
+    shared = shared.withColumns({"any": F.col("place") <= F.col("apart") - F.greatest(least_any, F.lit(1)) + 1, "ask": F.col("probe") & (F.col("place") <= F.col("apart") - F.greatest(least_probe, F.lit(1)) + 1)})
+    shared = kept.keep(shared.where("any or ask").select("a", "e", "b", "label", "probe", "size", "apart", "any", "ask", "place"))
+    ask = shared.where("ask").select("a", "e", F.col("b").alias("x"), F.col("label").alias("lx"), F.col("size").alias("sx"), F.col("apart").alias("dx"), F.col("any").alias("short"), F.col("place").alias("px"))
+    other = shared.where("any").select("a", "e", F.col("b").alias("y"), F.col("label").alias("ly"), F.col("size").alias("sy"), F.col("apart").alias("dy"), F.col("probe").alias("too"), F.col("place").alias("py"))
+    need = (F.col("dx") + F.col("dy") - s * (F.col("sx") + F.col("sy"))) / 2 - 1e-6
+    # two that both ask meet once, in the shorter prefix of both; if this is the first element they share, what follows must do
+    once = ~F.col("too") | (F.col("short") & (F.col("x") < F.col("y")))
+    enough = 1 + F.least(F.col("dx") - F.col("px"), F.col("dy") - F.col("py")) >= need
+    met = ask.join(other, ["a", "e"]).where(once & enough & (F.col("lx") != F.col("ly")) & (need <= F.least("dx", "dy")) & (F.least("sx", "sy") >= similarity * F.greatest("sx", "sy")))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, count: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -142,43 +193,27 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH,
     signed = kept.keep(texts.mapInArrow(lambda b: _sign(b, width, count, rows), "doc_id long, f1 long, f2 long, bands array<long>"))
     known = signed.where("doc_id is not null")
     groups = kept.keep(known.groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")))
-    # other ids of a group of copies, and groups that share an id, are links that need no check
-    copies = known.select("doc_id", "f1", "f2").join(groups.select("f1", "f2", "node"), ["f1", "f2"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b")
-    rows_ = groups.select(F.explode("bands").alias("key"), "node")
-    shared = rows_.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last")
-    live = kept.keep(rows_.join(shared.select("key", "n", "lead"), "key"))
-    members = live.select("node").distinct()
-    codes = kept.keep(texts.join(members, F.col("doc_id") == F.col("node"), "left_semi").mapInArrow(lambda b: _codes(b, width), "node long, codes binary"))
-    links, tested, labels, hubs = kept.keep(copies), None, None, 1
-    found, grown = [links], None
-    while True:
-        if hubs == 1:
-            pairs = live.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
-        else:
-            rank = F.row_number().over(Window.partitionBy("key").orderBy("node"))
-            first = live.withColumn("rank", rank).where(F.col("rank") <= hubs).select("key", F.col("node").alias("hub"), F.col("label").alias("its"))
-            pairs = live.join(first, "key").where("node <> hub and label <> its").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = kept.keep(pairs)
-        tested = pairs if tested is None else tested.union(pairs)
-        one, two = (codes.select(F.col("node").alias(c), F.col("codes").alias(f"codes_{c}")) for c in ("a", "b"))
-        both = pairs.join(one, "a").join(two, "b").select("a", "b", "codes_a", "codes_b")
-        new = kept.keep(both.mapInArrow(lambda b: _verify(b, similarity), "a long, b long").distinct())
-        # each round adds to the forest of the rounds before, not to all their links
-        found = [new, grown if grown is not None else links]
-        grown = kept.keep(components(found[0].union(found[1]), kept).select(F.col("node").alias("a"), F.col("label").alias("b")))
-        labels = grown.select(F.col("a").alias("node"), F.col("b").alias("label"))
-        named = live.select("key", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        apart = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("n").alias("m")).where((F.col("x") < F.col("y")) & (F.col("m") > hubs)).select("key")
-        live = kept.keep(named.join(apart, "key", "left_semi"))
-        hubs *= WIDER
-        if live.isEmpty():
-            break
-    final = grown.select(F.col("a").alias("doc_id"), F.col("b").alias("class_id"))
-    out = docs.select("doc_id").join(final, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
-    return out
+    # other ids of a group of copies need no check
+    copies = kept.keep(known.select("doc_id", "f1", "f2").join(groups.select("f1", "f2", "node"), ["f1", "f2"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b"))
+    keyed = groups.select(F.explode("bands").alias("key"), "node")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("x"), F.max("node").alias("y")).where("x < y")
+    live = kept.keep(keyed.join(shared.select("key", "n"), "key"))
+    company = live.groupBy("node").agg(F.sum("n").alias("company"))
+    kept.forget(signed, groups)
+    # a sort-merge join at every size: the members grow with the corpus
+    codes = kept.keep(texts.hint("merge").join(company.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(lambda b: _codes(b, width), "node long, codes binary"))
+    known = live.join(company, "node")
+    lead = known.groupBy("key").agg(F.min(F.struct((-F.col("company")).alias("c"), "node")).alias("lead")).select("key", F.col("lead.node").alias("lead"))
+    pairs = kept.keep(live.join(lead, "key").where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct())
+    tested = kept.keep(_with_codes(pairs, codes).select("a", "b", "codes_a", "codes_b").mapInArrow(lambda b: _verify(b, similarity), "a long, b long, linked boolean").groupBy("a", "b").agg(F.bool_or("linked").alias("linked")))
+    kept.forget(live)
+    links = copies.union(tested.where("linked").select("a", "b"))
+    labels = components(links, kept)
+    more = kept.keep(_remaining(pairs, labels, codes, similarity, kept))
+    new = _with_codes(more, codes).select("a", "b", "codes_a", "codes_b").mapInArrow(lambda b: _verify(b, similarity), "a long, b long, linked boolean").where("linked").select("a", "b")
+    final = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(new), kept)
+    kept.forget(copies, codes, pairs, tested, labels, more)
+    return docs.select("doc_id").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("label", "doc_id").alias("class_id"))
 
 
 def one_of_each(docs: DataFrame, **kwargs) -> DataFrame:

@@ -10,25 +10,31 @@ from gridloom.session import shared_dir
 
 
 class Kept:
-    """Tables written once to the folder all executors share, and removed together."""
+    """Tables written once to the folder all executors share, and removed when they have served."""
 
     def __init__(self, spark):
         self.spark, self.folder = spark, f"{shared_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
-        self.n = 0
+        self.count, self.paths = 0, {}
 
     def keep(self, df: DataFrame) -> DataFrame:
-        self.n += 1
-        path = f"{self.folder}/{self.n}"
+        self.count += 1
+        path = f"{self.folder}/{self.count}"
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)
+        return out
 
-    def clear(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+    def _remove(self, where: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def forget(self, *tables: DataFrame) -> None:
+        for df in tables:
+            self._remove(self.paths.pop(id(df))[1])
+
 
 def components(links: DataFrame, kept: Kept) -> DataFrame:
-    """Smallest node of the component of every node in ``links`` (a, b), as (node, label).
+    """Smallest node of the component of every node in ``links`` (a, b), as a kept table (node, label).
 
     Alternating star contraction: every node hands its larger neighbours, then its smaller ones, to the
     smallest node around it, until nothing changes. A hub's neighbours are only ever aggregated and joined.
@@ -41,8 +47,13 @@ def components(links: DataFrame, kept: Kept) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = kept.keep(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        # done when every node hangs on one root that hangs on none
-        open_ends = small.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u").union(small.select(F.col("v").alias("u")).join(small.select("u"), "u", "left_semi")).limit(1)
+        kept.forget(edges, large)
         edges = small
-        if not open_ends.collect():
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+        # done when every node hangs on one root that hangs on none
+        twice = edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
+        inner = edges.select(F.col("v").alias("u")).join(edges.select("u"), "u", "left_semi")
+        if twice.union(inner).isEmpty():
+            break
+    out = kept.keep(edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()))
+    kept.forget(edges)
+    return out
