@@ -29,8 +29,8 @@ WIDTH, SHARE = 5, 0.8
 #: Items below this size have unlimited bins.
 SMALL = 8
 BINS_PER_SHINGLE = 64
-#: log2 of the bits of the filter: at least 32 bits a shingle, within these bounds (8 MB at most).
-LEAST_BITS, MOST_BITS = 16, 26
+#: log2 of the bits of the filter: at least 256 bits a shingle, within these bounds (8 MB at most).
+LEAST_BITS, MOST_BITS = 22, 26
 
 ITEM = "item_id long, width int, h long, q int, kind int, listed boolean"
 HIT = "doc_id long, f1 long, f2 long, h long, kinds long"
@@ -105,8 +105,8 @@ def _hits(batches, bitmap, bits, width, kinds, needed):
             if not len(kept):
                 continue
             text = np.searchsorted(begin, kept, "right") - 1
-            key = np.unique(np.column_stack([text.astype(np.uint64), h[kept]]), axis=0)
-            found = np.bincount(key[:, 0].astype(np.int64), minlength=len(first) - 1)
+            key = np.unique((text.astype(np.uint64) << flat.U(40)) | (h[kept] >> flat.U(24)))
+            found = np.bincount((key >> flat.U(40)).astype(np.int64), minlength=len(first) - 1)
             rows = np.flatnonzero(found >= needed)
             if not len(rows):
                 continue
@@ -125,7 +125,7 @@ def _hits(batches, bitmap, bits, width, kinds, needed):
 
 def _bitmap(items: DataFrame, n: int) -> tuple[np.ndarray, int]:
     """The items' hashes modulo 2^bits as a bit field, gathered as at most 2^(MOST_BITS - 6) words."""
-    bits = min(max(LEAST_BITS, (32 * n).bit_length()), MOST_BITS)
+    bits = min(max(LEAST_BITS, (256 * n).bit_length()), MOST_BITS)
     place = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
     words = items.select(F.shiftright(place, 6).alias("w"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
     field = np.zeros(1 << (bits - 6), np.int64)
