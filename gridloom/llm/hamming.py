@@ -60,9 +60,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, ident: str = "ve
     nearest = Window.partitionBy("q").orderBy("distance", "first")
     done = []
     for radius in range(BITS + 1):
-        masks = F.filter(F.sequence(F.lit(0).cast("long"), F.lit((1 << BITS) - 1).cast("long")), lambda x: F.bit_count(x) == radius)
+        masks = F.split(F.lit(",".join(str(x) for x in range(1 << BITS) if x.bit_count() == radius)), ",").cast("array<bigint>")
         looked = active.select("q", F.posexplode(F.array(*_segments("q", m))).alias("s", "v0")).select("q", "s", F.explode(masks).alias("mask"), "v0").select("q", "s", F.col("v0").bitwiseXOR(F.col("mask")).alias("v"))
-        found = looked.join(probes, ["s", "v"])
+        # the looked-up values are many more than Spark expects: never broadcast
+        found = looked.join(probes.hint("shuffle_hash"), ["s", "v"])
         # taken where the first segment at the smallest segment distance finds it: never twice
         apart = F.array(*[_bits(a, b) for a, b in zip(_segments("q", m), _segments("code", m))])
         found = found.withColumn("apart", apart).where((F.array_min("apart") == radius) & (F.array_position("apart", radius) == F.col("s") + 1))
