@@ -40,6 +40,13 @@ def _segments(code: str, m: int) -> list[Column]:
     return [F.shiftrightunsigned(F.get(F.col(code), F.lit(s // 4)), BITS * (s % 4)).bitwiseAND(F.lit((1 << BITS) - 1)) for s in range(m)]
 
 
+def _distance(a: str, b: str, words: int) -> Column:
+    total = F.lit(0)
+    for w in range(words):
+        total = total + _bits(F.get(F.col(a), F.lit(w)), F.get(F.col(b), F.lit(w)))
+    return total
+
+
 def _bits(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
@@ -56,19 +63,20 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, ident: str = "ve
     index = kept.keep(smallest.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")))
     probes = index.select("code", F.col("ids")[0].alias("first"), F.size("ids").alias("n"), F.posexplode(F.array(*_segments("code", m))).alias("s", "v"))
     asked = kept.keep(codes(queries, ident, vector, dims).withColumnRenamed("id", "query_id").withColumnRenamed("code", "q"))
-    active, best = kept.keep(asked.select("q").distinct()), None
+    active, best = kept.keep(asked.select("q", F.lit(dims + 64).alias("cutoff")).distinct()), None
     nearest = Window.partitionBy("q").orderBy("distance", "first")
     done = []
     for radius in range(BITS + 1):
         masks = F.split(F.lit(",".join(str(x) for x in range(1 << BITS) if x.bit_count() == radius)), ",").cast("array<bigint>")
-        looked = active.select("q", F.posexplode(F.array(*_segments("q", m))).alias("s", "v0")).select("q", "s", F.explode(masks).alias("mask"), "v0").select("q", "s", F.col("v0").bitwiseXOR(F.col("mask")).alias("v"))
+        looked = active.select("q", "cutoff", F.posexplode(F.array(*_segments("q", m))).alias("s", "v0")).select("q", "cutoff", "s", F.explode(masks).alias("mask"), "v0").select("q", "cutoff", "s", F.col("v0").bitwiseXOR(F.col("mask")).alias("v"))
         # the looked-up values are many more than Spark expects: never broadcast
         found = looked.join(probes.hint("shuffle_hash"), ["s", "v"])
         # taken where the first segment at the smallest segment distance finds it: never twice
         apart = F.array(*[_bits(a, b) for a, b in zip(_segments("q", m), _segments("code", m))])
         found = found.withColumn("apart", apart).where((F.array_min("apart") == radius) & (F.array_position("apart", radius) == F.col("s") + 1))
-        distance = F.aggregate(F.zip_with("q", "code", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
-        found = found.select("q", "code", "first", "n", distance.alias("distance"))
+        distance = _distance("q", "code", (dims + 63) // 64)
+        # nothing beyond the last place that is already taken
+        found = found.where(distance <= F.col("cutoff")).select("q", "code", "first", "n", distance.alias("distance"))
         pool = found if best is None else best.join(active, "q", "left_semi").union(found)
         best = kept.keep(pool.withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= want).drop("place"))
         covered = best.where(F.col("distance") <= m * (radius + 1) - 1).groupBy("q").agg(F.sum("n").alias("n")).where(F.col("n") >= want).select("q")
@@ -76,7 +84,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, ident: str = "ve
             done.append(best)
             break
         done.append(best.join(covered, "q", "left_semi"))
-        active = kept.keep(active.join(covered, "q", "left_anti"))
+        last = best.groupBy("q").agg(F.when(F.count("*") >= want, F.max("distance")).alias("last"))
+        active = kept.keep(active.join(covered, "q", "left_anti").join(last, "q", "left").select("q", F.coalesce("last", "cutoff").alias("cutoff")))
         if active.isEmpty():
             break
     settled = done[0]
