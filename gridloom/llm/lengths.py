@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from gridloom.llm import flat
+from gridloom.llm.links import Kept
 
 BLOCK = 1024
 
@@ -46,6 +47,7 @@ def histogram(lengths: DataFrame, name: str = "n_tokens") -> DataFrame:
     """n_tokens, docs (with this length), docs_from and tokens_from (of this length or more), tokens_cut (all
     texts cut to this length), share_upto (of texts no longer). One row per length that occurs."""
     counts = lengths.groupBy(F.col(name).alias("n_tokens")).agg(F.count("*").alias("docs"))
+    counts = Kept(lengths.sparkSession).keep(counts)  # else both uses below would encode all texts
     counts = counts.withColumn("block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("tokens", F.col("n_tokens") * F.col("docs"))
     tail = Window.partitionBy("block").orderBy(F.desc("n_tokens"))
     # one row per 1024 lengths
