@@ -30,10 +30,10 @@ def sample_share(df: DataFrame, keys: Sequence[str], n: Column, seed: int) -> Da
 
 
 def sample_per_group(df: DataFrame, group: str, keys: Sequence[str], n: int, seed: int) -> DataFrame:
-    """n rows per group; a group of any size is cut into ranges of hashes."""
+    """n rows per group; every task passes on at most n of a group, so a hot group is never gathered."""
     hashed = df.withColumn("_h", hash_key([group, *keys], seed))
-    one = {"_rn": F.lit(1).cast("bigint")}
-    return running_totals(hashed, ["_h", *keys], one, group=[group]).where(F.col("_rn") <= n).drop("_h", "_rn")
+    order = Window.partitionBy(group).orderBy("_h", *keys)
+    return hashed.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= n).drop("_h", "_rn")
 
 
 def sample_pairs(df: DataFrame, key: str, n: int, seed: int, payload: Sequence[str] = ()) -> DataFrame:

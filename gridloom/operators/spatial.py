@@ -66,30 +66,38 @@ def with_ring(df: DataFrame, hull: DataFrame) -> DataFrame:
 
 
 def _edges(ring: Column) -> Column:
-    a, b = F.slice(ring, F.lit(1), F.size(ring) - 1), F.slice(ring, F.lit(2), F.size(ring) - 1)
+    n = F.greatest(F.size(ring) - 1, F.lit(0))
+    a, b = F.slice(ring, F.lit(1), n), F.slice(ring, F.lit(2), n)
     return F.zip_with(a, b, lambda p, q: F.struct(p["x"].alias("x1"), p["y"].alias("y1"), q["x"].alias("x2"), q["y"].alias("y2")))
 
 
-def inside_hull(cells: DataFrame, hull: DataFrame, x: str, y: str) -> DataFrame:
-    """Add ``inside``: the point lies in the hull or on its edge."""
-    px, py = F.col(x), F.col(y)
-    side = lambda e: (e["x2"] - e["x1"]) * (py - e["y1"]) - (e["y2"] - e["y1"]) * (px - e["x1"]) >= 0
-    return with_ring(cells, hull).withColumn("inside", F.forall(_edges(F.col("_ring")), side)).drop("_ring")
-
+def _to_edge(px: Column, py: Column):
+    """Distance from a point to an edge, which may be a single point."""
 
-def distance_to_hull(cells: DataFrame, hull: DataFrame, x: str, y: str) -> DataFrame:
-    """Add ``distance``: 0 inside, else the exact distance to the nearest hull edge."""
-    px, py = F.col(x), F.col(y)
-
-    def to_edge(e: Column) -> Column:
+    def distance(e: Column) -> Column:
         dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
         length = dx * dx + dy * dy
         t = F.coalesce(F.try_divide((px - e["x1"]) * dx + (py - e["y1"]) * dy, length), F.lit(0.0))
         t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), t))
         return F.sqrt(F.pow(px - e["x1"] - t * dx, 2) + F.pow(py - e["y1"] - t * dy, 2))
 
+    return distance
+
+
+def inside_hull(cells: DataFrame, hull: DataFrame, x: str, y: str) -> DataFrame:
+    """Add ``inside``: the point lies in the hull or on its edge. A hull of one or two points holds only
+    what lies on it, an empty one nothing."""
+    px, py = F.col(x), F.col(y)
+    side = lambda e: (e["x2"] - e["x1"]) * (py - e["y1"]) - (e["y2"] - e["y1"]) * (px - e["x1"]) >= 0
+    ring, edges = F.col("_ring"), _edges(F.col("_ring"))
+    flat = F.coalesce(F.array_min(F.transform(edges, _to_edge(px, py))) <= 1e-9, F.lit(False))
+    return with_ring(cells, hull).withColumn("inside", F.when(F.size(ring) > 3, F.forall(edges, side)).otherwise(flat)).drop("_ring")
+
+
+def distance_to_hull(cells: DataFrame, hull: DataFrame, x: str, y: str) -> DataFrame:
+    """Add ``distance``: 0 inside, else the exact distance to the nearest hull edge; missing for an empty hull."""
     ringed = with_ring(inside_hull(cells, hull, x, y), hull)
-    nearest = F.array_min(F.transform(_edges(F.col("_ring")), to_edge))
+    nearest = F.array_min(F.transform(_edges(F.col("_ring")), _to_edge(F.col(x), F.col(y))))
     return ringed.withColumn("distance", F.when(F.col("inside"), 0.0).otherwise(nearest)).drop("_ring", "inside")
 
 

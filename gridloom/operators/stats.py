@@ -84,7 +84,8 @@ def mantel(df: DataFrame, vector: str, y: str, key: str) -> DataFrame:
 def gram(df: DataFrame, vector: str, other: str | None = None) -> DataFrame:
     """(i, j, g) = sum over rows of x_i * y_j (y = x by default).
 
-    Each task adds up its own matrix product; only D x D partial sums are shuffled.
+    Each task adds up its own matrix product; only D x D partial sums are shuffled. Rows with a missing
+    element don't count, in any partitioning.
     """
     cols = [vector] if other is None else [vector, other]
 
@@ -95,12 +96,14 @@ def gram(df: DataFrame, vector: str, other: str | None = None) -> DataFrame:
                 continue
             x = np.stack(pdf[cols[0]].to_numpy()).astype(float)
             y = x if other is None else np.stack(pdf[cols[1]].to_numpy()).astype(float)
+            whole = ~(np.isnan(x).any(1) | np.isnan(y).any(1))
+            x, y = x[whole], y[whole]
             total = x.T @ y if total is None else total + x.T @ y
         if total is not None:
             i, j = np.indices(total.shape)
             yield pd.DataFrame({"i": i.ravel().astype("int32"), "j": j.ravel().astype("int32"), "g": total.ravel()})
 
-    parts = df.select(*cols).mapInPandas(partial, "i INT, j INT, g DOUBLE")
+    parts = df.select(*cols).na.drop().mapInPandas(partial, "i INT, j INT, g DOUBLE")
     return parts.groupBy("i", "j").agg(F.sum("g").alias("g"))
 
 

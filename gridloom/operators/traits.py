@@ -54,26 +54,26 @@ def mean_rank(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return out.withColumn("mean_rank", mean)
 
 
-def ancestors(edges: DataFrame, max_depth: int = 64) -> DataFrame:
+def ancestors(edges: DataFrame) -> DataFrame:
     """(node, ancestor, dist) closure of a tree, by repeated equi-joins up to the root.
 
     The loop ends when no node moves up any more; each round is materialised so that the
-    plan stays flat whatever the depth.
+    plan stays flat whatever the depth. No tree is deeper than it has nodes: more rounds mean a cycle.
     """
     from gridloom.session import durable
 
     up = edges.select(F.col("child").alias("_n"), F.col("parent").alias("_p"), F.col("length").alias("_l"))
     nodes = edges.select(F.col("child").alias("node")).union(edges.select("parent")).distinct()
     front = nodes.select("node", F.col("node").alias("ancestor"), F.lit(0.0).alias("dist"))
-    closure = front
-    for _ in range(max_depth):
+    closure, most = front, nodes.count()
+    for _ in range(most):
         front = durable(
             front.join(up, F.col("ancestor") == F.col("_n")).select("node", F.col("_p").alias("ancestor"), (F.col("dist") + F.col("_l")).alias("dist"))
         )
         if front.isEmpty():
             return closure
         closure = closure.unionByName(front)
-    raise ValueError("tree deeper than max_depth")
+    raise ValueError("the edges have a cycle")
 
 
 def patristic_distance(edges: DataFrame, focal: str) -> DataFrame:

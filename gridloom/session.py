@@ -17,6 +17,10 @@ DEFAULTS = {
 }
 
 
+#: One temporary folder for each local session.
+_local_folders: dict[str, str] = {}
+
+
 def get_session(app: str = "gridloom", master: str | None = None, **conf: str) -> SparkSession:
     """Build (or reuse) a session. On a cluster leave ``master`` to spark-submit."""
     builder = SparkSession.builder.appName(app)
@@ -38,7 +42,10 @@ def shared_dir(spark: SparkSession) -> str:
         return existing
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="gridloom-")
+    application = spark.sparkContext.applicationId
+    if application not in _local_folders:
+        _local_folders[application] = tempfile.mkdtemp(prefix="gridloom-")
+    return _local_folders[application]
 
 
 def durable(df: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Table scans with the tolerance rules of survey and raster archives."""
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,7 +35,8 @@ def scan_csv_tolerant(spark: SparkSession, paths: Sequence[str], columns: Sequen
     Only one header line per file reaches the driver; files with the same header are
     read together. All values stay strings, see :func:`coerce_keys`.
     """
-    tokens = F.split("value", ",")
+    # header names may stand in quotes
+    tokens = F.transform(F.split("value", ","), lambda t: F.regexp_replace(F.trim(t), '^"|"$', ""))
     is_header = F.lit(True)
     for c in columns:
         is_header = is_header & F.array_contains(tokens, c)
@@ -45,7 +47,7 @@ def scan_csv_tolerant(spark: SparkSession, paths: Sequence[str], columns: Sequen
         by_header.setdefault(row["header"], []).append(row["path"])
     rows = None
     for header in sorted(by_header):
-        schema = ", ".join(f"`{name}` STRING" for name in header.split(","))
+        schema = ", ".join(f"`{name}` STRING" for name in next(csv.reader([header])))
         part = scan_csv(spark, by_header[header], schema, columns)
         rows = part if rows is None else rows.unionByName(part)
     if rows is None:

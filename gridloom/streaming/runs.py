@@ -37,10 +37,15 @@ def drain_to_folder(stream: DataFrame, label: str) -> tuple[str, dict]:
     """Process everything available into a Parquet folder that another stream may read."""
     spark = stream.sparkSession
     out, state = staging(spark, label), staging(spark, f"{label}_state")
+    # every micro-batch's progress counts, not only the last hundred's
+    keep = "spark.sql.streaming.numRecentProgressUpdates"
+    before = spark.conf.get(keep)
+    spark.conf.set(keep, str(10**6))
     run = (
         stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
         .outputMode("append").trigger(availableNow=True).start()
     )
+    spark.conf.set(keep, before)
     run.awaitTermination()
     counters: dict[str, int] = {"late_rows": 0, "input_rows": 0}
     for progress in run.recentProgress:
