@@ -1,14 +1,15 @@
-"""Neighbourhood operators: kernels as offset tables, applied as scatters or tiled FFTs.
+"""Neighbourhood operators: kernels as offset tables, applied to tiles with a halo.
 
-A cell sends w(d) * value to the cell at offset d; a groupBy adds what arrives. Cells are
-clustered by tile first, so most additions happen before the shuffle. Larger kernel stacks
-use overlap-add: each tile is convolved on its own with numpy (shifts for small kernels, FFT
-for wide ones) and only its halo overlaps its neighbours, so no task ever holds a whole grid.
+A cell sends w(d) * value to the cell at offset d. Every input cell is copied into the tiles
+whose halo holds it; a tile is convolved on its own with numpy matrix products (sums of
+products only, so nothing turns negative beside a large value) and no sums cross tiles. The
+tile edge follows the radius. ``scatter`` is the same for small constant stencils, in SQL.
 """
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -17,11 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+#: Smallest tile edge; wide kernels use tiles of twice their radius.
 TILE = 64
-#: Offsets per kernel stack above which tiles are convolved in numpy instead of exploded.
-DIRECT_LIMIT = 64
-#: Offsets per kernel above which a tile uses FFT instead of shifted additions.
-SHIFT_LIMIT = 128
+#: Kernel bytes one broadcast may hold; a larger stack is applied in parts.
+KERNEL_BYTES = 64 << 20
 
 Offsets = list[tuple[int, int, float]]
 
@@ -86,13 +86,32 @@ def normalized(offsets: Offsets) -> Offsets:
     return [(dr, dc, w / mass) for dr, dc, w in offsets] if mass > 1e-12 else offsets
 
 
-def shrunk(offsets: Offsets, s: float) -> Offsets:
-    """Offsets scaled by ``s`` and rounded to cells; mass is preserved."""
-    moved: dict[tuple[int, int], float] = {}
-    for dr, dc, w in offsets:
-        key = (math.floor(dr * s + 0.5), math.floor(dc * s + 0.5))
-        moved[key] = moved.get(key, 0.0) + w
-    return [(dr, dc, w) for (dr, dc), w in sorted(moved.items())]
+def resize_weights(size: int, new: int) -> np.ndarray:
+    """(new, size) weights of bilinear resampling with antialiasing; rows sum to 1."""
+    step = size / new
+    at = (np.arange(new) + 0.5) * step - 0.5
+    raw = np.maximum(0.0, 1.0 - np.abs(at[:, None] - np.arange(size)[None, :]) / max(step, 1.0))
+    return raw / raw.sum(1, keepdims=True)
+
+
+def shrunk(offsets: Offsets, part: int, steps: int, frame: int) -> Offsets:
+    """The kernel, centred in a square of ``frame`` cells, shrunk bilinearly to part/steps of its
+    size; mass is preserved. Empty when nothing of the frame is left."""
+    new = frame * part // steps
+    radius = max(max(abs(dr), abs(dc)) for dr, dc, _ in offsets)
+    if 2 * radius >= frame:
+        raise ValueError("the frame must hold the kernel")
+    if new < 1:
+        return []
+    centre = frame // 2
+    used = resize_weights(frame, new)[:, centre - radius:centre + radius + 1]
+    grid = used @ _kernel_grid(offsets, radius, False) @ used.T
+    mass = grid.sum()
+    if mass <= 1e-9:
+        return []
+    grid *= sum(w for _, _, w in offsets) / mass
+    shift = (frame - new) // 2 - centre
+    return [(int(i) + shift, int(j) + shift, float(grid[i, j])) for i, j in np.argwhere(grid != 0.0)]
 
 
 def inverse_distance(radius: float) -> Offsets:
@@ -154,85 +173,131 @@ def _kernel_grid(offsets: Offsets, radius: int, mirrored: bool) -> np.ndarray:
     return g
 
 
-def _convolve(a: np.ndarray, present: np.ndarray, g: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Full convolution of a (values, rows, cols) block and the cells it reaches."""
-    n, h, w = a.shape
-    shape = (h + 2 * radius, w + 2 * radius)
-    taps = np.argwhere(g != 0.0)
-    if len(taps) <= SHIFT_LIMIT:
-        out, reach = np.zeros((n, *shape)), np.zeros(shape, bool)
-        for i, j in taps:
-            out[:, i:i + h, j:j + w] += g[i, j] * a
-            reach[i:i + h, j:j + w] |= present
-        return out, reach
-    spectrum = np.fft.rfft2(g, shape)
-    out = np.fft.irfft2(np.fft.rfft2(a, shape) * spectrum, shape)
-    hits = np.fft.irfft2(np.fft.rfft2(present.astype(float), shape) * np.fft.rfft2((g != 0.0).astype(float), shape), shape)
-    return out, hits > 0.5
-
-
-def overlap_add(df: DataFrame, stack: dict[str, Offsets], values: Sequence[str], layers: Sequence[str] = (), mirrored: bool = False, by_kernel: bool = False, unique: bool = False, tile: int = TILE) -> DataFrame:
-    """The same rows as :func:`scatter`, one dense convolution per tile and halos added.
-
-    ``by_kernel``: rows already name the kernel they use; else every kernel is applied.
-    ``unique``: at most one row per layer, kernel and cell, so the sums that keep a tile small
-    (and their shuffle) are not needed.
+def _products(block: np.ndarray, grid: np.ndarray, edge: int) -> np.ndarray:
+    """Inner edge x edge part of the convolution of (values, edge + 2r, edge + 2r) blocks."""
+    radius = grid.shape[0] // 2
+    out = np.zeros((len(block), edge, edge))
+    lag = np.arange(edge)[None, :] - np.arange(edge + 2 * radius)[:, None] + 2 * radius
+    inside = (lag >= 0) & (lag <= 2 * radius)
+    lag = np.where(inside, lag, 0)
+    for i in np.flatnonzero(grid.any(1)):
+        band = np.where(inside, grid[i][lag], 0.0)
+        top = 2 * radius - i
+        out += block[:, top:top + edge] @ band
+    return out
+
+
+def _parts(stack: dict[str, Offsets], radius: int) -> list[dict[str, Offsets]]:
+    """The stack in parts whose dense kernels fit one broadcast."""
+    names, per = list(stack), max(1, KERNEL_BYTES // (8 * (2 * radius + 1) ** 2))
+    return [{k: stack[k] for k in names[i:i + per]} for i in range(0, len(names), per)]
+
+
+def _radius(stack: dict[str, Offsets]) -> int:
+    return max((max(abs(dr), abs(dc)) for o in stack.values() for dr, dc, _ in o), default=0)
+
+
+def _edge(radius: int, tile: int) -> int:
+    return max(tile, 2 * radius, 1)
+
+
+def in_tiles(df: DataFrame, radius: int, edge: int) -> DataFrame:
+    """Each row once per tile whose halo holds its cell: adds _tr, _tc."""
+    for name, at in (("_tr", "row"), ("_tc", "col")):
+        lo, hi = F.floor((F.col(at) - radius) / edge), F.floor((F.col(at) + radius) / edge)
+        df = df.withColumn(name, F.explode(F.sequence(lo, hi)))
+    return df
+
+
+def _fill(pdf: pd.DataFrame, tr: int, tc: int, values: Sequence[str], radius: int, edge: int) -> np.ndarray:
+    """(2 * values + 1) planes of a tile with halo: values, where they are known, where a row is."""
+    side = edge + 2 * radius
+    at = (pdf["row"].to_numpy() - (tr * edge - radius), pdf["col"].to_numpy() - (tc * edge - radius))
+    planes = np.zeros((2 * len(values) + 1, side, side))
+    for i, v in enumerate(values):
+        x = pdf[v].to_numpy(dtype=float)
+        known = ~np.isnan(x)
+        planes[i][at] = np.where(known, x, 0.0)
+        planes[len(values) + i][at] = known
+    planes[-1][at] = 1.0
+    return planes
+
+
+def gather(df: DataFrame, stack: dict[str, Offsets], values: Sequence[str], layers: Sequence[str] = (), mirrored: bool = False, by_kernel: bool = False, unique: bool = False, tile: int = TILE) -> DataFrame:
+    """(layers, kernel, row, col, values): sums of w * value over the rows a kernel brings to a cell.
+
+    Any cell reached with a weight other than 0 is a row. Missing values are left out of a sum, and a sum
+    of missing values only is missing. ``by_kernel``: rows already name the kernel they use; else
+    every kernel is applied. ``unique``: at most one row per layer, kernel and cell, so the sums
+    that keep a tile small (and their shuffle) are not needed. Values are finite or missing.
     """
-    radius = max(max(abs(dr), abs(dc)) for o in stack.values() for dr, dc, _ in o)
-    names = list(stack)
-    grids = [_kernel_grid(stack[k], radius, mirrored) for k in names]
-    layers, values = list(layers), list(values)
+    parts = _parts(stack, _radius(stack))
+    if len(parts) > 1:
+        if by_kernel:
+            pick = [df.where(F.col("kernel").isin(list(p))) for p in parts]
+        else:
+            pick = [df] * len(parts)
+        out = [gather(d, p, values, layers, mirrored, by_kernel, unique, tile) for d, p in zip(pick, parts)]
+        for other in out[1:]:
+            out[0] = out[0].unionByName(other)
+        return out[0]
+    layers, values, names, radius = list(layers), list(values), list(stack), _radius(stack)
+    edge = _edge(radius, tile)
+    kernels = df.sparkSession.sparkContext.broadcast([_kernel_grid(stack[k], radius, mirrored) for k in names])
     code = F.array_position(F.array(*[F.lit(k) for k in names]), F.col("kernel")).cast("int") - 1 if by_kernel else F.lit(-1)
-    cells = df.withColumn("_k", code).select(*layers, "_k", "row", "col", *values)
+    cells = df.withColumn("_k", code).select(*layers, "_k", "row", "col", *[F.col(v).cast("double").alias(v) for v in values])
     if not unique:
         cells = cells.groupBy(*layers, "_k", "row", "col").agg(*[F.sum(v).alias(v) for v in values])
     types = {f.name: f.dataType for f in df.schema}
     schema = T.StructType(
-        [T.StructField(c, types[c]) for c in layers]
-        + [T.StructField(c, T.IntegerType()) for c in ("_k", "row", "col")]
-        + [T.StructField(v, T.DoubleType()) for v in values]
+        [T.StructField(c, types[c]) for c in layers] + [T.StructField("_k", T.IntegerType())]
+        + [T.StructField(c, types[c]) for c in ("row", "col")] + [T.StructField(v, T.DoubleType()) for v in values]
     )
 
-    def one_tile(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, cols = pdf["row"].to_numpy(), pdf["col"].to_numpy()
-        r0, c0, code = rows.min(), cols.min(), int(pdf["_k"].iloc[0])
-        block = np.zeros((len(values), rows.max() - r0 + 1, cols.max() - c0 + 1))
-        present = np.zeros(block.shape[1:], bool)
-        present[rows - r0, cols - c0] = True
-        for i, v in enumerate(values):
-            np.add.at(block[i], (rows - r0, cols - c0), pdf[v].fillna(0.0).to_numpy())
-        parts = []
-        for k in [code] if code >= 0 else range(len(grids)):
-            out, reach = _convolve(block, present, grids[k], radius)
-            rr, cc = np.nonzero(reach)
-            part = {c: pdf[c].iloc[0] for c in layers}
-            part.update(_k=np.full(len(rr), k, "int32"), row=(rr + r0 - radius).astype("int32"), col=(cc + c0 - radius).astype("int32"))
-            part.update({v: out[i, rr, cc] for i, v in enumerate(values)})
-            parts.append(pd.DataFrame(part))
-        return pd.concat(parts)[[f.name for f in schema]]
-
-    tiles = cells.groupBy(*layers, "_k", F.floor(F.col("row") / tile).alias("_tr"), F.floor(F.col("col") / tile).alias("_tc"))
-    sums = tiles.applyInPandas(one_tile, schema).groupBy(*layers, "_k", "row", "col").agg(*[F.sum(v).alias(v) for v in values])
+    def one_tile(key: tuple, pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        *layer, code, tr, tc = key
+        tr, tc, n = int(tr), int(tc), len(values)
+        planes = _fill(pdf, tr, tc, values, radius, edge)
+        whole = bool((planes[n:2 * n] == planes[-1]).all())  # nothing missing: one count serves all
+        for k in [int(code)] if code >= 0 else range(len(kernels.value)):
+            grid = kernels.value[k]
+            sums = _products(planes[:n], grid, edge)
+            hits = np.rint(_products(planes[-1:] if whole else planes[n:], (grid != 0.0).astype(float), edge))
+            rr, cc = np.nonzero(hits[-1])
+            out = {c: np.repeat(pdf[c].iloc[:1], len(rr)) for c in layers}
+            out |= {"_k": np.full(len(rr), k, "int32"), "row": rr + tr * edge, "col": cc + tc * edge}
+            for i, v in enumerate(values):
+                out[v] = np.where(hits[-1 if whole else i][rr, cc] > 0, sums[i, rr, cc], np.nan)
+            yield pd.DataFrame({c: np.asarray(x) if c not in layers else x.to_numpy() for c, x in out.items()})
+
+    tiles = in_tiles(cells, radius, edge).groupBy(*layers, "_k", "_tr", "_tc")
+    out = tiles.applyInPandas(_frames(one_tile), schema)
     label = F.element_at(F.array(*[F.lit(k) for k in names]), F.col("_k") + 1)
-    return sums.select(*layers, label.alias("kernel"), "row", "col", *values)
+    return out.select(*layers, label.alias("kernel"), "row", "col", *[F.nanvl(v, F.lit(None)).alias(v) for v in values])
 
 
-def apply_kernels(df: DataFrame, stack: dict[str, Offsets], values: Sequence[str] = ("value",), layers: Sequence[str] = (), mirrored: bool = False, method: str = "auto", unique: bool = False) -> DataFrame:
+def _frames(one_tile: Callable) -> Callable:
+    """A grouped function that gives out one frame per kernel instead of all at once."""
+
+    def run(key: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from one_tile(key, pd.concat(list(batches)))
+
+    run.__annotations__ = {"key": tuple[Any, ...], "batches": Iterator[pd.DataFrame], "return": Iterator[pd.DataFrame]}
+    return run
+
+
+def apply_kernels(df: DataFrame, stack: dict[str, Offsets], values: Sequence[str] = ("value",), layers: Sequence[str] = (), mirrored: bool = False, unique: bool = False) -> DataFrame:
     """Linear convolution (or correlation when ``mirrored``) with each kernel; zero outside the grid."""
-    if method == "auto":
-        method = "direct" if sum(len(o) for o in stack.values()) <= DIRECT_LIMIT else "tiles"
-    if method == "direct":
-        return scatter(df, stack, values, layers, mirrored)
-    return overlap_add(df, stack, values, layers, mirrored, unique=unique)
+    return gather(df, stack, values, layers, mirrored, unique=unique)
 
 
-def land_fraction(land: DataFrame, stack: dict[str, Offsets], method: str = "auto") -> DataFrame:
+def land_fraction(land: DataFrame, stack: dict[str, Offsets]) -> DataFrame:
     """(kernel, row, col, frac): share of each normalised kernel that lands on land.
 
     ``land`` lists each cell once, here and below.
     """
     shapes = {k: normalized(o) for k, o in stack.items()}
-    hit = apply_kernels(land.withColumn("frac", F.lit(1.0)), shapes, ["frac"], mirrored=True, method=method, unique=True)
+    hit = apply_kernels(land.withColumn("frac", F.lit(1.0)), shapes, ["frac"], mirrored=True, unique=True)
     return hit.join(land, ["row", "col"], "left_semi").withColumn("frac", F.greatest("frac", F.lit(1e-12)))
 
 
@@ -240,7 +305,7 @@ def redistribute(pop: DataFrame, land: DataFrame, stack: dict[str, Offsets], q:
     """sum_k Q_k * conv(pop / (f_k + 1e-6), k) on land."""
     frac = land_fraction(land, stack)
     boosted = pop.join(frac, ["row", "col"]).withColumn("value", F.col("value") / (F.col("frac") + 1e-6)).drop("frac")
-    arrived = overlap_add(boosted, stack, ["value"], layers, by_kernel=True)
+    arrived = gather(boosted, stack, ["value"], layers, by_kernel=True)
     return (
         arrived.join(q, [*layers, "row", "col", "kernel"])
         .groupBy(*layers, "row", "col").agg(F.sum(F.col("value") * F.col("Q")).alias("value"))
@@ -248,27 +313,91 @@ def redistribute(pop: DataFrame, land: DataFrame, stack: dict[str, Offsets], q:
     )
 
 
-def path_integral(field: DataFrame, land: DataFrame, stack: dict[str, Offsets], steps: int, values: Sequence[str], layers: Sequence[str] = ()) -> DataFrame:
-    """Mean over shrinking kernels of the land-normalised convolution, per kernel."""
-    steps_of = {f"{k}|{n}": shrunk(o, n / steps) for k, o in stack.items() for n in range(1, steps + 1)}
-    masked = field.join(land, ["row", "col"], "left_semi").fillna(0.0, subset=list(values))
-    num = apply_kernels(masked, steps_of, values, layers)
-    den = apply_kernels(land.withColumn("_land", F.lit(1.0)), steps_of, ["_land"], unique=True)
-    joined = num.join(den, ["kernel", "row", "col"]).join(land, ["row", "col"], "left_semi")
-    share = [(F.col(v) / F.greatest("_land", F.lit(1e-6))).alias(v) for v in values]
-    per_step = joined.select(*layers, F.split_part("kernel", F.lit("|"), F.lit(1)).alias("kernel"), "row", "col", *share)
-    return per_step.groupBy(*layers, "kernel", "row", "col").agg(*[(F.sum(v) / steps).alias(v) for v in values])
+def path_integral(field: DataFrame, land: DataFrame, stack: dict[str, Offsets], steps: int, values: Sequence[str], layers: Sequence[str] = (), frame: int = 64, tile: int = TILE) -> DataFrame:
+    """(layers, kernel, row, col, values): mean over ``steps`` shrinking kernels of the convolution of the
+    field on land, divided by the land each kernel meets (at least 1e-6); on land cells that any step reaches.
+
+    Missing values count 0. ``frame`` is the edge of the square in which kernels shrink. Steps are
+    averaged inside a tile, so only kernels x cells leave it. ``land`` lists each cell once, and the
+    field at most one row per layer and cell.
+    """
+    paths = {k: [shrunk(o, n, steps, frame) for n in range(1, steps + 1)] for k, o in stack.items()}
+    layers, values, names = list(layers), list(values), list(stack)
+    radius = _radius({f"{k}|{n}": o for k, p in paths.items() for n, o in enumerate(p)})
+    edge = _edge(radius, tile)
+    # one kernel at a time within the bound of a broadcast
+    per = max(1, KERNEL_BYTES // (8 * steps * (2 * radius + 1) ** 2))
+    types = {f.name: f.dataType for f in field.schema}
+    schema = T.StructType(
+        [T.StructField(c, types[c]) for c in layers] + [T.StructField("_k", T.IntegerType())]
+        + [T.StructField(c, types[c]) for c in ("row", "col")] + [T.StructField(v, T.DoubleType()) for v in values]
+    )
+    land_tiles = in_tiles(land.select("row", "col"), radius, edge)
+    cells = in_tiles(field.join(land, ["row", "col"], "left_semi").select(*layers, "row", "col", *[F.col(v).cast("double").alias(v) for v in values]), radius, edge)
+    # land beside a layer's own cells, tile by tile
+    beside = land_tiles.join(cells.select(*layers, "_tr", "_tc").distinct(), ["_tr", "_tc"]).select(*cells.columns[:len(layers)], "row", "col", *[F.lit(None).cast("double").alias(v) for v in values], "_tr", "_tc", F.lit(True).alias("_land"))
+    rows = cells.withColumn("_land", F.lit(False)).unionByName(beside)
+    out = None
+    for start in range(0, len(names), per):
+        part = names[start:start + per]
+        kernels = field.sparkSession.sparkContext.broadcast([[_kernel_grid(o, radius, False) for o in paths[k] if o] for k in part])
+
+        def one_tile(key: tuple, pdf: pd.DataFrame, kernels=kernels, start=start) -> Iterator[pd.DataFrame]:
+            *_, tr, tc = key
+            tr, tc, n = int(tr), int(tc), len(values)
+            own = pdf["_land"].to_numpy()
+            planes = _fill(pdf[~own], tr, tc, values, radius, edge)
+            ground = _fill(pdf[own], tr, tc, [], radius, edge)
+            inner = ground[0, radius:radius + edge, radius:radius + edge] > 0
+            data = np.concatenate([planes[:n], ground])
+            for k, path in enumerate(kernels.value):
+                total, reach = np.zeros((n, edge, edge)), np.zeros((edge, edge))
+                for grid in path:
+                    moved = _products(data, grid, edge)
+                    total += moved[:n] / np.maximum(moved[n], 1e-6)
+                    reach += _products(planes[-1:], (grid != 0.0).astype(float), edge)[0]
+                rr, cc = np.nonzero(inner & (reach > 0.5))
+                frame = {c: np.repeat(pdf[c].iloc[:1], len(rr)).to_numpy() for c in layers}
+                frame |= {"_k": np.full(len(rr), start + k, "int32"), "row": rr + tr * edge, "col": cc + tc * edge}
+                yield pd.DataFrame(frame | {v: total[i, rr, cc] / steps for i, v in enumerate(values)})
+
+        done = rows.groupBy(*layers, "_tr", "_tc").applyInPandas(_frames(one_tile), schema)
+        out = done if out is None else out.unionByName(done)
+    label = F.element_at(F.array(*[F.lit(k) for k in names]), F.col("_k") + 1)
+    return out.select(*layers, label.alias("kernel"), "row", "col", *values)
 
 
 def outgoing_risk(q: DataFrame, land: DataFrame, stack: dict[str, Offsets]) -> DataFrame:
     """1 - mean over kernels of corr(Q_k * land, k) / (f_k + 1e-6), on land."""
     on_land = q.join(land, ["row", "col"], "left_semi").withColumnRenamed("Q", "value")
-    pulled = overlap_add(on_land, stack, ["value"], mirrored=True, by_kernel=True)
+    pulled = gather(on_land, stack, ["value"], mirrored=True, by_kernel=True)
     joined = land_fraction(land, stack).join(pulled, ["kernel", "row", "col"], "left")
     survival = F.coalesce("value", F.lit(0.0)) / (F.col("frac") + 1e-6)
     return joined.groupBy("row", "col").agg((F.lit(1.0) - F.avg(survival)).alias("risk"))
 
 
+def outgoing_risk_summed(q: DataFrame, stack: dict[str, Offsets], nrows: Column, ncols: Column, layers: Sequence[str] = ()) -> DataFrame:
+    """(layers, row, col, risk): the summed kernel on 1 - mean Q; outside the grid its last row and column go on.
+
+    ``q`` has one row per (layers, kernel, cell); cells without a row count nothing.
+    """
+    summed: dict[tuple[int, int], float] = {}
+    for offsets in stack.values():
+        for dr, dc, w in offsets:
+            summed[dr, dc] = summed.get((dr, dc), 0.0) + w
+    kernel = {"sum": [(dr, dc, w) for (dr, dc), w in sorted(summed.items())]}
+    radius = _radius(kernel)
+    death = q.groupBy(*layers, "row", "col").agg((F.lit(1.0) - F.avg("Q")).alias("risk"))
+    for at, size in (("row", nrows), ("col", ncols)):
+        n = size.cast("long")
+        outside = F.concat(F.array(F.col(at).cast("long")), F.sequence(F.lit(-radius).cast("long"), F.lit(-1).cast("long")), F.sequence(n, n + radius - 1)) if radius else F.array(F.col(at).cast("long"))
+        death = death.withColumn(at, F.explode(F.when(F.col(at) == n - 1, outside).otherwise(F.array(F.col(at).cast("long")))))
+    spread = gather(death, kernel, ["risk"], layers, unique=True).drop("kernel")
+    types = {f.name: f.dataType for f in q.schema}
+    inside = spread.where((F.col("row") >= 0) & (F.col("row") < nrows) & (F.col("col") >= 0) & (F.col("col") < ncols))
+    return inside.select(*layers, *[F.col(c).cast(types[c]).alias(c) for c in ("row", "col")], "risk")
+
+
 def habitat_pull(df: DataFrame, window: int = 5, alpha: float = 5.0, eps: float = 1e-6) -> DataFrame:
     """Arriving mass weighted by local vacancy relative to the land-aware neighbourhood mean.
 
@@ -282,36 +411,41 @@ def habitat_pull(df: DataFrame, window: int = 5, alpha: float = 5.0, eps: float
     return joined.select("row", "col", (F.col("arriving") * pull).alias("mass"))
 
 
-def blur(df: DataFrame, values: Sequence[str], sigma: float, nrows: Column, ncols: Column, layers: Sequence[str] = ()) -> DataFrame:
-    """Separable Gaussian with reflected edges (edge cell repeated); absent cells count 0.
+def blur(df: DataFrame, values: Sequence[str], sigma: float, nrows: Column, ncols: Column, layers: Sequence[str] = (), edges: str = "reflect") -> DataFrame:
+    """Separable Gaussian; absent cells count 0.
 
-    The radius must not exceed the grid: each edge reflects once.
+    ``edges="reflect"``: the grid goes on as its mirror image (edge cell repeated), as often as the
+    radius asks. Weights are symmetric, so a cell sends each weight to exactly one reflected
+    index. ``"constant"``: nothing lies outside.
     """
+    if edges not in ("reflect", "constant"):
+        raise ValueError(f"unknown edges {edges!r}")
     weights = gaussian_weights(sigma)
     r = len(weights) // 2
+    types = {f.name: f.dataType for f in df.schema}
     out = df
     for axis, size in (("row", nrows), ("col", ncols)):
-        x = F.col(axis)
-        images = F.array(x, -1 - x, 2 * F.col("_size") - 1 - x)
         shifts = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(w).alias("w")) for d, w in zip(range(-r, r + 1), weights)])
         other = "col" if axis == "row" else "row"
-        sent = (
-            cluster(out.withColumn("_size", size.cast("int")), layers)
-            .withColumn("_img", F.explode(images)).withColumn("_s", F.explode(shifts))
-            .withColumn("_to", F.col("_img") + F.col("_s.d"))
-            .where(F.col("_to").between(0, F.col("_size") - 1))
-        )
+        sent = cluster(out.withColumn("_size", size.cast("long")), layers).withColumn("_s", F.explode(shifts))
+        to = F.col(axis) + F.col("_s.d")
+        if edges == "reflect":
+            turn = F.pmod(to, 2 * F.col("_size"))
+            sent = sent.withColumn("_to", F.least(turn, 2 * F.col("_size") - 1 - turn))
+        else:
+            sent = sent.withColumn("_to", to).where((F.col("_to") >= 0) & (F.col("_to") < F.col("_size")))
         out = (
-            sent.select(*layers, F.col("_to").alias(axis), other, *[(F.col("_s.w") * F.col(v)).alias(v) for v in values])
+            sent.select(*layers, F.col("_to").cast(types[axis]).alias(axis), other, *[(F.col("_s.w") * F.col(v)).alias(v) for v in values])
             .groupBy(*layers, "row", "col").agg(*[F.sum(v).alias(v) for v in values])
         )
     return out
 
 
-def missing_aware_blur(df: DataFrame, value: str, sigma: float, nrows: Column, ncols: Column, layers: Sequence[str] = ()) -> DataFrame:
-    """blur(x * mask) / blur(mask)."""
+def missing_aware_blur(df: DataFrame, value: str, sigma: float, nrows: Column, ncols: Column, layers: Sequence[str] = (), edges: str = "reflect", eps: float = 0.0) -> DataFrame:
+    """blur(x * mask) / (blur(mask) + eps), missing where blur(mask) < eps."""
     seen = df.where(F.col(value).isNotNull()).select(*layers, "row", "col", F.col(value).alias("_x"), F.lit(1.0).alias("_m"))
-    return blur(seen, ["_x", "_m"], sigma, nrows, ncols, layers).select(*layers, "row", "col", F.try_divide("_x", "_m").alias(value))
+    mean = F.when(F.col("_m") >= eps, F.try_divide(F.col("_x"), F.col("_m") + eps))
+    return blur(seen, ["_x", "_m"], sigma, nrows, ncols, layers, edges).select(*layers, "row", "col", mean.alias(value))
 
 
 def neighbour_values(df: DataFrame, value: str, layers: Sequence[str] = ()) -> DataFrame:

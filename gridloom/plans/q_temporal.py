@@ -166,6 +166,14 @@ def _(v):
     return focal.missing_aware_blur(v.annual(), "v", 1.0, *shape(v), layers=["year"]).select("row", "col", "year", r6(F.col("v")).alias("v"))
 
 
+@query("W12b_missing_aware_blur_constant", gauss_sql(1.0) + """, src AS (SELECT row, col, year, v, 1.0::DOUBLE AS m FROM v_annual WHERE v IS NOT NULL), sh AS (SELECT max(row) AS r FROM v_grid),
+    bl AS (SELECT row + a.d AS row, col + b.d AS col, year, sum(a.w * b.w * v) AS v, sum(a.w * b.w * m) AS m FROM src, gw a, gw b GROUP BY ALL)
+    SELECT row, col, year, R6(CASE WHEN m >= 1e-6 THEN v / (m + 1e-6) END) AS v FROM bl CROSS JOIN sh WHERE row BETWEEN 0 AND r AND col BETWEEN 0 AND 31""")
+def _(v):
+    out = focal.missing_aware_blur(v.annual(), "v", 1.0, *shape(v), layers=["year"], edges="constant", eps=1e-6)
+    return out.select("row", "col", "year", r6(F.col("v")).alias("v"))
+
+
 @query("W13_habitat_pull", """c AS (SELECT g.row, g.col, 1 - is_ocean AS land, coalesce(f.v, 0) AS est, 50.0::DOUBLE AS cap, coalesce(d.juv, 0) AS arr FROM v_grid g LEFT JOIN v_field f USING (row, col) LEFT JOIN (SELECT row, col, sum(juv) AS juv FROM v_density GROUP BY ALL) d USING (row, col)),
     s AS (SELECT *, land / (1 + exp(-5 * (cap - est) / cap)) AS vv FROM c),
     n AS (SELECT s.row, s.col, sum(o.vv) AS vs, sum(o.land) AS ls FROM s JOIN (SELECT row + dr AS row, col + dc AS col, vv, land FROM s, range(-2, 3) AS a(dr), range(-2, 3) AS b(dc)) o ON o.row = s.row AND o.col = s.col GROUP BY ALL)
@@ -266,11 +274,10 @@ def _(v):
     return focal.apply_kernels(population(v), stack()).select("kernel", "row", "col", r6(F.col("value")).alias("value"))
 
 
-@query("W20b_kernel_apply_tiles", KER.replace("range(-2, 3)", "range(-9, 10)") + ", " + POP + " SELECT row, col, R6(s) AS value FROM (SELECT row + dr AS row, col + dc AS col, sum(juv * w) AS s FROM pop, base GROUP BY ALL) WHERE s > 1e-3")
+@query("W20b_kernel_apply_tiles", KER.replace("range(-2, 3)", "range(-9, 10)") + ", " + POP + " SELECT row + dr AS row, col + dc AS col, R6(sum(juv * w)) AS value FROM pop, base GROUP BY ALL")
 def _(v):
     big = {"iso": focal.isotropic(9, CELL, MEAN, SHAPE)}
-    out = focal.apply_kernels(population(v), big, method="tiles")
-    return out.where("value > 1e-3").select("row", "col", r6(F.col("value")).alias("value"))
+    return focal.apply_kernels(population(v), big).select("row", "col", r6(F.col("value")).alias("value"))
 
 
 @query("W21_land_fraction", DIRK + ", " + FRAC + " SELECT kernel, row, col, R6(frac) AS frac FROM fr")
@@ -303,12 +310,21 @@ def _(v):
     return focal.directional_expectation(s, v.grid(), stack()).select("kernel", "row", "col", r6(F.col("value")).alias("q"))
 
 
-@query("W24_path_integration", DIRK + """, st AS (SELECT kernel, n, CAST(floor(dr * n / 2.0 + 0.5) AS INTEGER) AS dr, CAST(floor(dc * n / 2.0 + 0.5) AS INTEGER) AS dc, sum(w) AS w FROM ker, range(1, 3) AS g(n) GROUP BY ALL),
+# a kernel in a square of 64 cells, resampled to 64 * n / 20 cells a side: triangle weights of the width of a step, each output cell's summing to 1
+STEPS, FRAME = 20, 64
+PATH = f"""sz AS (SELECT CAST(n AS INTEGER) AS n, {FRAME} * n // {STEPS} AS m FROM range(1, {STEPS + 1}) AS g(n)),
+    tri AS (SELECT n, m, i, j, greatest(0, 1 - abs((i + 0.5::DOUBLE) * {FRAME} / m - 0.5 - j) * m / {FRAME}::DOUBLE) AS t FROM sz, range({FRAME}) AS a(i), range({FRAME}) AS b(j) WHERE i < m),
+    ax AS (SELECT n, CAST(i + ({FRAME} - m) // 2 - {FRAME // 2} AS INTEGER) AS o, CAST(j - {FRAME // 2} AS INTEGER) AS d, t / sum(t) OVER (PARTITION BY n, i) AS t FROM tri),
+    sk AS (SELECT kernel, y.n, y.o AS dr, x.o AS dc, sum(w * y.t * x.t) AS w FROM ker JOIN (SELECT * FROM ax WHERE t > 0) y ON y.d = dr JOIN (SELECT * FROM ax WHERE t > 0) x ON x.d = dc AND x.n = y.n GROUP BY ALL),
+    st AS (SELECT kernel, n, dr, dc, w * mass / sum(w) OVER (PARTITION BY kernel, n) AS w FROM sk JOIN kn USING (kernel) WHERE w <> 0)"""
+
+
+@query("W24_path_integration", DIRK + ", " + PATH + f""",
     num AS (SELECT kernel, n, year, f.row + dr AS row, f.col + dc AS col, sum(w * coalesce(v, 0)) AS s FROM (SELECT * FROM v_annual SEMI JOIN v_land USING (row, col)) f, st GROUP BY ALL),
     den AS (SELECT kernel, n, l.row + dr AS row, l.col + dc AS col, sum(w) AS s FROM v_land l, st GROUP BY ALL)
-    SELECT kernel, year, row, col, R6(sum(num.s / greatest(den.s, 1e-6)) / 2) AS v FROM num JOIN den USING (kernel, n, row, col) SEMI JOIN v_land USING (row, col) GROUP BY ALL""")
+    SELECT kernel, year, row, col, R6(sum(num.s / greatest(den.s, 1e-6)) / {STEPS}) AS v FROM num JOIN den USING (kernel, n, row, col) SEMI JOIN v_land USING (row, col) GROUP BY ALL""")
 def _(v):
-    out = focal.path_integral(v.annual(), v.land(), stack(), 2, ["v"], ["year"])
+    out = focal.path_integral(v.annual(), v.land(), stack(), STEPS, ["v"], ["year"], FRAME)
     return out.select("kernel", "year", "row", "col", r6(F.col("v")).alias("v"))
 
 
@@ -318,6 +334,17 @@ def _(v):
     return focal.outgoing_risk(q_field(v), v.land(), stack()).select("row", "col", r6(F.col("risk")).alias("risk"))
 
 
+@query("W25b_outgoing_risk_summed", DIRK + ", " + QK + """, hh AS (SELECT max(row) AS r, max(col) AS c FROM v_grid), mo AS (SELECT g.row, g.col, 1 - avg(coalesce(Q, 0)) AS m FROM v_grid g CROSS JOIN kn k LEFT JOIN qk ON qk.row = g.row AND qk.col = g.col AND qk.kernel = k.kernel GROUP BY ALL),
+    su AS (SELECT dr, dc, sum(w) AS w FROM ker GROUP BY ALL)
+    SELECT g.row, g.col, R6(sum(w * m)) AS risk FROM v_grid g CROSS JOIN hh CROSS JOIN su JOIN mo ON mo.row = CASE WHEN g.row - dr BETWEEN 0 AND r THEN g.row - dr ELSE r END AND mo.col = CASE WHEN g.col - dc BETWEEN 0 AND c THEN g.col - dc ELSE c END GROUP BY ALL""")
+def _(v):
+    names = F.explode(F.array(*[F.lit(k) for k in stack()])).alias("kernel")
+    everywhere = v.grid().select("row", "col", names).join(q_field(v), ["row", "col", "kernel"], "left").fillna(0.0, subset=["Q"])
+    size = v.grid().agg(F.max("row") + 1).scalar(), v.grid().agg(F.max("col") + 1).scalar()
+    return focal.outgoing_risk_summed(everywhere, stack(), *size).select("row", "col", r6(F.col("risk")).alias("risk"))
+
+
+
 @query("A28_radial_profile", KER + """, m AS (SELECT CAST(floor(sqrt(dr * dr + dc * dc)) AS INTEGER) AS ring, avg(juv * w) AS mean_w FROM v_density SEMI JOIN v_land USING (row, col), base GROUP BY ALL)
     SELECT ring, R6(mean_w) AS mean_w, R6(mean_w / (SELECT max(mean_w) FROM m)) AS rel_w FROM m""")
 def _(v):
@@ -338,4 +365,4 @@ def _(v):
     SELECT kernel, R6(sum(m * d) / sum(m)) AS mean_all, R6(sum(CASE WHEN d > 0 THEN m * d END) / sum(CASE WHEN d > 0 THEN m END)) AS mean_moved FROM s GROUP BY kernel""")
 def _(v):
     out = focal.displacement(population(v), v.land(), stack(), CELL)
-    return out.select("kernel", r6(F.col("mean_all")).alias("mean_all"), r6(F.col("mean_moved")).alias("mean_moved"))
+    return out.select("kernel", r6(F.col("mean_all")).alias("mean_all"), r6(F.col("mean_moved")).alias("mean_moved"))
\ No newline at end of file
