@@ -111,98 +111,113 @@ def core_margin(cells: DataFrame, margin: DataFrame, core: DataFrame, x: str, y:
 # -- nearest neighbours ------------------------------------------------------------
 
 
-def nearest(targets: DataFrame, sources: DataFrame, k: int, payload: Sequence[str] = (), bucket: int | None = None) -> DataFrame:
-    """Exact k nearest source cells of each target cell, ties by (row, col).
-
-    Sources and targets meet in square buckets: a target looks at its 3 x 3 block. It is
-    settled when its k-th neighbour is closer than anything outside the block can be; the
-    others go on with buckets twice as wide. Candidates per target are bounded by the block,
-    whose first size follows k.
-    Output: (row, col, n_row, n_col, d, rank, payload).
+#: Children of a bucket along each axis.
+FAN = 4
+
+
+def nearest(targets: DataFrame, sources: DataFrame, k: int, payload: Sequence[str] = (), layers: Sequence[str] = ()) -> DataFrame:
+    """Exact k nearest source cells of each target cell of the same layer, ties by (row, col).
+
+    Sources are counted in a pyramid of square buckets. From the top down, every target keeps the
+    buckets that can hold one of its k nearest: the counts give an upper bound of the k-th
+    distance, and buckets wholly beyond it go. The list grows with k and with the arc of
+    buckets at about that distance, never with the area, however far the sources are.
+    Output: (layers, row, col, n_row, n_col, d, rank, payload); fewer than k rows where a layer has
+    fewer sources. Of repeated source cells the smallest payload counts; cells without coordinates have no
+    neighbours and are none.
     """
-    src = sources.groupBy("row", "col").agg(*[F.first(c).alias(c) for c in payload]) if payload else sources.select("row", "col").distinct()
-    both = sources.select("row", "col").unionByName(targets.select("row", "col"))
-    span = both.agg(F.greatest(F.max("row") - F.min("row"), F.max("col") - F.min("col")).alias("s")).first()["s"]
-    pending = targets.select("row", "col").distinct()
-    done: DataFrame | None = None
-    size = bucket or max(2, math.isqrt(k) + 2)
-    while True:
-        last = span is None or size > span
-        found = durable(_block_candidates(pending, src, k, payload, size))
-        reach = _reach(size)
-        settled = found.groupBy("row", "col").agg(F.count("*").alias("_n"), F.max("_d2").alias("_far"))
-        if not last:
-            settled = settled.where((F.col("_n") == k) & (F.col("_far") < reach * reach))
-        part = found.join(settled, ["row", "col"], "left_semi")
-        done = part if done is None else done.unionByName(part)
-        if last:
-            break
-        pending = durable(pending.join(settled, ["row", "col"], "left_anti"))
-        if pending.isEmpty():
-            break
-        size *= 2
-    return done.select("row", "col", "n_row", "n_col", F.sqrt("_d2").alias("d"), "rank", *payload)
-
-
-def _reach(size: int) -> Column:
-    """Smallest possible distance from a target to a cell outside its 3 x 3 block."""
-    gaps = []
-    for axis in ("row", "col"):
-        off = F.pmod(F.col(axis), F.lit(size))
-        gaps += [off + size + 1, F.lit(2 * size) - off]
-    return F.least(*gaps)
-
-
-def _block_candidates(targets: DataFrame, sources: DataFrame, k: int, payload: Sequence[str], size: int) -> DataFrame:
-    def at(c: str) -> Column:
-        return F.floor(F.col(c) / size)
-
-    near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    t = targets.withColumn("_o", near).select("row", "col", (at("row") + F.col("_o.i")).alias("_br"), (at("col") + F.col("_o.j")).alias("_bc"))
-    s = sources.select(F.col("row").alias("n_row"), F.col("col").alias("n_col"), at("row").alias("_br"), at("col").alias("_bc"), *payload)
-    d2 = (F.col("row") - F.col("n_row")).cast("double") ** 2 + (F.col("col") - F.col("n_col")).cast("double") ** 2
-    pairs = t.join(s, ["_br", "_bc"]).withColumn("_d2", d2).drop("_br", "_bc")
-    if k == 1:  # a minimum needs no sort and shrinks before the shuffle
-        best = F.min_by(F.struct("n_row", "n_col", *payload, "_d2"), F.struct("_d2", "n_row", "n_col"))
-        return pairs.groupBy("row", "col").agg(best.alias("_b")).select("row", "col", "_b.*", F.lit(1).alias("rank"))
-    order = Window.partitionBy("row", "col").orderBy("_d2", "n_row", "n_col")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def neighbour_weights(neighbours: DataFrame) -> DataFrame:
+    layers, payload = list(layers), list(payload)
+    one = [F.min(F.struct(*payload)).alias("_pay")] if payload else [F.count("*").alias("_pay")]
+    src = durable(sources.where("row IS NOT NULL AND col IS NOT NULL").groupBy(*layers, "row", "col").agg(*one))
+    box = src.agg(F.min("row").alias("r"), F.min("col").alias("c"), F.greatest(F.max("row") - F.min("row"), F.max("col") - F.min("col")).alias("span")).first()
+    r0, c0, depth = box["r"] or 0, box["c"] or 0, 1
+    while FAN**depth <= (box["span"] or 0):
+        depth += 1
+    near = targets.select(*layers, "row", "col").distinct().withColumn("_c", F.expr("array(named_struct('lo', 0D, 'r', 0L, 'c', 0L))")).withColumn("_hi", F.lit(0.0))
+    for level in reversed(range(depth)):
+        size = FAN**level
+        buckets = src.groupBy(*layers, F.floor((F.col("row") - r0) / size).alias("r"), F.floor((F.col("col") - c0) / size).alias("c")).agg(F.count("*").alias("n"))
+        parents = buckets.groupBy(*layers, F.floor(F.col("r") / FAN).alias("_r"), F.floor(F.col("c") / FAN).alias("_c")).agg(F.collect_list(F.struct("r", "c", "n")).alias("_kids"))
+        asked = near.withColumn("_p", F.explode("_c")).where("_p.lo <= _hi").select(*layers, "row", "col", F.col("_p.r").alias("_r"), F.col("_p.c").alias("_c"))
+        # every bucket is asked for at most once per target and answers with at most FAN^2 children
+        met = asked.join(parents, [*layers, "_r", "_c"]).groupBy(*layers, "row", "col").agg(F.flatten(F.collect_list("_kids")).alias("_c"))
+        near = _with_bound(met, k, size, r0, c0)
+    best = F.posexplode(F.slice(F.sort_array(F.transform("_c", lambda b: F.struct(b["lo"].alias("d2"), (b["r"] + r0).alias("r"), (b["c"] + c0).alias("c")))), 1, k))
+    found = near.select(*layers, "row", "col", best.alias("_at", "_b")).select(
+        *layers, "row", "col", F.col("_b.r").cast(sources.schema["row"].dataType).alias("n_row"), F.col("_b.c").cast(sources.schema["col"].dataType).alias("n_col"),
+        F.sqrt("_b.d2").alias("d"), (F.col("_at") + 1).alias("rank"))
+    if not payload:
+        return found
+    carried = src.select(*layers, F.col("row").alias("n_row"), F.col("col").alias("n_col"), "_pay.*")
+    return found.join(carried, [*layers, "n_row", "n_col"]).select(*found.columns, *payload)
+
+
+def _with_bound(df: DataFrame, k: int, size: int, r0: int, c0: int) -> DataFrame:
+    """Squared least and greatest distance of each target's buckets (r, c, n), and ``_hi``: the smallest one known
+    to cover k sources. The bound is a column of its own, so no bucket computes it again."""
+
+    def span(at: str, index: Column, origin: int) -> tuple[Column, Column]:
+        first = index * size + origin - F.col(at)
+        last = first + size - 1
+        gap = F.greatest(first, -last, F.lit(0)).cast("double")
+        return gap, F.greatest(F.abs(first), F.abs(last)).cast("double")
+
+    def measured(b: Column) -> Column:
+        (lo_r, hi_r), (lo_c, hi_c) = span("row", b["r"], r0), span("col", b["c"], c0)
+        return F.struct((lo_r * lo_r + lo_c * lo_c).alias("lo"), (hi_r * hi_r + hi_c * hi_c).alias("hi"), b["n"].alias("n"), b["r"].alias("r"), b["c"].alias("c"))
+
+    sized = df.withColumn("_c", F.transform("_c", measured))
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("hi"))
+
+    def add(a: Column, b: Column) -> Column:
+        n = a["n"] + b["n"]
+        return F.struct(n.alias("n"), F.when(a["hi"].isNull() & (n >= k), b["hi"]).otherwise(a["hi"]).alias("hi"))
+
+    bound = F.aggregate(F.sort_array(F.transform("_c", lambda b: F.struct(b["hi"].alias("hi"), b["n"].alias("n")))), start, add)["hi"]
+    return sized.withColumn("_hi", F.coalesce(bound, F.lit(math.inf)))
+
+
+def neighbour_weights(neighbours: DataFrame, layers: Sequence[str] = ()) -> DataFrame:
     """Add ``w``: inverse distance, summing to 1 per target."""
     raw = F.lit(1.0) / F.greatest("d", F.lit(1e-6))
-    return neighbours.withColumn("w", raw / F.sum(raw).over(Window.partitionBy("row", "col")))
+    return neighbours.withColumn("w", raw / F.sum(raw).over(Window.partitionBy(*layers, "row", "col")))
 
 
 # -- gap filling -------------------------------------------------------------------
 
 
-def fill_radius(field: DataFrame, land: DataFrame, values: Sequence[str], radius: float) -> DataFrame:
-    """Missing land cells within ``radius`` of a valid cell get the inverse-distance mean of the
-    valid cells within that radius. Output keeps one row per land cell."""
+# Every step takes ``layers``: cells are then filled from cells of their own layer, and ``land`` or the
+# field lists the cells of every layer.
+
+
+def _known(values: Sequence[str]) -> Column:
     whole = F.lit(True)
     for v in values:
         whole = whole & F.col(v).isNotNull()
-    valid = land.join(field.where(whole), ["row", "col"])
-    sums = apply_kernels(valid.withColumn("_one", F.lit(1.0)), {"idw": inverse_distance(radius)}, [*values, "_one"]).drop("kernel")
-    reach = sums.where(F.col("_one") > 1e-6).select("row", "col", *[(F.col(v) / F.col("_one")).alias(f"_f_{v}") for v in values])
-    joined = land.join(valid, ["row", "col"], "left").join(reach, ["row", "col"], "left")
-    return joined.select("row", "col", *[F.coalesce(v, f"_f_{v}").alias(v) for v in values])
+    return whole
 
 
-def fill_static(field: DataFrame, reference: DataFrame, values: Sequence[str]) -> DataFrame:
-    """Remaining gaps take the reference layer."""
+def fill_radius(field: DataFrame, land: DataFrame, values: Sequence[str], radius: float, layers: Sequence[str] = ()) -> DataFrame:
+    """Missing land cells within ``radius`` of a valid cell get the inverse-distance mean of the
+    valid cells within that radius. Output keeps one row per (layer and) land cell."""
+    at = [*layers, "row", "col"]
+    valid = land.join(field.where(_known(values)), at)
+    sums = apply_kernels(valid.withColumn("_one", F.lit(1.0)), {"idw": inverse_distance(radius)}, [*values, "_one"], layers).drop("kernel")
+    reach = sums.where(F.col("_one") > 1e-6).select(*at, *[(F.col(v) / F.col("_one")).alias(f"_f_{v}") for v in values])
+    joined = land.join(valid, at, "left").join(reach, at, "left")
+    return joined.select(*at, *[F.coalesce(v, f"_f_{v}").alias(v) for v in values])
+
+
+def fill_static(field: DataFrame, reference: DataFrame, values: Sequence[str], layers: Sequence[str] = ()) -> DataFrame:
+    """Remaining gaps take the reference layer, the same one for all layers."""
     ref = reference.select("row", "col", *[F.col(v).alias(f"_r_{v}") for v in values])
-    return field.join(ref, ["row", "col"], "left").select("row", "col", *[F.coalesce(v, f"_r_{v}").alias(v) for v in values])
+    return field.join(ref, ["row", "col"], "left").select(*layers, "row", "col", *[F.coalesce(v, f"_r_{v}").alias(v) for v in values])
 
 
-def fill_nearest(field: DataFrame, values: Sequence[str]) -> DataFrame:
-    """Whatever is still missing takes the nearest valid cell."""
-    whole = F.lit(True)
-    for v in values:
-        whole = whole & F.col(v).isNotNull()
-    field = durable(field)
-    gaps, valid = field.where(~whole).select("row", "col"), field.where(whole)
-    found = nearest(gaps, valid, 1, payload=values)
-    return valid.select("row", "col", *values).unionByName(found.select("row", "col", *values))
+def fill_nearest(field: DataFrame, values: Sequence[str], layers: Sequence[str] = ()) -> DataFrame:
+    """Whatever is still missing takes the nearest valid cell; without any valid cell it stays missing."""
+    at = [*layers, "row", "col"]
+    field = durable(field.select(*at, *values))
+    gaps, valid = field.where(~_known(values)).select(*at), field.where(_known(values))
+    found = nearest(gaps, valid, 1, payload=values, layers=layers).select(*at, *values)
+    return valid.unionByName(gaps.join(found, at, "left"))

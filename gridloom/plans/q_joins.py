@@ -204,6 +204,38 @@ def _(v):
     return spatial.fill_nearest(v.land().join(sparse_field(v), ["row", "col"], "left"), ["v"])
 
 
+YEARLY = """sy AS (SELECT row, col, year, CASE WHEN v <= 20 + year % 7 THEN v END AS v FROM v_annual SEMI JOIN v_land USING (row, col)), ok AS (SELECT * FROM sy WHERE v IS NOT NULL), gp AS (SELECT row, col, year FROM sy WHERE v IS NULL)"""
+
+
+def yearly_gaps(v):
+    """A yearly cube on land whose larger values count as missing, another share each year."""
+    kept = F.when(F.col("v") <= 20 + F.col("year") % 7, F.col("v"))
+    return v.annual().join(v.land(), ["row", "col"], "left_semi").select("row", "col", "year", kept.alias("v"))
+
+
+@query("J14b_nearest_valid_by_year", YEARLY + """, pr AS (SELECT gp.*, ok.row AS n_row, ok.col AS n_col, row_number() OVER (PARTITION BY gp.row, gp.col, gp.year ORDER BY pow(gp.row - ok.row, 2) + pow(gp.col - ok.col, 2), ok.row, ok.col) AS rank FROM gp JOIN ok USING (year))
+    SELECT row, col, year, n_row, n_col, CAST(rank AS INTEGER) AS rank FROM pr WHERE rank <= 5""")
+def _(v):
+    cube = yearly_gaps(v)
+    near = spatial.nearest(cube.where("v IS NULL"), cube.where("v IS NOT NULL"), 5, layers=["year"])
+    return near.select("row", "col", "year", "n_row", "n_col", "rank")
+
+
+@query("J15b_fill_radius_by_year", YEARLY + """, iw AS (SELECT gp.row, gp.col, year, sum(ok.v / sqrt(pow(gp.row - ok.row, 2) + pow(gp.col - ok.col, 2))) / sum(1 / sqrt(pow(gp.row - ok.row, 2) + pow(gp.col - ok.col, 2))) AS v
+        FROM gp JOIN ok USING (year) WHERE pow(gp.row - ok.row, 2) + pow(gp.col - ok.col, 2) <= 9 GROUP BY ALL)
+    SELECT sy.row, sy.col, sy.year, R6(coalesce(sy.v, iw.v)) AS v FROM sy LEFT JOIN iw USING (row, col, year)""")
+def _(v):
+    cube = yearly_gaps(v)
+    out = spatial.fill_radius(cube, cube.select("row", "col", "year"), ["v"], 3, layers=["year"])
+    return out.select("row", "col", "year", r6(F.col("v")).alias("v"))
+
+
+@query("J17b_fill_nearest_by_year", YEARLY + """, pr AS (SELECT gp.row, gp.col, gp.year, ok.v, row_number() OVER (PARTITION BY gp.row, gp.col, gp.year ORDER BY pow(gp.row - ok.row, 2) + pow(gp.col - ok.col, 2), ok.row, ok.col) AS rn FROM gp LEFT JOIN ok USING (year))
+    SELECT row, col, year, v FROM ok UNION ALL SELECT row, col, year, v FROM pr WHERE rn = 1""")
+def _(v):
+    return spatial.fill_nearest(yearly_gaps(v), ["v"], layers=["year"])
+
+
 @query("J18_bracketing_interpolation", """a AS (SELECT row, col, year, v FROM v_annual WHERE v IS NOT NULL AND year IN (1996, 1998, 2000)), c AS (SELECT DISTINCT row, col FROM a),
     y AS (SELECT row, col, CAST(yy AS INTEGER) AS year FROM c, range(1995, 2002) AS g(yy)),
     b AS (SELECT y.row, y.col, y.year, (SELECT max(struct_pack(year := a.year, v := a.v)) FROM a WHERE a.row = y.row AND a.col = y.col AND a.year <= y.year) AS p, (SELECT min(struct_pack(year := a.year, v := a.v)) FROM a WHERE a.row = y.row AND a.col = y.col AND a.year >= y.year) AS n FROM y)

@@ -42,7 +42,7 @@ def test_nearest_equals_brute_force(spark, k):
     src = {(int(r), int(c)) for r, c in rng.integers(0, 12, (90, 2))} | {(90, int(c)) for c in rng.integers(0, 100, 15)}
     tgt = {(int(r), int(c)) for r, c in rng.integers(0, 100, (60, 2))} - src
     got = {}
-    for x in spatial.nearest(cells(spark, tgt), cells(spark, src), k, bucket=4).collect():
+    for x in spatial.nearest(cells(spark, tgt), cells(spark, src), k).collect():
         got.setdefault((x["row"], x["col"]), {})[x["rank"]] = (x["n_row"], x["n_col"])
     for t in tgt:
         want = sorted(src, key=lambda s: ((s[0] - t[0]) ** 2 + (s[1] - t[1]) ** 2, s))[:k]
@@ -66,9 +66,35 @@ def test_three_stage_fill_leaves_no_land_gap(spark):
     one = spatial.fill_radius(field, land, ["v"], 4)
     got = {(r["row"], r["col"]): r["v"] for r in one.collect()}
     assert got[(2, 2)] == 2.0 and got[(8, 5)] is not None and got[(9, 5)] is None
-    near = [(4 - 8) ** 2 + 0]
-    assert got[(8, 5)] == pytest.approx(4.0) and near == [16]
+    assert got[(8, 5)] == pytest.approx(4.0)
     two = spatial.fill_static(one, ref, ["v"])
     three = {(r["row"], r["col"]): r["v"] for r in spatial.fill_nearest(two, ["v"]).collect()}
     assert len(three) == 400 and None not in three.values()
     assert three[(20, 3)] == -1.0 and three[(39, 3)] == -1.0
+
+
+def test_half_land_half_ocean_keeps_candidates_few(spark, monkeypatch):
+    kept = []
+    plain = spatial._with_bound
+
+    def counted(df, k, size, r0, c0):
+        out = plain(df, k, size, r0, c0)
+        kept.append(out.agg(F.sum(F.size(F.filter("_c", lambda b: b["lo"] <= F.col("_hi"))))).first()[0])
+        return out
+
+    monkeypatch.setattr(spatial, "_with_bound", counted)
+    n, k = 32, 3
+    land = cells(spark, [(r, c) for r in range(n) for c in range(n)])
+    sea = cells(spark, [(r, c) for r in range(n) for c in range(n, 2 * n)])
+    out = {(x["row"], x["col"], x["rank"]): (x["n_row"], x["n_col"]) for x in spatial.nearest(sea, land, k).collect()}
+    assert len(out) == k * n * n and all(out[r, c, 1] == (r, n - 1) for r in range(n) for c in range(n, 2 * n))
+    assert max(kept) <= 8 * k * n * n  # all pairs would be 1024 * 1024
+
+
+def test_layers_do_not_mix_and_empty_layers_stay_missing(spark):
+    rows = [(0, 0, 1, 1.0), (0, 9, 1, None), (0, 0, 2, None), (0, 9, 2, 7.0), (5, 5, 3, None), (5, 6, 3, None)]
+    field = spark.createDataFrame(rows, "row INT, col INT, year INT, v DOUBLE")
+    got = {(x["row"], x["col"], x["year"]): x["v"] for x in spatial.fill_nearest(field, ["v"], layers=["year"]).collect()}
+    assert got == {(0, 0, 1): 1.0, (0, 9, 1): 1.0, (0, 0, 2): 7.0, (0, 9, 2): 7.0, (5, 5, 3): None, (5, 6, 3): None}
+    nothing = spatial.fill_nearest(field.where("year = 3").drop("year"), ["v"]).collect()
+    assert len(nothing) == 2 and all(x["v"] is None for x in nothing)
