@@ -133,15 +133,15 @@ def nearest(targets: DataFrame, sources: DataFrame, k: int, payload: Sequence[st
     r0, c0, depth = box["r"] or 0, box["c"] or 0, 1
     while FAN**depth <= (box["span"] or 0):
         depth += 1
-    near = targets.select(*layers, "row", "col").distinct().withColumn("_c", F.expr("array(named_struct('lo', 0D, 'r', 0L, 'c', 0L))")).withColumn("_hi", F.lit(0.0))
+    near = targets.select(*layers, "row", "col").distinct().withColumn("_c", F.expr("array(named_struct('lo', 0D, 'r', 0L, 'c', 0L))")).withColumn("_hi", F.lit(math.inf))
     for level in reversed(range(depth)):
         size = FAN**level
         buckets = src.groupBy(*layers, F.floor((F.col("row") - r0) / size).alias("r"), F.floor((F.col("col") - c0) / size).alias("c")).agg(F.count("*").alias("n"))
         parents = buckets.groupBy(*layers, F.floor(F.col("r") / FAN).alias("_r"), F.floor(F.col("c") / FAN).alias("_c")).agg(F.collect_list(F.struct("r", "c", "n")).alias("_kids"))
-        asked = near.withColumn("_p", F.explode("_c")).where("_p.lo <= _hi").select(*layers, "row", "col", F.col("_p.r").alias("_r"), F.col("_p.c").alias("_c"))
+        asked = near.withColumn("_p", F.explode("_c")).where("_p.lo <= _hi").select(*layers, "row", "col", "_hi", F.col("_p.r").alias("_r"), F.col("_p.c").alias("_c"))
         # every bucket is asked for at most once per target and answers with at most FAN^2 children
-        met = asked.join(parents, [*layers, "_r", "_c"]).groupBy(*layers, "row", "col").agg(F.flatten(F.collect_list("_kids")).alias("_c"))
-        near = _with_bound(met, k, size, r0, c0)
+        met = asked.join(parents, [*layers, "_r", "_c"]).select(*layers, "row", "col", "_hi", F.inline("_kids"))
+        near = _with_bound(met, k, size, r0, c0, layers)
     best = F.posexplode(F.slice(F.sort_array(F.transform("_c", lambda b: F.struct(b["lo"].alias("d2"), (b["r"] + r0).alias("r"), (b["c"] + c0).alias("c")))), 1, k))
     found = near.select(*layers, "row", "col", best.alias("_at", "_b")).select(
         *layers, "row", "col", F.col("_b.r").cast(sources.schema["row"].dataType).alias("n_row"), F.col("_b.c").cast(sources.schema["col"].dataType).alias("n_col"),
@@ -152,29 +152,29 @@ def nearest(targets: DataFrame, sources: DataFrame, k: int, payload: Sequence[st
     return found.join(carried, [*layers, "n_row", "n_col"]).select(*found.columns, *payload)
 
 
-def _with_bound(df: DataFrame, k: int, size: int, r0: int, c0: int) -> DataFrame:
-    """Squared least and greatest distance of each target's buckets (r, c, n), and ``_hi``: the smallest one known
-    to cover k sources. The bound is a column of its own, so no bucket computes it again."""
+def _with_bound(met: DataFrame, k: int, size: int, r0: int, c0: int, layers: Sequence[str]) -> DataFrame:
+    """(layers, row, col, _c, _hi) from rows of target and bucket (r, c, n): the buckets within the bound so far with their
+    squared least and greatest distance, and the new bound, the smallest one known to cover k sources."""
 
-    def span(at: str, index: Column, origin: int) -> tuple[Column, Column]:
-        first = index * size + origin - F.col(at)
+    def span(at: str, index: str, origin: int) -> tuple[Column, Column]:
+        first = F.col(index) * size + origin - F.col(at)
         last = first + size - 1
         gap = F.greatest(first, -last, F.lit(0)).cast("double")
         return gap, F.greatest(F.abs(first), F.abs(last)).cast("double")
 
-    def measured(b: Column) -> Column:
-        (lo_r, hi_r), (lo_c, hi_c) = span("row", b["r"], r0), span("col", b["c"], c0)
-        return F.struct((lo_r * lo_r + lo_c * lo_c).alias("lo"), (hi_r * hi_r + hi_c * hi_c).alias("hi"), b["n"].alias("n"), b["r"].alias("r"), b["c"].alias("c"))
-
-    sized = df.withColumn("_c", F.transform("_c", measured))
+    (lo_r, hi_r), (lo_c, hi_c) = span("row", "r", r0), span("col", "c", c0)
+    rows = met.withColumns({"lo": lo_r * lo_r + lo_c * lo_c, "hi": hi_r * hi_r + hi_c * hi_c}).where("lo <= _hi")
+    lists = rows.groupBy(*layers, "row", "col")
+    if k == 1:  # one source is covered by the least greatest distance
+        return lists.agg(F.collect_list(F.struct("lo", "r", "c")).alias("_c"), F.min("hi").alias("_hi"))
+    sized = lists.agg(F.collect_list(F.struct("lo", "r", "c")).alias("_c"), F.sort_array(F.collect_list(F.struct("hi", "n"))).alias("_n"))
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("hi"))
 
     def add(a: Column, b: Column) -> Column:
         n = a["n"] + b["n"]
         return F.struct(n.alias("n"), F.when(a["hi"].isNull() & (n >= k), b["hi"]).otherwise(a["hi"]).alias("hi"))
 
-    bound = F.aggregate(F.sort_array(F.transform("_c", lambda b: F.struct(b["hi"].alias("hi"), b["n"].alias("n")))), start, add)["hi"]
-    return sized.withColumn("_hi", F.coalesce(bound, F.lit(math.inf)))
+    return sized.withColumn("_hi", F.coalesce(F.aggregate("_n", start, add)["hi"], F.lit(math.inf))).drop("_n")
 
 
 def neighbour_weights(neighbours: DataFrame, layers: Sequence[str] = ()) -> DataFrame:
