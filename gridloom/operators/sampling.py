@@ -37,15 +37,20 @@ def sample_per_group(df: DataFrame, group: str, keys: Sequence[str], n: int, see
 
 
 def sample_pairs(df: DataFrame, key: str, n: int, seed: int, payload: Sequence[str] = ()) -> DataFrame:
-    """n random pairs (a, b) of distinct draws: two hash orders matched by position."""
+    """n random pairs (pair, a, b): two hash orders matched by position; an empty table gives none.
+
+    Rows are used again once all were drawn, in fresh orders each round, so n may exceed the table.
+    """
+    rows = df.select(key).limit(n).count()
+    rounds = -(-n // max(rows, 1))
 
     def side(tag: str, s: int) -> DataFrame:
-        drawn = sample_fixed(df.select(key, *payload), [key], n, s)
-        # n rows at most: the window is bounded by the parameter
-        order = Window.orderBy(hash_key([key], s), key)
+        # n rows at most are kept and drawn about n times in all: every step is bounded by the parameter
+        drawn = sample_fixed(df.select(key, *payload), [key], n, s).withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
+        order = Window.partitionBy("_c").orderBy(F.md5(F.concat_ws("|", (F.lit(s) + 2 * F.col("_c")).cast("string"), F.col(key).cast("string"))), key)
         return drawn.select(
-            F.row_number().over(order).alias("pair"), F.col(key).alias(f"{key}_{tag}"), *[F.col(c).alias(f"{c}_{tag}") for c in payload]
-        )
+            (F.col("_c") * rows + F.row_number().over(order)).alias("pair"), F.col(key).alias(f"{key}_{tag}"), *[F.col(c).alias(f"{c}_{tag}") for c in payload]
+        ).where(F.col("pair") <= n)
 
     return side("a", seed).join(side("b", seed + 1), "pair")
 

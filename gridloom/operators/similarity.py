@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,42 +13,14 @@ from pyspark.sql import functions as F
 from gridloom.functions import vectors
 from gridloom.operators.sampling import sample_fixed
 from gridloom.operators.stats import gram_matrix
+from gridloom.session import durable
 
-#: Most landmarks whose kernel is solved on the driver (m x m doubles).
-MAX_LANDMARKS = 4000
+#: Bytes of landmarks in one broadcast; larger sets travel in parts.
+PART_BYTES = 64 << 20
+#: Numbers in one dense slice of a batch.
+BLOCK_CELLS = 1 << 21
 
-# -- sparse Ruzicka ------------------------------------------------------------------
-
-
-def ruzicka_pairs(a: DataFrame, b: DataFrame, features: Sequence[str], floor: float = 1e-6) -> DataFrame:
-    """(i, j, k) = sum(min) / sum(max) of non-negative sparse rows a(i, x) and b(j, y).
-
-    Pairs without a shared feature have k = 0 and are absent. ``b`` is a landmark table: its
-    size is a parameter, and Spark broadcasts it only when it measures small enough. Rows of
-    one cell stay together, so pairs are added up where they arise. sum(max) follows from
-    sum(max) = sum(x) + sum(y) - sum(min).
-    """
-    low = _overlap(a, b, features, [])
-    sa, sb = a.groupBy("i").agg(F.sum("x").alias("_sx")), b.groupBy("j").agg(F.sum("y").alias("_sy"))
-    return low.join(sa, "i").join(sb, "j").select("i", "j", _ratio(floor).alias("k"))
-
-
-def ruzicka_by_species(a: DataFrame, b: DataFrame, n_species: int | Column, floor: float = 1e-6) -> DataFrame:
-    """(i, j, k): Ruzicka per species, summed and divided by the number of species."""
-    low = _overlap(a, b, ["species", "week"], ["species"])
-    sa = a.groupBy("i", "species").agg(F.sum("x").alias("_sx"))
-    sb = b.groupBy("j", "species").agg(F.sum("y").alias("_sy"))
-    per = low.join(sa, ["i", "species"]).join(sb, ["j", "species"]).select("i", "j", _ratio(floor).alias("k"))
-    return per.groupBy("i", "j").agg(F.sum("k").alias("k")).withColumn("k", F.col("k") / n_species)
-
-
-def _overlap(a: DataFrame, b: DataFrame, features: Sequence[str], extra: Sequence[str]) -> DataFrame:
-    return a.repartition("i").join(b, list(features)).groupBy("i", "j", *extra).agg(F.sum(F.least("x", "y")).alias("_lo"))
-
-
-def _ratio(floor: float) -> Column:
-    high = F.col("_sx") + F.col("_sy") - F.col("_lo")
-    return F.when(high > floor, F.col("_lo") / high).otherwise(0.0)
+# -- sparse rows ----------------------------------------------------------------------
 
 
 def feature_vectors(abund: DataFrame, cell: str, species: str = "species", week: str = "week", value: str = "x") -> DataFrame:
@@ -91,30 +63,94 @@ def distance_similarity(df: DataFrame, anchors: DataFrame, key: str, value: str)
     return paired.select(key, "lm", sim.alias("similarity"))
 
 
-# -- Nystrom ------------------------------------------------------------------------------
+# -- kernels to landmarks, Nystrom -----------------------------------------------------------
 
 
-def kernel_block(x: np.ndarray, landmarks: np.ndarray, kind: str, p: dict) -> np.ndarray:
-    """(n, m) kernel of a batch of rows with the landmarks."""
-    if kind == "linear":
-        return x @ landmarks.T
-    if kind in ("rbf", "rq"):
-        d2 = np.maximum((x * x).sum(1)[:, None] + (landmarks * landmarks).sum(1)[None, :] - 2 * x @ landmarks.T, 0.0)
-        if kind == "rbf":
-            return np.exp(-d2 / (2 * p["lengthscale"] ** 2)) ** p.get("alpha", 1.0)
-        return (1 + d2 / (2 * p["alpha"] * p["lengthscale"] ** 2)) ** -p["alpha"]
+class Marks:
+    """Landmarks: a dense matrix, or (positions, values) per landmark over ``width`` columns."""
+
+    def __init__(self, pdf: pd.DataFrame, key: str, vector: str, width: int | None):
+        self.keys, self.width = pdf[key].to_numpy(), width
+        if width is None:
+            self.rows = _matrix(pdf, vector, None) if len(pdf) else np.zeros((0, 0))
+        else:
+            self.rows = [(np.asarray(i, dtype=np.int64), np.asarray(v, dtype=float)) for i, v in zip(pdf[f"{vector}_idx"], pdf[f"{vector}_val"])]
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def dense(self, start: int, stop: int) -> np.ndarray:
+        if self.width is None:
+            return self.rows[start:stop]
+        out = np.zeros((stop - start, self.width))
+        for at, (i, v) in enumerate(self.rows[start:stop]):
+            out[at, i] = v
+        return out
+
+    def sparse(self, start: int, stop: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        if self.width is not None:
+            return self.rows[start:stop]
+        return [(np.flatnonzero(r), r[r != 0]) for r in self.rows[start:stop]]
+
+    def parts(self) -> Iterator[tuple[int, int]]:
+        """(start, stop) of runs of landmarks of at most ``PART_BYTES`` each."""
+        start, held = 0, 0
+        for at in range(len(self)):
+            size = self.rows[at].nbytes if self.width is None else sum(a.nbytes for a in self.rows[at])
+            if held and held + size > PART_BYTES:
+                yield start, at
+                start, held = at, 0
+            held += size
+        if start < len(self):
+            yield start, len(self)
+
+    def cut(self, start: int, stop: int) -> Marks:
+        out = object.__new__(Marks)
+        out.keys, out.width, out.rows = self.keys[start:stop], self.width, self.rows[start:stop]
+        return out
+
+
+def kernel_block(x: np.ndarray, marks: Marks, start: int, stop: int, kind: str, p: dict) -> np.ndarray:
+    """(n, stop - start) kernel of a batch of dense rows with some landmarks."""
     if kind == "ruzicka":
-        return _ruzicka_block(x, landmarks)
+        return _ruzicka_block(x, marks.sparse(start, stop))
     if kind == "ruzicka_by_species":
-        groups = np.split(np.arange(x.shape[1]), p["n_species"])
-        return sum(_ruzicka_block(x[:, g], landmarks[:, g]) for g in groups)
-    raise ValueError(f"unknown kernel {kind!r}")
+        return _species_block(x, marks.sparse(start, stop), p["n_species"])
+    lm = marks.dense(start, stop)
+    if kind == "linear":
+        return x @ lm.T
+    if kind not in ("rbf", "rq"):
+        raise ValueError(f"unknown kernel {kind!r}")
+    return _of_distance(np.maximum((x * x).sum(1)[:, None] + (lm * lm).sum(1)[None, :] - 2 * x @ lm.T, 0.0), kind, p)
+
+
+def _of_distance(d2: np.ndarray, kind: str, p: dict) -> np.ndarray:
+    if kind == "rbf":
+        return np.exp(-d2 / (2 * p["lengthscale"] ** 2)) ** p.get("alpha", 1.0)
+    return (1 + d2 / (2 * p["alpha"] * p["lengthscale"] ** 2)) ** -p["alpha"]
+
+
+def _ruzicka_block(x: np.ndarray, rows: list, floor: float = 1e-6) -> np.ndarray:
+    mass, out = x.sum(1), np.zeros((len(x), len(rows)))
+    for at, (i, v) in enumerate(rows):
+        low = np.minimum(x[:, i], v).sum(1)
+        high = mass + v.sum() - low
+        np.divide(low, high, out=out[:, at], where=high > floor)
+    return out
 
 
-def _ruzicka_block(x: np.ndarray, landmarks: np.ndarray, floor: float = 1e-6) -> np.ndarray:
-    low = np.stack([np.minimum(x, row).sum(1) for row in landmarks], axis=1)
-    high = x.sum(1)[:, None] + landmarks.sum(1)[None, :] - low
-    return np.divide(low, high, out=np.zeros_like(low), where=high > floor)
+def _species_block(x: np.ndarray, rows: list, n_species: int, floor: float = 1e-6) -> np.ndarray:
+    """Mean over species of their Ruzicka similarities; a species that a landmark lacks adds 0."""
+    weeks = x.shape[1] // n_species
+    mass, out = x.reshape(len(x), n_species, weeks).sum(2), np.zeros((len(x), len(rows)))
+    for at, (i, v) in enumerate(rows):
+        if len(i) == 0:
+            continue
+        species, first = np.unique(i // weeks, return_index=True)
+        low = np.add.reduceat(np.minimum(x[:, i], v), first, axis=1)
+        high = mass[:, species] + np.add.reduceat(v, first) - low
+        out[:, at] = np.divide(low, high, out=np.zeros_like(low), where=high > floor).sum(1) / n_species
+    return out
 
 
 def _matrix(pdf: pd.DataFrame, vector: str, width: int | None) -> np.ndarray:
@@ -124,42 +160,127 @@ def _matrix(pdf: pd.DataFrame, vector: str, width: int | None) -> np.ndarray:
     out = np.zeros((len(pdf), width))
     idx, val = pdf[f"{vector}_idx"], pdf[f"{vector}_val"]
     rows = np.repeat(np.arange(len(pdf)), idx.map(len))
-    out[rows, np.concatenate(idx.to_numpy()).astype(int)] = np.concatenate(val.to_numpy())
+    if len(rows):
+        out[rows, np.concatenate(idx.to_numpy()).astype(int)] = np.concatenate(val.to_numpy())
     return out
 
 
+def _slices(pdf: pd.DataFrame, width: int) -> Iterator[pd.DataFrame]:
+    """Slices of a batch whose dense form has about ``BLOCK_CELLS`` numbers."""
+    step = max(1, BLOCK_CELLS // max(width, 1))
+    for start in range(0, len(pdf), step):
+        yield pdf.iloc[start:start + step]
+
+
+def _columns(vector: str, width: int | None) -> list[str]:
+    return [vector] if width is None else [f"{vector}_idx", f"{vector}_val"]
+
+
+def against_landmarks(df: DataFrame, landmarks: DataFrame, key: str, vector: str, kind: str, params: dict | None = None, width: int | None = None) -> DataFrame:
+    """(key, lm, k): kernel of every row with every landmark, zeros included.
+
+    ``landmarks`` is a table of parameter size with the columns of ``df``. It travels in broadcasts of at most
+    ``PART_BYTES`` each; a row meets all landmarks of a part where it lives, so nothing is shuffled.
+    """
+    p, cols = dict(params or {}), _columns(vector, width)
+    marks = Marks(landmarks.select(key, *cols).toPandas().sort_values(key), key, vector, width)
+    kt = df.schema[key].dataType.simpleString()
+    out = None
+    for start, stop in marks.parts():
+        shared = df.sparkSession.sparkContext.broadcast(marks.cut(start, stop))
+
+        def rows(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            part = shared.value
+            for batch in batches:
+                for pdf in _slices(batch, max(len(part), width or 0)):
+                    k = kernel_block(_matrix(pdf, vector, width), part, 0, len(part), kind, p)
+                    yield pd.DataFrame({key: np.repeat(pdf[key].to_numpy(), len(part)), "lm": np.tile(part.keys, len(pdf)), "k": k.ravel()})
+
+        found = df.select(key, *cols).mapInPandas(rows, f"{key} {kt}, lm {kt}, k DOUBLE")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return df.select(key, F.col(key).alias("lm"), F.lit(0.0).alias("k")).where(F.lit(False))
+    return out
+
+
+def _times(df: DataFrame, key: str, vector: str, width: int | None, marks: Marks, matrix: np.ndarray, kind: str, p: dict) -> DataFrame:
+    """(key, z): kernel rows times an (m, d) matrix, summed over the parts of the landmarks in place."""
+    cols, kt = _columns(vector, width), df.schema[key].dataType.simpleString()
+    rest = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in cols)
+    out = df.select(key, *cols, F.array_repeat(F.lit(0.0), matrix.shape[1]).alias("_sum"))
+    for start, stop in marks.parts():
+        shared = df.sparkSession.sparkContext.broadcast((marks.cut(start, stop), matrix[start:stop]))
+
+        def add(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            part, factor = shared.value
+            for batch in batches:
+                for pdf in _slices(batch, max(1024, width or 0)):
+                    x, total = _matrix(pdf, vector, width), _matrix(pdf, "_sum", None)
+                    for lo in range(0, len(part), 1024):
+                        hi = min(lo + 1024, len(part))
+                        total += kernel_block(x, part, lo, hi, kind, p) @ factor[lo:hi]
+                    yield pdf.assign(_sum=list(total))
+
+        out = out.mapInPandas(add, f"{key} {kt}, {rest}, _sum ARRAY<DOUBLE>")
+    return out.select(key, F.col("_sum").alias("z"))
+
+
+def _leading_pairs(product: Callable[[np.ndarray], np.ndarray], m: int, dim: int, seed: int, tolerance: float = 1e-11) -> tuple[np.ndarray, np.ndarray]:
+    """Leading eigenpairs of a symmetric (m, m) matrix known by its products: block Krylov.
+
+    The basis grows by one orthogonal block a round until the wanted pairs leave no residual or it spans
+    everything (then they are exact). The driver holds m x (blocks * width) numbers, never m x m at large m.
+    """
+    width = min(m, dim + 10)
+    block = np.linalg.qr(np.random.default_rng(seed).normal(size=(m, width)))[0]
+    basis, image = np.zeros((m, 0)), np.zeros((m, 0))
+    while True:
+        basis, image = np.hstack([basis, block]), np.hstack([image, product(block)])
+        small = basis.T @ image
+        values, rotation = np.linalg.eigh((small + small.T) / 2)
+        top = np.argsort(values)[::-1][:dim]
+        values, pairs, scale = values[top], basis @ rotation[:, top], max(abs(values[top[0]]), 1e-300)
+        residual = np.linalg.norm(image @ rotation[:, top] - pairs * values, axis=0).max()
+        room = m - basis.shape[1]
+        if room <= 0 or residual <= tolerance * scale:
+            return values, pairs
+        rest = image[:, -block.shape[1]:]
+        for _ in range(2):  # twice, for orthogonality to the last bit
+            rest = rest - basis @ (basis.T @ rest)
+        u, s, _ = np.linalg.svd(rest, full_matrices=False)
+        keep = min(room, int((s > 1e-13 * scale).sum()))
+        if keep == 0:
+            return values, pairs
+        block = u[:, :keep]
+
+
 def nystrom(
     df: DataFrame, key: str, vector: str, dim: int, n_landmarks: int, kind: str,
     params: dict | None = None, seed: int = 0, width: int | None = None,
 ) -> DataFrame:
     """(key, z ARRAY<DOUBLE>): Z = K_nm U L^-1/2 with the leading ``dim`` eigenpairs of K_mm.
 
-    Landmarks are a hash sample of parameter size; their m x m kernel is solved on the driver
-    and every cell is projected where it lives. A leading slice of z is the smaller embedding.
+    Landmarks are a hash sample of parameter size; products with their m x m kernel run in Spark, so the driver
+    holds landmarks and a narrow basis only, at any m. Every cell is projected where it lives. A leading slice
+    of z is the smaller embedding. An empty table gives an empty table.
     ``df`` is read twice (landmarks, projection): pass a stored or durable table when it is costly.
     """
     p = dict(params or {})
-    if n_landmarks > MAX_LANDMARKS:
-        raise ValueError(f"more than {MAX_LANDMARKS} landmarks")
-    cols = [vector] if width is None else [f"{vector}_idx", f"{vector}_val"]
-    chosen = sample_fixed(df.select(key, *cols), [key], n_landmarks, seed).toPandas()
-    lm = _matrix(chosen, vector, width)
-    values, basis = np.linalg.eigh(kernel_block(lm, lm, kind, p))
-    top = np.argsort(values)[::-1][:dim]
-    values, basis = np.maximum(values[top], 1e-10), basis[:, top]
+    sample = durable(sample_fixed(df.select(key, *_columns(vector, width)), [key], n_landmarks, seed))
+    marks = Marks(sample.toPandas().sort_values(key), key, vector, width)
+    order = {k: i for i, k in enumerate(marks.keys)}
+
+    def product(block: np.ndarray) -> np.ndarray:
+        out = np.zeros_like(block)
+        got = _times(sample, key, vector, width, marks, block, kind, p).toPandas()
+        out[[order[k] for k in got[key]]] = np.stack(got["z"].to_numpy())
+        return out
+
+    if len(marks) == 0:
+        return df.select(key, F.array().cast("array<double>").alias("z"))
+    values, basis = _leading_pairs(product, len(marks), min(dim, len(marks)), seed)
     basis = basis * np.where(basis[np.abs(basis).argmax(0), np.arange(basis.shape[1])] < 0, -1.0, 1.0)
-    scale = math.sqrt(p["n_species"]) if kind == "ruzicka_by_species" else 1.0
-    project = df.sparkSession.sparkContext.broadcast((lm, basis / np.sqrt(values) / scale))
-
-    def embed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        landmarks, matrix = project.value
-        for batch in batches:
-            for start in range(0, len(batch), 1024):
-                pdf = batch.iloc[start:start + 1024]
-                z = kernel_block(_matrix(pdf, vector, width), landmarks, kind, p) @ matrix
-                yield pd.DataFrame({key: pdf[key].to_numpy(), "z": list(z)})
-
-    return df.select(key, *cols).mapInPandas(embed, f"{key} {df.schema[key].dataType.simpleString()}, z ARRAY<DOUBLE>")
+    return _times(df, key, vector, width, marks, basis / np.sqrt(np.maximum(values, 1e-10)), kind, p)
 
 
 def sparse_vectors(abund: DataFrame, cell: str, n_weeks: int = 52, value: str = "x", name: str = "vec", species: DataFrame | None = None) -> tuple[DataFrame, int, int]:
@@ -175,43 +296,76 @@ def sparse_vectors(abund: DataFrame, cell: str, n_weeks: int = 52, value: str =
     return rows, len(names) * n_weeks, len(names)
 
 
-def sweep(abund: DataFrame, cell: str, sigmas: Sequence[float], dims: Sequence[int], n_landmarks: int, n_pairs: int, kind: str = "ruzicka", seed: int = 0) -> DataFrame:
-    """(sigma, dim, rank, rmse, utility): embedding quality per setting.
+def sweep(
+    abund: DataFrame, cell: str, sigmas: Sequence[float], dims: Sequence[int], n_landmarks: int, n_pairs: int,
+    kernels: Sequence[tuple[str, float | None, float | None]] = (("ruzicka", None, None),), seed: int = 0,
+) -> DataFrame:
+    """(sigma, kind, lengthscale, alpha, dim, rank, rmse, utility): embedding quality per setting.
 
-    Smoothing runs once per sigma and the largest embedding once per sigma; smaller dims are
-    leading slices. Fidelity is measured on hash-sampled pairs.
+    ``kernels`` lists (kind, lengthscale, alpha); distance kernels take square roots of the shares of each cell.
+    Smoothing runs once per sigma and the largest embedding once per kernel; smaller dims are leading slices.
+    Fidelity is measured on hash-sampled pairs.
     """
     from gridloom.operators import rates, sampling, stats, temporal
-    from gridloom.session import durable
 
     out = None
     for sigma in sigmas:
-        smooth = temporal.circular_smooth(abund, [cell, "species"], "week", "x", sigma)
-        vecs, width, n_species = sparse_vectors(smooth, cell)
-        vecs = durable(vecs)
-        params = {"n_species": n_species}
-        z = nystrom(vecs, cell, "vec", max(dims), n_landmarks, kind, params, seed, width)
-        full = durable(z.join(vecs, cell))
-        pairs = sampling.sample_pairs(full, cell, n_pairs, seed, ["z", "vec_idx", "vec_val"])
-        truth = pair_kernel(pairs, kind, params, width)
-        for d in dims:
-            approx = vectors.dot(F.slice("z_a", 1, d), F.slice("z_b", 1, d))
-            fit = truth.agg((F.sqrt(F.avg(F.pow(approx - F.col("k"), 2))) / (F.sqrt(F.avg(F.col("k") * F.col("k"))) + 1e-8)).alias("rmse"))
-            rank = stats.effective_rank(full.select(F.slice("z", 1, d).alias("z")), "z").scalar()
-            row = fit.select(F.lit(float(sigma)).alias("sigma"), F.lit(d).alias("dim"), rank.alias("rank"), "rmse")
-            out = row if out is None else out.unionByName(row)
+        smooth = durable(temporal.circular_smooth(abund, [cell, "species"], "week", "x", sigma))
+        forms: dict[bool, tuple] = {}
+        for kind, lengthscale, alpha in kernels:
+            shares = kind in ("rbf", "rq")
+            if shares not in forms:
+                vecs, width, n_species = sparse_vectors(temporal.hellinger(smooth, cell, "x") if shares else smooth, cell)
+                forms[shares] = durable(vecs), width, n_species
+            vecs, width, n_species = forms[shares]
+            params = {"n_species": n_species, "lengthscale": lengthscale, "alpha": alpha}
+            z = nystrom(vecs, cell, "vec", max(dims), n_landmarks, kind, params, seed, width)
+            full = durable(z.join(vecs, cell))
+            pairs = sampling.sample_pairs(full, cell, n_pairs, seed, ["z", "vec_idx", "vec_val"])
+            truth = pair_kernel(pairs, kind, params, width)
+            for d in dims:
+                fit = pair_errors(truth, vectors.dot(F.slice("z_a", 1, d), F.slice("z_b", 1, d)), F.col("k"))
+                rank = stats.effective_rank(full.select(F.slice("z", 1, d).alias("z")), "z").scalar()
+                row = fit.select(
+                    F.lit(float(sigma)).alias("sigma"), F.lit(kind).alias("kind"), F.lit(lengthscale).cast("double").alias("lengthscale"),
+                    F.lit(alpha).cast("double").alias("alpha"), F.lit(d).alias("dim"), rank.alias("rank"), F.col("rmse_norm").alias("rmse"),
+                )
+                out = row if out is None else out.unionByName(row)
     return out.withColumn("utility", rates.utility(F.col("rank"), F.col("rmse")))
 
 
+def pair_errors(pairs: DataFrame, approx: Column, truth: Column) -> DataFrame:
+    """One row over sampled pairs: rmse, rmse over the size of the truth, alignment, and the squared error plain and
+    weighted by |truth| and truth^2."""
+    p = pairs.select(approx.alias("_a"), truth.alias("_t"))
+    e, t = F.pow(F.col("_a") - F.col("_t"), 2), F.col("_t")
+    cross, aa, tt = F.sum(F.col("_a") * t), F.sum(F.col("_a") * F.col("_a")), F.sum(t * t)
+    return p.agg(
+        F.sqrt(F.avg(e)).alias("rmse"), (F.sqrt(F.avg(e)) / (F.sqrt(F.avg(t * t)) + 1e-8)).alias("rmse_norm"),
+        F.try_divide(cross, F.sqrt(aa * tt)).alias("alignment"),
+        F.avg(e).alias("plain"), F.avg(F.abs(t) * e).alias("weighted_abs"), F.avg(t * t * e).alias("weighted_square"),
+    )
+
+
 def pair_kernel(pairs: DataFrame, kind: str, params: dict, width: int) -> DataFrame:
     """Add ``k``: the exact kernel of each sampled pair of sparse vectors."""
 
     @F.pandas_udf("double")
     def exact(ia: pd.Series, va: pd.Series, ib: pd.Series, vb: pd.Series) -> pd.Series:
-        a = _matrix(pd.DataFrame({"v_idx": ia, "v_val": va}), "v", width)
-        b = _matrix(pd.DataFrame({"v_idx": ib, "v_val": vb}), "v", width)
-        scale = params["n_species"] if kind == "ruzicka_by_species" else 1.0
-        return pd.Series([float(kernel_block(x[None], y[None], kind, params)[0, 0]) / scale for x, y in zip(a, b)])
+        out = []
+        for part in _slices(pd.DataFrame({"a_idx": ia, "a_val": va, "b_idx": ib, "b_val": vb}), width):
+            a, b = _matrix(part, "a", width), _matrix(part, "b", width)
+            if kind in ("rbf", "rq"):
+                out.append(_of_distance(((a - b) ** 2).sum(1), kind, params))
+                continue
+            shape = (len(a), params["n_species"], -1) if kind == "ruzicka_by_species" else (len(a), 1, width)
+            a, b = a.reshape(shape), b.reshape(shape)
+            if kind == "linear":
+                out.append((a * b).sum((1, 2)))
+                continue
+            low, high = np.minimum(a, b).sum(2), np.maximum(a, b).sum(2)
+            out.append(np.divide(low, high, out=np.zeros_like(low), where=high > 1e-6).mean(1))
+        return pd.Series(np.concatenate(out) if out else [])
 
     return pairs.withColumn("k", exact("vec_idx_a", "vec_val_a", "vec_idx_b", "vec_val_b"))
 

@@ -57,10 +57,14 @@ def _(v):
     return h.select("row", "col", *[r6(c).alias(n) for n, c in cols.items()])
 
 
-@query("P32b_growth_rates", """SELECT row, col, R6(0.1 + z[1] * 0.5 - z[2] * 0.25) AS r, R6(exp(1.5 + z[1] * 0.25 + z[2] * 0.75)) AS K, R6(1 / (1 + exp(-(z[1] * 2 + z[2] * 1.0 - 0.5)))) AS s FROM v_z""")
+# one weight for each of the 64 latent dimensions
+L_R, L_K, L_S = ([((i * k) % 9 - 4) / 16 for i in range(64)] for k in (5, 7, 2))
+
+
+@query("P32b_growth_rates", f"""SELECT row, col, R6(0.1 + list_dot_product(z, {L_R}::DOUBLE[])) AS r, R6(exp(1.5 + list_dot_product(z, {L_K}::DOUBLE[]))) AS K, R6(1 / (1 + exp(-(list_dot_product(z, {L_S}::DOUBLE[]) - 0.5)))) AS s FROM v_z""")
 def _(v):
-    p = {"r_mean": 0.1, "L_r": [0.5, -0.25], "K_mean": 1.5, "L_K": [0.25, 0.75], "l_surv": [2.0, 1.0], "threshold": -0.5}
-    cols = rates.growth_rates(F.slice("z", 1, 2), p)
+    p = {"r_mean": 0.1, "L_r": L_R, "K_mean": 1.5, "L_K": L_K, "l_surv": L_S, "threshold": -0.5}
+    cols = rates.growth_rates(F.col("z"), p)
     return v.z().select("row", "col", *[r6(c).alias(n) for n, c in cols.items()])
 
 

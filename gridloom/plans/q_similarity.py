@@ -19,26 +19,37 @@ def marks(v, n=16):
     return sampling.sample_fixed(cells, ["cell"], n, 9)
 
 
-MARKS = "mk AS (SELECT cell FROM (SELECT DISTINCT cell FROM v_abund) ORDER BY md5('9|' || cell), cell LIMIT 16)"
+def sparse(v):
+    vec, width, n = similarity.sparse_vectors(v.abund(), "cell")
+    return durable(vec), width, n
 
 
-def sides(v):
-    a = v.abund().select(F.col("cell").alias("i"), "species", "week", "x")
-    b = v.abund().join(marks(v), "cell", "left_semi").select(F.col("cell").alias("j"), "species", "week", F.col("x").alias("y"))
-    return a, b
+def to_sparse_marks(v, kind):
+    vec, width, n = sparse(v)
+    k = similarity.against_landmarks(vec, vec.join(marks(v), "cell", "left_semi"), "cell", "vec", kind, {"n_species": n}, width)
+    return k.select(F.col("cell").alias("i"), F.col("lm").alias("j"), r6(F.col("k")).alias("k"))
 
 
-@query("K1_global_ruzicka", MARKS + """, lo AS (SELECT a.cell AS i, b.cell AS j, sum(least(a.x, b.x)) AS lo FROM v_abund a JOIN v_abund b USING (species, week) WHERE b.cell IN (SELECT cell FROM mk) GROUP BY ALL), t AS (SELECT cell, sum(x) AS t FROM v_abund GROUP BY cell)
-    SELECT i, j, R6(lo / (a.t + b.t - lo)) AS k FROM lo JOIN t a ON a.cell = i JOIN t b ON b.cell = j""")
+def ruzicka_sql(n):
+    """Kernel of every cell with n landmark cells, pairs without a shared feature included."""
+    return f"""mk AS (SELECT cell FROM (SELECT DISTINCT cell FROM v_abund) ORDER BY md5('9|' || cell), cell LIMIT {n}), lo AS (SELECT a.cell AS i, b.cell AS j, sum(least(a.x, b.x)) AS lo FROM v_abund a JOIN v_abund b USING (species, week) WHERE b.cell IN (SELECT cell FROM mk) GROUP BY ALL), t AS (SELECT cell, sum(x) AS t FROM v_abund GROUP BY cell)
+    SELECT a.cell AS i, mk.cell AS j, R6(coalesce(lo / (a.t + b.t - lo), 0)) AS k FROM t a CROSS JOIN mk JOIN t b ON b.cell = mk.cell LEFT JOIN lo ON lo.i = a.cell AND lo.j = mk.cell"""
+
+
+def additive_sql(n):
+    return f"""mk AS (SELECT cell FROM (SELECT DISTINCT cell FROM v_abund) ORDER BY md5('9|' || cell), cell LIMIT {n}), lo AS (SELECT a.cell AS i, b.cell AS j, species, sum(least(a.x, b.x)) AS lo FROM v_abund a JOIN v_abund b USING (species, week) WHERE b.cell IN (SELECT cell FROM mk) GROUP BY ALL), t AS (SELECT cell, species, sum(x) AS t FROM v_abund GROUP BY ALL),
+    s AS (SELECT i, j, sum(lo / (a.t + b.t - lo)) / (SELECT count(DISTINCT species) FROM v_abund) AS k FROM lo JOIN t a ON a.cell = i AND a.species = lo.species JOIN t b ON b.cell = j AND b.species = lo.species GROUP BY i, j)
+    SELECT c.cell AS i, mk.cell AS j, R6(coalesce(k, 0)) AS k FROM (SELECT DISTINCT cell FROM v_abund) c CROSS JOIN mk LEFT JOIN s ON s.i = c.cell AND s.j = mk.cell"""
+
+
+@query("K1_global_ruzicka", ruzicka_sql(16))
 def _(v):
-    return similarity.ruzicka_pairs(*sides(v), ["species", "week"]).select("i", "j", r6(F.col("k")).alias("k"))
+    return to_sparse_marks(v, "ruzicka")
 
 
-@query("K2_additive_ruzicka", MARKS + """, lo AS (SELECT a.cell AS i, b.cell AS j, species, sum(least(a.x, b.x)) AS lo FROM v_abund a JOIN v_abund b USING (species, week) WHERE b.cell IN (SELECT cell FROM mk) GROUP BY ALL), t AS (SELECT cell, species, sum(x) AS t FROM v_abund GROUP BY ALL)
-    SELECT i, j, R6(sum(lo / (a.t + b.t - lo)) / (SELECT count(DISTINCT species) FROM v_abund)) AS k FROM lo JOIN t a ON a.cell = i AND a.species = lo.species JOIN t b ON b.cell = j AND b.species = lo.species GROUP BY i, j""")
+@query("K2_additive_ruzicka", additive_sql(16))
 def _(v):
-    n = v.abund().agg(F.count_distinct("species")).scalar()
-    return similarity.ruzicka_by_species(*sides(v), n).select("i", "j", r6(F.col("k")).alias("k"))
+    return to_sparse_marks(v, "ruzicka_by_species")
 
 
 @query("K3_ruzicka_pair_loss", """e AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: abs(x)) AS z FROM embeddings), a AS (SELECT z, row_number() OVER (ORDER BY md5('5|' || vec_id), vec_id) AS pair FROM e), b AS (SELECT z, row_number() OVER (ORDER BY md5('6|' || vec_id), vec_id) AS pair FROM e),
@@ -81,22 +92,23 @@ def _(v):
     return to_marks(v).select("vec_id", "lm", r6(vectors.dot(F.col("z"), F.col("lm_vec"))).alias("k"))
 
 
-def brands(v):
-    return v.table("part").select(F.col("p_brand").alias("species"))
+def at_full_rank(z, key, n):
+    """Products with the landmarks' vectors; with as many dims as landmarks they equal the kernel."""
+    z = durable(z)
+    out = similarity.with_landmarks(z, sampling.sample_fixed(z, [key], n, 9), key, "z")
+    return out.select(F.col(key).alias("i"), F.col("lm").alias("j"), r6(vectors.dot(F.col("z"), F.col("lm_vec"))).alias("k"))
 
 
-@query("K7_nystrom_ruzicka")
+@query("K7_nystrom_ruzicka", ruzicka_sql(64))
 def _(v):
-    vec, width, _ = similarity.sparse_vectors(v.abund(), "cell", species=brands(v))
-    z = similarity.nystrom(durable(vec), "cell", "vec", 8, 64, "ruzicka", seed=9, width=width)
-    return z.select("cell", F.transform("z", lambda x: F.round(x, 6)).alias("z"))
+    vec, width, _ = sparse(v)
+    return at_full_rank(similarity.nystrom(vec, "cell", "vec", 64, 64, "ruzicka", seed=9, width=width), "cell", 64)
 
 
-@query("K7b_nystrom_additive")
+@query("K7b_nystrom_additive", additive_sql(64))
 def _(v):
-    vec, width, n = similarity.sparse_vectors(v.abund(), "cell", species=brands(v))
-    z = similarity.nystrom(durable(vec), "cell", "vec", 8, 64, "ruzicka_by_species", {"n_species": n}, seed=9, width=width)
-    return z.select("cell", F.transform("z", lambda x: F.round(x, 6)).alias("z"))
+    vec, width, n = sparse(v)
+    return at_full_rank(similarity.nystrom(vec, "cell", "vec", 64, 64, "ruzicka_by_species", {"n_species": n}, seed=9, width=width), "cell", 64)
 
 
 @query("K7c_nystrom_linear_exact", """e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS z FROM embeddings) SELECT vec_id, round(list_dot_product(z, z), 5) + 0.0 AS norm2 FROM e""")
@@ -106,10 +118,10 @@ def _(v):
     return z.select("vec_id", (F.round(vectors.dot(F.col("z"), F.col("z")), 5) + 0.0).alias("norm2"))
 
 
-@query("K7d_nystrom_rational_quadratic")
+@query("K7d_nystrom_rational_quadratic", VEC.replace("LIMIT 16", "LIMIT 100") + " SELECT vec_id AS i, lm AS j, R6(pow(1 + d2 / (2 * 1.5 * 0.8 * 0.8), -1.5)) AS k FROM d")
 def _(v):
-    z = similarity.nystrom(vecs(v), "vec_id", "z", 12, 200, "rq", {"lengthscale": 0.8, "alpha": 1.5}, seed=9)
-    return z.select("vec_id", F.transform("z", lambda x: F.round(x, 6)).alias("z"))
+    z = similarity.nystrom(vecs(v), "vec_id", "z", 100, 100, "rq", {"lengthscale": 0.8, "alpha": 1.5}, seed=9)
+    return at_full_rank(z, "vec_id", 100)
 
 
 RNG = np.random.default_rng(11)
@@ -153,10 +165,26 @@ def _(v):
     return d.select("part", "trait_diff_size", "trait_diff_qty", r6(F.col("trait_distance")).alias("trait_distance"))
 
 
-@query("K13_principal_components")
+def squares(n, source):
+    """Thirty squarings of the matrix of ``source``: the columns turn to its leading eigenvector."""
+    return f"""p{n} AS (SELECT 0 AS it, c AS m FROM {source} UNION ALL SELECT it + 1, list_transform(m, lambda r: list_transform(m, lambda s: list_dot_product(r, s) / f))
+        FROM (SELECT it, m, list_sum(list_transform(m, lambda r: list_dot_product(r, r))) AS f FROM p{n} WHERE it < 30)),
+    w{n} AS (SELECT list_transform(r, lambda x: x / sqrt(list_dot_product(r, r))) AS w FROM (SELECT unnest(m) AS r FROM p{n} WHERE it = 30) ORDER BY list_dot_product(r, r) DESC LIMIT 1),
+    v{n} AS MATERIALIZED (SELECT list_transform(w, lambda x: x * s) AS v FROM (SELECT w, CASE WHEN list_max(w) >= -list_min(w) THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS s FROM w{n})),
+    l{n} AS MATERIALIZED (SELECT list_dot_product(v, list_transform(c, lambda r: list_dot_product(r, v))) AS l FROM {source}, v{n}),
+    c{n + 1} AS MATERIALIZED (SELECT list_transform(c, lambda r, i: list_transform(r, lambda x, j: x - l * v[i] * v[j])) AS c FROM {source}, v{n}, l{n})"""
+
+
+PCA = """st AS (SELECT i, avg(z[i]) AS m, stddev_pop(z[i]) AS s FROM (SELECT CAST(embedding AS DOUBLE[]) AS z FROM embeddings), range(1, 65) t(i) GROUP BY i), ms AS MATERIALIZED (SELECT list(m ORDER BY i) AS m, list(s ORDER BY i) AS s FROM st),
+    sv AS MATERIALIZED (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x, i: (x - m[i]) / s[i]) AS v FROM embeddings, ms), g AS (SELECT i, j, avg(v[i] * v[j]) AS g FROM sv, range(1, 65) a(i), range(1, 65) b(j) GROUP BY ALL),
+    c1 AS MATERIALIZED (SELECT list(r ORDER BY i) AS c FROM (SELECT i, list(g ORDER BY j) AS r FROM g GROUP BY i)), """ + ", ".join(squares(n, f"c{n}") for n in (1, 2, 3))
+
+
+@query("K13_principal_components", PCA + """ SELECT vec_id, [R6(list_dot_product(sv.v, v1.v) / sqrt(l1.l)), R6(list_dot_product(sv.v, v2.v) / sqrt(l2.l)), R6(list_dot_product(sv.v, v3.v) / sqrt(l3.l))] AS pc,
+    R6((l1.l + l2.l + l3.l) / 64) AS explained FROM sv, v1, v2, v3, l1, l2, l3""")
 def _(v):
     scores, ratios = similarity.principal_components(vecs(v), "vec_id", "z", 64, 3)
-    return scores.select("vec_id", F.transform("pc", lambda x: F.round(x, 6)).alias("pc")).withColumn("explained", F.round(F.lit(float(ratios.sum())), 6))
+    return scores.select("vec_id", F.transform("pc", lambda x: r6(x)).alias("pc")).withColumn("explained", r6(F.lit(float(ratios.sum()))))
 
 
 SINE = "j AS (SELECT j1, j2, CAST((j1 - 1) * 3 + j2 - 1 AS INTEGER) AS b FROM range(1, 4) AS a(j1), range(1, 4) AS c(j2)), ph AS (SELECT vec_id, b, j1, j2, (sqrt(1 / 5.0::DOUBLE) * sin(pi() * j1 * (z1 + 5) / 10)) * (sqrt(1 / 5.0::DOUBLE) * sin(pi() * j2 * (z2 + 5) / 10)) AS phi FROM (SELECT vec_id, embedding[1]::DOUBLE AS z1, embedding[2]::DOUBLE AS z2 FROM embeddings), j)"
@@ -184,22 +212,26 @@ def _(v):
     return f.select("vec_id", r6(0.8 * F.col("f") + 0.2 * g).alias("r"), r6(0.3 * F.col("f") - 0.6 * g).alias("k"))
 
 
-BLR = """d AS (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, label::DOUBLE AS y FROM embeddings), s AS (SELECT 0.1 * var_pop(y) + 1e-6 AS s2 FROM d),
-    g AS (SELECT 1 + sum(a * a) / any_value(s2) AS p, sum(a * b) / any_value(s2) AS q, 1 + sum(b * b) / any_value(s2) AS r, sum(a * y) / any_value(s2) AS u, sum(b * y) / any_value(s2) AS w, any_value(s2) AS s2 FROM d, s),
-    i AS (SELECT r / (p * r - q * q) AS ip, -q / (p * r - q * q) AS iq, p / (p * r - q * q) AS ir, u, w, s2 FROM g)"""
+# the inverse of the posterior precision by Newton steps X (2 I - A X)
+BLR = """d AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS z, label::DOUBLE AS y FROM embeddings), s AS MATERIALIZED (SELECT 0.1 * var_pop(y) + 1e-6 AS s2 FROM d),
+    g AS (SELECT i, j, g / s2 + CASE WHEN i = j THEN 1 ELSE 0 END AS g FROM s, (SELECT i, j, sum(z[i] * z[j]) AS g FROM d, range(1, 65) a(i), range(1, 65) b(j) GROUP BY i, j)), a AS MATERIALIZED (SELECT list(r ORDER BY i) AS a FROM (SELECT i, list(g ORDER BY j) AS r FROM g GROUP BY i)),
+    x AS (SELECT 0 AS it, list_transform(a, lambda r, i: list_transform(r, lambda e, j: CASE WHEN i = j THEN 1 / f ELSE 0.0::DOUBLE END)) AS x FROM (SELECT a, sqrt(list_sum(list_transform(a, lambda r: list_dot_product(r, r)))) AS f FROM a)
+        UNION ALL SELECT it + 1, list_transform(x, lambda r: list_transform(t, lambda c: list_dot_product(r, c))) FROM (SELECT it, x, list_transform(x, lambda c, j: list_transform(a, lambda r, i: CASE WHEN i = j THEN 2 ELSE 0 END - list_dot_product(r, c))) AS t FROM x, a WHERE it < 18)),
+    c AS MATERIALIZED (SELECT x AS c FROM x WHERE it = 18), u AS (SELECT list(u ORDER BY i) AS u FROM (SELECT i, sum(z[i] * y) / any_value(s2) AS u FROM d, s, range(1, 65) b(i) GROUP BY i)), w AS MATERIALIZED (SELECT list_transform(c, lambda r: list_dot_product(r, u)) AS w FROM c, u)"""
 
 
-@query("K16_bayesian_regression", BLR + " SELECT vec_id, R6(a * (ip * u + iq * w) + b * (iq * u + ir * w)) AS mean, R6(sqrt(a * a * ip + 2 * a * b * iq + b * b * ir + s2)) AS sd, R6(y - (a * (ip * u + iq * w) + b * (iq * u + ir * w))) AS residual FROM d, i")
+@query("K16_bayesian_regression", BLR + " SELECT vec_id, R6(list_dot_product(z, w)) AS mean, R6(sqrt(list_dot_product(z, list_transform(c, lambda r: list_dot_product(r, z))) + s2)) AS sd, R6(y - list_dot_product(z, w)) AS residual FROM d, s, c, w")
 def _(v):
-    d = v.table("embeddings").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 2).alias("z"), F.col("label").cast("double").alias("y"))
-    out = stats.predict_linear(d, "z", "y", *stats.bayesian_linear(d, "z", "y", 2))
+    d = v.table("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("z"), F.col("label").cast("double").alias("y"))
+    out = stats.predict_linear(d, "z", "y", *stats.bayesian_linear(d, "z", "y", 64))
     return out.select("vec_id", *[r6(F.col(c)).alias(c) for c in ("mean", "sd", "residual")])
 
 
 @query("K17_parameter_sweep")
 def _(v):
-    s = similarity.sweep(v.abund(), "cell", [0.5, 1.5], [4, 8], 48, 300, seed=9)
-    return s.select("sigma", "dim", *[F.round(c, 5).alias(c) for c in ("rank", "rmse", "utility")])
+    kernels = [("ruzicka", None, None), ("ruzicka_by_species", None, None), ("rbf", 0.5, 1.0), ("rq", 0.5, 1.5), ("rq", 1.0, 1.5), ("rq", 0.5, 3.0)]
+    s = similarity.sweep(v.abund(), "cell", [0.5, 1.5], [4, 8], 48, 300, kernels, seed=9)
+    return s.select("sigma", "kind", "lengthscale", "alpha", "dim", *[F.round(c, 5).alias(c) for c in ("rank", "rmse", "utility")])
 
 
 @query("K18_map_scoring", B_SQL + """, st AS (SELECT dim, avg(zv) AS mu, stddev_samp(zv) AS sd FROM v_zlong WHERE row < 10 GROUP BY dim)

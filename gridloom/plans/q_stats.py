@@ -300,13 +300,20 @@ def _(v):
     return stats.effective_rank(v.z(), "z").select(r6(F.col("effective_rank")).alias("effective_rank"))
 
 
-@query("A36b_participation_rank")
+# the sum of singular values is the trace of the root of the Gram matrix, found by coupled Newton steps
+ROOT = GRAM + """, gl AS MATERIALIZED (SELECT list(r ORDER BY i) AS g FROM (SELECT i, list(g ORDER BY j) AS r FROM gm GROUP BY i)), f AS MATERIALIZED (SELECT sqrt(list_sum(list_transform(g, lambda r: list_dot_product(r, r)))) AS f FROM gl),
+    n AS (SELECT 0 AS it, list_transform(g, lambda r: list_transform(r, lambda x: x / f)) AS y, list_transform(g, lambda r, i: list_transform(r, lambda x, j: CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)) AS z FROM gl, f
+        UNION ALL SELECT it + 1, list_transform(y, lambda r: list_transform(t, lambda c: list_dot_product(r, c))), list_transform(t, lambda r: list_transform(z, lambda c: list_dot_product(r, c)))
+        FROM (SELECT it, y, z, list_transform(z, lambda r, i: list_transform(y, lambda c, j: 0.5 * (CASE WHEN i = j THEN 3 ELSE 0 END - list_dot_product(r, c)))) AS t FROM n WHERE it < 40)),
+    sr AS (SELECT list_sum(list_transform(y, lambda r, i: r[i])) * sqrt(f) AS s FROM n, f WHERE it = 40)"""
+
+
+@query("A36b_participation_rank", ROOT + " SELECT (SELECT count(*) FROM v_z) AS n, R6(s * s / list_sum(list_transform(g, lambda r, i: r[i]))) AS participation_rank FROM sr, gl")
 def _(v):
     rank = stats.participation_rank(v.z(), "z", 64)
     return v.z().agg(F.count("*").alias("n")).withColumn("participation_rank", r6(F.lit(rank)))
 
 
-E_VEC = "[x * ((i % 3) - 1) FOR x, i IN z]"
 PAIRV = "zv AS (SELECT vec_id, z, list_transform(z, lambda x, i: x * (1 + (i % 3) / 8.0::DOUBLE)) AS e FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS z FROM embeddings)), pr AS (SELECT list_dot_product(a.z, b.z) AS kz, list_dot_product(a.e, b.e) AS k, a.vec_id AS i, b.vec_id AS j FROM zv a, zv b)"
 
 
@@ -328,15 +335,33 @@ def _(v):
     return f.select(*[r6(F.col(c)).alias(c) for c in ("alignment", "diag_mean", "offdiag_mean", "norm_mean", "norm_sd")])
 
 
-@query("A39_weighted_kernel_error", """a AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS z, row_number() OVER (ORDER BY md5('5|' || vec_id), vec_id) AS pair FROM embeddings), b AS (SELECT CAST(embedding AS DOUBLE[]) AS z, row_number() OVER (ORDER BY md5('6|' || vec_id), vec_id) AS pair FROM embeddings),
-    k AS (SELECT list_dot_product(a.z, b.z) AS kz, list_dot_product(list_transform(a.z, lambda x: x * 1.25), b.z) AS k FROM a JOIN b USING (pair) WHERE pair <= 400)
-    SELECT R6(avg(pow(kz - k, 2))) AS plain, R6(avg(abs(k) * pow(kz - k, 2))) AS weighted_abs, R6(avg(k * k * pow(kz - k, 2))) AS weighted_square FROM k""")
-def _(v):
+# the kernels that a product of embeddings is held against, on sampled pairs
+TRUTH = """a AS (SELECT CAST(embedding AS DOUBLE[]) AS z, row_number() OVER (ORDER BY md5('5|' || vec_id), vec_id) AS pair FROM embeddings), b AS (SELECT CAST(embedding AS DOUBLE[]) AS z, row_number() OVER (ORDER BY md5('6|' || vec_id), vec_id) AS pair FROM embeddings),
+    p AS (SELECT list_dot_product(a.z, b.z) AS kz, pow(list_distance(a.z, b.z), 2) AS d2, list_sum(list_transform(list_zip(a.z, b.z), lambda q: least(abs(q[1]), abs(q[2])))) / list_sum(list_transform(list_zip(a.z, b.z), lambda q: greatest(abs(q[1]), abs(q[2])))) AS ru FROM a JOIN b USING (pair) WHERE pair <= 400),
+    k AS (SELECT 'rbf' AS kind, kz, exp(-d2 / (2 * 0.8 * 0.8)) AS k FROM p UNION ALL SELECT 'rq', kz, pow(1 + d2 / (2 * 1.5 * 0.8 * 0.8), -1.5) FROM p UNION ALL SELECT 'ruzicka', kz, ru FROM p)"""
+
+
+def fidelity(v):
     z = v.table("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("z"))
     p = sampling.sample_pairs(z, "vec_id", 400, 5, ["z"])
-    k = p.select(vectors.dot(F.col("z_a"), F.col("z_b")).alias("kz"), vectors.dot(F.transform("z_a", lambda x: x * 1.25), F.col("z_b")).alias("k"))
-    out = {n: F.avg(w * F.pow(F.col("kz") - F.col("k"), 2)) for n, w in {"plain": F.lit(1.0), "weighted_abs": F.abs("k"), "weighted_square": F.col("k") * F.col("k")}.items()}
-    return k.agg(*[r6(e).alias(n) for n, e in out.items()])
+    d2 = vectors.squared_distance(F.col("z_a"), F.col("z_b"))
+    size_a, size_b = F.transform("z_a", F.abs), F.transform("z_b", F.abs)
+    truth = {"rbf": similarity.rbf(d2, 0.8), "rq": similarity.rational_quadratic(d2, 0.8, 1.5), "ruzicka": vectors.ruzicka(size_a, size_b)}
+    out = None
+    for kind, k in truth.items():
+        part = similarity.pair_errors(p, vectors.dot(F.col("z_a"), F.col("z_b")), k).withColumn("kind", F.lit(kind))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("A37b_kernel_fidelity_pairs", TRUTH + " SELECT kind, R6(sqrt(avg(pow(kz - k, 2)))) AS rmse, R6(sqrt(avg(pow(kz - k, 2))) / (sqrt(avg(k * k)) + 1e-8)) AS rmse_norm, R6(sum(kz * k) / sqrt(sum(kz * kz) * sum(k * k))) AS alignment FROM k GROUP BY kind")
+def _(v):
+    return fidelity(v).select("kind", *[r6(F.col(c)).alias(c) for c in ("rmse", "rmse_norm", "alignment")])
+
+
+@query("A39_weighted_kernel_error", TRUTH + " SELECT kind, R6(avg(pow(kz - k, 2))) AS plain, R6(avg(abs(k) * pow(kz - k, 2))) AS weighted_abs, R6(avg(k * k * pow(kz - k, 2))) AS weighted_square FROM k GROUP BY kind")
+def _(v):
+    return fidelity(v).select("kind", *[r6(F.col(c)).alias(c) for c in ("plain", "weighted_abs", "weighted_square")])
 
 
 @query("A40_orthogonality_error", GRAM + ", n AS (SELECT count(*) AS n FROM v_z) SELECT R6(avg(pow(g / n - CASE WHEN i = j THEN 1 ELSE 0 END, 2))) AS orthogonality_error FROM gm, n")

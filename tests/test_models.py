@@ -65,7 +65,10 @@ def test_full_rank_nystrom_reproduces_the_kernel(spark, kind, params):
     x = np.random.default_rng(2).gamma(1.0, 1.0, (40, 12))
     z = similarity.nystrom(vec_df(spark, x), "id", "z", 40, 40, kind, params).toPandas().sort_values("id")
     zz = np.stack(z["z"])
-    want = similarity.kernel_block(x, x, kind, params) / params.get("n_species", 1)
+    d2 = ((x[:, None] - x[None]) ** 2).sum(-1)
+    low, high = np.minimum(x[:, None], x[None]), np.maximum(x[:, None], x[None])
+    by_species = [low[..., s:s + 4].sum(-1) / high[..., s:s + 4].sum(-1) for s in (0, 4, 8)]
+    want = {"ruzicka": low.sum(-1) / high.sum(-1), "rq": (1 + d2 / 3) ** -1.5, "rbf": np.exp(-d2 / 2), "ruzicka_by_species": sum(by_species) / 3}[kind]
     assert np.abs(zz @ zz.T - want).max() < 1e-6
 
 
@@ -76,15 +79,53 @@ def test_smaller_embedding_is_a_leading_slice(spark):
     assert np.abs(big[:, :3] - small).max() < 1e-9
 
 
-def test_ruzicka_is_symmetric_bounded_and_one_on_the_diagonal(spark):
+@pytest.mark.parametrize("part", [1, 200, 1 << 20])
+@pytest.mark.parametrize("kind", ["ruzicka", "ruzicka_by_species"])
+def test_ruzicka_to_landmarks_holds_every_pair(spark, monkeypatch, kind, part):
+    monkeypatch.setattr(similarity, "PART_BYTES", part)
     rng = np.random.default_rng(6)
-    rows = [(c, s, w, float(rng.integers(1, 9))) for c in range(8) for s in "ab" for w in range(6) if rng.uniform() < 0.6]
-    ab = spark.createDataFrame(rows, "cell INT, species STRING, week INT, x DOUBLE")
-    a = ab.withColumnRenamed("cell", "i")
-    b = ab.withColumnsRenamed({"cell": "j", "x": "y"})
-    k = {(r["i"], r["j"]): r["k"] for r in similarity.ruzicka_pairs(a, b, ["species", "week"]).collect()}
-    assert all(k[(i, i)] == pytest.approx(1.0) for i in range(8))
-    assert all(0 < v <= 1 + 1e-12 and v == pytest.approx(k[(j, i)]) for (i, j), v in k.items())
+    # cells 0-3 and 4-7 share no week, so half of all pairs have similarity 0
+    rows = [(c, s, w + 6 * (c > 3), float(rng.integers(1, 9))) for c in range(8) for s in "ab" for w in range(6) if rng.uniform() < 0.6]
+    vec, width, n = similarity.sparse_vectors(spark.createDataFrame(rows, "cell INT, species STRING, week INT, x DOUBLE"), "cell", 12)
+    got = similarity.against_landmarks(vec, vec, "cell", "vec", kind, {"n_species": n}, width).collect()
+    k = {(r["cell"], r["lm"]): r["k"] for r in got}
+    assert len(got) == len(k) == 64
+    x = np.zeros((8, 2, 12))
+    for c, s, w, v in rows:
+        x[c, "ab".index(s), w] = v
+    x = x if kind == "ruzicka_by_species" else x.reshape(8, 1, 24)
+    for (i, j), v in k.items():
+        low, high = np.minimum(x[i], x[j]).sum(1), np.maximum(x[i], x[j]).sum(1)
+        assert v == pytest.approx(np.divide(low, high, out=np.zeros_like(low), where=high > 0).mean())
+    assert all(k[i, j] == 0 for i in range(4) for j in range(4, 8))
+
+
+def test_leading_pairs_of_many_landmarks(spark):
+    # more landmarks than the first block spans, so the basis has to grow
+    x = np.random.default_rng(3).gamma(1.0, 1.0, (150, 5))
+    z = np.stack(similarity.nystrom(vec_df(spark, x), "id", "z", 4, 150, "rbf", {"lengthscale": 1.0}).toPandas().sort_values("id")["z"])
+    k = np.exp(-((x[:, None] - x[None]) ** 2).sum(-1) / 2)
+    values, basis = np.linalg.eigh(k)
+    best = (basis[:, -4:] * values[-4:]) @ basis[:, -4:].T
+    assert np.abs(z @ z.T - best).max() < 1e-8
+
+
+def test_nystrom_of_few_and_no_rows(spark):
+    df = vec_df(spark, np.ones((3, 2)))
+    assert similarity.nystrom(df, "id", "z", 8, 20, "linear").count() == 3
+    assert similarity.nystrom(df.where("false"), "id", "z", 8, 20, "linear").count() == 0
+
+
+def test_more_pairs_than_rows(spark):
+    df = spark.range(7)
+    got = sampling.sample_pairs(df, "id", 50, 3).collect()
+    assert sorted(r["pair"] for r in got) == list(range(1, 51))
+    # every round of seven uses each row once on each side
+    for side in ("id_a", "id_b"):
+        assert sorted(r[side] for r in got if r["pair"] <= 7) == list(range(7))
+    assert {r["id_a"] for r in got if r["pair"] > 49} < set(range(7))
+    assert len({tuple(r["id_a"] for r in sorted(got) if (r["pair"] - 1) // 7 == c) for c in range(7)}) > 1
+    assert sampling.sample_pairs(df.where("false"), "id", 5, 3).count() == 0
 
 
 def test_sparse_and_dense_vectors_agree(spark):
