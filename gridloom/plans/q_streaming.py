@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from gridloom.plans.registry import query
 from gridloom.plans.views import r6
+from gridloom.sources.sinks import staging
 from gridloom.streaming import operators as ops
 from gridloom.streaming import runs
 
@@ -12,44 +13,61 @@ from gridloom.streaming import runs
 def money():
     return F.col("value").cast("decimal(12,2)")
 
-CLOSED = "lim AS (SELECT max(ts) - INTERVAL 1 DAY AS wm FROM events)"
-
 
 def events(v):
     return runs.table_stream(v.spark, v.sf_dir, "events")
 
 
-def daily(v):
-    rolled = ops.rollup(events(v), "ts", "1 day", "1 day", ["user_id"], [(F.sum(money()).cast("double") / F.count("*")).alias("x")])
+def in_days(v, parts=3):
+    """The events as files in order of time, one micro-batch each."""
+    out = staging(v.spark, "parts")
+    table = v.table("events")
+    first, last = table.agg(F.min(F.to_date("ts")), F.max(F.to_date("ts"))).first()
+    step = (last - first).days // parts + 1
+    for i in range(parts):
+        day = F.datediff(F.to_date("ts"), F.lit(first))
+        table.where((day >= i * step) & (day < (i + 1) * step)).coalesce(1).write.mode("append").parquet(out)
+    stream = runs.folder_stream(v.spark, out, table.schema, files_per_batch=1)
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def daily(stream):
+    rolled = ops.rollup(stream, "ts", "1 day", "1 day", ["user_id"], [(F.sum(money()).cast("double") / F.count("*")).alias("x")])
     return rolled.select("w", "user_id", "x")
 
 
-@query("ST1_stream_ema", CLOSED + """, s AS (SELECT user_id, day, x, row_number() OVER (PARTITION BY user_id ORDER BY day) AS rn FROM v_series, lim WHERE day + INTERVAL 1 DAY <= wm),
+@query("ST1_stream_ema", """s AS (SELECT user_id, day, x, row_number() OVER (PARTITION BY user_id ORDER BY day) AS rn FROM v_series),
     e AS (SELECT user_id, day, rn, x AS state FROM s WHERE rn = 1 UNION ALL SELECT s.user_id, s.day, s.rn, (1 - exp(-0.1::DOUBLE)) * s.x + (1 - (1 - exp(-0.1::DOUBLE))) * e.state FROM e JOIN s ON s.user_id = e.user_id AND s.rn = e.rn + 1)
     SELECT user_id, day, R6(state) AS state, 0::BIGINT AS late FROM e""")
 def _(v):
-    periods = daily(v).select("user_id", F.unix_date(F.to_date("w.start")).cast("bigint").alias("t"), "x")
+    def periods(stream):
+        return daily(stream).select("user_id", F.unix_date(F.to_date("w.start")).cast("bigint").alias("t"), "x")
+
     # closed periods are appended to a table; the state query streams that table
-    path, _ = runs.drain_to_folder(periods, "st1_periods")
-    closed = runs.folder_stream(v.spark, path, periods.schema)
+    path, _ = runs.drain_windows_to_folder(events(v), "ts", periods, "st1_periods")
+    closed = runs.folder_stream(v.spark, path, periods(events(v)).schema)
     rows, _ = runs.drain(ops.ema_state(closed, "user_id", "t", "x"), "st1")
     return rows.select("user_id", F.date_from_unix_date(F.col("t").cast("int")).alias("day"), r6(F.col("state")).alias("state"), "late")
 
 
-@query("ST2_period_rollup", CLOSED + """, w AS (SELECT event_type, time_bucket(INTERVAL 7 DAYS, ts, TIMESTAMP '1970-01-01') AS start, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(12,2))) AS DOUBLE) AS total FROM events GROUP BY ALL)
-    SELECT event_type, CAST(start AS DATE) AS start, n, total FROM w, lim WHERE start + INTERVAL 7 DAYS <= wm""")
+@query("ST2_period_rollup", """w AS (SELECT event_type, time_bucket(INTERVAL 7 DAYS, ts, TIMESTAMP '1970-01-01') AS start, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(12,2))) AS DOUBLE) AS total FROM events GROUP BY ALL)
+    SELECT event_type, CAST(start AS DATE) AS start, n, total FROM w""")
 def _(v):
-    rolled = ops.rollup(events(v), "ts", "7 days", "1 day", ["event_type"], [F.count("*").alias("n"), F.sum(money()).cast("double").alias("total")])
-    rows, _ = runs.drain(rolled.select("event_type", F.to_date("w.start").alias("start"), "n", "total"), "st2")
-    return rows
+    def weekly(stream):
+        rolled = ops.rollup(stream, "ts", "7 days", "1 day", ["event_type"], [F.count("*").alias("n"), F.sum(money()).cast("double").alias("total")])
+        return rolled.select("event_type", F.to_date("w.start").alias("start"), "n", "total")
 
+    return runs.drain_windows(in_days(v), "ts", weekly, "st2")[0]
 
-@query("ST3_sliding_pool", CLOSED + """, d AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL), s AS (SELECT user_id, CAST(day - CAST(o AS INTEGER) AS DATE) AS start, sum(n)::BIGINT AS n FROM d, range(0, 5) AS g(o) GROUP BY ALL)
-    SELECT user_id, start, n FROM s, lim WHERE start + INTERVAL 5 DAYS <= wm""")
+
+@query("ST3_sliding_pool", """d AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL), s AS (SELECT user_id, CAST(day - CAST(o AS INTEGER) AS DATE) AS start, sum(n)::BIGINT AS n FROM d, range(0, 5) AS g(o) GROUP BY ALL)
+    SELECT user_id, start, n FROM s""")
 def _(v):
-    rolled = ops.rollup(events(v), "ts", "5 days", "1 day", ["user_id"], [F.count("*").alias("n")], slide="1 day")
-    rows, _ = runs.drain(rolled.select("user_id", F.to_date("w.start").alias("start"), "n"), "st3")
-    return rows
+    def pooled(stream):
+        rolled = ops.rollup(stream, "ts", "5 days", "1 day", ["user_id"], [F.count("*").alias("n")], slide="1 day")
+        return rolled.select("user_id", F.to_date("w.start").alias("start"), "n")
+
+    return runs.drain_windows(events(v), "ts", pooled, "st3")[0]
 
 
 @query("ST4_stream_mask_clean", """e AS (SELECT event_id, CAST(user_id % 40 AS INTEGER) AS row, CAST(event_id % 32 AS INTEGER) AS col, CASE event_type WHEN 'error' THEN NULL ELSE value END AS value FROM events), j AS (SELECT e.* FROM e JOIN v_land USING (row, col))
@@ -63,14 +81,16 @@ def _(v):
     return rows.withColumn("violations", F.lit(counters["range.violations"]).cast("bigint"))
 
 
-@query("ST5_stream_lockstep", CLOSED + """, a AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS clicks FROM events WHERE event_type = 'click' GROUP BY ALL), b AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS others FROM events WHERE event_type <> 'click' GROUP BY ALL)
-    SELECT user_id, day, clicks, others FROM a JOIN b USING (user_id, day), lim WHERE day + INTERVAL 1 DAY <= wm""")
+@query("ST5_stream_lockstep", """a AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS clicks FROM events WHERE event_type = 'click' GROUP BY ALL), b AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS others FROM events WHERE event_type <> 'click' GROUP BY ALL)
+    SELECT user_id, day, clicks, others FROM a JOIN b USING (user_id, day)""")
 def _(v):
-    a = ops.rollup(events(v).where("event_type = 'click'"), "ts", "1 day", "1 day", ["user_id"], [F.count("*").alias("clicks")])
-    b = ops.rollup(events(v).where("event_type <> 'click'"), "ts", "1 day", "1 day", ["user_id"], [F.count("*").alias("others")])
-    joined = ops.lockstep(a, b, ["user_id"]).select("user_id", F.to_date("w.start").alias("day"), "clicks", "others")
-    rows, _ = runs.drain(joined, "st5")
-    return rows
+    def both(stream):
+        a = ops.rollup(stream.where("event_type = 'click'"), "ts", "1 day", "1 day", ["user_id"], [F.count("*").alias("clicks")])
+        b = ops.rollup(stream.where("event_type <> 'click'"), "ts", "1 day", "1 day", ["user_id"], [F.count("*").alias("others")])
+        return ops.lockstep(a, b, ["user_id"]).select("user_id", F.to_date("w.start").alias("day"), "clicks", "others")
+
+    # one end row on each side of the join
+    return runs.drain_windows(events(v), "ts", both, "st5", [{"event_type": "click", "user_id": 0}, {"event_type": "end", "user_id": 0}])[0]
 
 
 @query("ST6_stream_deduplicate", "SELECT event_id, user_id, event_type, value FROM events")

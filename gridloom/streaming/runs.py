@@ -1,11 +1,18 @@
 """File-source streams and their bounded runs."""
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from gridloom.sources.sinks import staging
 
+#: Event time of end rows, beyond every window of real data.
+END = datetime(9000, 1, 1)
+
 
 def table_stream(spark: SparkSession, folder: str, table: str, files_per_batch: int | None = None) -> DataFrame:
     """Stream one table of a folder; new files of the table become new micro-batches.
@@ -33,10 +40,40 @@ def drain(stream: DataFrame, label: str) -> tuple[DataFrame, dict]:
     return stream.sparkSession.read.schema(stream.schema).parquet(path), counters
 
 
-def drain_to_folder(stream: DataFrame, label: str) -> tuple[str, dict]:
-    """Process everything available into a Parquet folder that another stream may read."""
+def drain_windows_to_folder(source: DataFrame, time: str, build: Callable[[DataFrame], DataFrame], label: str, ends: Sequence[dict] = ({},)) -> tuple[str, dict]:
+    """Process everything available of ``source`` through the windowed query ``build``, the last windows too.
+
+    A bounded run leaves the windows open that its watermark has not passed. When all rows are in, a second run from
+    the same state reads end rows, whose time lies beyond every window, and so closes them; windows of the end rows
+    stay open. ``ends`` gives column values of the end rows: one for each branch of a query that filters its source,
+    with the keys of a join (a row without them never reaches the watermark).
+    """
+    spark = source.sparkSession
+    folder, out, state = (staging(spark, f"{label}{part}") for part in ("_end", "", "_state"))
+    spark.createDataFrame([], source.schema).write.parquet(folder)
+
+    def query() -> DataFrame:
+        return build(source.unionByName(folder_stream(spark, folder, source.schema)))
+
+    _, counters = drain_to_folder(query(), label, (out, state))
+    nullable = StructType([StructField(f.name, f.dataType) for f in source.schema])
+    rows = [tuple(END if f.name == time else end.get(f.name) for f in source.schema) for end in ends]
+    spark.createDataFrame(rows, nullable).write.mode("append").parquet(folder)
+    drain_to_folder(query(), label, (out, state))
+    return out, counters
+
+
+def drain_windows(source: DataFrame, time: str, build: Callable[[DataFrame], DataFrame], label: str, ends: Sequence[dict] = ({},)) -> tuple[DataFrame, dict]:
+    """Rows of :func:`drain_windows_to_folder` and the counters of the run over ``source``."""
+    path, counters = drain_windows_to_folder(source, time, build, label, ends)
+    return source.sparkSession.read.schema(build(source).schema).parquet(path), counters
+
+
+def drain_to_folder(stream: DataFrame, label: str, folders: tuple[str, str] | None = None) -> tuple[str, dict]:
+    """Process everything available into a Parquet folder that another stream may read; ``folders`` (output, state)
+    go on from an earlier run of the same query."""
     spark = stream.sparkSession
-    out, state = staging(spark, label), staging(spark, f"{label}_state")
+    out, state = folders or (staging(spark, label), staging(spark, f"{label}_state"))
     # every micro-batch's progress counts, not only the last hundred's
     keep = "spark.sql.streaming.numRecentProgressUpdates"
     before = spark.conf.get(keep)

@@ -31,6 +31,20 @@ def test_late_period_is_counted_not_folded(spark, tmp_path):
     assert sorted((r["t"], r["state"], r["late"]) for r in got.collect()) == [(5, 10.0, 0), (6, 15.0, 1)]
 
 
+def test_last_windows_come_out(spark, tmp_path):
+    path = str(tmp_path / "in")
+    for day in (1, 2, 3):
+        spark.sql(f"SELECT id % 2 AS k, timestamp'2024-01-0{day} 06:00:00' AS ts FROM range(3)").coalesce(1).write.mode("append").parquet(path)
+    source = runs.folder_stream(spark, path, "k BIGINT, ts TIMESTAMP", files_per_batch=1)
+
+    def daily(stream):
+        return ops.rollup(stream, "ts", "1 day", "1 day", ["k"], [F.count("*").alias("n")]).select("k", F.dayofmonth("w.start").alias("day"), "n")
+
+    rows, counters = runs.drain_windows(source, "ts", daily, "t5")
+    assert sorted(tuple(r) for r in rows.collect()) == [(k, d, 2 - k) for k in (0, 1) for d in (1, 2, 3)]
+    assert counters["input_rows"] == 9 and counters["late_rows"] == 0
+
+
 def test_duplicates_and_late_rows(spark, tmp_path):
     schema = "id INT, ts TIMESTAMP"
     path = str(tmp_path / "in")
