@@ -36,6 +36,16 @@ def parse_month_name(path: Column) -> dict[str, Column]:
     }
 
 
+def parse_band_name(path: Column) -> dict[str, Column]:
+    """name + year + band of ``<name>_<yyyy>_band<n>.<ext>``."""
+    pattern = r"([A-Za-z]\w*)_(\d{4})_band(\d+)\.[a-z]+$"
+    return {
+        "name": F.nullif(F.regexp_extract(path, pattern, 1), F.lit("")),
+        "year": F.nullif(F.regexp_extract(path, pattern, 2), F.lit("")).try_cast("int"),
+        "band": F.nullif(F.regexp_extract(path, pattern, 3), F.lit("")).try_cast("int"),
+    }
+
+
 def parse_kernel_label(label: Column) -> dict[str, Column]:
     """direction and distance bin of ``to_DIR_lo-hi``."""
     return {

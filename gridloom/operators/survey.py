@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from gridloom.functions.geo import coarse
 
 
-def quality_visits(effort: DataFrame, first_year: int, last_year: int, run_type: int = 1) -> DataFrame:
-    return effort.where((F.col("run_type") == run_type) & F.col("year").between(first_year, last_year))
+def quality_visits(effort: DataFrame, first_year: int, last_year: int, run_type: int = 1, protocol: int | None = None) -> DataFrame:
+    """Runs of the wanted type in the year range; with ``protocol`` also of that run protocol (column ``rpid``)."""
+    good = effort.where((F.col("run_type") == run_type) & F.col("year").between(first_year, last_year))
+    return good if protocol is None else good.where(F.col("rpid") == protocol)
 
 
 def zero_fill_counts(visits: DataFrame, counts: DataFrame, keys: Sequence[str], count: str = "n") -> DataFrame:

@@ -89,11 +89,11 @@ def _(v):
     return native_range(cells, last_year=1997, ncols=32)
 
 
-@query("P12_bounds_check", """SELECT row, col, year, month, value FROM v_cells SEMI JOIN v_land USING (row, col) WHERE row < (SELECT max(row) FROM v_grid) AND col < 30""")
+@query("P12_bounds_check", """SELECT row, col, year, month, value FROM v_cells SEMI JOIN v_land USING (row, col) WHERE row BETWEEN 0 AND (SELECT max(row) FROM v_grid) AND col BETWEEN 0 AND 31""")
 def _(v):
     from gridloom.operators.survey import in_bounds
 
-    return in_bounds(v.cells(), v.grid().agg(F.max("row")).scalar(), F.lit(30), v.land())
+    return in_bounds(v.cells(), v.grid().agg(F.max("row") + 1).scalar(), F.lit(32), v.land())
 
 
 @query("P13_time_index", "SELECT row, col, year - 1996 AS t, v FROM v_annual WHERE year BETWEEN 1996 AND 2000")
@@ -140,12 +140,12 @@ def _(v):
     return grid.sample_points(at, v.grid()).select("c_custkey", "row", "col", "is_ocean")
 
 
-TARGET = "tg AS (SELECT row, col FROM v_grid WHERE row * 1.5 + 0.75 < (SELECT max(row) FROM v_grid) AND col < 20)"
+# every cell is a target, so edges and targets beyond the source are met too
+TARGET = "tg AS (SELECT row, col FROM v_grid)"
 
 
 def target(v):
-    g = v.grid()
-    return g.where((F.col("row") * 1.5 + 0.75 < g.agg(F.max("row")).scalar()) & (F.col("col") < 20)).select("row", "col")
+    return v.grid().select("row", "col")
 
 
 @query("P17_nearest_regrid", TARGET + """ SELECT tg.row, tg.col, g.is_ocean FROM tg LEFT JOIN v_grid g ON g.row = CAST(floor((tg.row + 0.5) * 1.5) AS INTEGER) AND g.col = CAST(floor((tg.col + 0.5) * 1.5) AS INTEGER)""")

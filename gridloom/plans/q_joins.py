@@ -33,6 +33,12 @@ def _(v):
     return survey.quality_visits(v.effort(), 1996, 2000)
 
 
+@query("P10b_quality_protocol", "SELECT o_orderkey AS visit, CAST(year(o_orderdate) AS INTEGER) AS year, CASE WHEN o_orderpriority = '1-URGENT' THEN 102 ELSE 101 END AS rpid FROM orders WHERE o_orderstatus = 'F' AND year(o_orderdate) BETWEEN 1993 AND 2000 AND o_orderpriority <> '1-URGENT'")
+def _(v):
+    protocol = v.table("orders").select(F.col("o_orderkey").alias("visit"), F.when(F.col("o_orderpriority") == "1-URGENT", 102).otherwise(101).alias("rpid"))
+    return survey.quality_visits(v.effort().join(protocol, "visit"), 1993, 2000, protocol=101).select("visit", "year", "rpid")
+
+
 @query("J1_zero_fill", VISITS + ", " + SMALL + " SELECT visit, route, year, coalesce(n, 0) AS n FROM vis LEFT JOIN cnt USING (visit)")
 def _(v):
     return filled(v)

@@ -2,14 +2,21 @@
 from __future__ import annotations
 
 import csv
-from collections.abc import Sequence
+import io
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed sentinel values that mean "no data" in the climate layers.
 SENTINELS = (-9999.0, -999.0, -99.0)
 
+#: Largest Parquet file taken for one that holds a footer only.
+EMPTY_BYTES = 1 << 20
+
 
 def scan_csv(spark: SparkSession, paths: Sequence[str], schema: str, columns: Sequence[str], encoding: str = "UTF-8") -> DataFrame:
     """Many CSV files as one table; unread columns are never parsed."""
@@ -29,39 +36,80 @@ def list_files(spark: SparkSession, paths: Sequence[str], glob: str | None = Non
     return reader.load(list(paths)).select("path", "length")
 
 
+def _plain_path(path: Column) -> Column:
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
+def _file_path() -> Column:
+    """Path of the file a row came from, as listings write it."""
+    return _plain_path(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))))
+
+
+def _first_lines(spark: SparkSession, paths: Sequence[str], glob: str) -> DataFrame:
+    """(path, header): first line of every file that has one."""
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(list(paths))
+    # a header stands in the first split; each task keeps one line per file before the shuffle
+    heads = lines.where(F.col("_metadata.file_block_start") == 0).select("value", _file_path().alias("path"), F.monotonically_increasing_id().alias("n"))
+    return heads.groupBy("path").agg(F.min_by("value", "n").alias("header"))
+
+
 def scan_csv_tolerant(spark: SparkSession, paths: Sequence[str], columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows, skipped): files without the wanted header are left out and listed.
+    """(rows, skipped): files whose first line lacks a wanted column are left out and listed (files of no bytes are no
+    files to Spark).
 
-    Only one header line per file reaches the driver; files with the same header are
-    read together. All values stay strings, see :func:`coerce_keys`.
+    The first line alone decides, read as CSV (names may stand in quotes, with commas inside). Distinct headers reach
+    the driver with their files; files with the same header are read together. All values stay strings, see
+    :func:`coerce_keys`.
     """
-    # header names may stand in quotes
-    tokens = F.transform(F.split("value", ","), lambda t: F.regexp_replace(F.trim(t), '^"|"$', ""))
-    is_header = F.lit(True)
-    for c in columns:
-        is_header = is_header & F.array_contains(tokens, c)
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(list(paths)).select("value", F.col("_metadata.file_path").alias("path"))
-    headers = lines.where(is_header).groupBy("path").agg(F.min("value").alias("header"))
-    by_header: dict[str, list[str]] = {}
-    for row in headers.collect():
-        by_header.setdefault(row["header"], []).append(row["path"])
+    by_header: dict[tuple, list[str]] = {}
+    for row in _first_lines(spark, paths, "*.csv").collect():
+        names = [n.strip() for n in next(csv.reader([row["header"].lstrip("\ufeff")], skipinitialspace=True), [])]
+        if set(columns) <= set(names):
+            by_header.setdefault(tuple(names), []).append(row["path"])
     rows = None
     for header in sorted(by_header):
-        schema = ", ".join(f"`{name}` STRING" for name in next(csv.reader([header])))
+        schema = ", ".join("`" + name.replace("`", "``") + "` STRING" for name in header)
         part = scan_csv(spark, by_header[header], schema, columns)
         rows = part if rows is None else rows.unionByName(part)
     if rows is None:
         raise ValueError("no file has the wanted columns")
-    files = lines.select("path").distinct()
-    return rows, files.join(headers, "path", "left_anti")
+    good = spark.createDataFrame([(p,) for found in by_header.values() for p in found], "path STRING")
+    files = list_files(spark, paths, "*.csv").select(_plain_path(F.col("path")).alias("path"))
+    return rows, files.join(good, "path", "left_anti")
 
 
 def scan_parquet_tolerant(spark: SparkSession, paths: Sequence[str], schema: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, skipped): unreadable Parquet files are skipped and listed."""
+    """(rows, skipped): Parquet files give what can be read; files that can't be read whole are listed.
+
+    A file is whole when decoding all columns gives as many rows as its footer states (the count without columns).
+    A valid file without rows is not listed: files up to ``EMPTY_BYTES`` that gave nothing show their footer.
+    Counting decodes the data once more, when ``skipped`` is asked for.
+    """
     rows = spark.read.schema(schema).option("ignoreCorruptFiles", True).option("recursiveFileLookup", True).parquet(*paths)
-    readable = rows.select(F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("path")).distinct()
-    listed = list_files(spark, paths).select(F.regexp_replace("path", "^file:/+", "/").alias("path"))
-    return rows, listed.join(readable, "path", "left_anti")
+    stated = rows.groupBy(_file_path().alias("path")).agg(F.count("*").alias("_stated"))
+    decoded = rows.groupBy(_file_path().alias("path")).agg(F.count("*").alias("_read"), *[F.count(c).alias(f"_n{i}") for i, c in enumerate(rows.columns)])
+    small = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths)).where(F.col("length") <= EMPTY_BYTES)
+
+    def empty(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[["path"]][[_states_no_rows(c) for c in batch["content"]]]
+
+    valid = small.select("path", "content").mapInPandas(empty, "path STRING").select(_plain_path(F.col("path")).alias("path"))
+    files = list_files(spark, paths).select(_plain_path(F.col("path")).alias("path"))
+    checked = files.join(stated, "path", "left").join(decoded, "path", "left")
+    # naming every count keeps all columns in the scan
+    wrong = F.col("_read") != F.col("_stated")
+    for i in range(len(rows.columns)):
+        wrong = wrong | (F.col(f"_n{i}") > F.col("_stated"))
+    broken = checked.where(F.coalesce(wrong, F.lit(True))).select("path")
+    return rows, broken.join(valid, "path", "left_anti")
+
+
+def _states_no_rows(content: bytes) -> bool:
+    try:
+        return pq.read_metadata(io.BytesIO(content)).num_rows == 0
+    except (pa.ArrowException, OSError):
+        return False
 
 
 def scan_csv_any_charset(spark: SparkSession, paths: Sequence[str], schema: str) -> DataFrame:

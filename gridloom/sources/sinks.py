@@ -32,7 +32,9 @@ def write_missing_years(df: DataFrame, path: str) -> DataFrame:
     try:
         done = spark.read.parquet(path).select("year").distinct()
         todo = df.join(done, "year", "left_anti")
-    except AnalysisException:
+    except AnalysisException as problem:
+        if problem.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         todo = df
     write_yearly(todo, path, mode="append")
     return spark.read.parquet(path)

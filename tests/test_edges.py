@@ -29,6 +29,32 @@ def test_quoted_header(spark, tmp_path):
     assert skipped.count() == 0
 
 
+def test_header_is_the_first_line_only(spark, tmp_path):
+    (tmp_path / "a b.csv").write_text('"route","visit, long","visit"\n1,x,2\n')
+    (tmp_path / "late.csv").write_text("note,other\nvisit,route\n")
+    rows, skipped = scans.scan_csv_tolerant(spark, [str(tmp_path)], ["visit", "route"])
+    assert [(r.visit, r.route) for r in rows.collect()] == [("2", "1")]
+    assert sorted(r.path.rsplit("/", 1)[1] for r in skipped.collect()) == ["late.csv"]
+
+
+def test_parquet_files_broken_and_empty(spark, tmp_path):
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    # incompressible values in many row groups, so that the break lies behind readable ones
+    table = pa.table({"x": np.random.default_rng(1).normal(size=40000)})
+    for name, rows in (("whole one", table), ("broken", table), ("empty", table.slice(0, 0))):
+        pq.write_table(rows, tmp_path / f"{name}.parquet", row_group_size=4000, use_dictionary=False)
+    raw = bytearray((tmp_path / "broken.parquet").read_bytes())
+    raw[len(raw) // 2:len(raw) // 2 + 40000] = b"\xff" * 40000
+    (tmp_path / "broken.parquet").write_bytes(bytes(raw))
+    (tmp_path / "text.parquet").write_text("no parquet")
+    rows, skipped = scans.scan_parquet_tolerant(spark, [str(tmp_path)], "x DOUBLE")
+    assert 40000 <= rows.agg({"x": "count"}).first()[0] < 80000
+    assert sorted(r.path.rsplit("/", 1)[1] for r in skipped.collect()) == ["broken.parquet", "text.parquet"]
+
+
 def test_cyclic_edges_are_refused(spark):
     with pytest.raises(ValueError):
         traits.ancestors(spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0)], "child string, parent string, length double"))
