@@ -8,6 +8,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -53,20 +55,17 @@ def linear_interpolate(anchors: DataFrame, keys: Sequence[str], time: str, value
     """Annual linear interpolation, extrapolating with the two nearest anchors; a single anchor
     stays constant, a key without anchors stays missing."""
     prev, nxt = _anchors(keys, time, value)
-    d = dense_periods(anchors, keys, time, first, last).withColumns({"_p": prev, "_n": nxt})
-    points = F.collect_list(F.when(F.col(value).isNotNull(), F.struct(F.col(time).alias("t"), F.col(value).alias("x"))))
-    d = d.withColumn("_a", F.sort_array(points.over(Window.partitionBy(*keys))))
-    p, n, a, t = F.col("_p"), F.col("_n"), F.col("_a"), F.col(time)
-    count = F.size(a)
-
-    def line(i: Column, j: Column) -> Column:
-        return _between(t, F.get(a, i), F.get(a, j))
-
+    point = F.when(F.col(value).isNotNull(), F.struct(F.col(time).alias("t"), F.col(value).alias("x")))
+    up, down = (Window.partitionBy(*keys).orderBy(o).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing) for o in (F.asc(time), F.desc(time)))
+    # the two anchors at each end are enough to extrapolate; a row never carries its whole series
+    ends = {f"_{n}{i}": F.nth_value(point, i, True).over(w) for n, w in (("f", up), ("l", down)) for i in (1, 2)}
+    d = dense_periods(anchors, keys, time, first, last).withColumns({"_p": prev, "_n": nxt, **ends})
+    p, n, t = F.col("_p"), F.col("_n"), F.col(time)
     x = (
-        F.when(count == 0, F.lit(None).cast("double"))
-        .when(count == 1, F.get(a, F.lit(0))["x"])
-        .when(p.isNull(), line(F.lit(0), F.lit(1)))
-        .when(n.isNull(), line(count - 2, count - 1))
+        F.when(F.col("_f1").isNull(), F.lit(None).cast("double"))
+        .when(F.col("_f2").isNull(), F.col("_f1")["x"])
+        .when(p.isNull(), _between(t, F.col("_f1"), F.col("_f2")))
+        .when(n.isNull(), _between(t, F.col("_l2"), F.col("_l1")))
         .when(p["t"] == n["t"], p["x"])
         .otherwise(_between(t, p, n))
     )
@@ -98,24 +97,38 @@ def ema(df: DataFrame, keys: Sequence[str], time: str, value: str, alpha: float
     The first value seeds the state; a missing value holds it (or, with
     ``nan_policy='reference'``, makes it missing for ever). Expects one row per key and period.
     """
-    seq = F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), F.col(value).alias("x"))))
-    a = F.lit(alpha)
-    empty = F.array().cast("array<struct<t:bigint,s:double,dead:boolean>>")
-
-    def step(acc: Column, p: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        started = (F.size(acc) > 0) & (last["s"].isNotNull())
-        held = F.lit(False) if nan_policy == "hold" else F.coalesce(last["dead"], F.lit(False)) | p["x"].isNull()
-        s = (
-            F.when(held, F.lit(None).cast("double"))
-            .when(p["x"].isNull(), last["s"])
-            .when(~started, p["x"])
-            .otherwise(a * p["x"] + (1 - a) * last["s"])
-        )
-        return F.concat(acc, F.array(F.struct(p["t"].cast("bigint").alias("t"), s.alias("s"), held.alias("dead"))))
-
-    folded = df.groupBy(*keys).agg(seq.alias("_seq")).select(*keys, F.inline(F.aggregate("_seq", empty, step)))
-    return folded.select(*keys, F.col("t").alias(time), F.col("s").alias("state"))
+    seq = F.array_sort(F.collect_list(F.struct(F.col(time).cast("bigint").alias("t"), F.col(value).cast("double").alias("x"))))
+
+    @F.pandas_udf("array<double>")
+    def fold(series: pd.Series) -> pd.Series:
+        out: list = []
+        longest = max((len(x) for x in series), default=0)
+        step = max(1, (1 << 21) // max(longest, 1))
+        for start in range(0, len(series), step):
+            part = [np.asarray(x, dtype=float) for x in series.iloc[start:start + step]]
+            out.extend(_fold_rows(part, alpha, nan_policy == "hold"))
+        return pd.Series(out, dtype=object)
+
+    series = df.groupBy(*keys).agg(seq.alias("_seq"))
+    folded = series.withColumn("_s", fold(F.transform("_seq", lambda p: p["x"])))
+    pairs = F.explode(F.zip_with("_seq", "_s", lambda p, s: F.struct(p["t"].alias("t"), F.nanvl(s, F.lit(None).cast("double")).alias("s"))))
+    return folded.select(*keys, pairs.alias("_e")).select(*keys, F.col("_e.t").alias(time), F.col("_e.s").alias("state"))
+
+
+def _fold_rows(rows: list[np.ndarray], alpha: float, hold: bool) -> list[np.ndarray]:
+    """States of many series at once, period by period; NaN is a missing value."""
+    x = np.full((len(rows), max((len(r) for r in rows), default=0)), np.nan)
+    for i, r in enumerate(rows):
+        x[i, :len(r)] = r
+    level, dead = np.full(len(rows), np.nan), np.zeros(len(rows), dtype=bool)
+    for t in range(x.shape[1]):
+        now = x[:, t]
+        missing = np.isnan(now)
+        level = np.where(missing, level, np.where(np.isnan(level), now, alpha * now + (1 - alpha) * level))
+        if not hold:
+            dead |= missing
+        x[:, t] = np.where(dead, np.nan, level)
+    return [x[i, :len(r)] for i, r in enumerate(rows)]
 
 
 def circular_smooth(df: DataFrame, keys: Sequence[str], period: str, value: str, sigma: float, n_periods: int = 52, clip: bool = True) -> DataFrame:
