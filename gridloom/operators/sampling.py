@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridloom.functions.ordering import row_numbers, running_min_before, running_totals
+from gridloom.functions.ordering import row_numbers, running_min_before
 
 
 def hash_key(keys: Sequence[str], seed: int) -> Column:

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridloom.operators.clean import one_row
 from gridloom.operators.focal import apply_kernels, inverse_distance
 from gridloom.session import durable
 

@@ -3,8 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridloom.functions import geo, links, text, vectors
-from gridloom.operators import clean, grid, traits
+from gridloom.functions import geo, links, text
+from gridloom.operators import clean, grid
 from gridloom.plans.registry import query
 from gridloom.plans.views import r6
 

@@ -3,9 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridloom.operators import rates, sampling, similarity, survey, temporal, traits
+from gridloom.operators import sampling, similarity, survey, temporal, traits
 from gridloom.plans.registry import query
-from gridloom.plans.views import r6
 
 
 @query("T1_species_major_vectors", """SELECT cell, list(species ORDER BY species, week) AS species, list(week ORDER BY species, week) AS weeks, list(x ORDER BY species, week) AS vec FROM v_abund GROUP BY cell""")

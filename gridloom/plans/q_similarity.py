@@ -5,9 +5,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from gridloom.functions import vectors
-from gridloom.operators import clean, rates, sampling, similarity, stats, temporal, traits
+from gridloom.operators import clean, sampling, similarity, stats, traits
 from gridloom.plans.q_rates import BETA_S, B_SQL
-from gridloom.plans.q_temporal import SMOOTH, smoothed
 from gridloom.plans.registry import query
 from gridloom.plans.views import r6
 from gridloom.session import durable

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridloom.functions import ordering, vectors
-from gridloom.operators import clean, grid, rates, sampling, similarity, stats, survey, temporal
+from gridloom.operators import grid, rates, sampling, similarity, stats, survey, temporal
 from gridloom.plans.q_joins import SMALL, VISITS, filled, fine_cell
 from gridloom.plans.q_rates import BETA_S, B_SQL, R0, r0
 from gridloom.plans.registry import query
