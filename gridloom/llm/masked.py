@@ -1,11 +1,14 @@
 """Masked pseudo-likelihood: a bidirectional window network predicts every word from both of its sides.
 
-Words are classes: the most frequent words of the whole corpus have one each, the others share ``TAIL`` by hash.
+Words are classes: the most frequent words of the whole corpus have one each, the others share a fourth of the classes
+by hash; the number of classes grows with the square root of the number of distinct words. Inside a shared class a
+word has its exact share of the class' occurrences in the corpus, so P(word | sides) = P(class | sides) n(word) / n(class).
 A network with one hidden layer sees the two classes before and the two after a place and predicts the class
 in two steps (a group of classes, then the class inside it). It starts from the corpus' class frequencies;
 each task then trains a copy on the masked places of all its texts (every sixth, from a different place in
 every text) and the copies are averaged by the places they saw. A text's score is the sum, over all
-its words, of the log probability of the word's class given both sides.
+its words, of the log probability of the word given both sides. The counts n are a table: the ``KNOWN`` most frequent
+words travel with the model, a text's other words of shared classes are joined to the table.
 
 Words are lower-cased runs of ASCII letters, digits, underscores and non-ASCII characters. Texts without
 words, and null texts, have score 0 and a null mean. Repeated texts get equal scores and count as often as
@@ -21,9 +24,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.llm import flat
+from gridloom.llm.links import Kept
 
+#: The smallest network; ``groups`` says how many groups of as many classes a corpus gets.
 GROUP = 32
 CLASSES, TAIL = GROUP * GROUP, 256
+KNOWN = 1 << 16
 SIDE, HIDDEN = (-2, -1, 1, 2), 16
 MASK_EVERY, BATCH, RATE, ROW_RATE = 6, 512, 0.5, 0.05
 CHUNK = 1 << 15
@@ -35,6 +41,22 @@ def _hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat.hashes(data, starts, ends), first
 
 
+def groups(words: int) -> int:
+    """Groups, and classes in each, for so many distinct words: about 2.25 sqrt(words) classes."""
+    return max(GROUP, int(np.ceil(1.5 * words**0.25)))
+
+
+def _tail(group: int) -> int:
+    """Shared classes: a power of two, a fourth of the classes or less."""
+    return 1 << ((group * group // 4).bit_length() - 1)
+
+
+def _find(sorted_: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each hash in ``sorted_`` (not empty), and whether it is there."""
+    at = np.minimum(np.searchsorted(sorted_, hashes), len(sorted_) - 1)
+    return at, sorted_[at] == hashes
+
+
 def _count(batches):
     for batch in batches:
         for part in flat.slices(batch, batch.schema.names[0]):
@@ -45,45 +67,50 @@ def _count(batches):
 class Network:
     """Word classes, and the weights as one flat vector with named views."""
 
-    SHAPES = {"rows": (len(SIDE), CLASSES + 1, HIDDEN), "hidden": (HIDDEN,), "to_group": (HIDDEN, GROUP), "group": (GROUP,), "to_class": (HIDDEN, GROUP), "inner": (GROUP, GROUP)}
-
-    def __init__(self, words: np.ndarray, weights: np.ndarray):
-        self.words, self.weights = words, weights
+    def __init__(self, words: np.ndarray, weights: np.ndarray, group: int = GROUP):
+        self.words, self.weights, self.size = words, weights, group
+        self.outside, self.shared = group * group, _tail(group)
         self.order = np.argsort(words)
         self.sorted = words[self.order]
         at = 0
-        for name, shape in self.SHAPES.items():
+        for name, shape in self.shapes(group).items():
             size = int(np.prod(shape))
             setattr(self, name, weights[at:at + size].reshape(shape))
             at += size
 
+    @staticmethod
+    def shapes(group: int) -> dict[str, tuple[int, ...]]:
+        return {"rows": (len(SIDE), group * group + 1, HIDDEN), "hidden": (HIDDEN,), "to_group": (HIDDEN, group), "group": (group,), "to_class": (HIDDEN, group), "inner": (group, group)}
+
     @classmethod
     def start(cls, words: np.ndarray, frequency: np.ndarray) -> Network:
-        size = sum(int(np.prod(s)) for s in cls.SHAPES.values())
-        net = cls(words, np.random.default_rng(7).normal(0, 0.1, size).astype(np.float32))
-        table = (frequency + 0.5).reshape(GROUP, GROUP)
+        group = int(np.sqrt(len(frequency)))
+        size = sum(int(np.prod(s)) for s in cls.shapes(group).values())
+        net = cls(words, np.random.default_rng(7).normal(0, 0.1, size).astype(np.float32), group)
+        table = (frequency + 0.5).reshape(group, group)
         net.hidden[:] = 0
         net.group[:] = np.log(table.sum(1) / table.sum())
         net.inner[:] = np.log(table / table.sum(1, keepdims=True))
         return net
 
     def classes(self, hashes: np.ndarray) -> np.ndarray:
+        shared = self.outside - self.shared + (hashes % flat.U(self.shared)).astype(np.int64)
         if not len(self.sorted):
-            return (CLASSES - TAIL + hashes % flat.U(TAIL)).astype(np.int64)
-        at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
-        return np.where(self.sorted[at] == hashes, self.order[at], CLASSES - TAIL + (hashes % flat.U(TAIL)).astype(np.int64))
+            return shared
+        at, there = _find(self.sorted, hashes)
+        return np.where(there, self.order[at], shared)
 
     def forward(self, around: np.ndarray, word: np.ndarray):
         z = self.hidden + self.rows[0][around[:, 0]]
         for s in range(1, len(SIDE)):
             z += self.rows[s][around[:, s]]
         h = np.tanh(z, out=z)
-        group = word // GROUP
+        group = word // self.size
         one = h @ self.to_group + self.group
         two = h @ self.to_class + self.inner[group]
         logs = np.zeros(len(word), np.float32)
         each = np.arange(len(word))
-        for logits, target in ((one, group), (two, word % GROUP)):
+        for logits, target in ((one, group), (two, word % self.size)):
             logits -= logits.max(1, keepdims=True)
             picked = logits[each, target]
             np.exp(logits, out=logits)
@@ -94,9 +121,9 @@ class Network:
 
     def learn(self, around: np.ndarray, word: np.ndarray) -> None:
         _, h, one, two = self.forward(around, word)
-        each, group, rate = np.arange(len(word)), word // GROUP, RATE / len(word)
+        each, group, rate = np.arange(len(word)), word // self.size, RATE / len(word)
         one[each, group] -= 1
-        two[each, word % GROUP] -= 1
+        two[each, word % self.size] -= 1
         back = (one @ self.to_group.T + two @ self.to_class.T) * (1 - h * h)
         self.to_group -= rate * (h.T @ one)
         self.to_class -= rate * (h.T @ two)
@@ -108,20 +135,20 @@ class Network:
             np.subtract.at(self.rows[s], around[:, s], back)
 
 
-def _sides(word: np.ndarray, first: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Classes around the places ``at``; outside a text lies class CLASSES."""
+def _sides(word: np.ndarray, first: np.ndarray, at: np.ndarray, outside: int) -> np.ndarray:
+    """Classes around the places ``at``; beyond a text lies the class ``outside``."""
     text = np.searchsorted(first, at, "right") - 1
     low, high = first[text], first[text + 1]
     out = np.empty((len(at), len(SIDE)), np.int64)
     for s, d in enumerate(SIDE):
         i = at + d
         inside = (i >= low) & (i < high)
-        out[:, s] = np.where(inside, word[np.where(inside, i, 0)], CLASSES)
+        out[:, s] = np.where(inside, word[np.where(inside, i, 0)], outside)
     return out
 
 
-def _train(batches, words, weights):
-    net, seen = Network(words, weights.copy()), 0
+def _train(batches, words, weights, group):
+    net, seen = Network(words, weights.copy(), group), 0
     for batch in batches:
         for part in flat.slices(batch, batch.schema.names[0]):
             hashes, first = _hashes(part.column(0))
@@ -131,59 +158,134 @@ def _train(batches, words, weights):
             at = at[np.argsort(flat.mix(hashes[at] ^ at.astype(np.uint64)), kind="stable")]
             for k in range(0, len(at), BATCH):
                 own = at[k:k + BATCH]
-                net.learn(_sides(word, first, own), word[own])
+                net.learn(_sides(word, first, own, net.outside), word[own])
             seen += len(at)
     if seen:
         yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([net.weights.tolist()], pa.list_(pa.float32()))], ["seen", "weights"])
 
 
-def train(docs: DataFrame, text: str = "text", rounds: int = 1) -> Network:
-    """Count the words of all texts, then train on all of them; only the model reaches the driver."""
-    texts = docs.select(text)
-    counts = texts.mapInArrow(_count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    tail = F.expr(f"cast(h & {TAIL - 1} as int)")
-    own = CLASSES - TAIL
-    # one pass over the counts: the most frequent words, and the totals of the shared classes
-    counts = counts.withColumn("tail", tail).persist()
-    top = counts.orderBy(F.desc("n"), "h").limit(own).toPandas()
-    totals = counts.groupBy("tail").agg(F.sum("n").alias("n")).toPandas()
-    counts.unpersist()
-    frequency = np.zeros(CLASSES)
+def count(docs: DataFrame, kept: Kept, text: str = "text") -> DataFrame:
+    """h (hash), n: how often each word occurs in all texts, as a kept table."""
+    return kept.keep(docs.select(text).mapInArrow(_count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
+
+
+def _totals(counts: DataFrame, top, group: int) -> np.ndarray:
+    """Occurrences of every class: of the words ``top``, and of all others of each shared class."""
+    shared = _tail(group)
+    own = group * group - shared
+    totals = counts.groupBy(F.expr(f"cast(h & {shared - 1} as int)").alias("tail")).agg(F.sum("n").alias("n")).toPandas()
+    frequency = np.zeros(group * group)
     frequency[:len(top)] = top["n"]
     frequency[own + totals["tail"].to_numpy(np.int64)] = totals["n"]
-    np.subtract.at(frequency, own + top["tail"].to_numpy(np.int64), top["n"].to_numpy(float))
+    np.subtract.at(frequency, own + (top["h"].to_numpy(np.int64) & (shared - 1)), top["n"].to_numpy(float))
+    return frequency
+
+
+def _common(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and counts of all words from a count on that at most ``most`` words reach."""
+    level = F.floor(16 * F.log2("n"))
+    levels = counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect()  # 16 a doubling
+    within = [r["level"] for r, words in zip(levels, np.cumsum([r["words"] for r in levels])) if words <= most]
+    if not within:
+        return np.zeros(0, np.uint64), np.zeros(0)
+    found = counts.where(level >= within[-1]).toPandas()
+    h = found["h"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], found["n"].to_numpy(float)[order]
+
+
+def train(docs: DataFrame, text: str = "text", rounds: int = 1, counts: DataFrame | None = None) -> Network:
+    """Train on all texts from the counts of their words (``count``); only the model reaches the driver."""
+    texts = docs.select(text)
+    counts = count(docs, Kept(docs.sparkSession), text) if counts is None else counts
+    group = groups(counts.count())
+    top = counts.orderBy(F.desc("n"), "h").limit(group * group - _tail(group)).toPandas()
+    frequency = _totals(counts, top, group)
     net = Network.start(top["h"].to_numpy(np.int64).view(np.uint64), frequency)
     for _ in range(rounds):
         now = net
-        copies = texts.mapInArrow(lambda b, w=now.words, v=now.weights: _train(b, w, v), "seen long, weights array<float>")
+        copies = texts.mapInArrow(lambda b, w=now.words, v=now.weights: _train(b, w, v, group), "seen long, weights array<float>")
         mean = copies.select("seen", F.posexplode("weights").alias("k", "w")).groupBy("k").agg((F.sum(F.col("w").cast("double") * F.col("seen")) / F.sum("seen")).alias("w")).toPandas()
         if len(mean):
             weights = np.zeros(len(now.weights), np.float32)
             weights[mean["k"].to_numpy()] = mean["w"].to_numpy(np.float32)
-            net = Network(now.words, weights)
+            net = Network(now.words, weights, group)
+    net.frequency = frequency
     return net
 
 
-def score(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
-    """``docs`` with n_tokens, log_likelihood (sum over all words) and mean_log_likelihood."""
-    words, weights = net.words, net.weights
+def _runs(net: Network, word: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Log probability of the class at every place."""
+    logs = np.zeros(len(word))
+    for k in range(0, len(word), CHUNK):
+        at = np.arange(k, min(k + CHUNK, len(word)))
+        logs[at] = net.forward(_sides(word, first, at, net.outside), word[at])[0]
+    return logs
+
+
+def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    total = np.r_[0.0, np.cumsum(values)]
+    return np.where(np.diff(first) > 0, total[first[1:]] - total[first[:-1]], 0.0)
+
+
+def _lists(values: pa.Array, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), values)
+
+
+def score(docs: DataFrame, net: Network, text: str = "text", counts: DataFrame | None = None, known: int = KNOWN) -> DataFrame:
+    """``docs`` with n_tokens, log_likelihood (sum over all words) and mean_log_likelihood. Without ``counts`` a word
+    of a shared class counts as its class. With the counts it was trained from it counts as itself, and a
+    word that the corpus lacks as if it had it once; then the result is without the text."""
+    words, weights, group = net.words, net.weights, net.size
+    double, long = (T.DoubleType(), pa.float64()), (T.LongType(), pa.int64())
+    if counts is None:
+        def make():
+            own = Network(words, weights, group)
+
+            def work(texts):
+                hashes, first = _hashes(texts)
+                sums, sizes = _sums(_runs(own, own.classes(hashes), first), first), np.diff(first)
+                return [sizes, sums, pa.array(sums / np.maximum(sizes, 1), mask=sizes == 0)]
+
+            return work
+
+        return flat.with_columns(docs, text, {"n_tokens": long, "log_likelihood": double, "mean_log_likelihood": double}, make)
+
+    totals = np.log(np.maximum(net.frequency, 1))
+    common, often = _common(counts, known)
+    often = np.log(often)
+    row, rare, times = (flat.fresh(docs, c) for c in ("_row", "_rare", "_times"))
 
     def make():
-        own = Network(words, weights)
+        own = Network(words, weights, group)
+        first_shared = own.outside - own.shared
 
         def work(texts):
             hashes, first = _hashes(texts)
             word = own.classes(hashes)
-            logs = np.zeros(len(word) + 1)
-            for k in range(0, len(word), CHUNK):
-                at = np.arange(k, min(k + CHUNK, len(word)))
-                logs[at + 1] = own.forward(_sides(word, first, at), word[at])[0]
-            total = np.cumsum(logs)
-            sums, sizes = total[first[1:]] - total[first[:-1]], np.diff(first)
-            mean = pa.array(sums / np.maximum(sizes, 1), mask=sizes == 0)
-            return [sizes, np.where(sizes > 0, sums, 0.0), mean]
+            logs, sizes = _runs(own, word, first), np.diff(first)
+            at = np.flatnonzero(word >= first_shared)
+            logs[at] -= totals[word[at]]
+            if len(common) and len(at):
+                where, there = _find(common, hashes[at])
+                logs[at[there]] += often[where[there]]
+                at = at[~there]
+            # each text's other words once, with their number
+            of = np.searchsorted(first, at, "right") - 1
+            order = np.lexsort((hashes[at], of))
+            of, h = of[order], hashes[at][order]
+            new = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (h[1:] != h[:-1])][:len(h)])
+            each = np.bincount(of[new], minlength=len(sizes))
+            return [sizes, _sums(logs, first), _lists(pa.array(h[new].view(np.int64)), each), _lists(pa.array(np.diff(np.r_[new, len(h)]).astype(np.int32)), each)]
 
         return work
 
-    double = (T.DoubleType(), pa.float64())
-    return flat.with_columns(docs, text, {"n_tokens": (T.LongType(), pa.int64()), "log_likelihood": double, "mean_log_likelihood": double}, make)
+    lists = {rare: (T.ArrayType(T.LongType()), pa.list_(pa.int64())), times: (T.ArrayType(T.IntegerType()), pa.list_(pa.int32()))}
+    scored = flat.with_columns(docs, text, {"n_tokens": long, "log_likelihood": double, **lists}, make).drop(text)
+    # written once, so that a row's number stays the same
+    scored = Kept(docs.sparkSession).keep(scored.withColumn(row, F.monotonically_increasing_id()))
+    pairs = scored.select(F.col(row).alias("_r"), F.explode(F.arrays_zip(F.col(rare).alias("h"), F.col(times).alias("c"))).alias("p")).select("_r", "p.h", "p.c")
+    more = pairs.join(counts.where("n > 1"), "h").groupBy("_r").agg(F.sum(F.col("c") * F.log("n")).alias("_more"))  # log 1 = 0
+    full = scored.drop(rare, times).join(more, F.col(row) == F.col("_r"), "left")
+    full = full.withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("_more", F.lit(0.0))).drop(row, "_r", "_more")
+    return full.withColumn("mean_log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import chat, darts, gam, hamming, leaks, lengths, masked, pieces, pii, repeats
+from gridloom.llm.links import Kept
 
 PIECES, RANKS = "piece_bpe_32k.model", "byte_bpe_50k.tiktoken"
 
@@ -26,7 +27,8 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
-    return masked.score(docs, masked.train(docs)).drop("text")
+    counts = masked.count(docs, Kept(spark))
+    return masked.score(docs, masked.train(docs, counts=counts), counts=counts)
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

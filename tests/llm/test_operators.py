@@ -14,6 +14,7 @@ import pytest
 
 import corpus_pipeline
 from gridloom.llm import chat, darts, flat, gam, hamming, leaks, lengths, masked, pieces, repeats
+from gridloom.llm.links import Kept
 from gridloom.llm.queries import PIECES, RANKS, tokenizer
 
 WORD = re.compile(r"[0-9a-z_\u0080-\U0010ffff]+")
@@ -235,6 +236,31 @@ def test_pseudo_likelihood(spark, sf_dir, rows):
     assert masked.score(docs.limit(0), masked.train(docs.limit(0))).count() == 0
 
 
+def test_pseudo_likelihood_of_words(spark, sf_dir):
+    rows = [(i, f"alpha beta w{i % 1500} gamma w{i % 700} rare{i} w{i % 1500}") for i in range(3000)] + [(None, None), (7, "!"), (7, "alpha w3 w3 beta")]
+    docs = docs_of(spark, rows)
+    counts = masked.count(docs, Kept(spark))
+    net = masked.train(docs, counts=counts)
+    n = collections.Counter(masked._hashes(pa.array([t for _, t in rows]))[0].tolist())
+    assert {r.h % 2**64: r.n for r in counts.collect()} == n
+    classes = dict(zip(n, net.classes(np.array(list(n), np.uint64)).tolist()))
+    total = collections.Counter()
+    for h, k in n.items():
+        total[classes[h]] += k
+    assert len(n) > len(net.words) + 900
+    plain = collections.Counter()
+    for r in masked.score(docs, net).collect():
+        share = sum(np.log(n[h] / total[classes[h]]) for h in masked._hashes(pa.array([r.text]))[0].tolist())
+        plain[(r.doc_id, r.n_tokens, round(r.log_likelihood + share, 2))] += 1
+    for known in (0, 500, masked.KNOWN):
+        got = masked.score(docs, net, counts=counts, known=known).collect()
+        found = sorted((r.doc_id or -1, r.n_tokens, r.log_likelihood) for r in got)
+        want = sorted((d or -1, k, v) for d, k, v in plain.elements())
+        assert len(found) == len(rows) and all(a[:2] == b[:2] and abs(a[2] - b[2]) < 0.02 for a, b in zip(found, want))
+    assert {r.mean_log_likelihood is None for r in got if r.n_tokens == 0} == {True}
+    assert masked.groups(54_083) == masked.GROUP < masked.groups(280_729) < masked.groups(10**8)
+
+
 def test_flat_slices_hold_all_rows(rows):
     batch = pa.record_batch({"text": pa.array([t for _, t in rows])})
     assert sum(len(p) for p in flat.slices(batch, "text", 100)) == len(rows)
