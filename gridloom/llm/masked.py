@@ -6,7 +6,8 @@ word has its exact share of the class' occurrences in the corpus, so P(word | si
 A network with one hidden layer sees the two classes before and the two after a place and predicts the class
 in two steps (a group of classes, then the class inside it). It starts from the corpus' class frequencies;
 each task then trains a copy on the masked places of all its texts (every sixth, from a different place in
-every text) and the copies are averaged by the places they saw. A text's score is the sum, over all
+every text) and the copies are averaged by the places they saw. Six such rounds, each from the averaged weights and
+with the next places, mask every word of every text once. The texts' classes are written once for all rounds. A text's score is the sum, over all
 its words, of the log probability of the word given both sides. The counts n are a table: the ``KNOWN`` most frequent
 words travel with the model, a text's other words of shared classes are joined to the table.
 
@@ -64,6 +65,12 @@ def _count(batches):
             yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts, pa.int64())], ["h", "n"])
 
 
+def _subtract(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """Take ``values`` from the rows of ``table``; repeated rows add up. (numpy is faster at it in one dimension.)"""
+    width = table.shape[1]
+    np.subtract.at(table.reshape(-1), (rows[:, None] * width + np.arange(width)).ravel(), np.ascontiguousarray(values, table.dtype).ravel())
+
+
 class Network:
     """Word classes, and the weights as one flat vector with named views."""
 
@@ -129,10 +136,10 @@ class Network:
         self.to_class -= rate * (h.T @ two)
         self.group -= rate * one.sum(0)
         self.hidden -= rate * back.sum(0)
-        np.subtract.at(self.inner, group, ROW_RATE * two)
+        _subtract(self.inner, group, ROW_RATE * two)
         back *= ROW_RATE
         for s in range(len(SIDE)):
-            np.subtract.at(self.rows[s], around[:, s], back)
+            _subtract(self.rows[s], around[:, s], back)
 
 
 def _sides(word: np.ndarray, first: np.ndarray, at: np.ndarray, outside: int) -> np.ndarray:
@@ -147,21 +154,43 @@ def _sides(word: np.ndarray, first: np.ndarray, at: np.ndarray, outside: int) ->
     return out
 
 
-def _train(batches, words, weights, group):
-    net, seen = Network(words, weights.copy(), group), 0
+def _class_type(group: int) -> np.dtype:
+    return np.dtype("<u2" if group * group < 1 << 16 else "<u4")
+
+
+def _classes(batches, words, weights, group):
+    """Classes of all words of each slice, and where its texts begin, as bytes."""
+    net = Network(words, weights, group)
     for batch in batches:
         for part in flat.slices(batch, batch.schema.names[0]):
             hashes, first = _hashes(part.column(0))
-            word = net.classes(hashes)
-            sizes = np.diff(first)
-            at = np.flatnonzero((flat.within(sizes) + np.repeat(sizes, sizes)) % MASK_EVERY == 0)
-            at = at[np.argsort(flat.mix(hashes[at] ^ at.astype(np.uint64)), kind="stable")]
+            if len(hashes):
+                word = net.classes(hashes).astype(_class_type(group))
+                yield pa.RecordBatch.from_arrays([pa.array([word.tobytes()], pa.binary()), pa.array([first.astype("<i8").tobytes()], pa.binary())], ["word", "first"])
+
+
+def _masked(word: np.ndarray, first: np.ndarray, turn: int) -> np.ndarray:
+    """The places of a round, in a mixed order."""
+    sizes = np.diff(first)
+    at = np.flatnonzero((flat.within(sizes) + np.repeat(sizes, sizes) + turn) % MASK_EVERY == 0)
+    return at[np.argsort(flat.mix(at.astype(np.uint64) * flat.U(0x9E3779B97F4A7C15) ^ word[at].astype(np.uint64)), kind="stable")]
+
+
+def _train(batches, words, weights, group, turn):
+    """Weights of this task's copy in rows of HIDDEN, and the places it saw."""
+    net, seen = Network(words, weights.copy(), group), 0
+    for batch in batches:
+        for raw, begin in zip(batch.column(0), batch.column(1)):
+            word, first = np.frombuffer(raw.as_buffer(), _class_type(group)).astype(np.int64), np.frombuffer(begin.as_buffer(), "<i8")
+            at = _masked(word, first, turn)
             for k in range(0, len(at), BATCH):
                 own = at[k:k + BATCH]
                 net.learn(_sides(word, first, own, net.outside), word[own])
             seen += len(at)
     if seen:
-        yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([net.weights.tolist()], pa.list_(pa.float32()))], ["seen", "weights"])
+        rows = np.r_[net.weights, np.zeros(-len(net.weights) % HIDDEN, np.float32)].reshape(-1, HIDDEN)
+        columns = [pa.array(np.ascontiguousarray(rows[:, i])) for i in range(HIDDEN)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows))), pa.array(np.full(len(rows), seen)), *columns], ["k", "seen", *[f"w{i}" for i in range(HIDDEN)]])
 
 
 def count(docs: DataFrame, kept: Kept, text: str = "text") -> DataFrame:
@@ -194,22 +223,26 @@ def _common(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     return h[order], found["n"].to_numpy(float)[order]
 
 
-def train(docs: DataFrame, text: str = "text", rounds: int = 1, counts: DataFrame | None = None) -> Network:
-    """Train on all texts from the counts of their words (``count``); only the model reaches the driver."""
-    texts = docs.select(text)
-    counts = count(docs, Kept(docs.sparkSession), text) if counts is None else counts
+def train(docs: DataFrame, text: str = "text", rounds: int = MASK_EVERY, counts: DataFrame | None = None) -> Network:
+    """Train on all texts from the counts of their words (``count``); after MASK_EVERY rounds every word has been
+    masked once. Only the model reaches the driver."""
+    kept = Kept(docs.sparkSession)
+    counts = count(docs, kept, text) if counts is None else counts
     group = groups(counts.count())
     top = counts.orderBy(F.desc("n"), "h").limit(group * group - _tail(group)).toPandas()
     frequency = _totals(counts, top, group)
     net = Network.start(top["h"].to_numpy(np.int64).view(np.uint64), frequency)
-    for _ in range(rounds):
+    texts = kept.keep(docs.select(text).mapInArrow(lambda b, w=net.words, v=net.weights: _classes(b, w, v, group), "word binary, first binary"))
+    names = [f"w{i}" for i in range(HIDDEN)]
+    for turn in range(rounds):
         now = net
-        copies = texts.mapInArrow(lambda b, w=now.words, v=now.weights: _train(b, w, v, group), "seen long, weights array<float>")
-        mean = copies.select("seen", F.posexplode("weights").alias("k", "w")).groupBy("k").agg((F.sum(F.col("w").cast("double") * F.col("seen")) / F.sum("seen")).alias("w")).toPandas()
+        copies = texts.mapInArrow(lambda b, w=now.words, v=now.weights, t=turn: _train(b, w, v, group, t), f"k long, seen long, {', '.join(f'{c} float' for c in names)}")
+        mean = copies.groupBy("k").agg(*[(F.sum(F.col(c).cast("double") * F.col("seen")) / F.sum("seen")).alias(c) for c in names]).toPandas()
         if len(mean):
-            weights = np.zeros(len(now.weights), np.float32)
-            weights[mean["k"].to_numpy()] = mean["w"].to_numpy(np.float32)
-            net = Network(now.words, weights, group)
+            weights = np.zeros((-(-len(now.weights) // HIDDEN), HIDDEN), np.float32)
+            weights[mean["k"].to_numpy()] = mean[names].to_numpy(np.float32)
+            net = Network(now.words, weights.ravel()[:len(now.weights)].copy(), group)
+    kept.forget(texts)
     net.frequency = frequency
     return net
 

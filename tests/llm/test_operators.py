@@ -261,6 +261,20 @@ def test_pseudo_likelihood_of_words(spark, sf_dir):
     assert masked.groups(54_083) == masked.GROUP < masked.groups(280_729) < masked.groups(10**8)
 
 
+def test_every_word_is_masked_once(spark):
+    texts = ["one", "one two", "a b c", "a b c", None, "", " ".join(f"w{i % 9}" for i in range(50))]
+    word, first = np.arange(59), np.cumsum([0, 1, 2, 3, 3, 0, 0, 50])
+    seen = [masked._masked(word, first, turn).tolist() for turn in range(masked.MASK_EVERY)]
+    assert sorted(sum(seen, [])) == list(range(59))
+    docs = spark.createDataFrame([(t,) for t in texts * 30], "text string").repartition(3)
+    # short texts alone are learned too, and each round goes on from the average of the one before
+    short = spark.createDataFrame([("yes no",)] * 500, "text string")
+    flat_, learned = masked.train(short, rounds=0), masked.train(short)
+    assert np.abs(flat_.weights - learned.weights).max() > 0
+    calls = [masked.train(docs, rounds=k).weights for k in (0, 1, 2, 6)]
+    assert all(np.abs(a - b).max() > 0 for a, b in itertools.pairwise(calls))
+
+
 def test_flat_slices_hold_all_rows(rows):
     batch = pa.record_batch({"text": pa.array([t for _, t in rows])})
     assert sum(len(p) for p in flat.slices(batch, "text", 100)) == len(rows)
