@@ -26,8 +26,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    return leaks.drop(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Documents that hold no benchmark passage, whatever its id."""
+    return leaks.drop(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), unnamed=True)
 
 
 def privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,9 +10,10 @@ distinct shingles that the whole text holds decides. Items below 8 shingles have
 A bitmap of all items' shingles, of a bounded size at any number of items, keeps all other shingles from
 leaving their task; it may let strangers through, the join on the full hash drops them.
 
-An item of fewer words than the shingle width is one shingle of all its words, searched at that width; items
-without words, null items and null or empty texts never match. Items with the same id are one item. Rows with
-the same id and words are one row of the result; a null id is an id.
+A passage of fewer words than the shingle width is one shingle of all its words, searched at that width; items
+without words, null items and null or empty texts never match. ``find`` takes the passages with the same id
+for one item, the union of their shingles (of each width); ``drop`` searches every passage on its own, and those
+with a null id too if told so. Rows with the same id and words are one row of the result; a null doc_id is an id.
 """
 from __future__ import annotations
 
@@ -23,7 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pyspark.sql.window import Window
+
 from gridloom.llm import flat
+from gridloom.llm.links import Kept
 
 WIDTH, SHARE = 5, 0.8
 #: Items below this size have unlimited bins.
@@ -32,7 +36,7 @@ BINS_PER_SHINGLE = 64
 #: log2 of the bits of the filter: at least 256 bits a shingle, within these bounds (8 MB at most).
 LEAST_BITS, MOST_BITS = 22, 26
 
-ITEM = "item_id long, width int, h long, q int, kind int, listed boolean"
+ITEM = "item_id long, width int, h long"
 HIT = "doc_id long, f1 long, f2 long, h long, kinds long"
 
 
@@ -52,11 +56,7 @@ def fingerprints(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.n
     return out[0], out[1]
 
 
-def _kind(q: int) -> int:
-    return int(q).bit_length()  # largest size of a group: 2^kind - 1
-
-
-def _items(batches, width):
+def _shingles(batches, width):
     for batch in batches:
         words, first = _words(batch.column(1))
         ids = batch.column(0).to_pylist()
@@ -66,15 +66,19 @@ def _items(batches, width):
                 continue
             w = min(width, len(own))
             h = np.unique(flat.rolling(own, np.array([0, len(own)]), w)[0])
-            kind = _kind(len(h))
-            bins = h % flat.U(BINS_PER_SHINGLE << kind)
-            listed = np.zeros(len(h), bool)
-            listed[np.unique(bins, return_index=True)[1]] = True  # h is sorted: the first of a bin is its smallest
-            if len(h) < SMALL:
-                listed[:] = True
             n = len(h)
-            yield pa.RecordBatch.from_arrays([pa.array([item] * n, pa.int64()), pa.array([w] * n, pa.int32()), pa.array(h.view(np.int64)), pa.array([n] * n, pa.int32()),
-                                              pa.array([kind] * n, pa.int32()), pa.array(listed)], ["item_id", "width", "h", "q", "kind", "listed"])
+            yield pa.RecordBatch.from_arrays([pa.array([item] * n, pa.int64()), pa.array([w] * n, pa.int32()), pa.array(h.view(np.int64))], ["item_id", "width", "h"])
+
+
+def _items(benchmark: DataFrame, width: int) -> DataFrame:
+    """item_id, width, h, q (distinct shingles of the item), kind (its group: sizes to 2^kind - 1), listed (h is in the signature)."""
+    h = benchmark.select("item_id", "text").mapInArrow(lambda b: _shingles(b, width), ITEM).distinct()
+    sizes = h.groupBy("item_id", "width").agg(F.count("*").cast("int").alias("q")).withColumn("kind", F.length(F.bin("q")))
+    items = h.join(sizes, ["item_id", "width"])
+    place = F.expr(f"h & (shiftleft({BINS_PER_SHINGLE}L, kind) - 1)")
+    unsigned = F.col("h").bitwiseXOR(F.lit(-(1 << 63)))
+    least = F.min(unsigned).over(Window.partitionBy("item_id", "width", place))
+    return items.withColumn("listed", (F.col("q") < SMALL) | (unsigned == least)).select("item_id", "width", "h", "q", "kind", "listed")
 
 
 def _block_minima(h: np.ndarray, begin: np.ndarray, kind: int) -> np.ndarray:
@@ -137,8 +141,7 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: float
     """One row per text and benchmark item of which it holds at least ``share``: doc_id, f1, f2 (hashes of
     the text's words), item_id, n_shingles, n_found."""
     spark = docs.sparkSession
-    source = benchmark.groupBy("item_id").agg(F.max("text").alias("text"))
-    items = source.select("item_id", "text").mapInArrow(lambda b: _items(b, width), ITEM)
+    items = Kept(spark).keep(_items(benchmark, width))
     groups = items.groupBy("width", "kind").agg(F.count("*").alias("n"), F.min("q").alias("q")).collect()  # a few widths and doublings
     parts = []
     for w in sorted({g["width"] for g in groups}):
@@ -161,9 +164,12 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: float
     return found
 
 
-def drop(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: float = SHARE) -> DataFrame:
-    """``docs`` without the rows whose text holds an item; same columns."""
-    bad = find(docs, benchmark, width, share).select(F.col("f1").alias("_b1"), F.col("f2").alias("_b2")).distinct()
+def drop(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: float = SHARE, unnamed: bool = False) -> DataFrame:
+    """``docs`` without the rows whose text holds a passage of the benchmark, each row of which is searched on its
+    own; ``unnamed``: those without an id too. Same columns."""
+    rows = benchmark if unnamed else benchmark.where("item_id is not null")
+    passages = rows.where("text is not null").select(F.xxhash64("text").alias("item_id"), "text")
+    bad = find(docs, passages, width, share).select(F.col("f1").alias("_b1"), F.col("f2").alias("_b2")).distinct()
     a, b = flat.fresh(docs, "_f1"), flat.fresh(docs, "_f2")
     long = (T.LongType(), pa.int64())
     marked = flat.with_columns(docs, "text", {a: long, b: long}, lambda: lambda t: list(fingerprints(*_words(t))))

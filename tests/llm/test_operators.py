@@ -15,7 +15,7 @@ import pytest
 import corpus_pipeline
 from gridloom.llm import chat, darts, flat, gam, hamming, leaks, lengths, masked, pieces, repeats
 from gridloom.llm.links import Kept
-from gridloom.llm.queries import PIECES, RANKS, tokenizer
+from gridloom.llm.queries import PIECES, RANKS, oracle_sql, tokenizer
 
 WORD = re.compile(r"[0-9a-z_\u0080-\U0010ffff]+")
 DOCS = "doc_id long, text string"
@@ -149,6 +149,28 @@ def test_leaks(spark, rows):
     assert leaks.drop(wide, bench.limit(0)).count() == len(rows) and leaks.find(wide.limit(0), bench).count() == 0
 
 
+def test_leaks_of_repeated_and_null_ids(spark, tmp_path):
+    passage = lambda c, n=30: " ".join(f"{c}{i}" for i in range(n))
+    a, b, c, d = map(passage, "abcd")
+    items = [(1, a), (1, b), (1, "hello there"), (2, c), (2, c + " end"), (None, d), (None, None), (3, a)]
+    rows = [(1, f"x {a} y"), (2, f"x {b} y"), (3, f"{b} and {a}"), (4, f"{c} z"), (5, d), (6, "nothing of it at all here"), (7, "well hello there you"), (None, b)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = docs_of(spark, rows)
+    # an id's passages are one item, as in the SQL; a passage below five words is searched at its own width
+    got = {(r.doc_id, r.item_id, r.n_shingles, r.n_found) for r in leaks.find(docs, bench).collect()}
+    long = {g for g in got if g[2] > 1}
+    assert got - long == {(7, 1, 1, 1)} and long == {(1, 3, 26, 26), (3, 1, 52, 52), (3, 3, 26, 26), (4, 2, 27, 26)}
+    duckdb = pytest.importorskip("duckdb").connect()
+    for name, table, columns in (("documents", rows, "doc_id BIGINT, text VARCHAR"), ("benchmark", items, "item_id BIGINT, text VARCHAR")):
+        duckdb.execute(f"CREATE TABLE {name} ({columns})")
+        duckdb.executemany(f"INSERT INTO {name} VALUES (?, ?)", table)
+    assert {r[:4] for r in duckdb.execute(oracle_sql()["op9_decontamination"]).fetchall()} == long
+    # every passage counts for itself when documents are dropped
+    assert {r.doc_id for r in leaks.drop(docs, bench).collect()} == {5, 6}
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert {r.doc_id for r in corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()} == {6}
+
+
 def test_quality(spark, sf_dir):
     docs, labels = (spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
     scored = gam.score(docs, gam.train(docs, labels)).join(labels.select("doc_id", "quality"), "doc_id").where(gam.remainder() == 1).collect()
