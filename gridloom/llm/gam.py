@@ -180,9 +180,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
     rows = F.broadcast(chosen)  # at most max_rows pairs of numbers
     texts = docs.select("doc_id", "text").join(rows, "doc_id")
     kind = (T.ArrayType(T.DoubleType()), pa.list_(pa.float64()))
-    got = flat.with_columns(texts, "text", {"x": kind}, lambda: lambda t: [list(features(t))]).select("doc_id", "y", "x").toPandas()
-    got = got.sort_values(["doc_id"], kind="stable")
-    got = got.assign(k=got["x"].map(tuple)).sort_values(["doc_id", "k"]).drop_duplicates(["doc_id", "k"])
+    told = flat.with_columns(texts, "text", {"x": kind}, lambda: lambda t: [list(features(t))]).select("doc_id", "y", "x").distinct()
+    # an id may have many rows: the bound holds for rows too
+    got = told.orderBy(F.xxhash64("doc_id", "x"), "doc_id", "x").limit(max_rows).toPandas()
+    got = got.assign(k=got["x"].map(tuple)).sort_values(["doc_id", "k"])
     x = np.array(got["x"].tolist()).reshape(len(got), len(FEATURES)) if len(got) else np.zeros((0, len(FEATURES)))
     return fit(x, got["y"].to_numpy(float))
 

@@ -7,6 +7,7 @@ import hashlib
 import itertools
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -181,6 +182,17 @@ def test_quality(spark, sf_dir):
     assert all(0 <= r.score <= 1 for r in gam.score(odd, gam.train(docs, labels)).collect()) and gam.score(odd.limit(0), empty).count() == 0
 
 
+def test_quality_fits_at_most_max_rows(spark, monkeypatch):
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1][:5]
+    rows = [(ids[0], f"text {'word ' * k}number {k}") for k in range(200)] * 2 + [(i, "some other text") for i in ids[1:]]
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    sizes = []
+    monkeypatch.setattr(gam, "fit", lambda x, y: sizes.append((len(x), len({tuple(r) for r in x.tolist()}))))
+    gam.train(docs_of(spark, rows), labels, max_rows=20)
+    gam.train(docs_of(spark, rows), labels)
+    assert sizes[0][0] == 20 and 20 < sizes[1][0] <= 204
+
+
 def test_tables_equal_tree_by_tree_fit():
     rnd = np.random.default_rng(0)
     x = rnd.normal(size=(2000, 3))
