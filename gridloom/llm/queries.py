@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import chat, darts, gam, hamming, leaks, lengths, masked, pieces, pii, repeats
+from gridloom.llm import chat, darts, gam, hamming, leaks, lengths, masked, pieces, pii, ranked, repeats
 from gridloom.llm.links import Kept
 
 PIECES, RANKS = "piece_bpe_32k.model", "byte_bpe_50k.tiktoken"
@@ -74,6 +74,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (gam.remainder() == 1).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(ranked.build(_documents(spark, sf_dir)), _table(spark, sf_dir, "benchmark"))
+
+
 _CHAT = """
 WITH plain AS (
   SELECT conv_id, turn, CASE WHEN coalesce(role, '') = '' THEN 'unknown' ELSE role END AS speaker, coalesce(text, '') AS text FROM conversations),
@@ -121,12 +125,33 @@ SELECT doc_id, item_id, n_shingles, count(*)::INTEGER AS n_found, count(*) / n_s
 FROM ds JOIN bs USING (g) JOIN sizes USING (item_id) GROUP BY doc_id, item_id, n_shingles HAVING count(*) >= 0.8 * n_shingles
 """
 
+_RANKED = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark),
+sizes AS (SELECT r, doc_id, len(w)::HUGEINT AS n FROM d WHERE len(w) > 0),
+total AS (SELECT count(*)::HUGEINT AS docs, sum(n)::HUGEINT AS terms FROM sizes),
+strata AS (SELECT r, doc_id, 100 - 25 + (25 * n * docs) // terms AS m FROM sizes, total),
+freq AS (SELECT r, t, count(*)::HUGEINT AS tf FROM (SELECT r, unnest(w) AS t FROM d) GROUP BY r, t),
+weights AS (SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::HUGEINT AS weight FROM freq, total GROUP BY t, docs),
+asked AS (SELECT item_id, t, count(*)::HUGEINT AS c FROM (SELECT item_id, unnest(w) AS t FROM b) GROUP BY item_id, t),
+scores AS (
+  SELECT item_id, r, doc_id, sum(c * weight * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM asked JOIN weights USING (t) JOIN freq USING (t) JOIN strata USING (r) GROUP BY item_id, r, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST)::INTEGER AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
 
 def queries() -> dict:
     own = (op1_pseudo_likelihood, op2_pii, op3_chat_rotation, op4_token_counts, op5_sentencepiece, op6_near_duplicates, op7_repeated_passages,
-           op8_hamming_topk, op9_decontamination, op10_quality)
+           op8_hamming_topk, op9_decontamination, op10_quality, op11_ranked_search)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_rotation": _CHAT, "op7_repeated_passages": _REPEATS, "op8_hamming_topk": _HAMMING, "op9_decontamination": _LEAKS}
+    return {"op3_chat_rotation": _CHAT, "op7_repeated_passages": _REPEATS, "op8_hamming_topk": _HAMMING, "op9_decontamination": _LEAKS,
+            "op11_ranked_search": _RANKED}
