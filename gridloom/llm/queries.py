@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import chat, darts, gam, hamming, leaks, lengths, masked, pieces, pii, ranked, repeats
+from gridloom.llm import chat, darts, gam, hamming, leaks, lengths, masked, phrases, pieces, pii, ranked, repeats
 from gridloom.llm.links import Kept
 
 PIECES, RANKS = "piece_bpe_32k.model", "byte_bpe_50k.tiktoken"
@@ -78,6 +78,10 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.search(ranked.build(_documents(spark, sf_dir)), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 _CHAT = """
 WITH plain AS (
   SELECT conv_id, turn, CASE WHEN coalesce(role, '') = '' THEN 'unknown' ELSE role END AS speaker, coalesce(text, '') AS text FROM conversations),
@@ -145,13 +149,41 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC
 SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
 """
 
+_PHRASES = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) AS piece FROM documents WHERE text IS NOT NULL),
+split AS (SELECT row_number() OVER () AS id, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+words AS (SELECT id, lang, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM split),
+leads AS (
+  SELECT lang, word AS w1, lead(word, 1) OVER o AS w2, lead(word, 2) OVER o AS w3, lead(word, 3) OVER o AS w4 FROM words WINDOW o AS (PARTITION BY id ORDER BY i)),
+grams AS (
+  SELECT lang, [w1] AS p FROM leads UNION ALL SELECT lang, [w1, w2] FROM leads WHERE w2 IS NOT NULL
+  UNION ALL SELECT lang, [w1, w2, w3] FROM leads WHERE w3 IS NOT NULL UNION ALL SELECT lang, [w1, w2, w3, w4] FROM leads WHERE w4 IS NOT NULL),
+f AS (SELECT lang, p, count(*)::HUGEINT AS f FROM grams GROUP BY lang, p),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE len(p) = 1 GROUP BY lang),
+cand AS (SELECT lang, p, f AS a FROM f WHERE len(p) > 1 AND f >= 30),
+cuts AS (
+  SELECT c.lang, c.p, a, k, x.f AS l, y.f AS r, (2000000 * a) // (x.f + y.f) AS score FROM cand c, unnest(range(1, 4)) t(k)
+  JOIN f x ON x.lang = c.lang AND x.p = c.p[1:k] JOIN f y ON y.lang = c.lang AND y.p = c.p[k + 1:] WHERE k < len(c.p)),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, p[i:i + k - 1] AS p, max(a) AS longer FROM cand, unnest(range(2, 4)) x(k), unnest(range(1, 4)) y(i)
+  WHERE k < len(p) AND i + k - 1 <= len(p) GROUP BY 1, 2),
+ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank, array_to_string(p, ' ') AS phrase,
+    a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, score::BIGINT AS score
+  FROM best LEFT JOIN inside USING (lang, p) WHERE longer IS NULL OR 100 * longer < 80 * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
 
 def queries() -> dict:
     own = (op1_pseudo_likelihood, op2_pii, op3_chat_rotation, op4_token_counts, op5_sentencepiece, op6_near_duplicates, op7_repeated_passages,
-           op8_hamming_topk, op9_decontamination, op10_quality, op11_ranked_search)
+           op8_hamming_topk, op9_decontamination, op10_quality, op11_ranked_search, op13_collocations)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op3_chat_rotation": _CHAT, "op7_repeated_passages": _REPEATS, "op8_hamming_topk": _HAMMING, "op9_decontamination": _LEAKS,
-            "op11_ranked_search": _RANKED}
+            "op11_ranked_search": _RANKED, "op13_collocations": _PHRASES}
