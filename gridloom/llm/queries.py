@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import chat, darts, gam, hamming, leaks, lengths, masked, phrases, pieces, pii, ranked, repeats
+from gridloom.llm import chat, darts, gam, hamming, leaks, lengths, masked, phrases, pieces, pii, ranked, repeats, trie
 from gridloom.llm.links import Kept
 
 PIECES, RANKS = "piece_bpe_32k.model", "byte_bpe_50k.tiktoken"
@@ -78,6 +78,10 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.search(ranked.build(_documents(spark, sf_dir)), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.classes(_documents(spark, sf_dir))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_table(spark, sf_dir, "documents").select("lang", "text"))
 
@@ -149,6 +153,25 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC
 SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
 """
 
+_JOIN = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents),
+words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+leads AS (
+  SELECT r, word AS w1, lead(word, 1) OVER o AS w2, lead(word, 2) OVER o AS w3, lead(word, 3) OVER o AS w4, lead(word, 4) OVER o AS w5
+  FROM words WINDOW o AS (PARTITION BY r ORDER BY i)),
+grams AS (
+  SELECT DISTINCT r, concat_ws(' ', w1, w2, w3, w4, w5) AS g FROM leads WHERE w5 IS NOT NULL
+  UNION SELECT r, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 4),
+sizes AS (SELECT r, count(*) AS n FROM grams GROUP BY r),
+common AS (SELECT x.r AS a, y.r AS b, count(*) AS c FROM grams x JOIN grams y ON x.g = y.g AND x.r <> y.r GROUP BY 1, 2),
+linked AS (SELECT a, b FROM common JOIN sizes x ON x.r = a JOIN sizes y ON y.r = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+reach AS (SELECT r AS a, r AS b FROM d UNION SELECT reach.a, linked.b FROM reach JOIN linked ON linked.a = reach.b)
+SELECT x.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(y.doc_id) AS component_id
+FROM reach JOIN d x ON x.r = reach.a JOIN d y ON y.r = reach.b LEFT JOIN sizes ON sizes.r = reach.a GROUP BY reach.a, x.doc_id, n
+"""
+
 _PHRASES = r"""
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -180,10 +203,10 @@ SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang
 
 def queries() -> dict:
     own = (op1_pseudo_likelihood, op2_pii, op3_chat_rotation, op4_token_counts, op5_sentencepiece, op6_near_duplicates, op7_repeated_passages,
-           op8_hamming_topk, op9_decontamination, op10_quality, op11_ranked_search, op13_collocations)
+           op8_hamming_topk, op9_decontamination, op10_quality, op11_ranked_search, op12_ngram_join, op13_collocations)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op3_chat_rotation": _CHAT, "op7_repeated_passages": _REPEATS, "op8_hamming_topk": _HAMMING, "op9_decontamination": _LEAKS,
-            "op11_ranked_search": _RANKED, "op13_collocations": _PHRASES}
+            "op11_ranked_search": _RANKED, "op12_ngram_join": _JOIN, "op13_collocations": _PHRASES}
