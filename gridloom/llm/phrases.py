@@ -29,7 +29,7 @@ from gridloom.llm.ranked import LOWER
 
 LEAST, WIDTH, TOP = 30, 4, 2000
 #: Words that a task holds before it counts or packs them.
-GATHER = 2_500_000
+GATHER = 800_000
 #: Packed bytes of a hash range, by the estimate of ``WINDOW_BYTES`` a word.
 RANGE_BYTES, WINDOW_BYTES = 32 << 20, 24
 BITS = 1 << 26

@@ -7,11 +7,13 @@ of shingles that all sets below it continue with. A probing set walks down level
 path is counted once for all sets that share the path. A subtree goes where the overlap so far and what can still come (the
 shorter of both rests) stays below what the smallest set in it needs, and where all its sets are already connected to the probe.
 
-Linked sets share a shingle within the first n - ceil(0.8 n) + 1 of both. First every set meets those with its most
-frequent such shingle, one trie for each (large ones in blocks of about ``BLOCK`` shingles); that connects groups of near copies
-in about their own size. Then every prefix shingle whose holders are not yet in one component gets a trie of what they
-have from this shingle on; those outside the largest component probe it. Pairs whose first common shingle is an earlier one
-met there, so no link between different components is lost, and no pair is emitted that doesn't connect anything new.
+Linked sets share a shingle within the first n - ceil(0.8 n) + 1 of both. First every set meets those with the same one of
+three such shingles (its most frequent one, and those with the least of two hashes), one trie for each (large ones in blocks of
+about ``BLOCK`` shingles); that connects groups of near copies in about their own size. Then every prefix shingle whose holders
+are not yet in one component gets a trie of what they have from this shingle on; those outside the largest component
+probe it. Before, holders go whose size and place of the shingle allow no link with any size around in another
+component. Pairs whose first common shingle is an earlier one met there, so no link between different components is
+lost, and no pair is emitted that doesn't connect anything new.
 
 Every row of ``docs`` is a document. Null, empty and word-less texts have no shingles and no links: their component
 is their own id. Rows without an id link like all others; a component's id is its smallest id (null if none has one). Rows with one id and
@@ -31,8 +33,10 @@ from gridloom.llm.links import Kept, components
 from gridloom.llm.ranked import LOWER
 
 WIDTH = 5
+#: Sizes within this ratio are judged together, by the smallest.
+STEP = 1.02
 #: Shingles that a task holds before it packs them, bytes of a hash range, shingles of a trie.
-GATHER, RANGE_BYTES, BLOCK = 2_500_000, 32 << 20, 1 << 20
+GATHER, RANGE_BYTES, BLOCK = 1_000_000, 32 << 20, 1 << 20
 
 
 def sets(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -200,7 +204,7 @@ def _frequency(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_ordered_rows([(p, c, None, None, None, x.tobytes()) for p, c, x in zip(table.column("place").to_pylist(), table.column("chunk").to_pylist(), parts)])])
 
 
-_SETS = "node long, n long, shingles binary, prefix array<long>, home long, size long"
+_SETS = "node long, n long, shingles binary, prefix array<long>, homes array<long>, size long"
 
 
 def _in_order(table: pa.Table) -> pa.Table:
@@ -220,11 +224,12 @@ def _in_order(table: pa.Table) -> pa.Table:
         a, b = begin[k], begin[k + 1]
         upto = n - (4 * n + 4) // 5 + 1 - (n - (b - a))
         if upto > 0 and a < b:
-            prefix = h[a:a + upto].view(np.int64)
-            home = a + int(np.searchsorted(df[a:a + upto], df[a + upto - 1]))
-            out.append((int(nodes[k]), n, h[a:b].tobytes(), prefix.tolist(), int(h[home].view(np.int64)), int(b - a)))
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, kinds)], names=["node", "n", "shingles", "prefix", "home", "size"])
+            prefix = h[a:min(a + upto, b)]
+            homes = {int(np.searchsorted(df[a:a + len(prefix)], df[a + len(prefix) - 1])), *(int(np.argmin(flat.mix(prefix ^ flat.U(seed)))) for seed in (1, 2))}
+            prefix = prefix.view(np.int64).tolist()
+            out.append((int(nodes[k]), n, h[a:b].tobytes(), prefix, [prefix[x] for x in sorted(homes)], int(b - a)))
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64()]
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, kinds)], names=["node", "n", "shingles", "prefix", "homes", "size"])
 
 
 class Trie:
@@ -404,21 +409,29 @@ def classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     def blocks(size):
         return F.ceil(size / BLOCK).cast("long")
 
-    homes = ordered.groupBy("home").agg(F.count("*").alias("count"), blocks(F.sum("size")).alias("blocks")).where("count > 1")
-    at_home = ordered.select("home", "node", "n", "shingles").join(homes.select("home", "blocks"), "home").withColumn("block", F.expr("pmod(node, blocks)"))
+    # the tries of the three homes of each set
+    settled = ordered.select(F.explode("homes").alias("home"), "node", "n", "shingles", "size")
+    homes = settled.groupBy("home").agg(F.count("*").alias("count"), blocks(F.sum("size")).alias("blocks")).where("count > 1")
+    at_home = settled.join(homes.select("home", "blocks"), "home").select("home", F.expr("pmod(node, blocks)").alias("block"), "node", "n", "shingles")
     first = kept.keep(at_home.groupBy("home", "block").applyInArrow(lambda t: _at_home(t), _LINKS))
     labels = components(first, kept)
-    named = ordered.select("node", "size", F.explode("prefix").alias("e")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = kept.keep(named)
-    several = named.groupBy("e", "label").agg(F.count("*").alias("count"), F.sum("size").alias("size")).groupBy("e")
+    # what each holder of a prefix shingle can still have in common with others, and whom that is enough for
+    named = ordered.select("node", "n", "size", F.posexplode("prefix").alias("at", "e")).join(labels, "node", "left")
+    named = named.select("e", "node", "n", "size", (9 * (F.col("size") - F.col("at")) - 4 * F.col("n")).alias("spare"), F.coalesce("label", "node").alias("label"))
+    named = kept.keep(named.withColumn("step", F.floor(F.log("n") / np.log(STEP))))
+    around = named.groupBy("e", "step").agg(F.min("n").alias("n"), F.max("spare").alias("spare"), F.min("label").alias("low"), F.max("label").alias("high"))
+    around = around.groupBy("e").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.collect_list(F.struct("n", "spare", "low", "high")).alias("around")).where("low <> high")
+    able = F.exists("around", lambda y: (4 * y["n"] <= F.col("spare")) & (y["spare"] >= 4 * F.col("n")) & ((y["low"] != y["high"]) | (y["low"] != F.col("label"))))
+    open_ = kept.keep(named.join(around.select("e", "around"), "e").where(able).select("e", "node", "size", "label"))
+    several = open_.groupBy("e", "label").agg(F.count("*").alias("count"), F.sum("size").alias("size")).groupBy("e")
     several = several.agg(F.count("*").alias("labels"), F.max_by("label", F.struct("count", "label")).alias("major"), blocks(F.sum("size")).alias("blocks")).where("labels > 1")
-    mixed = named.join(several.select("e", "major", "blocks"), "e")
+    mixed = open_.join(several.select("e", "major", "blocks"), "e")
     members = mixed.select("e", F.expr("pmod(node, blocks)").alias("block"), "node", "label", F.lit(False).alias("asks"))
     probes = mixed.where("label <> major").select("e", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "node", "label", F.lit(True).alias("asks"))
     met = members.union(probes).join(ordered.select("node", "n", "shingles"), "node")
     more = met.groupBy("e", "block").applyInArrow(lambda t: _at_shingle(t), _LINKS)
     final = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more), kept)
-    kept.forget(first, labels, named, ordered)
+    kept.forget(first, labels, named, open_, ordered)
     own = rows.groupBy("node").agg(F.min("doc_id").alias("least")).join(final, "node", "left").withColumn("label", F.coalesce("label", "node"))
     own = kept.keep(own)
     smallest = own.groupBy("label").agg(F.min("least").alias("component_id"))
