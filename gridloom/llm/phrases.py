@@ -29,9 +29,11 @@ from gridloom.llm.ranked import LOWER
 
 LEAST, WIDTH, TOP = 30, 4, 2000
 #: Words that a task holds before it counts or packs them.
-GATHER = 800_000
+GATHER = 500_000
 #: Packed bytes of a hash range, by the estimate of ``WINDOW_BYTES`` a word.
-RANGE_BYTES, WINDOW_BYTES = 32 << 20, 24
+RANGE_BYTES, WINDOW_BYTES = 8 << 20, 24
+#: Bytes of text hashed at once; hashing takes about 40 bytes for each.
+SLICE = 1 << 20
 BITS = 1 << 26
 #: Pairs and triples with this share of all windows are dealt by one word more.
 HOT = 1 << 16
@@ -52,7 +54,7 @@ class _Words:
     def gathered(self, spelled: bool):
         held, n = [], 0
         for batch in self.batches:
-            for part in flat.slices(batch, batch.schema.names[1]):
+            for part in flat.slices(batch, batch.schema.names[1], SLICE):
                 data, offsets = flat.buffers(part.column(1))
                 data = LOWER[data]
                 starts, ends, first = flat.bounds(data, offsets, SPACE | BREAK)

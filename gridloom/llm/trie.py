@@ -36,7 +36,9 @@ WIDTH = 5
 #: Sizes within this ratio are judged together, by the smallest.
 STEP = 1.02
 #: Shingles that a task holds before it packs them, bytes of a hash range, shingles of a trie.
-GATHER, RANGE_BYTES, BLOCK = 1_000_000, 32 << 20, 1 << 20
+GATHER, RANGE_BYTES, BLOCK = 700_000, 8 << 20, 1 << 20
+#: Bytes of text hashed at once; hashing takes about 40 bytes for each.
+SLICE = 1 << 20
 
 
 def sets(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +81,7 @@ def _chunks(batches, width):
         return ids, *(np.concatenate([x[k] for x in held]) for k in range(3))
 
     for batch in batches:
-        for part in flat.slices(batch, batch.schema.names[1]):
+        for part in flat.slices(batch, batch.schema.names[1], SLICE):
             h, begin = sets(part.column(1), width)
             ids += part.column(0).cast(pa.int64()).to_pylist()
             held.append((_nodes(h, begin), np.diff(begin), h))
@@ -376,7 +378,7 @@ def _at_shingle(table: pa.Table) -> pa.Table:
 
 def _name(batches, width):
     for batch in batches:
-        for part in flat.slices(batch, batch.schema.names[0]):
+        for part in flat.slices(batch, batch.schema.names[0], SLICE):
             h, begin = sets(part.column(0), width)
             yield pa.RecordBatch.from_arrays([pa.array(_nodes(h, begin)), pa.array([h[a:b].tobytes() for a, b in zip(begin.tolist(), begin[1:].tolist())], pa.binary())], ["node", "shingles"])
 
