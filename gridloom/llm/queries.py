@@ -183,12 +183,13 @@ leads AS (
 grams AS (
   SELECT lang, [w1] AS p FROM leads UNION ALL SELECT lang, [w1, w2] FROM leads WHERE w2 IS NOT NULL
   UNION ALL SELECT lang, [w1, w2, w3] FROM leads WHERE w3 IS NOT NULL UNION ALL SELECT lang, [w1, w2, w3, w4] FROM leads WHERE w4 IS NOT NULL),
-f AS (SELECT lang, p, count(*)::HUGEINT AS f FROM grams GROUP BY lang, p),
+f AS MATERIALIZED (SELECT lang, p, count(*)::HUGEINT AS f FROM grams GROUP BY lang, p),
 totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE len(p) = 1 GROUP BY lang),
 cand AS (SELECT lang, p, f AS a FROM f WHERE len(p) > 1 AND f >= 30),
+parts AS MATERIALIZED (SELECT lang, p, a, k, p[1:k] AS x, p[k + 1:] AS y FROM cand, unnest([1, 2, 3]) t(k) WHERE k < len(p)),
 cuts AS (
-  SELECT c.lang, c.p, a, k, x.f AS l, y.f AS r, (2000000 * a) // (x.f + y.f) AS score FROM cand c, unnest(range(1, 4)) t(k)
-  JOIN f x ON x.lang = c.lang AND x.p = c.p[1:k] JOIN f y ON y.lang = c.lang AND y.p = c.p[k + 1:] WHERE k < len(c.p)),
+  SELECT parts.lang, parts.p, a, k, l.f AS l, r.f AS r, (2000000 * a) // (l.f + r.f) AS score
+  FROM parts JOIN f l ON [parts.lang] || parts.x = [l.lang] || l.p JOIN f r ON [parts.lang] || parts.y = [r.lang] || r.p),
 best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
 inside AS (
   SELECT lang, p[i:i + k - 1] AS p, max(a) AS longer FROM cand, unnest(range(2, 4)) x(k), unnest(range(1, 4)) y(i)
