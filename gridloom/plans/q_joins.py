@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridloom.functions import ordering, text
-from gridloom.operators import focal, rates, spatial, survey, temporal, traits
+from gridloom.operators import focal, rates, spatial, survey, temporal, traits, triangulation
 from gridloom.plans.registry import query
 from gridloom.plans.views import r6
 
@@ -197,6 +197,20 @@ def _(v):
     return filled_field.select("row", "col", r6(F.col("v")).alias("v"))
 
 
+PLANE = """sf AS (SELECT row, col, (2 * row - 3 * col + 7)::DOUBLE AS v FROM v_land_field WHERE v <= 18 AND (row + col) % 3 < 2), """ + hull_sql("sf", "ed") + """,
+    tg AS (SELECT row, col FROM v_land t ANTI JOIN sf USING (row, col)),
+    nr AS (SELECT row, col FROM tg WHERE EXISTS (SELECT 1 FROM sf WHERE abs(sf.row - tg.row) <= 6 AND abs(sf.col - tg.col) <= 6 AND pow(sf.row - tg.row, 2) + pow(sf.col - tg.col, 2) <= 36)
+        AND NOT EXISTS (SELECT 1 FROM ed WHERE (x2 - x1) * (tg.row - y1) - (y2 - y1) * (tg.col - x1) < 0))"""
+
+
+@query("J15c_fill_linear", PLANE + """ SELECT l.row, l.col, R6(CASE WHEN sf.v IS NOT NULL THEN sf.v WHEN nr.row IS NOT NULL THEN (2 * l.row - 3 * l.col + 7)::DOUBLE END) AS v
+    FROM v_land l LEFT JOIN sf USING (row, col) LEFT JOIN nr ON nr.row = l.row AND nr.col = l.col""")
+def _(v):
+    """Linear interpolation gives a tilted plane back wherever the hull and the radius allow."""
+    field = v.land_field().where("v <= 18 AND (row + col) % 3 < 2").select("row", "col", F.expr("CAST(2 * row - 3 * col + 7 AS DOUBLE)").alias("v"))
+    return triangulation.fill_linear(field, v.land(), ["v"], 6).select("row", "col", r6(F.col("v")).alias("v"))
+
+
 @query("J16_fill_static", SPARSE + """ SELECT l.row, l.col, coalesce(sf.v, a.v) AS v FROM v_land l LEFT JOIN sf USING (row, col) LEFT JOIN (SELECT row, col, v FROM v_annual WHERE year = 1999) a USING (row, col)""")
 def _(v):
     base = v.land().join(sparse_field(v), ["row", "col"], "left")
