@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gridloom.operators.distance import nearest_source
 from gridloom.operators.focal import apply_kernels, inverse_distance
 from gridloom.session import durable
 
@@ -83,21 +84,25 @@ def _to_edge(px: Column, py: Column):
     return distance
 
 
-def inside_hull(cells: DataFrame, hull: DataFrame, x: str, y: str) -> DataFrame:
-    """Add ``inside``: the point lies in the hull or on its edge. A hull of one or two points holds only
-    what lies on it, an empty one nothing."""
+def _holds(ring: Column, edges: Column, x: str, y: str) -> Column:
+    """Whether the hull with this ring holds the point."""
     px, py = F.col(x), F.col(y)
     side = lambda e: (e["x2"] - e["x1"]) * (py - e["y1"]) - (e["y2"] - e["y1"]) * (px - e["x1"]) >= 0
-    ring, edges = F.col("_ring"), _edges(F.col("_ring"))
     flat = F.coalesce(F.array_min(F.transform(edges, _to_edge(px, py))) <= 1e-9, F.lit(False))
-    return with_ring(cells, hull).withColumn("inside", F.when(F.size(ring) > 3, F.forall(edges, side)).otherwise(flat)).drop("_ring")
+    return F.when(F.size(ring) > 3, F.forall(edges, side)).otherwise(flat)
+
+
+def inside_hull(cells: DataFrame, hull: DataFrame, x: str, y: str) -> DataFrame:
+    """Add ``inside``: the point lies in the hull or on its edge. A hull of one or two points holds only
+    what lies on it, an empty one nothing."""
+    return with_ring(cells, hull).withColumn("inside", _holds(F.col("_ring"), _edges(F.col("_ring")), x, y)).drop("_ring")
 
 
 def distance_to_hull(cells: DataFrame, hull: DataFrame, x: str, y: str) -> DataFrame:
     """Add ``distance``: 0 inside, else the exact distance to the nearest hull edge; missing for an empty hull."""
-    ringed = with_ring(inside_hull(cells, hull, x, y), hull)
-    nearest = F.array_min(F.transform(_edges(F.col("_ring")), _to_edge(F.col(x), F.col(y))))
-    return ringed.withColumn("distance", F.when(F.col("inside"), 0.0).otherwise(nearest)).drop("_ring", "inside")
+    ring, edges = F.col("_ring"), _edges(F.col("_ring"))
+    nearest = F.array_min(F.transform(edges, _to_edge(F.col(x), F.col(y))))
+    return with_ring(cells, hull).withColumn("distance", F.when(_holds(ring, edges, x, y), 0.0).otherwise(nearest)).drop("_ring")
 
 
 def core_margin(cells: DataFrame, margin: DataFrame, core: DataFrame, x: str, y: str, core_density: float = 0.1, margin_density: float = 0.001) -> DataFrame:
@@ -214,9 +219,13 @@ def fill_static(field: DataFrame, reference: DataFrame, values: Sequence[str], l
 
 
 def fill_nearest(field: DataFrame, values: Sequence[str], layers: Sequence[str] = ()) -> DataFrame:
-    """Whatever is still missing takes the nearest valid cell; without any valid cell it stays missing."""
+    """Whatever is still missing takes the nearest valid cell; without any valid cell it stays missing. Of repeated
+    valid cells the smallest values count."""
     at = [*layers, "row", "col"]
     field = durable(field.select(*at, *values))
     gaps, valid = field.where(~_known(values)).select(*at), field.where(_known(values))
-    found = nearest(gaps, valid, 1, payload=values, layers=layers).select(*at, *values)
+    near = nearest_source(gaps, valid, layers)
+    one = valid.groupBy(*at).agg(F.min(F.struct(*values)).alias("_v"))
+    carried = one.select(*layers, F.col("row").alias("n_row"), F.col("col").alias("n_col"), "_v.*")
+    found = near.join(carried, [*layers, "n_row", "n_col"]).select(*at, *values)
     return valid.unionByName(gaps.join(found, at, "left"))

@@ -201,7 +201,7 @@ def _solver(layers: Sequence[str], tile: int, halo: int, box: tuple, radius: flo
         found = _tile(pdf, (r - halo, r + tile - 1 + halo, c - halo, c + tile - 1 + halo), box, radius, halos)
         out = pd.DataFrame(np.vstack(found) if found else np.zeros((0, len(_NAMES))), columns=_NAMES).astype({c: "int64" for c in _NAMES[:9]})
         for i, name in enumerate(layers):
-            out.insert(i, name, [key[i]] * len(out))
+            out.insert(i, name, pd.Series([key[i]] * len(out), dtype=object))
         return out
 
     return solve
