@@ -1,68 +1,28 @@
 """Order statistics over whole tables without a one-task window.
 
 A window ordered over a whole table would run in a single task, and a window over a
-group that holds a third of all rows is hardly better. Here a sort key is cut into
-ranges with boundaries found by Spark's own range partitioner; running totals are
-taken inside each range and shifted by the totals of the ranges before it. Only the
-boundaries (at most ``MAX_RANGES`` of them) ever reach the driver.
+group that holds a third of all rows is hardly better. Here Spark's range partitioner
+cuts the sort key into as many ranges as the session has shuffle partitions; each row keeps
+the number of its range, and the table is made durable once, so that all that follows
+sees the same ranges. Running totals are taken inside each range and shifted by the totals
+of the ranges before it. Nothing of the table, and no boundary, reaches the driver.
 """
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-MAX_RANGES = 1024
-#: Up to here a range is found by one balanced CASE tree, beyond it by two short array searches.
-TREE_LIMIT = 128
-
-
-def default_ranges(df: DataFrame) -> int:
-    """As many ranges as the session has shuffle partitions, within bounds."""
-    return max(4, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MAX_RANGES))
-
-
-def range_bounds(df: DataFrame, order: Sequence[str], ranges: int | None = None) -> list:
-    """Smallest key of each range, as rows in key order."""
-    ranges = ranges or default_ranges(df)
-    keys = df.select(*order)
-    mins = (
-        keys.repartitionByRange(ranges, *[F.col(c) for c in order])
-        .groupBy(F.spark_partition_id().alias("_p"))
-        .agg(F.min(F.struct(*order)).alias("_k"))
-        .select("_k.*")
-        .orderBy(*order)
-    )
-    return mins.collect()[1:]
-
-
-def range_index(df: DataFrame, order: Sequence[str], bounds: list) -> Column:
-    """Deterministic number of the range a row falls in."""
-    if not bounds:
-        return F.lit(0)
-    struct_type = T.StructType([T.StructField(c, df.schema[c].dataType) for c in order])
-    cuts = [F.struct(*[F.lit(row[c]).cast(struct_type[c].dataType).alias(c) for c in order]) for row in bounds]
-    key = F.struct(*[F.col(c) for c in order])
-
-    def search(lo: int, hi: int) -> Column:
-        # balanced decision tree: log2(ranges) comparisons per row
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key < cuts[mid], search(lo, mid)).otherwise(search(mid + 1, hi))
-
-    if len(cuts) <= TREE_LIMIT:
-        return search(0, len(cuts))
-    step = math.isqrt(len(cuts) - 1) + 1
-    blocks = F.array(*[F.array(*cuts[i:i + step]) for i in range(0, len(cuts), step)])
-    # last block whose first cut is not above the key, then the position inside it
-    block = F.size(F.filter(F.array(*cuts[::step]), lambda c: c <= key)) - 1
-    inside = F.size(F.filter(F.get(blocks, F.greatest(block, F.lit(0))), lambda c: c <= key))
-    return F.greatest(block, F.lit(0)) * step + inside
+from gridloom.session import durable
+
+
+def in_ranges(df: DataFrame, order: Sequence[str], ranges: int | None = None) -> DataFrame:
+    """``df`` with ``_rng``, the number of its range of ``order``, ascending. The input is evaluated for a
+    sample of keys and once more to be dealt."""
+    ranges = ranges or max(4, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return durable(df.repartitionByRange(ranges, *[F.col(c) for c in order]).withColumn("_rng", F.spark_partition_id()))
 
 
 def running_totals(
@@ -73,9 +33,7 @@ def running_totals(
     ranges: int | None = None,
 ) -> DataFrame:
     """Inclusive running sums in ``order`` (unique inside ``group``), one column per weight."""
-    full = [*group, *order]
-    bounds = range_bounds(df, full, ranges)
-    part = df.withColumns({f"_w_{n}": w for n, w in weights.items()}).withColumn("_rng", range_index(df, full, bounds))
+    part = in_ranges(df.withColumns({f"_w_{n}": w for n, w in weights.items()}), [*group, *order], ranges)
     inside = Window.partitionBy(*group, "_rng").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*group).orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)
     offsets = part.groupBy(*group, "_rng").agg(*[F.sum(f"_w_{n}").alias(f"_t_{n}") for n in weights])
@@ -86,8 +44,7 @@ def running_totals(
 
 def running_min_before(df: DataFrame, order: Sequence[str], value: str, name: str, ranges: int | None = None) -> DataFrame:
     """Smallest ``value`` over the rows strictly before this one in a unique ``order``."""
-    bounds = range_bounds(df, order, ranges)
-    part = df.withColumn("_rng", range_index(df, order, bounds))
+    part = in_ranges(df, order, ranges)
     inside = Window.partitionBy("_rng").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     before = Window.orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)
     # one row per range (at most ``ranges``), so this window is small by construction
@@ -129,7 +86,7 @@ def exact_quantiles(
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_n"))
     cum = running_totals(counts, [value], {"_cum": F.col("_n")}, group=group, ranges=ranges)
-    totals = counts.groupBy(*group).agg(F.sum("_n").alias("_size"))
+    totals = cum.groupBy(*group).agg(F.max("_cum").alias("_size"))
     size = F.col("_size")
     cum = cum.join(totals, list(group)) if group else cum.withColumn("_size", totals.scalar())
     aggs = []

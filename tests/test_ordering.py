@@ -18,7 +18,7 @@ def skewed():
     return pd.DataFrame({"id": np.arange(3000), "g": g, "v": v})
 
 
-@pytest.mark.parametrize("ranges", [4, 300])
+@pytest.mark.parametrize("ranges", [4, 300, 1100])
 def test_row_numbers(spark, skewed, ranges):
     out = ordering.row_numbers(spark.createDataFrame(skewed), ["v", "id"], "rn", ranges=ranges).toPandas().set_index("id")["rn"]
     want = skewed.sort_values(["v", "id"]).reset_index(drop=True)
