@@ -19,16 +19,19 @@ def events(v):
 
 
 def in_days(v, parts=3):
-    """The events as files in order of time, one micro-batch each."""
+    """A stream over a folder, and the steps that add the events to it in order of time, one part each."""
     out = staging(v.spark, "parts")
     table = v.table("events")
     first, last = table.agg(F.min(F.to_date("ts")), F.max(F.to_date("ts"))).first()
     step = (last - first).days // parts + 1
-    for i in range(parts):
-        day = F.datediff(F.to_date("ts"), F.lit(first))
-        table.where((day >= i * step) & (day < (i + 1) * step)).coalesce(1).write.mode("append").parquet(out)
-    stream = runs.folder_stream(v.spark, out, table.schema, files_per_batch=1)
-    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    day = F.datediff(F.to_date("ts"), F.lit(first))
+
+    def add(i):
+        return lambda: table.where((day >= i * step) & (day < (i + 1) * step)).write.parquet(f"{out}/{i}")
+
+    table.where("false").write.parquet(f"{out}/none")
+    stream = runs.folder_stream(v.spark, out, table.schema, nested=True)
+    return stream.withColumn("ts", F.col("ts").cast("timestamp")), [add(i) for i in range(parts)]
 
 
 def daily(stream):
@@ -57,7 +60,8 @@ def _(v):
         rolled = ops.rollup(stream, "ts", "7 days", "1 day", ["event_type"], [F.count("*").alias("n"), F.sum(money()).cast("double").alias("total")])
         return rolled.select("event_type", F.to_date("w.start").alias("start"), "n", "total")
 
-    return runs.drain_windows(in_days(v), "ts", weekly, "st2")[0]
+    stream, feeds = in_days(v)
+    return runs.drain_windows(stream, "ts", weekly, "st2", feeds=feeds)[0]
 
 
 @query("ST3_sliding_pool", """d AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL), s AS (SELECT user_id, CAST(day - CAST(o AS INTEGER) AS DATE) AS start, sum(n)::BIGINT AS n FROM d, range(0, 5) AS g(o) GROUP BY ALL)

@@ -28,9 +28,11 @@ def table_stream(spark: SparkSession, folder: str, table: str, files_per_batch:
     return stream.withColumns({c: F.col(c).cast("timestamp") for c in local})
 
 
-def folder_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
-    """Stream the Parquet files another query appends to a folder."""
+def folder_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = None, nested: bool = False) -> DataFrame:
+    """Stream the Parquet files another query appends to a folder, or to folders in it."""
     reader = spark.readStream.schema(schema)
+    if nested:
+        reader = reader.option("recursiveFileLookup", "true")
     return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(path)
 
 
@@ -40,13 +42,14 @@ def drain(stream: DataFrame, label: str) -> tuple[DataFrame, dict]:
     return stream.sparkSession.read.schema(stream.schema).parquet(path), counters
 
 
-def drain_windows_to_folder(source: DataFrame, time: str, build: Callable[[DataFrame], DataFrame], label: str, ends: Sequence[dict] = ({},)) -> tuple[str, dict]:
+def drain_windows_to_folder(source: DataFrame, time: str, build: Callable[[DataFrame], DataFrame], label: str, ends: Sequence[dict] = ({},), feeds: Sequence[Callable[[], None]] = (lambda: None,)) -> tuple[str, dict]:
     """Process everything available of ``source`` through the windowed query ``build``, the last windows too.
 
     A bounded run leaves the windows open that its watermark has not passed. When all rows are in, a second run from
     the same state reads end rows, whose time lies beyond every window, and so closes them; windows of the end rows
     stay open. ``ends`` gives column values of the end rows: one for each branch of a query that filters its source,
-    with the keys of a join (a row without them never reaches the watermark).
+    with the keys of a join (a row without them never reaches the watermark). ``feeds`` are steps that add files to
+    the source: each is followed by a run of its own from the same state, so its files are one micro-batch.
     """
     spark = source.sparkSession
     folder, out, state = (staging(spark, f"{label}{part}") for part in ("_end", "", "_state"))
@@ -55,7 +58,11 @@ def drain_windows_to_folder(source: DataFrame, time: str, build: Callable[[DataF
     def query() -> DataFrame:
         return build(source.unionByName(folder_stream(spark, folder, source.schema)))
 
-    _, counters = drain_to_folder(query(), label, (out, state))
+    counters: dict[str, int] = {}
+    for feed in feeds:
+        feed()
+        for name, n in drain_to_folder(query(), label, (out, state))[1].items():
+            counters[name] = counters.get(name, 0) + n
     nullable = StructType([StructField(f.name, f.dataType) for f in source.schema])
     rows = [tuple(END if f.name == time else end.get(f.name) for f in source.schema) for end in ends]
     spark.createDataFrame(rows, nullable).write.mode("append").parquet(folder)
@@ -63,9 +70,9 @@ def drain_windows_to_folder(source: DataFrame, time: str, build: Callable[[DataF
     return out, counters
 
 
-def drain_windows(source: DataFrame, time: str, build: Callable[[DataFrame], DataFrame], label: str, ends: Sequence[dict] = ({},)) -> tuple[DataFrame, dict]:
+def drain_windows(source: DataFrame, time: str, build: Callable[[DataFrame], DataFrame], label: str, ends: Sequence[dict] = ({},), feeds: Sequence[Callable[[], None]] = (lambda: None,)) -> tuple[DataFrame, dict]:
     """Rows of :func:`drain_windows_to_folder` and the counters of the run over ``source``."""
-    path, counters = drain_windows_to_folder(source, time, build, label, ends)
+    path, counters = drain_windows_to_folder(source, time, build, label, ends, feeds)
     return source.sparkSession.read.schema(build(source).schema).parquet(path), counters
 
 
