@@ -26,18 +26,42 @@ def write_yearly(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     clustered.write.mode(mode).partitionBy("year").parquet(path)
 
 
+def _manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(year, run, n_rows) of the years that are whole; of several runs that wrote one year the first by name counts."""
+    try:
+        listed = spark.read.schema("year INT, run STRING, n_rows BIGINT").parquet(f"{path}/_whole")
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "year INT, run STRING, n_rows BIGINT")
+    return listed.groupBy("year").agg(F.min_by("run", "run").alias("run"), F.min_by("n_rows", "run").alias("n_rows"))
+
+
+def stored_years(spark: SparkSession, path: str) -> DataFrame:
+    """The years that ``write_missing_years`` has finished. What a broken run left behind is not read."""
+    whole = _manifest(spark, path).select("year", "run")
+    return spark.read.option("basePath", path).parquet(f"{path}/run=*").join(whole, ["year", "run"], "left_semi").drop("run")
+
+
 def write_missing_years(df: DataFrame, path: str) -> DataFrame:
-    """Write only the years that are not there yet; returns the full stored table."""
+    """Write only the years that are not whole yet; returns the full stored table.
+
+    A run writes its files to a folder of its own and then, from what lies there, one line per year to a list of whole
+    years. A run that breaks off before that has written nothing that counts, and the next one does its years again.
+    """
     spark = df.sparkSession
+    todo = df.join(_manifest(spark, path).select("year"), "year", "left_anti")
+    run = uuid.uuid4().hex
+    write_yearly(todo, f"{path}/run={run}")
     try:
-        done = spark.read.parquet(path).select("year").distinct()
-        todo = df.join(done, "year", "left_anti")
-    except AnalysisException as problem:
-        if problem.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+        written = spark.read.parquet(f"{path}/run={run}")
+    except AnalysisException as problem:  # there was nothing to do
+        if problem.getCondition() != "UNABLE_TO_INFER_SCHEMA":
             raise
-        todo = df
-    write_yearly(todo, path, mode="append")
-    return spark.read.parquet(path)
+        return stored_years(spark, path)
+    whole = written.groupBy(F.col("year").cast("int").alias("year")).agg(F.lit(run).alias("run"), F.count("*").alias("n_rows"))
+    whole.write.mode("append").parquet(f"{path}/_whole")
+    return stored_years(spark, path)
 
 
 def write_land_slices(df: DataFrame, land: DataFrame, path: str) -> None:
