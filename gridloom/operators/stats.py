@@ -112,8 +112,8 @@ def gram_matrix(df: DataFrame, vector: str, dims: int, limit: int = 4096) -> np.
     if dims > limit:
         raise ValueError(f"{dims} dimensions exceed the driver limit of {limit}")
     out = np.zeros((dims, dims))
-    for row in gram(df, vector).collect():
-        out[row["i"], row["j"]] = row["g"]
+    entries = gram(df, vector).toPandas()
+    out[entries["i"].to_numpy(), entries["j"].to_numpy()] = entries["g"].to_numpy()
     return out
 
 
