@@ -33,7 +33,7 @@ CLASSES, TAIL = GROUP * GROUP, 256
 KNOWN = 1 << 16
 SIDE, HIDDEN = (-2, -1, 1, 2), 16
 MASK_EVERY, BATCH, RATE, ROW_RATE = 6, 512, 0.5, 0.05
-CHUNK = 1 << 15
+CHUNK = 1 << 11
 
 
 def _hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -108,50 +108,58 @@ class Network:
         return np.where(there, self.order[at], shared)
 
     def forward(self, around: np.ndarray, word: np.ndarray):
-        z = self.hidden + self.rows[0][around[:, 0]]
+        """Log probability of the class at every place, the hidden layer, and both layers' logits less their
+        largest, as exponentials with their sums. One column per place, so that sums run along rows."""
+        table, step = self.rows.reshape(-1, HIDDEN), self.outside + 1
+        z = self.hidden + table[around[0]]
         for s in range(1, len(SIDE)):
-            z += self.rows[s][around[:, s]]
+            z += table[around[s] + s * step]
         h = np.tanh(z, out=z)
-        group = word // self.size
-        one = h @ self.to_group + self.group
-        two = h @ self.to_class + self.inner[group]
+        group, inside = np.divmod(word, self.size)
+        one = self.to_group.T @ h.T
+        one += self.group[:, None]
+        two = self.to_class.T @ h.T
+        two += self.inner[group].T
         logs = np.zeros(len(word), np.float32)
-        each = np.arange(len(word))
-        for logits, target in ((one, group), (two, word % self.size)):
-            logits -= logits.max(1, keepdims=True)
-            picked = logits[each, target]
-            np.exp(logits, out=logits)
-            total = logits.sum(1, keepdims=True)
-            logits /= total
-            logs += picked - np.log(total[:, 0])
-        return logs, h, one, two
+        each, totals = np.arange(len(word)), []
+        for logits, target in ((one, group), (two, inside)):
+            logits -= logits.max(0)
+            logs += logits[target, each]
+            total = np.exp(logits, out=logits).sum(0)
+            logs -= np.log(total)
+            totals.append(total)
+        return logs, h, one, two, totals
 
     def learn(self, around: np.ndarray, word: np.ndarray) -> None:
-        _, h, one, two = self.forward(around, word)
-        each, group, rate = np.arange(len(word)), word // self.size, RATE / len(word)
-        one[each, group] -= 1
-        two[each, word % self.size] -= 1
-        back = (one @ self.to_group.T + two @ self.to_class.T) * (1 - h * h)
-        self.to_group -= rate * (h.T @ one)
-        self.to_class -= rate * (h.T @ two)
-        self.group -= rate * one.sum(0)
+        _, h, one, two, totals = self.forward(around, word)
+        each, rate = np.arange(len(word)), RATE / len(word)
+        group, inside = np.divmod(word, self.size)
+        for layer, target, total in ((one, group, totals[0]), (two, inside, totals[1])):
+            layer /= total
+            layer[target, each] -= 1
+        back = (self.to_group @ one + self.to_class @ two).T * (1 - h * h)
+        self.to_group -= rate * (one @ h).T
+        self.to_class -= rate * (two @ h).T
+        self.group -= rate * one.sum(1)
         self.hidden -= rate * back.sum(0)
-        _subtract(self.inner, group, ROW_RATE * two)
+        _subtract(self.inner, group, ROW_RATE * two.T)
         back *= ROW_RATE
         for s in range(len(SIDE)):
-            _subtract(self.rows[s], around[:, s], back)
+            _subtract(self.rows[s], around[s], back)
 
 
-def _sides(word: np.ndarray, first: np.ndarray, at: np.ndarray, outside: int) -> np.ndarray:
-    """Classes around the places ``at``; beyond a text lies the class ``outside``."""
-    text = np.searchsorted(first, at, "right") - 1
-    low, high = first[text], first[text + 1]
-    out = np.empty((len(at), len(SIDE)), np.int64)
-    for s, d in enumerate(SIDE):
-        i = at + d
-        inside = (i >= low) & (i < high)
-        out[:, s] = np.where(inside, word[np.where(inside, i, 0)], outside)
-    return out
+def _padded(word: np.ndarray, first: np.ndarray, outside: int) -> tuple[np.ndarray, np.ndarray]:
+    """The classes with places of the class ``outside`` around every text, and where each word went."""
+    sizes = np.diff(first)
+    to = np.arange(len(word)) + max(SIDE) * (np.repeat(np.arange(len(sizes)), sizes) + 1)
+    out = np.full(len(word) + max(SIDE) * (len(sizes) + 1), outside, np.int64)
+    out[to] = word
+    return out, to
+
+
+def _sides(padded: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Classes around the places ``to``, one row per side."""
+    return padded[to + np.array(SIDE)[:, None]]
 
 
 def _class_type(group: int) -> np.dtype:
@@ -183,9 +191,10 @@ def _train(batches, words, weights, group, turn):
         for raw, begin in zip(batch.column(0), batch.column(1)):
             word, first = np.frombuffer(raw.as_buffer(), _class_type(group)).astype(np.int64), np.frombuffer(begin.as_buffer(), "<i8")
             at = _masked(word, first, turn)
+            padded, to = _padded(word, first, net.outside)
             for k in range(0, len(at), BATCH):
                 own = at[k:k + BATCH]
-                net.learn(_sides(word, first, own, net.outside), word[own])
+                net.learn(_sides(padded, to[own]), word[own])
             seen += len(at)
     if seen:
         rows = np.r_[net.weights, np.zeros(-len(net.weights) % HIDDEN, np.float32)].reshape(-1, HIDDEN)
@@ -250,9 +259,10 @@ def train(docs: DataFrame, text: str = "text", rounds: int = MASK_EVERY, counts:
 def _runs(net: Network, word: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Log probability of the class at every place."""
     logs = np.zeros(len(word))
+    padded, to = _padded(word, first, net.outside)
     for k in range(0, len(word), CHUNK):
-        at = np.arange(k, min(k + CHUNK, len(word)))
-        logs[at] = net.forward(_sides(word, first, at, net.outside), word[at])[0]
+        own = slice(k, k + CHUNK)
+        logs[own] = net.forward(_sides(padded, to[own]), word[own])[0]
     return logs
 
 
