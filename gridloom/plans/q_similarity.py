@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from gridloom.functions import vectors
-from gridloom.operators import clean, sampling, similarity, stats, traits
+from gridloom.operators import clean, sampling, similarity, stats, traits, variogram
 from gridloom.plans.q_rates import BETA_S, B_SQL
 from gridloom.plans.registry import query
 from gridloom.plans.views import r6
@@ -157,6 +157,14 @@ def _(v):
     return c.groupBy(F.floor(F.col("d") / 2).cast("int").alias("bin")).agg(F.count("*").alias("n"), r6(F.avg("e")).alias("turnover")).withColumn("slope", slope)
 
 
+@query("K10_variogram_all_pairs", """p AS (SELECT sqrt(pow(a.row - b.row, 2) + pow(a.col - b.col, 2)) AS d, 1 - list_dot_product(a.z, b.z) AS e, list_dot_product(a.z, a.z) + list_dot_product(b.z, b.z) - 2 * list_dot_product(a.z, b.z) AS s
+        FROM v_z a JOIN v_z b ON b.row BETWEEN a.row AND a.row + 18 AND (b.row > a.row OR b.col > a.col)), c AS MATERIALIZED (SELECT * FROM p WHERE d <= 18)
+    SELECT CAST(floor(d / 2) AS INTEGER) AS bin, count(*) AS n, R6(avg(e)) AS turnover, R6(avg(s) / 2) AS semivariance, (SELECT R6(regr_slope(e, d)) FROM c) AS slope FROM c GROUP BY 1""")
+def _(v):
+    t = variogram.turnover(v.z(), "z", 64, 18, 2.0)
+    return t.select("bin", "n", *[r6(F.col(c)).alias(c) for c in ("turnover", "semivariance", "slope")])
+
+
 @query("K11_focal_distance", """f AS (SELECT size AS fs, qty AS fq, disc AS fd FROM v_traits WHERE part = 7) SELECT part, CASE WHEN disc IS NOT NULL THEN size - fs END AS trait_diff_size, CASE WHEN disc IS NOT NULL THEN qty - fq END AS trait_diff_qty,
     R6(sqrt(pow(size - fs, 2) + pow(qty - fq, 2) + pow(disc - fd, 2))) AS trait_distance FROM v_traits, f""")
 def _(v):
