@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.functions import vectors
 from gridloom.operators.sampling import sample_fixed
@@ -19,6 +20,8 @@ from gridloom.session import durable
 PART_BYTES = 64 << 20
 #: Numbers in one dense slice of a batch.
 BLOCK_CELLS = 1 << 21
+#: Rows and basis functions that are evaluated together.
+SINE_ROWS, SINE_BLOCK = 1024, 256
 
 # -- sparse rows ----------------------------------------------------------------------
 
@@ -410,6 +413,71 @@ def basis_field(coords: Sequence[Column], m: int, ell: float, spectrum: Sequence
     return field
 
 
+def sine_index(n_dims: int, order: int) -> list[tuple[tuple[int, int], ...]]:
+    """Basis functions of bounded total order over many dims: those whose frequencies j_d >= 1 have sum(j_d - 1) <= order.
+
+    Each is named by its (dim, j) with j > 1; there are C(n_dims + order, order) of them, by order, then by dims and
+    frequencies. Dims not named have j = 1.
+    """
+    out: list[tuple[tuple[int, int], ...]] = []
+    for total in range(order + 1):
+        level = []
+        for dims in itertools.combinations_with_replacement(range(n_dims), total):
+            level.append(tuple((d, 1 + dims.count(d)) for d in sorted(set(dims))))
+        out += level
+    return out
+
+
+def sine_field(df: DataFrame, vector: str, n_dims: int, order: int, ell: float, spectrum: Callable[[np.ndarray], np.ndarray], weights: Sequence[float], out: str = "f", unit: bool = False) -> DataFrame:
+    """``df`` and the sum of weight x spectrum(sum of squared frequencies) x function over the functions of ``sine_index``.
+
+    A function is the product over all dims of sqrt(1/ell) sin(pi j (x + ell) / (2 ell)); with ``unit`` without the roots, since
+    over many dims their product leaves the range of doubles. A function is the product of all first waves times, for each of its few
+    dims with j > 1, the ratio of two waves; blocks of rows and functions bound the memory of a batch. Vectors that are
+    missing, shorter or not finite give no value.
+    """
+    index = sine_index(n_dims, order)
+    if len(weights) != len(index):
+        raise ValueError(f"{len(index)} functions, {len(weights)} weights")
+    squares = np.array([sum(j * j - 1 for _, j in f) + n_dims for f in index], float) * (math.pi / (2 * ell)) ** 2
+    scaled = np.asarray(weights, float) * spectrum(squares)
+    width = max((len(f) for f in index), default=0)
+    # every function as a product of ``width`` waves; (0, 1) at the end stands for the ratio 1
+    dims = np.array([[d for d, _ in f] + [n_dims] * (width - len(f)) for f in index], np.int64).reshape(len(index), width)
+    waves = np.array([[j for _, j in f] + [1] * (width - len(f)) for f in index], np.int64).reshape(len(index), width)
+    root = 1.0 if unit else ell ** (-n_dims / 2)
+
+    def evaluate(x: np.ndarray) -> np.ndarray:
+        theta = math.pi * (x + ell) / (2 * ell)
+        # sin(j t) / sin(t) by its recurrence, so a dim where sin(t) = 0 does no harm
+        ratio = np.ones((order + 2, n_dims + 1, len(x)))
+        if order:
+            ratio[2, :n_dims] = 2 * np.cos(theta.T)
+        for j in range(3, order + 2):
+            ratio[j, :n_dims] = ratio[2, :n_dims] * ratio[j - 1, :n_dims] - ratio[j - 2, :n_dims]
+        total = np.zeros(len(x))
+        for k in range(0, len(index), SINE_BLOCK):
+            part = scaled[k:k + SINE_BLOCK, None]
+            for i in range(width):
+                part = part * ratio[waves[k:k + SINE_BLOCK, i], dims[k:k + SINE_BLOCK, i]]
+            total += part.sum(0)
+        return root * np.sin(theta).prod(1) * total
+
+    @F.pandas_udf(T.DoubleType())
+    def field(batch: pd.Series) -> pd.Series:
+        result = np.full(len(batch), np.nan)
+        if len(batch):
+            x = np.stack([np.asarray(v, float)[:n_dims] for v in batch])
+            for k in range(0, len(x), SINE_ROWS):
+                result[k:k + SINE_ROWS] = evaluate(x[k:k + SINE_ROWS])
+        return pd.Series(result)
+
+    numbers = F.transform(F.slice(vector, 1, n_dims), lambda x: x.cast("double"))
+    usable = F.coalesce((F.size(vector) >= n_dims) & F.forall(numbers, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))), F.lit(False))
+    safe = F.when(usable, numbers).otherwise(F.array_repeat(F.lit(0.0), n_dims))
+    return df.withColumn(out, F.when(usable, field(safe)))
+
+
 def principal_components(df: DataFrame, key: str, vector: str, dims: int, n: int) -> tuple[DataFrame, np.ndarray]:
     """(scores, variance ratios): population-standardised inputs, scores rescaled to unit sd.
 

@@ -219,6 +219,19 @@ def _(v):
     return f.select("vec_id", r6(0.8 * F.col("f") + 0.2 * g).alias("r"), r6(0.3 * F.col("f") - 0.6 * g).alias("k"))
 
 
+@query("K15_basis_field_all_dims", """x AS MATERIALIZED (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda e: pi() * (e + 5) / 10) AS t FROM embeddings),
+    fn AS (SELECT 0 AS b, 0 AS d, 0 AS e, 64 AS sq UNION ALL SELECT d, d, 0, 67 FROM range(1, 65) a(d)
+        UNION ALL SELECT 65 + (d - 1) * 64 - (d - 1) * (d - 2) // 2 + e - d, d, e, CASE WHEN d = e THEN 72 ELSE 70 END FROM range(1, 65) a(d), range(1, 65) c(e) WHERE d <= e),
+    w AS MATERIALIZED (SELECT d, e, ((b * 5) % 9 - 4) / 4.0::DOUBLE * 1.5 * exp(-0.25 * 0.7 * 0.7 * sq * pow(pi() / 10, 2)) AS w FROM fn),
+    f AS (SELECT vec_id, list_product(any_value(list_transform(t, lambda a: sin(a)))) * sum(w * CASE WHEN d = 0 THEN 1 WHEN e = 0 THEN 2 * cos(t[d]) WHEN d = e THEN 4 * cos(t[d]) * cos(t[d]) - 1 ELSE 4 * cos(t[d]) * cos(t[e]) END) AS f FROM x, w GROUP BY vec_id)
+    SELECT vec_id, R6(0.8 * f + 0.2 * f * f) AS r, R6(0.3 * f - 0.6 * f * f) AS k FROM f""")
+def _(v):
+    weights = [((b * 5) % 9 - 4) / 4 for b in range(len(similarity.sine_index(64, 2)))]
+    f = similarity.sine_field(vecs(v), "z", 64, 2, 5.0, lambda w2: 1.5 * np.exp(-0.25 * 0.7 * 0.7 * w2), weights, unit=True)
+    g = F.col("f") * F.col("f")
+    return f.select("vec_id", r6(0.8 * F.col("f") + 0.2 * g).alias("r"), r6(0.3 * F.col("f") - 0.6 * g).alias("k"))
+
+
 # the inverse of the posterior precision by Newton steps X (2 I - A X)
 BLR = """d AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS z, label::DOUBLE AS y FROM embeddings), s AS MATERIALIZED (SELECT 0.1 * var_pop(y) + 1e-6 AS s2 FROM d),
     g AS (SELECT i, j, g / s2 + CASE WHEN i = j THEN 1 ELSE 0 END AS g FROM s, (SELECT i, j, sum(z[i] * z[j]) AS g FROM d, range(1, 65) a(i), range(1, 65) b(j) GROUP BY i, j)), a AS MATERIALIZED (SELECT list(r ORDER BY i) AS a FROM (SELECT i, list(g ORDER BY j) AS r FROM g GROUP BY i)),
