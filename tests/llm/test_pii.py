@@ -78,6 +78,34 @@ def test_redact(spark):
     assert pii.redact(docs.limit(0)).count() == 0 and pii.digests(docs.limit(0)).count() == 0
 
 
+def plain_redaction(text):
+    """Base kinds only: a text without the added ones."""
+    out, at = [], 0
+    for start, back, kind in sorted((a, -b, k) for k, a, b in brute(text)):
+        if start >= at:
+            out.append(text[at:start] + f"[{kind.upper()}]")
+        at = max(at, -back)
+    return "".join(out) + text[at:]
+
+
+def test_many_matches_in_one_text(spark):
+    n = pii.BLOCK
+    texts = [("é x@y.zz" + " 10.0.0.1 a.b@c.de" * k)[:cut] for k in (n - 1, n, n + 1, 3 * n) for cut in (None, -1, -4)]
+    texts += ["1." * 50_000, "+1 235 555 3833@a.bc 4111 1111 1111 1111\n" * 700]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.digests(docs).collect():
+        want = ",".join(f"{k}:{a}:{b}" for k, a, b in brute(texts[r.doc_id]))
+        assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+    for r in pii.redact(docs).collect():
+        assert r.text == plain_redaction(texts[r.doc_id])
+
+
+def test_a_hundred_thousand_addresses(spark):
+    text = "".join(f"name{i}@host.example.org, " for i in range(100_000))
+    row = pii.redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]
+    assert row.text == "[EMAIL], " * 100_000
+
+
 def test_native(spark):
     docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     plan = pii.digests(docs)._jdf.queryExecution().executedPlan().toString()
