@@ -186,7 +186,10 @@ def _masked(word: np.ndarray, first: np.ndarray, turn: int) -> np.ndarray:
 
 def _train(batches, words, weights, group, turn):
     """Weights of this task's copy in rows of HIDDEN, and the places it saw."""
-    net, seen = Network(words, weights.copy(), group), 0
+    # a new array: numpy adds at places slowly (some 18 times) to one with the dtype object that comes with a pickled one
+    own_weights = np.empty(len(weights), np.float32)
+    own_weights[:] = weights
+    net, seen = Network(words, own_weights, group), 0
     for batch in batches:
         for raw, begin in zip(batch.column(0), batch.column(1)):
             word, first = np.frombuffer(raw.as_buffer(), _class_type(group)).astype(np.int64), np.frombuffer(begin.as_buffer(), "<i8")
