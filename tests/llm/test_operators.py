@@ -324,4 +324,25 @@ def test_pipeline_stages(spark, sf_dir):
     clean = corpus_pipeline.decontamination(spark, docs, sf_dir)
     assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in docs.collect()} - bad and clean.columns == docs.columns
     out = corpus_pipeline.run(spark, sf_dir)
-    assert out.columns == ["doc_id", "ids", "n_tokens"] and 0 < out.count() < docs.count()
+    assert out.columns == ["doc_id", "ids", "n_tokens", "decoded"] and 0 < out.count() < docs.count()
+
+
+def test_pipeline_privacy_and_encoding(spark):
+    import sentencepiece
+
+    from tests.llm.test_pii import plain_redaction
+
+    texts = [None, "", "plain", "mail a.b@c.de or +1 235 555 3833, é 🎉", "10.0.0.1  twice  10.0.0.1", "x " * 30_000 + "a@b.cc"]
+    docs = spark.createDataFrame([(i, t, len(t or ""), "en") for i, t in enumerate([*texts, texts[3]])], "doc_id long, text string, n_chars long, ids string")
+    private = corpus_pipeline.privacy(spark, docs, "")
+    assert private.columns == docs.columns
+    clean = {r.doc_id: (r.text, r.n_chars) for r in private.collect()}
+    want = {i: t if t is None else plain_redaction(t) for i, t in enumerate([*texts, texts[3]])}
+    assert clean == {i: (t, len(t or "")) for i, t in want.items()}
+    library = sentencepiece.SentencePieceProcessor(model_file=tokenizer(PIECES))
+    got = corpus_pipeline.encoding(spark, private, "").collect()
+    assert sorted(r.doc_id for r in got) == list(want)
+    for r in got:
+        ids = library.encode(want[r.doc_id] or "", add_eos=True)
+        assert (r.ids, r.n_tokens, r.decoded) == (ids, len(ids), library.decode(ids))
+    assert corpus_pipeline.encoding(spark, corpus_pipeline.privacy(spark, docs.limit(0), ""), "").count() == 0
