@@ -206,19 +206,23 @@ class Encoder:
         return ""
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with the ids of ``text`` as array<int> in column ``ids``."""
+def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """``docs`` with the ids of ``text`` as array<int> in column ``ids`` and, where ``decoded`` names a column, the text
+    they give back, decoded in the same pass."""
 
     def make():
         encoder = Encoder(path)
 
         def work(texts):
             flat_ids, offsets = encoder.encode(texts.to_pylist())
-            return [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat_ids, pa.int32()))]
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat_ids, pa.int32()))
+            cuts = offsets.tolist()
+            return [lists, *([[encoder.decode(flat_ids[a:b].tolist()) for a, b in zip(cuts, cuts[1:])]] if decoded else [])]
 
         return work
 
-    return flat.with_columns(docs, text, {ids: (T.ArrayType(T.IntegerType()), pa.list_(pa.int32()))}, make)
+    new = {ids: (T.ArrayType(T.IntegerType()), pa.list_(pa.int32()))}
+    return flat.with_columns(docs, text, new | ({decoded: (T.StringType(), pa.string())} if decoded else {}), make)
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
