@@ -37,9 +37,8 @@ def privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens, decoded: the pieces of every document, closed by the end id, and the text they give back."""
-    path = tokenizer(PIECES)
-    decoded = pieces.decode(pieces.encode(docs.select("doc_id", "text"), path), path)
-    return decoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), "decoded")
+    encoded = pieces.encode(docs.select("doc_id", "text"), tokenizer(PIECES), decoded="decoded")
+    return encoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), "decoded")
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("privacy", privacy), ("encoding", encoding)]
