@@ -69,26 +69,24 @@ def vecs(v):
     return v.table("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("z"))
 
 
-def to_marks(v):
+def to_marks(v, kind, params=None):
     e = vecs(v)
-    paired = similarity.with_landmarks(e, sampling.sample_fixed(e, ["vec_id"], 16, 9), "vec_id", "z")
-    return paired.withColumn("d2", vectors.squared_distance(F.col("z"), F.col("lm_vec")))
+    return similarity.against_landmarks(e, sampling.sample_fixed(e, ["vec_id"], 16, 9), "vec_id", "z", kind, params)
 
 
 @query("K4_rbf_kernel", VEC + " SELECT vec_id, lm, R6(exp(-d2 / (2 * 0.8 * 0.8))) AS k, R6(pow(exp(-d2 / (2 * 0.8 * 0.8)), 0.5)) AS k_alpha FROM d")
 def _(v):
-    d2 = F.col("d2")
-    return to_marks(v).select("vec_id", "lm", r6(similarity.rbf(d2, 0.8)).alias("k"), r6(similarity.rbf(d2, 0.8, 0.5)).alias("k_alpha"))
+    return to_marks(v, "rbf", {"lengthscale": 0.8}).select("vec_id", "lm", r6(F.col("k")).alias("k"), r6(F.sqrt("k")).alias("k_alpha"))
 
 
 @query("K5_rational_quadratic", VEC + " SELECT vec_id, lm, R6(pow(1 + d2 / (2 * 1.5 * 0.8 * 0.8), -1.5)) AS k FROM d")
 def _(v):
-    return to_marks(v).select("vec_id", "lm", r6(similarity.rational_quadratic(F.col("d2"), 0.8, 1.5)).alias("k"))
+    return to_marks(v, "rq", {"lengthscale": 0.8, "alpha": 1.5}).select("vec_id", "lm", r6(F.col("k")).alias("k"))
 
 
 @query("K6_linear_kernel_rows", VEC + " SELECT vec_id, lm, R6(dp) AS k FROM d")
 def _(v):
-    return to_marks(v).select("vec_id", "lm", r6(vectors.dot(F.col("z"), F.col("lm_vec"))).alias("k"))
+    return to_marks(v, "linear").select("vec_id", "lm", r6(F.col("k")).alias("k"))
 
 
 def at_full_rank(z, key, n):
