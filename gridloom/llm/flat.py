@@ -139,8 +139,8 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def with_columns(df: DataFrame, text: str, fields: dict[str, tuple[T.DataType, pa.DataType]], make: Callable[[], Callable[[pa.Array], list]]) -> DataFrame:
-    """``df`` and new columns, one Arrow slice at a time. ``make()`` runs once a task and gives the
+def with_columns(df: DataFrame, text: str, fields: dict[str, tuple[T.DataType, pa.DataType]], make: Callable[[], Callable[[pa.Array], list]], limit: int = SLICE_BYTES) -> DataFrame:
+    """``df`` and new columns, one Arrow slice of at most ``limit`` bytes of text at a time. ``make()`` runs once a task and gives the
     function from a slice's texts to the new arrays."""
     names = list(fields)
     schema = T.StructType([*df.schema.fields, *[T.StructField(n, fields[n][0]) for n in names]])
@@ -149,7 +149,7 @@ def with_columns(df: DataFrame, text: str, fields: dict[str, tuple[T.DataType, p
     def run(batches):
         work = make()
         for batch in batches:
-            for part in slices(batch, batch.schema.names[at]):
+            for part in slices(batch, batch.schema.names[at], limit):
                 new = work(part.column(at))
                 arrays = [a if isinstance(a, pa.Array) else pa.array(a, fields[n][1]) for n, a in zip(names, new)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *arrays], [*part.schema.names, *names])

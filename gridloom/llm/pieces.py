@@ -222,7 +222,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", dec
         return work
 
     new = {ids: (T.ArrayType(T.IntegerType()), pa.list_(pa.int32()))}
-    return flat.with_columns(docs, text, new | ({decoded: (T.StringType(), pa.string())} if decoded else {}), make)
+    return flat.with_columns(docs, text, new | ({decoded: (T.StringType(), pa.string())} if decoded else {}), make, flat.SLICE_BYTES // 4)
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
