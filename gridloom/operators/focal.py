@@ -291,6 +291,10 @@ def apply_kernels(df: DataFrame, stack: dict[str, Offsets], values: Sequence[str
     return gather(df, stack, values, layers, mirrored, unique=unique)
 
 
+# Joins of a row per cell and kernel ask for a merge: Spark sizes exploded rows and the output of Python like
+# their input, and would broadcast millions of them through the driver.
+
+
 def land_fraction(land: DataFrame, stack: dict[str, Offsets]) -> DataFrame:
     """(kernel, row, col, frac): share of each normalised kernel that lands on land.
 
@@ -298,18 +302,18 @@ def land_fraction(land: DataFrame, stack: dict[str, Offsets]) -> DataFrame:
     """
     shapes = {k: normalized(o) for k, o in stack.items()}
     hit = apply_kernels(land.withColumn("frac", F.lit(1.0)), shapes, ["frac"], mirrored=True, unique=True)
-    return hit.join(land, ["row", "col"], "left_semi").withColumn("frac", F.greatest("frac", F.lit(1e-12)))
+    return hit.hint("merge").join(land, ["row", "col"], "left_semi").withColumn("frac", F.greatest("frac", F.lit(1e-12)))
 
 
 def redistribute(pop: DataFrame, land: DataFrame, stack: dict[str, Offsets], q: DataFrame, layers: Sequence[str] = ()) -> DataFrame:
     """sum_k Q_k * conv(pop / (f_k + 1e-6), k) on land."""
     frac = land_fraction(land, stack)
-    boosted = pop.join(frac, ["row", "col"]).withColumn("value", F.col("value") / (F.col("frac") + 1e-6)).drop("frac")
+    boosted = pop.join(frac.hint("merge"), ["row", "col"]).withColumn("value", F.col("value") / (F.col("frac") + 1e-6)).drop("frac")
     arrived = gather(boosted, stack, ["value"], layers, by_kernel=True)
     return (
-        arrived.join(q, [*layers, "row", "col", "kernel"])
+        arrived.hint("merge").join(q, [*layers, "row", "col", "kernel"])
         .groupBy(*layers, "row", "col").agg(F.sum(F.col("value") * F.col("Q")).alias("value"))
-        .join(land, ["row", "col"], "left_semi")
+        .hint("merge").join(land, ["row", "col"], "left_semi")
     )
 
 
@@ -333,7 +337,7 @@ def path_integral(field: DataFrame, land: DataFrame, stack: dict[str, Offsets],
         + [T.StructField(c, types[c]) for c in ("row", "col")] + [T.StructField(v, T.DoubleType()) for v in values]
     )
     land_tiles = in_tiles(land.select("row", "col"), radius, edge)
-    cells = in_tiles(field.join(land, ["row", "col"], "left_semi").select(*layers, "row", "col", *[F.col(v).cast("double").alias(v) for v in values]), radius, edge)
+    cells = in_tiles(field.hint("merge").join(land, ["row", "col"], "left_semi").select(*layers, "row", "col", *[F.col(v).cast("double").alias(v) for v in values]), radius, edge)
     # land beside a layer's own cells, tile by tile
     beside = land_tiles.join(cells.select(*layers, "_tr", "_tc").distinct(), ["_tr", "_tc"]).select(*cells.columns[:len(layers)], "row", "col", *[F.lit(None).cast("double").alias(v) for v in values], "_tr", "_tc", F.lit(True).alias("_land"))
     rows = cells.withColumn("_land", F.lit(False)).unionByName(beside)
@@ -369,9 +373,9 @@ def path_integral(field: DataFrame, land: DataFrame, stack: dict[str, Offsets],
 
 def outgoing_risk(q: DataFrame, land: DataFrame, stack: dict[str, Offsets]) -> DataFrame:
     """1 - mean over kernels of corr(Q_k * land, k) / (f_k + 1e-6), on land."""
-    on_land = q.join(land, ["row", "col"], "left_semi").withColumnRenamed("Q", "value")
+    on_land = q.hint("merge").join(land, ["row", "col"], "left_semi").withColumnRenamed("Q", "value")
     pulled = gather(on_land, stack, ["value"], mirrored=True, by_kernel=True)
-    joined = land_fraction(land, stack).join(pulled, ["kernel", "row", "col"], "left")
+    joined = land_fraction(land, stack).join(pulled.hint("merge"), ["kernel", "row", "col"], "left")
     survival = F.coalesce("value", F.lit(0.0)) / (F.col("frac") + 1e-6)
     return joined.groupBy("row", "col").agg((F.lit(1.0) - F.avg(survival)).alias("risk"))
 
@@ -406,7 +410,7 @@ def habitat_pull(df: DataFrame, window: int = 5, alpha: float = 5.0, eps: float
     cap = F.greatest("capacity", F.lit(eps))
     vacancy = df.withColumn("_v", F.col("land") / (1.0 + F.exp(-alpha * (cap - F.col("established")) / cap)))
     around = scatter(vacancy.select("row", "col", F.col("_v").alias("vsum"), F.col("land").cast("double").alias("lsum")), {"box": box(window)}, ["vsum", "lsum"])
-    joined = vacancy.join(around.drop("kernel"), ["row", "col"])
+    joined = vacancy.join(around.drop("kernel").hint("merge"), ["row", "col"])
     pull = F.col("_v") / (F.col("vsum") / (F.col("lsum") + eps) + eps)
     return joined.select("row", "col", (F.col("arriving") * pull).alias("mass"))
 
@@ -504,7 +508,7 @@ def displacement(pop: DataFrame, land: DataFrame, stack: dict[str, Offsets], cel
         moments[f"{k}|m"] = offsets
         moments[f"{k}|md"] = [(dr, dc, w * math.hypot(dr, dc) * cell_size) for dr, dc, w in offsets]
         moments[f"{k}|stay"] = [(dr, dc, w) for dr, dc, w in offsets if (dr, dc) == (0, 0)]
-    landed = apply_kernels(pop, moments).join(land, ["row", "col"], "left_semi")
+    landed = apply_kernels(pop, moments).hint("merge").join(land, ["row", "col"], "left_semi")
     parts = landed.groupBy(F.split_part("kernel", F.lit("|"), F.lit(1)).alias("kernel")).agg(
         *[F.sum(F.when(F.split_part("kernel", F.lit("|"), F.lit(2)) == p, F.col("value"))).alias(p) for p in ("m", "md", "stay")]
     )
@@ -519,4 +523,4 @@ def directional_expectation(s: DataFrame, grid: DataFrame, stack: dict[str, Offs
     """
     moved = apply_kernels(s.withColumn("value", F.col("value") - 1.0), stack)
     mass = F.element_at(F.create_map(*[x for k, o in stack.items() for x in (F.lit(k), F.lit(sum(w for _, _, w in o)))]), F.col("kernel"))
-    return moved.join(grid, ["row", "col"], "left_semi").withColumn("value", F.col("value") + mass)
+    return moved.hint("merge").join(grid, ["row", "col"], "left_semi").withColumn("value", F.col("value") + mass)

@@ -50,11 +50,14 @@ class Views:
         return self.cells().groupBy("row", "col").agg(F.avg("value").alias("v"))
 
     def grid(self) -> DataFrame:
-        """(row, col, is_ocean) for every cell of the grid."""
+        """(row, col, is_ocean) for every cell of the grid.
+
+        Spark sizes an exploded table like the one before, so joins are told not to broadcast the grid.
+        """
         return self.table("supplier").select(
             F.col("s_suppkey").cast("int").alias("row"),
             F.explode(F.sequence(F.lit(0), F.lit(WIDTH - 1))).alias("col"),
-        ).withColumn("is_ocean", (F.pmod(F.col("row") * 7 + F.col("col") * 3, F.lit(11)) == 0).cast("int"))
+        ).withColumn("is_ocean", (F.pmod(F.col("row") * 7 + F.col("col") * 3, F.lit(11)) == 0).cast("int")).hint("merge")
 
     def land(self) -> DataFrame:
         return self.grid().where("is_ocean = 0").select("row", "col")
