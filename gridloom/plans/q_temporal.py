@@ -339,7 +339,7 @@ def _(v):
     SELECT g.row, g.col, R6(sum(w * m)) AS risk FROM v_grid g CROSS JOIN hh CROSS JOIN su JOIN mo ON mo.row = CASE WHEN g.row - dr BETWEEN 0 AND r THEN g.row - dr ELSE r END AND mo.col = CASE WHEN g.col - dc BETWEEN 0 AND c THEN g.col - dc ELSE c END GROUP BY ALL""")
 def _(v):
     names = F.explode(F.array(*[F.lit(k) for k in stack()])).alias("kernel")
-    everywhere = v.grid().select("row", "col", names).join(q_field(v), ["row", "col", "kernel"], "left").fillna(0.0, subset=["Q"])
+    everywhere = v.grid().select("row", "col", names).join(q_field(v).hint("merge"), ["row", "col", "kernel"], "left").fillna(0.0, subset=["Q"])
     size = v.grid().agg(F.max("row") + 1).scalar(), v.grid().agg(F.max("col") + 1).scalar()
     return focal.outgoing_risk_summed(everywhere, stack(), *size).select("row", "col", r6(F.col("risk")).alias("risk"))
 
