@@ -88,7 +88,8 @@ def complete_bio_years(df: DataFrame, layers_per_year: int, var: str | None = No
     dated = df.withColumn("bio_year", bio_year(F.col("year"), F.col("month")))
     layer = ["bio_year", "month", *([var] if var else [])]
     complete = dated.select(*layer).distinct().groupBy("bio_year").agg(F.count("*").alias("_n")).where(F.col("_n") == layers_per_year)
-    return dated.join(complete, "bio_year", "left_semi")
+    # one row a year of the calendar; a shuffle would leave each bio-year's rows to one task
+    return dated.join(F.broadcast(complete), "bio_year", "left_semi")
 
 
 def ema(df: DataFrame, keys: Sequence[str], time: str, value: str, alpha: float = EMA_ALPHA, nan_policy: str = "hold") -> DataFrame:
