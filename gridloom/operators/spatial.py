@@ -117,12 +117,59 @@ def core_margin(cells: DataFrame, margin: DataFrame, core: DataFrame, x: str, y:
 
 #: Children of a bucket along each axis.
 FAN = 4
+#: Tiles of the first pass, and how far it looks around a target.
+TILE, HALO = 64, 16
+#: Most neighbours the first pass lists.
+NEAR = 64
+
+
+def _in_tile(layers: Sequence[str], k: int):
+    """The function of one tile's key and rows: for each target the codes of its k nearest sources within ``HALO``, in order;
+    -1 at the end where there are fewer."""
+    span = range(-HALO, HALO + 1)
+    steps = sorted((dr * dr + dc * dc, dr, dc) for dr in span for dc in span if dr * dr + dc * dc <= HALO * HALO)
+
+    def solve(key, pdf):
+        cells = pdf[["row", "col"]].to_numpy(np.int64)
+        at, asks = cells - np.array([int(key[-2]), int(key[-1])]) * TILE + HALO, pdf["_asks"].to_numpy(bool)
+        seen = np.zeros((TILE + 2 * HALO, TILE + 2 * HALO), bool)
+        seen[tuple(at[~asks].T)] = True
+        t = at[asks]
+        codes, n, live = np.full((len(t), k), -1), np.zeros(len(t), int), np.arange(len(t))
+        for _, dr, dc in steps:
+            if not len(live):
+                break
+            hit = live[seen[t[live, 0] + dr, t[live, 1] + dc]]
+            if len(hit):
+                codes[hit, n[hit]] = (dr + HALO) * len(span) + dc + HALO
+                n[hit] += 1
+                live = live[n[live] < k]
+        out = pd.DataFrame(np.c_[cells[asks], codes], columns=["row", "col", *[f"_n{i}" for i in range(k)]])
+        for i, name in enumerate(layers):
+            out.insert(i, name, pd.Series([key[i]] * len(out), dtype=object))
+        return out
+
+    return solve
+
+
+def _near_in_tiles(targets: DataFrame, sources: DataFrame, k: int, layers: Sequence[str]) -> DataFrame:
+    """(layers, row, col, _n0 .. _n{k-1}): the first pass over tiles with a halo, one row per target."""
+    at = [*layers, *[F.col(c).cast("long").alias(c) for c in ("row", "col")]]
+
+    def deal(df: DataFrame, asks: bool, reach: int) -> DataFrame:
+        span = [F.explode(F.sequence(F.floor((F.col(c) - reach) / TILE), F.floor((F.col(c) + reach) / TILE))).alias(f"_t{c}") for c in ("row", "col")]
+        return df.select(*at).select("*", span[0]).select("*", span[1]).withColumn("_asks", F.lit(asks))
+
+    rows = deal(targets, True, 0).unionByName(deal(sources, False, HALO))
+    schema = [*[f"`{c}` {targets.schema[c].dataType.simpleString()}" for c in layers], "row long, col long", *[f"_n{i} int" for i in range(k)]]
+    return rows.groupBy(*layers, "_trow", "_tcol").applyInPandas(_in_tile(layers, k), ", ".join(schema))
 
 
 def nearest(targets: DataFrame, sources: DataFrame, k: int, payload: Sequence[str] = (), layers: Sequence[str] = ()) -> DataFrame:
     """Exact k nearest source cells of each target cell of the same layer, ties by (row, col).
 
-    Sources are counted in a pyramid of square buckets. From the top down, every target keeps the
+    A first pass over tiles settles every target with k sources within ``HALO`` cells: no source outside can be as
+    near. For the others, sources are counted in a pyramid of square buckets. From the top down, a target keeps the
     buckets that can hold one of its k nearest: the counts give an upper bound of the k-th
     distance, and buckets wholly beyond it go. The list grows with k and with the arc of
     buckets at about that distance, never with the area, however far the sources are.
@@ -133,11 +180,39 @@ def nearest(targets: DataFrame, sources: DataFrame, k: int, payload: Sequence[st
     layers, payload = list(layers), list(payload)
     one = [F.min(F.struct(*payload)).alias("_pay")] if payload else [F.count("*").alias("_pay")]
     src = durable(sources.where("row IS NOT NULL AND col IS NOT NULL").groupBy(*layers, "row", "col").agg(*one))
+    near, found = targets.select(*layers, "row", "col").distinct(), None
+    if k <= NEAR:
+        # a layer without a name has no neighbours
+        whole = " AND ".join(f"`{c}` IS NOT NULL" for c in [*layers, "row", "col"])
+        first = durable(_near_in_tiles(near.where(whole), src.where(whole), k, layers))
+        code, wide = F.col("_code"), 2 * HALO + 1
+        dr, dc = F.floor(code / wide) - HALO, code % wide - HALO
+        settled = first.where(F.col(f"_n{k - 1}") >= 0).select(*layers, "row", "col", F.posexplode(F.array(*[f"_n{i}" for i in range(k)])).alias("_at", "_code"))
+        found = _named(settled.select(*layers, "row", "col", "_at", (F.col("row") + dr).alias("r"), (F.col("col") + dc).alias("c"), (dr * dr + dc * dc).cast("double").alias("d2")), targets, sources, layers)
+        near = first.where(F.col(f"_n{k - 1}") < 0).select(*layers, *[F.col(c).cast(targets.schema[c].dataType).alias(c) for c in ("row", "col")])
+    if found is None or not near.isEmpty():
+        far = _named(_descend(near, src, k, layers), targets, sources, layers)
+        found = far if found is None else found.unionByName(far)
+    if not payload:
+        return found
+    carried = src.select(*layers, F.col("row").alias("n_row"), F.col("col").alias("n_col"), "_pay.*")
+    return found.join(carried, [*layers, "n_row", "n_col"]).select(*found.columns, *payload)
+
+
+def _named(rows: DataFrame, targets: DataFrame, sources: DataFrame, layers: Sequence[str]) -> DataFrame:
+    """Rows of target, place in its list (_at), source (r, c) and squared distance as the columns of ``nearest``."""
+    own = [F.col(c).cast(targets.schema[c].dataType).alias(c) for c in ("row", "col")]
+    other = [F.col(c[0]).cast(sources.schema[c].dataType).alias(f"n_{c}") for c in ("row", "col")]
+    return rows.select(*layers, *own, *other, F.sqrt("d2").alias("d"), (F.col("_at") + 1).alias("rank"))
+
+
+def _descend(near: DataFrame, src: DataFrame, k: int, layers: Sequence[str]) -> DataFrame:
+    """(layers, row, col, _at, r, c, d2): the k nearest sources of targets by a pyramid of bucket counts."""
     box = src.agg(F.min("row").alias("r"), F.min("col").alias("c"), F.greatest(F.max("row") - F.min("row"), F.max("col") - F.min("col")).alias("span")).first()
     r0, c0, depth = box["r"] or 0, box["c"] or 0, 1
     while FAN**depth <= (box["span"] or 0):
         depth += 1
-    near = targets.select(*layers, "row", "col").distinct().withColumn("_c", F.expr("array(named_struct('lo', 0D, 'r', 0L, 'c', 0L))")).withColumn("_hi", F.lit(math.inf))
+    near = near.withColumn("_c", F.expr("array(named_struct('lo', 0D, 'r', 0L, 'c', 0L))")).withColumn("_hi", F.lit(math.inf))
     for level in reversed(range(depth)):
         size = FAN**level
         buckets = src.groupBy(*layers, F.floor((F.col("row") - r0) / size).alias("r"), F.floor((F.col("col") - c0) / size).alias("c")).agg(F.count("*").alias("n"))
@@ -147,13 +222,7 @@ def nearest(targets: DataFrame, sources: DataFrame, k: int, payload: Sequence[st
         met = asked.join(parents, [*layers, "_r", "_c"]).select(*layers, "row", "col", "_hi", F.inline("_kids"))
         near = _with_bound(met, k, size, r0, c0, layers)
     best = F.posexplode(F.slice(F.sort_array(F.transform("_c", lambda b: F.struct(b["lo"].alias("d2"), (b["r"] + r0).alias("r"), (b["c"] + c0).alias("c")))), 1, k))
-    found = near.select(*layers, "row", "col", best.alias("_at", "_b")).select(
-        *layers, "row", "col", F.col("_b.r").cast(sources.schema["row"].dataType).alias("n_row"), F.col("_b.c").cast(sources.schema["col"].dataType).alias("n_col"),
-        F.sqrt("_b.d2").alias("d"), (F.col("_at") + 1).alias("rank"))
-    if not payload:
-        return found
-    carried = src.select(*layers, F.col("row").alias("n_row"), F.col("col").alias("n_col"), "_pay.*")
-    return found.join(carried, [*layers, "n_row", "n_col"]).select(*found.columns, *payload)
+    return near.select(*layers, "row", "col", best.alias("_at", "_b")).select(*layers, "row", "col", "_at", "_b.r", "_b.c", "_b.d2")
 
 
 def _with_bound(met: DataFrame, k: int, size: int, r0: int, c0: int, layers: Sequence[str]) -> DataFrame:
