@@ -218,6 +218,7 @@ def linear_weights(targets: DataFrame, sources: DataFrame, radius: float | None
     box = src.agg(*[f(c) for c in ("row", "col") for f in (F.min, F.max)]).first()
     nothing = "row long, col long, n_row long, n_col long, w double"
     parts: list[DataFrame] = []
+    tasks = 2 * src.sparkSession.sparkContext.defaultParallelism
     halo, tile, thin = max(32, int(np.ceil(radius or 0))), TILE, src
     kinds = ", ".join(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in layers)
     while box[0] is not None:
@@ -230,7 +231,10 @@ def linear_weights(targets: DataFrame, sources: DataFrame, radius: float | None
         around = deal(thin, False, halo).join(asked.select(*key).distinct(), key, "left_semi")
         first = not parts
         solve = _solver(layers, tile, halo, tuple(box), radius if first else None, (4, 16) if first else ())
-        done = durable(asked.unionByName(around).groupBy(*key).applyInPandas(solve, f"{kinds}{', ' if layers else ''}{_FOUND}"))
+        dealt = asked.unionByName(around)
+        if not first:  # a wide window's rows are few and its work is long: tasks by number, not by bytes
+            dealt = dealt.repartition(tasks, *key)
+        done = durable(dealt.groupBy(*key).applyInPandas(solve, f"{kinds}{', ' if layers else ''}{_FOUND}"))
         parts.append(done.where("state = 1"))
         left = done.where("state = -1").select(*layers, "row", "col")
         if left.isEmpty():
@@ -254,7 +258,7 @@ def fill_linear(field: DataFrame, land: DataFrame, values: Sequence[str], radius
     whole = F.lit(True)
     for v in values:
         whole = whole & F.col(v).isNotNull()
-    valid = field.where(whole).select(*at, *values)
+    valid = durable(field.where(whole).select(*at, *values))
     gaps = land.select(*at).join(valid, at, "left_anti")
     near = linear_weights(gaps, valid, radius, layers)
     corner = valid.select(*layers, F.col("row").alias("n_row"), F.col("col").alias("n_col"), *[F.col(v).alias(f"_v_{v}") for v in values])
