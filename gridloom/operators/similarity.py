@@ -294,7 +294,7 @@ def sparse_vectors(abund: DataFrame, cell: str, n_weeks: int = 52, value: str =
     """
     names = sorted(r[0] for r in (abund if species is None else species).select("species").distinct().collect())
     axis = abund.sparkSession.createDataFrame([(n, i * n_weeks) for i, n in enumerate(names)], "species STRING, _at INT")
-    placed = abund.join(axis, "species").groupBy(cell).agg(F.array_sort(F.collect_list(F.struct((F.col("_at") + F.col("week")).alias("i"), F.col(value).alias("v")))).alias("_f"))
+    placed = abund.join(F.broadcast(axis), "species").groupBy(cell).agg(F.array_sort(F.collect_list(F.struct((F.col("_at") + F.col("week")).alias("i"), F.col(value).alias("v")))).alias("_f"))
     rows = placed.select(cell, F.transform("_f", lambda e: e["i"]).alias(f"{name}_idx"), F.transform("_f", lambda e: e["v"]).alias(f"{name}_val"))
     return rows, len(names) * n_weeks, len(names)
 
@@ -306,26 +306,27 @@ def sweep(
     """(sigma, kind, lengthscale, alpha, dim, rank, rmse, utility): embedding quality per setting.
 
     ``kernels`` lists (kind, lengthscale, alpha); distance kernels take square roots of the shares of each cell.
-    Smoothing runs once per sigma and the largest embedding once per kernel; smaller dims are leading slices.
+    The largest embedding runs once per kernel; smaller dims are leading slices. Rows are dealt by cell once for each
+    smoothed table, and smoothing, shares and vectors follow where they lie; only vectors, embeddings and pairs are kept.
     Fidelity is measured on hash-sampled pairs.
     """
     from gridloom.operators import rates, sampling, stats, temporal
 
-    out = None
+    out, base = None, durable(abund)
     for sigma in sigmas:
-        smooth = durable(temporal.circular_smooth(abund, [cell, "species"], "week", "x", sigma))
+        smooth = temporal.circular_smooth(base.repartition(cell), [cell, "species"], "week", "x", sigma)
+        present = durable(smooth.select("species").distinct())
         forms: dict[bool, tuple] = {}
         for kind, lengthscale, alpha in kernels:
             shares = kind in ("rbf", "rq")
             if shares not in forms:
-                vecs, width, n_species = sparse_vectors(temporal.hellinger(smooth, cell, "x") if shares else smooth, cell)
+                vecs, width, n_species = sparse_vectors(temporal.hellinger(smooth, cell, "x") if shares else smooth, cell, species=present)
                 forms[shares] = durable(vecs), width, n_species
             vecs, width, n_species = forms[shares]
             params = {"n_species": n_species, "lengthscale": lengthscale, "alpha": alpha}
-            z = nystrom(vecs, cell, "vec", max(dims), n_landmarks, kind, params, seed, width)
-            full = durable(z.join(vecs, cell))
-            pairs = sampling.sample_pairs(full, cell, n_pairs, seed, ["z", "vec_idx", "vec_val"])
-            truth = pair_kernel(pairs, kind, params, width)
+            full = durable(nystrom(vecs, cell, "vec", max(dims), n_landmarks, kind, params, seed, width).where(F.col(cell).isNotNull()))
+            pairs = _with_vectors(durable(sampling.sample_pairs(full, cell, n_pairs, seed, ["z"])), vecs, cell)
+            truth = durable(pair_kernel(pairs, kind, params, width).select("z_a", "z_b", "k"))
             for d in dims:
                 fit = pair_errors(truth, vectors.dot(F.slice("z_a", 1, d), F.slice("z_b", 1, d)), F.col("k"))
                 rank = stats.effective_rank(full.select(F.slice("z", 1, d).alias("z")), "z").scalar()
@@ -337,6 +338,15 @@ def sweep(
     return out.withColumn("utility", rates.utility(F.col("rank"), F.col("rmse")))
 
 
+def _with_vectors(pairs: DataFrame, vecs: DataFrame, cell: str) -> DataFrame:
+    """Sampled pairs (a parameter's number) with the sparse vectors of both cells; the other vectors stay where they are."""
+    asked = pairs.select(F.explode(F.array(f"{cell}_a", f"{cell}_b")).alias(cell)).distinct()
+    own = vecs.join(F.broadcast(asked), cell, "left_semi")
+    for tag in ("a", "b"):
+        pairs = pairs.join(own.select(*[F.col(c).alias(f"{c}_{tag}") for c in (cell, "vec_idx", "vec_val")]), f"{cell}_{tag}")
+    return pairs
+
+
 def pair_errors(pairs: DataFrame, approx: Column, truth: Column) -> DataFrame:
     """One row over sampled pairs: rmse, rmse over the size of the truth, alignment, and the squared error plain and
     weighted by |truth| and truth^2."""
