@@ -205,9 +205,9 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH,
     known = live.join(company, "node")
     lead = known.groupBy("key").agg(F.min(F.struct((-F.col("company")).alias("c"), "node")).alias("lead")).select("key", F.col("lead.node").alias("lead"))
     pairs = kept.keep(live.join(lead, "key").where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct())
-    tested = kept.keep(_with_codes(pairs, codes).select("a", "b", "codes_a", "codes_b").mapInArrow(lambda b: _verify(b, similarity), "a long, b long, linked boolean").groupBy("a", "b").agg(F.bool_or("linked").alias("linked")))
+    tested = kept.keep(_with_codes(pairs, codes).select("a", "b", "codes_a", "codes_b").mapInArrow(lambda b: _verify(b, similarity), "a long, b long, linked boolean").where("linked").select("a", "b"))
     kept.forget(live)
-    links = copies.union(tested.where("linked").select("a", "b"))
+    links = copies.union(tested)
     labels = components(links, kept)
     more = kept.keep(_remaining(pairs, labels, codes, similarity, kept))
     new = _with_codes(more, codes).select("a", "b", "codes_a", "codes_b").mapInArrow(lambda b: _verify(b, similarity), "a long, b long, linked boolean").where("linked").select("a", "b")

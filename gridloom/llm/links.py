@@ -5,6 +5,7 @@ import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gridloom.session import shared_dir
 
@@ -37,23 +38,24 @@ def components(links: DataFrame, kept: Kept) -> DataFrame:
     """Smallest node of the component of every node in ``links`` (a, b), as a kept table (node, label).
 
     Alternating star contraction: every node hands its larger neighbours, then its smaller ones, to the
-    smallest node around it, until nothing changes. A hub's neighbours are only ever aggregated and joined.
+    smallest node around it, until every node hangs on one root that hangs on none. Both halves of a round run in one
+    job with one shuffle each, and the round tells itself whether the links it got were such stars ("open": they were not).
     """
-    edges = kept.keep(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    around = Window.partitionBy("u")
+    edges, held = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), []
     while True:
-        both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = kept.keep(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = kept.keep(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        kept.forget(edges, large)
-        edges = small
-        # done when every node hangs on one root that hangs on none
-        twice = edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
-        inner = edges.select(F.col("v").alias("u")).join(edges.select("u"), "u", "left_semi")
-        if twice.union(inner).isEmpty():
+        both = edges.select("u", "v").union(edges.select("v", "u"))
+        seen = both.withColumns({"least": F.min("v").over(around), "most": F.max("v").over(around)})
+        seen = seen.withColumns({"m": F.least("least", "u"), "open": (F.col("least") < F.col("u")) & (F.col("least") < F.col("most"))})
+        # an open node without larger neighbours still has to say that it is open
+        large = seen.where("v > u or open and most < u and v = m").select(F.greatest("u", "v").alias("u"), "m", "open").where("u <> m")
+        # equal links meet at their larger end
+        large = large.repartition("u").groupBy("u", F.col("m").alias("v")).agg(F.bool_or("open").alias("open")).withColumn("m", F.min("v").over(around))
+        edges = kept.keep(large.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"), "open"))
+        kept.forget(*held)
+        held = [edges]
+        if edges.where("open").isEmpty():
             break
-    out = kept.keep(edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()))
+    out = kept.keep(edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(edges.select("v", "v")).distinct())
     kept.forget(edges)
     return out

@@ -15,7 +15,7 @@ import pytest
 
 import corpus_pipeline
 from gridloom.llm import chat, darts, flat, gam, hamming, leaks, lengths, masked, pieces, repeats
-from gridloom.llm.links import Kept
+from gridloom.llm.links import Kept, components
 from gridloom.llm.queries import PIECES, RANKS, oracle_sql, tokenizer
 
 WORD = re.compile(r"[0-9a-z_\u0080-\U0010ffff]+")
@@ -346,3 +346,25 @@ def test_pipeline_privacy_and_encoding(spark):
         ids = library.encode(want[r.doc_id] or "", add_eos=True)
         assert (r.ids, r.n_tokens, r.decoded) == (ids, len(ids), library.decode(ids))
     assert corpus_pipeline.encoding(spark, corpus_pipeline.privacy(spark, docs.limit(0), ""), "").count() == 0
+
+
+@pytest.mark.parametrize("shape, most", [("star", 2), ("path", 9), ("random", 7), ("empty", 2)])
+def test_components_in_few_jobs(spark, shape, most):
+    """Smallest reachable node of every linked node; one kept table a round and one for the result."""
+    rnd = random.Random(5)
+    ids = rnd.sample(range(1000), 120)
+    links = {
+        "star": [(min(ids), x) for x in ids if x != min(ids)] * 2,
+        "path": list(itertools.pairwise(ids)),
+        "random": [(rnd.choice(ids), rnd.choice(ids)) for _ in range(80)],
+        "empty": [],
+    }[shape]
+    label = {x: x for link in links if link[0] != link[1] for x in link}
+    while any(label[a] != label[b] for a, b in links if a != b):
+        for a, b in links:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    kept = Kept(spark)
+    found = components(spark.createDataFrame(links, "a long, b long"), kept)
+    assert sorted(map(tuple, found.collect())) == sorted(label.items())
+    assert kept.count <= most
