@@ -65,18 +65,13 @@ def _count(batches):
             yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts, pa.int64())], ["h", "n"])
 
 
-def _subtract(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-    """Take ``values`` from the rows of ``table``; repeated rows add up. (numpy is faster at it in one dimension.)"""
-    width = table.shape[1]
-    np.subtract.at(table.reshape(-1), (rows[:, None] * width + np.arange(width)).ravel(), np.ascontiguousarray(values, table.dtype).ravel())
-
-
 class Network:
     """Word classes, and the weights as one flat vector with named views."""
 
     def __init__(self, words: np.ndarray, weights: np.ndarray, group: int = GROUP):
         self.words, self.weights, self.size = words, weights, group
         self.outside, self.shared = group * group, _tail(group)
+        self.room = (np.zeros((0, 0), np.float32),)
         self.order = np.argsort(words)
         self.sorted = words[self.order]
         at = 0
@@ -84,6 +79,8 @@ class Network:
             size = int(np.prod(shape))
             setattr(self, name, weights[at:at + size].reshape(shape))
             at += size
+        # each layer with its biases below its weights: to_group and group, to_class and inner
+        self.one, self.two = (weights[first:last].reshape(-1, group) for first, last in ((at - (2 * HIDDEN + 1 + group) * group, at - (HIDDEN + group) * group), (at - (HIDDEN + group) * group, at)))
 
     @staticmethod
     def shapes(group: int) -> dict[str, tuple[int, ...]]:
@@ -108,44 +105,54 @@ class Network:
         return np.where(there, self.order[at], shared)
 
     def forward(self, around: np.ndarray, word: np.ndarray):
-        """Log probability of the class at every place, the hidden layer, and both layers' logits less their
-        largest, as exponentials with their sums. One column per place, so that sums run along rows."""
+        """Log probability of the class at every place, what goes into both layers, and both layers' logits less their
+        largest, as exponentials with their sums. One column per place, so that sums run along rows. A layer's input is
+        the hidden layer and a 1 for each bias that counts: of the one group layer, or of the word's group. All but the
+        first hold until the next call."""
         table, step = self.rows.reshape(-1, HIDDEN), self.outside + 1
         z = self.hidden + table[around[0]]
         for s in range(1, len(SIDE)):
             z += table[around[s] + s * step]
-        h = np.tanh(z, out=z)
         group, inside = np.divmod(word, self.size)
-        one = self.to_group.T @ h.T
-        one += self.group[:, None]
-        two = self.to_class.T @ h.T
-        two += self.inner[group].T
-        logs = np.zeros(len(word), np.float32)
-        each, totals = np.arange(len(word)), []
+        each = np.arange(len(word))
+        if self.room[0].shape[1] != len(word):  # kept from batch to batch: new pages cost as much as the sums
+            self.room = [np.ones((n, len(word)), np.float32) for n in (HIDDEN + 1, HIDDEN + self.size, self.size, self.size)]
+        left, right, one, two = self.room
+        np.tanh(z.T, out=left[:HIDDEN])
+        right[:HIDDEN] = left[:HIDDEN]
+        right[HIDDEN:] = 0
+        right[HIDDEN + group, each] = 1
+        np.matmul(self.one.T, left, out=one)
+        np.matmul(self.two.T, right, out=two)
+        logs, totals = np.zeros(len(word), np.float32), []
         for logits, target in ((one, group), (two, inside)):
             logits -= logits.max(0)
             logs += logits[target, each]
             total = np.exp(logits, out=logits).sum(0)
             logs -= np.log(total)
             totals.append(total)
-        return logs, h, one, two, totals
+        return logs, left, right, one, two, totals
 
     def learn(self, around: np.ndarray, word: np.ndarray) -> None:
-        _, h, one, two, totals = self.forward(around, word)
-        each, rate = np.arange(len(word)), RATE / len(word)
+        _, left, right, one, two, totals = self.forward(around, word)
+        each, rate = np.arange(len(word)), np.float32(RATE / len(word))
         group, inside = np.divmod(word, self.size)
         for layer, target, total in ((one, group, totals[0]), (two, inside, totals[1])):
             layer /= total
             layer[target, each] -= 1
-        back = (self.to_group @ one + self.to_class @ two).T * (1 - h * h)
-        self.to_group -= rate * (one @ h).T
-        self.to_class -= rate * (two @ h).T
-        self.group -= rate * one.sum(1)
-        self.hidden -= rate * back.sum(0)
-        _subtract(self.inner, group, ROW_RATE * two.T)
-        back *= ROW_RATE
+        h = left[:HIDDEN]
+        back = (self.to_group @ one + self.to_class @ two) * (1 - h * h)
+        self.one -= rate * (left @ one.T)
+        # a product with the 1 of each word's group adds up the rows of ``inner``
+        step = right @ two.T
+        step[:HIDDEN] *= rate
+        step[HIDDEN:] *= np.float32(ROW_RATE)
+        self.two -= step
+        self.hidden -= rate * back.sum(1)
+        # repeated rows add up; numpy is faster at it in one dimension
+        values = (np.float32(ROW_RATE) * back.T).ravel()
         for s in range(len(SIDE)):
-            _subtract(self.rows[s], around[s], back)
+            np.subtract.at(self.rows[s].reshape(-1), (around[s][:, None] * HIDDEN + np.arange(HIDDEN)).ravel(), values)
 
 
 def _padded(word: np.ndarray, first: np.ndarray, outside: int) -> tuple[np.ndarray, np.ndarray]:

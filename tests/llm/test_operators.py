@@ -368,3 +368,31 @@ def test_components_in_few_jobs(spark, shape, most):
     found = components(spark.createDataFrame(links, "a long, b long"), kept)
     assert sorted(map(tuple, found.collect())) == sorted(label.items())
     assert kept.count <= most
+
+
+def test_network_step_against_plain_sums():
+    """One step equals sums word by word in doubles, repeated rows added up; arrays are kept between batches of a size."""
+    rnd, group = np.random.default_rng(4), masked.GROUP
+    net = masked.Network.start(np.arange(5, dtype=np.uint64), rnd.integers(1, 50, group * group).astype(float))
+    word, around = rnd.integers(0, 40, 64), rnd.integers(0, 9, (len(masked.SIDE), 64))
+    old = {n: getattr(net, n).astype(float) for n in net.shapes(group)}
+    new, logs = {n: v.copy() for n, v in old.items()}, []
+    for i, w in enumerate(word):
+        h = np.tanh(old["hidden"] + sum(old["rows"][s, around[s, i]] for s in range(len(masked.SIDE))))
+        g, c = divmod(int(w), group)
+        one, two = np.exp(h @ old["to_group"] + old["group"]), np.exp(h @ old["to_class"] + old["inner"][g])
+        one, two = one / one.sum(), two / two.sum()
+        logs.append(np.log(one[g]) + np.log(two[c]))
+        one[g], two[c] = one[g] - 1, two[c] - 1
+        back, rate = (old["to_group"] @ one + old["to_class"] @ two) * (1 - h * h), masked.RATE / len(word)
+        for n, change in (("to_group", np.outer(h, one)), ("to_class", np.outer(h, two)), ("group", one), ("hidden", back)):
+            new[n] -= rate * change
+        new["inner"][g] -= masked.ROW_RATE * two
+        for s in range(len(masked.SIDE)):
+            new["rows"][s, around[s, i]] -= masked.ROW_RATE * back
+    assert np.allclose(net.forward(around, word)[0], logs, atol=1e-4)
+    room = net.room
+    net.learn(around, word)
+    assert net.room is room
+    for n, v in new.items():
+        assert np.allclose(getattr(net, n), v, atol=1e-5), n
