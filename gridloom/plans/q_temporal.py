@@ -109,18 +109,18 @@ def gauss_sql(sigma: float) -> str:
 SMOOTH = gauss_sql(1.5) + ", sm AS (SELECT cell, species, CAST((week + d + 52) % 52 AS INTEGER) AS week, sum(w * x) AS x FROM v_abund, gw GROUP BY ALL)"
 
 
-def smoothed(v):
-    return temporal.circular_smooth(v.abund(), ["cell", "species"], "week", "x", 1.5)
+def smoothed(abund):
+    return temporal.circular_smooth(abund, ["cell", "species"], "week", "x", 1.5)
 
 
 @query("W8_circular_smoothing", SMOOTH + " SELECT cell, species, week, R6(x) AS x FROM sm")
 def _(v):
-    return smoothed(v).select("cell", "species", "week", r6(F.col("x")).alias("x"))
+    return smoothed(v.abund()).select("cell", "species", "week", r6(F.col("x")).alias("x"))
 
 
 @query("W9_smoothed_hellinger", SMOOTH + ", t AS (SELECT cell, sum(x) AS t FROM sm GROUP BY cell) SELECT cell, species, R6(sum(h)) AS h_sum, R6(max(h)) AS h_max FROM (SELECT cell, species, sqrt(x / CASE WHEN t < 1e-9 THEN 1 ELSE t END) AS h FROM sm JOIN t USING (cell)) GROUP BY ALL")
 def _(v):
-    h = temporal.hellinger(smoothed(v), "cell", "x")
+    h = temporal.hellinger(smoothed(v.abund()), "cell", "x")
     return h.groupBy("cell", "species").agg(r6(F.sum("x")).alias("h_sum"), r6(F.max("x")).alias("h_max"))
 
 

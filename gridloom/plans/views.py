@@ -15,6 +15,9 @@ DIRECTIONS = ("NORTH", "SOUTH", "EAST", "WEST")
 BINS = ("0-30", "30-150")
 KERNEL_LABELS = tuple(f"to_{d}_{b}" for d in DIRECTIONS for b in BINS)
 
+#: Lines whose groups meet in one task.
+DEAL_ROWS = 1 << 19
+
 
 class Views:
     """Lazy DataFrames over one scale-factor directory."""
@@ -22,6 +25,7 @@ class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
+        self._lines: int | None = None
 
     def path(self, name: str) -> str:
         return f"{self.sf_dir}/{name}.parquet"
@@ -29,6 +33,16 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
 
+    def deal(self, df: DataFrame, *keys: str) -> DataFrame:
+        """``df`` dealt by ``keys`` over as many tasks as its lines need, so a task's groups do not grow with the table.
+
+        Adaptive execution sizes tasks by compressed bytes; 64 MB of lines are more than 1 GB as groups. The row
+        count comes from the files' footers.
+        """
+        if self._lines is None:
+            self._lines = self.table("lineitem").count()
+        return df.repartition(max(self.spark.sparkContext.defaultParallelism, -(-self._lines // DEAL_ROWS)), *keys)
+
     # -- rasters ---------------------------------------------------------------
     def cells(self) -> DataFrame:
         """(row, col, year, month, value): monthly observations, duplicates allowed."""
@@ -68,10 +82,9 @@ class Views:
 
     # -- community -------------------------------------------------------------
     def abund(self) -> DataFrame:
-        """(cell, species, week, x): weekly abundance.
+        """(cell, species, week, x): weekly abundance, dealt by (cell, species).
 
-        Sums are taken per part before the join, so a part that holds a third of all lines
-        reaches the join as one row per cell and week.
+        Lines are dealt after the join, where a part that holds a third of them is spread over its cells.
         """
         part = self.table("part").select("p_partkey", F.col("p_brand").alias("species"))
         line = self.table("lineitem").select(
@@ -79,12 +92,9 @@ class Views:
             "l_partkey",
             F.least(F.lit(51), F.floor((F.dayofyear("l_shipdate") - 1) / 7)).cast("int").alias("week"),
             "l_quantity",
-        ).groupBy("cell", "week", "l_partkey").agg(F.sum("l_quantity").alias("q"))
-        return (
-            line.join(part, line.l_partkey == part.p_partkey)
-            .groupBy("cell", "species", "week")
-            .agg(F.sum("q").alias("x"))
         )
+        joined = line.join(part, line.l_partkey == part.p_partkey).select("cell", "species", "week", "l_quantity")
+        return self.deal(joined, "cell", "species").groupBy("cell", "species", "week").agg(F.sum("l_quantity").alias("x"))
 
     def z(self) -> DataFrame:
         """(row, col, z ARRAY<DOUBLE>): latent vector per cell."""

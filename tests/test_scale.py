@@ -1,10 +1,13 @@
 """What joins and tasks hold must not follow Spark's size estimates of exploded tables."""
 from __future__ import annotations
 
+import datetime
+
+import pytest
 from pyspark.sql import functions as F
 
 from gridloom.operators import focal, similarity, spatial, temporal, triangulation
-from gridloom.plans import catalog  # noqa: F401 (registers the queries)
+from gridloom.plans import catalog, views  # noqa: F401 (catalog registers the queries)
 from gridloom.plans.registry import ENTRIES
 from gridloom.plans.views import Views
 
@@ -108,3 +111,23 @@ def test_near_and_far_targets_meet_all_their_neighbours(spark):
     got = spatial.nearest(cells(spark, targets + odd), cells(spark, sources + odd), 2, layers=["year"])
     assert {tuple(x) for x in got.select("year", "row", "col", "n_row", "n_col", "rank").collect()} == brute_nearest(targets, sources, 2)
     assert [f.dataType.simpleString() for f in got.schema] == ["int", "int", "int", "int", "int", "double", "int"]
+
+
+def shop(spark, folder):
+    """300 lines of 12 suppliers and 40 parts over seven years, one part with a third of them."""
+    rows = [(i, i % 12, 7 if i % 3 == 0 else i % 40, 1 + i % 7, float(i % 50), i % 11 / 100, i % 9 / 100, datetime.date(1995 + i % 7, 1 + i % 12, 1 + i % 28)) for i in range(300)]
+    schema = "l_orderkey LONG, l_suppkey LONG, l_partkey LONG, l_linenumber INT, l_quantity DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_shipdate DATE"
+    spark.createDataFrame(rows, schema).write.parquet(f"{folder}/lineitem.parquet")
+    spark.createDataFrame([(p, f"brand{p % 3}") for p in range(40)], "p_partkey LONG, p_brand STRING").write.parquet(f"{folder}/part.parquet")
+    return Views(spark, str(folder))
+
+
+@pytest.mark.parametrize("name", ["W8_circular_smoothing"])
+def test_tasks_follow_the_lines(spark, tmp_path, monkeypatch, name):
+    v = shop(spark, tmp_path)
+    monkeypatch.setattr(views, "DEAL_ROWS", 10)
+    out = ENTRIES[name].build(v)
+    assert out.rdd.getNumPartitions() == 30
+    monkeypatch.setattr(views, "DEAL_ROWS", 1000)
+    other = ENTRIES[name].build(v)
+    assert sorted(map(repr, out.collect())) == sorted(map(repr, other.collect())) != []
