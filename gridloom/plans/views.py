@@ -154,12 +154,14 @@ class Views:
         )
 
     def rates(self) -> DataFrame:
-        """(row, col, year, Sa, Sj, Fmax, K): demographic rates per cell-year."""
-        base = self.table("lineitem").groupBy(
+        """(row, col, year, Sa, Sj, Fmax, K): demographic rates per cell-year, dealt by these three."""
+        line = self.table("lineitem").select(
             F.col("l_suppkey").cast("int").alias("row"),
             F.pmod(F.col("l_partkey"), F.lit(WIDTH)).cast("int").alias("col"),
             F.year("l_shipdate").alias("year"),
-        ).agg(
+            "l_quantity", "l_discount", "l_tax",
+        )
+        base = self.deal(line, "row", "col", "year").groupBy("row", "col", "year").agg(
             F.avg("l_quantity").alias("q"),
             F.avg(F.round(F.col("l_discount") * 100).cast("int")).alias("d"),
             F.avg(F.round(F.col("l_tax") * 100).cast("int")).alias("t"),
