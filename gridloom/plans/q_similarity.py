@@ -19,7 +19,9 @@ def marks(v, n=16):
 
 
 def sparse(v):
-    vec, width, n = similarity.sparse_vectors(v.abund(), "cell")
+    # a task's vectors, and so the batches Python gets, do not grow with the table
+    abund = v.abund()
+    vec, width, n = similarity.sparse_vectors(v.deal(abund, "cell"), "cell", species=abund)
     return durable(vec), width, n
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.operators import focal, similarity, spatial, temporal, triangulation
-from gridloom.plans import catalog, views  # noqa: F401 (catalog registers the queries)
+from gridloom.plans import catalog, q_similarity, views  # noqa: F401 (catalog registers the queries)
 from gridloom.plans.registry import ENTRIES
 from gridloom.plans.views import Views
 
@@ -131,3 +131,10 @@ def test_tasks_follow_the_lines(spark, tmp_path, monkeypatch, name):
     monkeypatch.setattr(views, "DEAL_ROWS", 1000)
     other = ENTRIES[name].build(v)
     assert sorted(map(repr, out.collect())) == sorted(map(repr, other.collect())) != []
+
+
+def test_python_gets_the_vectors_of_few_lines(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(views, "DEAL_ROWS", 10)
+    vec, width, n = q_similarity.sparse(shop(spark, tmp_path))
+    assert vec.rdd.getNumPartitions() == 30 and (width, n) == (156, 3)
+    assert sorted(r["cell"] for r in vec.collect()) == list(range(12))
