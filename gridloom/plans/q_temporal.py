@@ -120,7 +120,8 @@ def _(v):
 
 @query("W9_smoothed_hellinger", SMOOTH + ", t AS (SELECT cell, sum(x) AS t FROM sm GROUP BY cell) SELECT cell, species, R6(sum(h)) AS h_sum, R6(max(h)) AS h_max FROM (SELECT cell, species, sqrt(x / CASE WHEN t < 1e-9 THEN 1 ELSE t END) AS h FROM sm JOIN t USING (cell)) GROUP BY ALL")
 def _(v):
-    h = temporal.hellinger(smoothed(v.abund()), "cell", "x")
+    # smoothing, totals, their join and the last sums all keep to a cell: its weekly rows are dealt once
+    h = temporal.hellinger(smoothed(v.deal(v.abund(), "cell")), "cell", "x")
     return h.groupBy("cell", "species").agg(r6(F.sum("x")).alias("h_sum"), r6(F.max("x")).alias("h_max"))
 
 
