@@ -114,8 +114,8 @@ def _(v):
     p AS (SELECT row, col, dist_bin, max(CASE d WHEN 'EAST' THEN x END) AS e, max(CASE d WHEN 'WEST' THEN x END) AS w, max(CASE d WHEN 'NORTH' THEN x END) AS n, max(CASE d WHEN 'SOUTH' THEN x END) AS s FROM f GROUP BY ALL)
     SELECT row, col, dist_bin, R6(e) AS from_west, R6(w) AS from_east, R6(e - w) AS delta_we, R6(n - s) AS delta_sn FROM p""")
 def _(v):
-    q = v.q_long().groupBy("row", "col", "kernel").agg(F.avg("Q").alias("Q"))
-    means = v.rates().groupBy("row", "col").agg(*[F.avg(c).alias(c) for c in ("Sa", "Sj", "Fmax")]).select("row", "col", r0().alias("R0"))
+    q = v.q_long("row", "col").groupBy("row", "col", "kernel").agg(F.avg("Q").alias("Q"))
+    means = v.deal(v.rates(), "row", "col").groupBy("row", "col").agg(*[F.avg(c).alias(c) for c in ("Sa", "Sj", "Fmax")]).select("row", "col", r0().alias("R0"))
     fit = q.join(means, ["row", "col"]).withColumn("fitness", F.col("R0") * F.col("Q"))
     return rates.directional_delta(fit, ["row", "col"]).select("row", "col", "dist_bin", *[r6(F.col(c)).alias(c) for c in ("from_west", "from_east", "delta_we", "delta_sn")])
 

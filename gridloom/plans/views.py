@@ -174,10 +174,11 @@ class Views:
             F.col("q").alias("K"),
         )
 
-    def q_long(self) -> DataFrame:
-        """(row, col, year, kernel, Q): journey survival per directional kernel."""
+    def q_long(self, *keys: str) -> DataFrame:
+        """(row, col, year, kernel, Q): journey survival per directional kernel; cell-years dealt by ``keys`` if given."""
         labels = F.array(*[F.lit(k) for k in KERNEL_LABELS])
-        return self.rates().select(
+        years = self.deal(self.rates(), *keys) if keys else self.rates()
+        return years.select(
             "row", "col", "year", F.posexplode(labels).alias("k", "kernel")
         ).select(
             "row", "col", "year", "kernel",

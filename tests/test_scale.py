@@ -122,7 +122,7 @@ def shop(spark, folder):
     return Views(spark, str(folder))
 
 
-@pytest.mark.parametrize("name", ["W8_circular_smoothing", "W9_smoothed_hellinger", "P35_effective_growth"])
+@pytest.mark.parametrize("name", ["W8_circular_smoothing", "W9_smoothed_hellinger", "A12_epoch_means", "P35_effective_growth"])
 def test_tasks_follow_the_lines(spark, tmp_path, monkeypatch, name):
     v = shop(spark, tmp_path)
     monkeypatch.setattr(views, "DEAL_ROWS", 10)
