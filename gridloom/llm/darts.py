@@ -35,6 +35,8 @@ from gridloom.llm.links import Kept, components
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
+#: Texts that draw their darts together (some 70 KB of arrays each, however short), and differences that leave a task together.
+TEXTS, ELEMENTS = 256, 1 << 18
 
 
 def weighted(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -52,30 +54,31 @@ def signature(codes: np.ndarray, begin: np.ndarray, k: int = BANDS * ROWS) -> np
     n = len(begin) - 1
     out = np.zeros((n, k), np.uint64)
     weight = np.diff(begin)
-    todo, enough = np.flatnonzero(weight > 0), k * (math.log(k) + 2)
-    while len(todo):
-        sizes = weight[todo]
-        limit = np.repeat(enough / sizes, sizes)
-        element = codes[np.repeat(begin[todo], sizes) + flat.within(sizes)]
-        owner = np.repeat(np.arange(len(todo)), sizes)
-        rank, number = np.zeros(len(element)), 0
-        ranks, cells, darts = [], [], []
-        while len(element):
-            number += 1
-            dart = flat.mix(element + flat.U((number * 0x9FB21C651E98DF25) % 2**64))
-            rank = rank - np.log(((dart >> flat.U(11)).astype(float) + 0.5) * 2.0**-53)
-            keep = np.flatnonzero(rank < limit)
-            element, owner, limit, rank, dart = element[keep], owner[keep], limit[keep], rank[keep], flat.mix(dart[keep] ^ flat.U(0x5851F42D4C957F2D))
-            ranks.append(rank), cells.append(owner * k + (dart % flat.U(k)).astype(np.int64)), darts.append(dart)
-        ranks, cells, darts = map(np.concatenate, (ranks, cells, darts))
-        order = np.argsort(-ranks)  # the earliest is written last
-        cells = cells[order]
-        got = np.zeros(len(todo) * k, np.uint64)
-        hit = np.zeros(len(todo) * k, bool)
-        got[cells], hit[cells] = darts[order], True
-        full = hit.reshape(-1, k).all(1)
-        out[todo[full]] = got.reshape(-1, k)[full]
-        todo, enough = todo[~full], enough * 2
+    for at in range(0, n, TEXTS):
+        todo, enough = at + np.flatnonzero(weight[at:at + TEXTS] > 0), k * (math.log(k) + 2)
+        while len(todo):
+            sizes = weight[todo]
+            limit = np.repeat(enough / sizes, sizes)
+            element = codes[np.repeat(begin[todo], sizes) + flat.within(sizes)]
+            owner = np.repeat(np.arange(len(todo)), sizes)
+            rank, number = np.zeros(len(element)), 0
+            ranks, cells, darts = [], [], []
+            while len(element):
+                number += 1
+                dart = flat.mix(element + flat.U((number * 0x9FB21C651E98DF25) % 2**64))
+                rank = rank - np.log(((dart >> flat.U(11)).astype(float) + 0.5) * 2.0**-53)
+                keep = np.flatnonzero(rank < limit)
+                element, owner, limit, rank, dart = element[keep], owner[keep], limit[keep], rank[keep], flat.mix(dart[keep] ^ flat.U(0x5851F42D4C957F2D))
+                ranks.append(rank), cells.append(owner * k + (dart % flat.U(k)).astype(np.int64)), darts.append(dart)
+            ranks, cells, darts = map(np.concatenate, (ranks, cells, darts))
+            order = np.argsort(-ranks)  # the earliest is written last
+            cells = cells[order]
+            got = np.zeros(len(todo) * k, np.uint64)
+            hit = np.zeros(len(todo) * k, bool)
+            got[cells], hit[cells] = darts[order], True
+            full = hit.reshape(-1, k).all(1)
+            out[todo[full]] = got.reshape(-1, k)[full]
+            todo, enough = todo[~full], enough * 2
     return out
 
 
@@ -139,16 +142,18 @@ def _verify(batches, least):
 def _differences(batches):
     """What each member b and its lead a don't share, with the sizes."""
     for batch in batches:
-        sizes, own = [], []
-        for x, y in _pairs(batch):
+        sizes, own, at, held = [], [], 0, 0
+        for n, (x, y) in enumerate(_pairs(batch), 1):
             own.append(np.setxor1d(x, y))
             sizes.append((len(x), len(y), len(own[-1])))
-        if not sizes:
-            continue
-        sizes = np.array(sizes, np.int32)
-        row = np.repeat(np.arange(len(sizes)), sizes[:, 2])
-        kept = batch.select(["a", "b", "label", "probe"]).take(pa.array(row))
-        yield pa.RecordBatch.from_arrays([*kept.columns, *[pa.array(sizes[row, k]) for k in range(3)], pa.array(np.concatenate(own).astype(np.int64))], ["a", "b", "label", "probe", "lead", "size", "apart", "e"])
+            held += len(own[-1])
+            if held < ELEMENTS and n < batch.num_rows:
+                continue
+            sizes = np.array(sizes, np.int32)
+            row = np.repeat(np.arange(len(sizes)), sizes[:, 2])
+            kept = batch.slice(at, n - at).select(["a", "b", "label", "probe"]).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([*kept.columns, *[pa.array(sizes[row, k]) for k in range(3)], pa.array(np.concatenate(own).astype(np.int64))], ["a", "b", "label", "probe", "lead", "size", "apart", "e"])
+            sizes, own, at, held = [], [], n, 0
 
 
 def _with_codes(pairs: DataFrame, codes: DataFrame) -> DataFrame:
@@ -191,6 +196,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH,
     kept = Kept(docs.sparkSession)
     texts = docs.select("doc_id", "text")
     signed = kept.keep(texts.mapInArrow(lambda b: _sign(b, width, count, rows), "doc_id long, f1 long, f2 long, bands array<long>"))
+    kept.bound(signed.count())
     known = signed.where("doc_id is not null")
     groups = kept.keep(known.groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")))
     # other ids of a group of copies need no check

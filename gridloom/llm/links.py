@@ -9,18 +9,26 @@ from pyspark.sql.window import Window
 
 from gridloom.session import shared_dir
 
+#: Rows of the input to a file of a kept table, where there are more partitions than that.
+FILE_ROWS = 4096
+
 
 class Kept:
-    """Tables written once to the folder all executors share, and removed when they have served."""
+    """Tables written once to the folder all executors share, and removed when they have served. ``files`` (None: one a partition)
+    bounds the files of a table: each costs a task, and on a local disk Hadoop starts processes for it."""
 
     def __init__(self, spark):
         self.spark, self.folder = spark, f"{shared_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
-        self.count, self.paths = 0, {}
+        self.count, self.paths, self.files = 0, {}, None
+
+    def bound(self, rows: int) -> None:
+        """Let the files of the next tables follow the rows of the input, not the number of shuffle partitions."""
+        self.files = max(-(-rows // FILE_ROWS), 2 * self.spark.sparkContext.defaultParallelism)
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.count += 1
         path = f"{self.folder}/{self.count}"
-        df.write.parquet(path)
+        (df.coalesce(self.files) if self.files else df).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (out, path)
         return out

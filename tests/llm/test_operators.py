@@ -7,6 +7,7 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -130,6 +131,50 @@ def test_large_group_of_near_copies(spark):
     test_near_duplicates(spark, rows)
 
 
+def test_files_of_kept_tables_follow_the_rows(spark, rows, monkeypatch):
+    """On a local disk Hadoop starts two processes for a file; one a shuffle partition were thousands."""
+    files, keep = [], Kept.keep
+    monkeypatch.setattr(Kept, "keep", lambda self, df: (out := keep(self, df), files.append((self.files, len(out.inputFiles()))))[0])
+    most = 2 * spark.sparkContext.defaultParallelism
+    held = {"spark.sql.shuffle.partitions": str(3 * most), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        found = {r.doc_id: r.class_id for r in darts.classes(docs_of(spark, rows)).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found[500] == found[12] and found[None] is None
+    assert len(files) > 10 and max(n for bound, n in files if bound) <= most
+    kept = Kept(spark)
+    kept.bound(10**8)
+    assert kept.files == 24415
+
+
+def test_short_texts_are_signed_in_bounded_memory():
+    texts = pa.array([f"some {i} words of text {i % 7}" for i in range(4000)])
+    codes, begin = darts.weighted(texts)
+    tracemalloc.start()
+    many = darts.signature(codes, begin)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20
+    part = slice(begin[300], begin[310])
+    assert (many[300:310] == darts.signature(codes[part], begin[300:311] - begin[300])).all()
+
+
+def test_differences_leave_in_bounded_batches(monkeypatch):
+    rnd = np.random.default_rng(1)
+    sides = [[np.sort(rnd.choice(500, 200, False)).astype(np.uint32) for _ in range(60)] for _ in range(2)]
+    batch = pa.RecordBatch.from_pydict({"a": list(range(60)), "b": list(range(100, 160)), "label": [1] * 60, "probe": [True] * 60, **{f"codes_{c}": [x.tobytes() for x in side] for c, side in zip("ab", sides)}})
+    monkeypatch.setattr(darts, "ELEMENTS", 1000)
+    out = list(darts._differences([batch, batch.slice(0, 0)]))
+    assert len(out) > 5 and max(b.num_rows for b in out) < 1000 + 400
+    got = [tuple(r.values()) for b in out for r in b.to_pylist()]
+    assert got == [(i, 100 + i, 1, True, 200, 200, len(d), e) for i, (x, y) in enumerate(zip(*sides)) for d in [np.setxor1d(x, y)] for e in d]
+
+
 def test_leaks(spark, rows):
     items = [(1, rows[20][1]), (2, " ".join(rows[30][1].split()[5:20])), (3, "one two three"), (4, ""), (5, None), (None, "one"), (6, "not there at all, never seen anywhere"), (7, " ".join(rows[25][1].upper().split()[:40]))]
     got = leaks.find(docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
