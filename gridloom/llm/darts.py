@@ -35,8 +35,8 @@ from gridloom.llm.links import Kept, components
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
-#: Texts that draw their darts together (some 70 KB of arrays each, however short), and differences that leave a task together.
-TEXTS, ELEMENTS = 256, 1 << 18
+#: Texts that draw their darts together (some 40 to 70 KB of arrays each, however short), and differences that leave a task together.
+TEXTS, ELEMENTS = 1024, 1 << 18
 
 
 def weighted(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
